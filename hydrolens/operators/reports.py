@@ -412,19 +412,21 @@ def insights_text(r: DataFrame) -> DataFrame:
         F.struct(F.lit("info").alias("kind"), F.format_string(
             "Peak consumption occurs at %02d:00 with avg %s L. Lowest demand is at %02d:00.",
             F.col("peak_hour"), _fixed("peak_avg", 1), F.col("low_hour")).alias("text")),
-        F.struct(F.lit("warning"), F.format_string(
+        F.struct(F.lit("warning").alias("kind"), F.format_string(
             "%s%% of readings show abnormal spikes (ratio > 2). %s%% are critically high (ratio > 3).",
-            _fixed("pct_gt2", 1), _fixed("pct_gt3", 1))),
-        F.struct(F.lit("info"), F.format_string(
+            _fixed("pct_gt2", 1), _fixed("pct_gt3", 1)).alias("text")),
+        F.struct(F.lit("info").alias("kind"), F.format_string(
             "Average spike ratio across the entire dataset is %s. Values above 2.0 require immediate inspection.",
-            _fixed("avg_spike", 3))),
-        F.struct(F.lit("danger"), F.format_string(
-            "Overall leak detection rate: %s%% of all records triggered a leak event.", _fixed("leak_rate_pct", 1))),
-        F.struct(F.lit("warning"), F.format_string(
+            _fixed("avg_spike", 3)).alias("text")),
+        F.struct(F.lit("danger").alias("kind"), F.format_string(
+            "Overall leak detection rate: %s%% of all records triggered a leak event.",
+            _fixed("leak_rate_pct", 1)).alias("text")),
+        F.struct(F.lit("warning").alias("kind"), F.format_string(
             "%s%% of records are in the Critical risk tier; %s%% in High Risk.",
-            _fixed("pct_critical", 1), _fixed("pct_high_risk", 1))),
-        F.struct(F.lit("success"), F.format_string(
-            "%s%% of readings are within normal consumption bounds (spike ratio <= 2).", _fixed("pct_normal", 1))),
+            _fixed("pct_critical", 1), _fixed("pct_high_risk", 1)).alias("text")),
+        F.struct(F.lit("success").alias("kind"), F.format_string(
+            "%s%% of readings are within normal consumption bounds (spike ratio <= 2).",
+            _fixed("pct_normal", 1)).alias("text")),
     )
     return i.select(F.posexplode(lines).alias("line", "s")).select("line", "s.kind", "s.text")
 

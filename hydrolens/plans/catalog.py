@@ -60,7 +60,7 @@ def _export_filtered_csv(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "export")
     f = C.global_filter(_ev(spark, d), **FILTER_SPEC)
     export_csv(E.explore(f, EXPLORE_COLS, "spike_ratio", ascending=False), path)
-    return read_readings(spark, path, "csv")
+    return read_readings(spark, path, "csv", EXPLORE_COLS)
 
 
 def _timeline(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydrolens.functions.columns import nan_to_null
 from hydrolens.schema import READING_COLUMNS, READINGS
@@ -20,9 +21,14 @@ def normalise(df: DataFrame) -> DataFrame:
     return out.select(*READING_COLUMNS)
 
 
-def read_readings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
+                  columns: list[str] | None = None) -> DataFrame:
+    """Read readings with the explicit schema. For CSV, ``columns`` gives the
+    file's column order when it differs from the canonical one."""
     if fmt == "csv":
-        df = (spark.read.schema(READINGS).option("header", True)
+        fields = {f.name: f for f in READINGS.fields}
+        schema = T.StructType([fields[c] for c in columns]) if columns else READINGS
+        df = (spark.read.schema(schema).option("header", True)
               .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
               .option("mode", "FAILFAST").csv(path))
     elif fmt == "parquet":

@@ -22,7 +22,7 @@ def canon(v):
         return "∅"
     try:
         import pandas as pd
-        if v is pd.NaT:
+        if v is pd.NaT or v is pd.NA:
             return "∅"
     except Exception:  # noqa: BLE001
         pass
