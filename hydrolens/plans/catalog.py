@@ -16,7 +16,7 @@ from hydrolens.operators import reports as E
 from hydrolens.session import scratch_path
 from hydrolens.sources.fixtures import raw_from_events, raw_from_lineitem
 from hydrolens.sources.readers import read_readings
-from hydrolens.sources.store import readings
+from hydrolens.sources.store import materialize, readings, version_key
 from hydrolens.sources.writers import export_csv, write_readings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,143 @@ QUERIES: dict[str, Query] = {
 
 # the two-decimal text of a few columns needs no extra import elsewhere
 __all__ = ["QUERIES", "F"]
+
+
+# --- household features, labels, split, evaluation (E24-E29, D1-D3, J2, J7-J16, J18) ----
+from hydrolens.operators import evaluation as J  # noqa: E402
+from hydrolens.operators import features as HF  # noqa: E402
+
+
+FEATURES_VERSION = "features-1"
+
+
+def hf_events(spark: SparkSession, d: str) -> DataFrame:
+    """Household features of the folder, computed from readings once and reused."""
+    key = f"{version_key(spark, d)}|{FEATURES_VERSION}"
+    return materialize(spark, "household_features", key, lambda: HF.household_features(_ev(spark, d)))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return HF.label_quantile(hf_events(spark, d))
+
+
+def split(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled features with the exact stratified 80/20 split, materialised once."""
+    key = f"{version_key(spark, d)}|{FEATURES_VERSION}|split-0.2-42"
+    return materialize(spark, "split", key, lambda: HF.stratified_split(labelled(spark, d)))
+
+
+def heuristic_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Both rule scorers on the test households (stand-ins for fitted models)."""
+    test = split(spark, d).where(F.col("is_test") == 1)
+    return J.heuristic_scores(test, "spike").unionByName(J.heuristic_scores(test, "night"))
+
+
+def heuristic_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return J.metrics_table(heuristic_scored(spark, d))
+
+
+def _ensemble(spark: SparkSession, d: str) -> DataFrame:
+    sc = heuristic_scored(spark, d)
+    return J.ensemble(sc.where(F.col("model") == "spike_rule"), sc.where(F.col("model") == "night_rule"))
+
+
+QUERIES.update({
+    "household_features": on_events(HF.household_features),
+    "household_features_lineitem": on_lineitem(HF.household_features),
+    "household_features_join": on_events(HF.household_features_join),
+    "household_features_live": on_events(lambda r: HF.household_features(r, "live")),
+    "label_by_quantile": labelled,
+    "label_by_rule": lambda s, d: HF.label_rule(hf_events(s, d)),
+    "label_distribution": lambda s, d: HF.label_distribution(labelled(s, d)),
+    "stratified_split": split,
+    "class_weights": lambda s, d: HF.class_weights(split(s, d).where(F.col("is_test") == 0)),
+    "classification_metrics": lambda s, d: J.classification_metrics(heuristic_scored(s, d)),
+    "confusion_matrix": lambda s, d: J.confusion_matrix(heuristic_scored(s, d)),
+    "roc_curve": lambda s, d: J.roc_curve(heuristic_scored(s, d)),
+    "auc_roc": lambda s, d: J.auc_roc(heuristic_scored(s, d)),
+    "classification_report": lambda s, d: J.classification_report(heuristic_scored(s, d)),
+    "model_comparison": lambda s, d: J.model_comparison(heuristic_metrics(s, d), "spike_rule", "night_rule"),
+    "comparison_tally": lambda s, d: J.comparison_tally(heuristic_metrics(s, d), "spike_rule", "night_rule"),
+    "metrics_summary": lambda s, d: J.metrics_summary(heuristic_metrics(s, d), "spike_rule", "night_rule"),
+    "ensemble_verdict": _ensemble,
+})
+
+
+# --- MLlib models (J1, J3-J6, J12, J15, J17, J19, A7, A8, K11) ------------------------------
+from hydrolens.operators import ml as M  # noqa: E402
+
+WHATIF_SCENARIOS = [
+    M.Scenario("night_usage_x2", "night_avg_usage", "mul", 2.0),
+    M.Scenario("spikes_calm", "max_spike_ratio", "set", 1.0),
+    M.Scenario("spikes_calm", "avg_spike_ratio", "set", 1.0),
+    M.Scenario("volatile", "std_usage", "mul", 3.0),
+]
+
+
+def model(spark: SparkSession, d: str, kind: str) -> M.PipelineModel:
+    key = (version_key(spark, d), FEATURES_VERSION, kind)
+    return M.memo_model(key, lambda: M.train(split(spark, d).where(F.col("is_test") == 0), kind))
+
+
+def notebook_split(spark: SparkSession, d: str) -> DataFrame:
+    key = f"{version_key(spark, d)}|{FEATURES_VERSION}|notebook-split"
+    return materialize(spark, "split_notebook", key,
+                       lambda: HF.stratified_split(HF.label_rule(hf_events(spark, d))))
+
+
+def notebook_model(spark: SparkSession, d: str) -> M.PipelineModel:
+    key = (version_key(spark, d), FEATURES_VERSION, "rf_notebook")
+    return M.memo_model(key, lambda: M.train(notebook_split(spark, d).where(F.col("is_test") == 0), "rf",
+                                             M.NOTEBOOK_FEATURES))
+
+
+def test_scores(spark: SparkSession, d: str) -> DataFrame:
+    test = split(spark, d).where(F.col("is_test") == 1)
+    return M.score(model(spark, d, "rf"), test, "rf").unionByName(M.score(model(spark, d, "gbt"), test, "gbt"))
+
+
+def all_scores(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return M.score(model(spark, d, kind), split(spark, d), kind)
+
+
+def _model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "models", "rf")
+    M.save_model(model(spark, d, "rf"), path)
+    return M.score(M.load_model(path), split(spark, d), "rf")
+
+
+def _metrics_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "metrics")
+    J.metrics_table(test_scores(spark, d)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _whatif(spark: SparkSession, d: str) -> DataFrame:
+    live = HF.household_features(_ev(spark, d), "live")
+    return M.whatif(live, WHATIF_SCENARIOS, {"rf": model(spark, d, "rf"), "gbt": model(spark, d, "gbt")})
+
+
+QUERIES.update({
+    "feature_vector": lambda s, d: M.feature_vector(hf_events(s, d)),
+    "scale_features": lambda s, d: M.scale_features(split(s, d).where(F.col("is_test") == 0), split(s, d)),
+    "train_rf": lambda s, d: M.score(model(s, d, "rf"), split(s, d).where(F.col("is_test") == 1), "rf"),
+    "train_gbt": lambda s, d: M.score(model(s, d, "gbt"), split(s, d).where(F.col("is_test") == 1), "gbt"),
+    "train_rf_notebook": lambda s, d: M.score(notebook_model(s, d), notebook_split(s, d).where(F.col("is_test") == 1),
+                                              "rf_notebook"),
+    "score_households": lambda s, d: all_scores(s, d, "rf").unionByName(all_scores(s, d, "gbt")),
+    "model_metrics": lambda s, d: J.metrics_table(test_scores(s, d)),
+    "model_confusion_matrix": lambda s, d: J.confusion_matrix(test_scores(s, d)),
+    "model_roc_curve": lambda s, d: J.roc_curve(test_scores(s, d)),
+    "model_auc_roc": lambda s, d: J.auc_roc(test_scores(s, d)),
+    "model_classification_report": lambda s, d: J.classification_report(test_scores(s, d)),
+    "model_comparison_ml": lambda s, d: J.model_comparison(J.metrics_table(test_scores(s, d)), "rf", "gbt"),
+    "metrics_summary_ml": lambda s, d: J.metrics_summary(J.metrics_table(test_scores(s, d)), "rf", "gbt"),
+    "feature_importance": lambda s, d: M.feature_importance({"rf": model(s, d, "rf"), "gbt": model(s, d, "gbt")}),
+    "model_card": lambda s, d: M.model_card(split(s, d)),
+    "ensemble_verdict_ml": lambda s, d: J.ensemble(all_scores(s, d, "rf"), all_scores(s, d, "gbt")),
+    "whatif_score": _whatif,
+    "model_roundtrip": _model_roundtrip,
+    "metrics_roundtrip": _metrics_roundtrip,
+    "cross_validate": lambda s, d: M.cross_validate(labelled(s, d)),
+})

@@ -358,3 +358,147 @@ SELECT household_id, CASE MAX(CASE risk_level WHEN 'Low Risk' THEN 0 WHEN 'Moder
                                WHEN 'Critical' THEN 3 END)
        WHEN 0 THEN 'Low Risk' WHEN 1 THEN 'Moderate Risk' WHEN 2 THEN 'High Risk' WHEN 3 THEN 'Critical' END AS tier
 FROM readings GROUP BY household_id""")
+
+
+# --- household features, labels, split, evaluation -----------------------------------
+def _hf(day_pred: str = "hour BETWEEN 6 AND 23", live: bool = False) -> str:
+    night = "hour BETWEEN 0 AND 5"
+    g = f"""
+, g AS (
+  SELECT household_id, {EXACT_AVG_USAGE} AS avg_usage, MAX(water_usage_liters) AS max_usage,
+         round(stddev_samp(water_usage_liters), 6) AS std_usage, round(AVG(spike_ratio), 6) AS avg_spike_ratio,
+         MAX(spike_ratio) AS max_spike_ratio, round(stddev_samp(spike_ratio), 6) AS std_spike_ratio,
+         CAST(SUM(leak_flag_detected) AS BIGINT) AS total_leak_events, round(AVG(leak_probability), 6) AS avg_leak_prob,
+         COUNT(CASE WHEN risk_level = 'Critical' THEN 1 END) AS critical_events,
+         COUNT(CASE WHEN risk_level = 'High Risk' THEN 1 END) AS high_risk_events,
+         COUNT(CASE WHEN spike_ratio > 2 THEN 1 END) AS spike_above_2, COUNT(*) AS total_readings,
+         CAST(SUM(CAST(CASE WHEN {night} THEN water_usage_liters END AS DECIMAL(18,2))) AS DOUBLE)
+           / COUNT(CASE WHEN {night} THEN water_usage_liters END) AS night,
+         CAST(SUM(CAST(CASE WHEN {day_pred} THEN water_usage_liters END AS DECIMAL(18,2))) AS DOUBLE)
+           / COUNT(CASE WHEN {day_pred} THEN water_usage_liters END) AS day
+  FROM readings GROUP BY household_id)"""
+    if not live:
+        return g + """
+, g2 AS (SELECT * EXCLUDE (std_usage, std_spike_ratio, night, day), COALESCE(std_usage, 0) AS std_usage,
+                COALESCE(std_spike_ratio, 0) AS std_spike_ratio, COALESCE(night, 0) AS night_avg_usage,
+                COALESCE(day, avg_usage) AS day_avg_usage FROM g)
+, hf AS (SELECT *, night_avg_usage / greatest(day_avg_usage, 0.01) AS night_day_ratio,
+                max_usage - avg_usage AS usage_range, std_usage / greatest(avg_usage, 0.01) AS cv_usage FROM g2)"""
+    return g + """
+, g2 AS (SELECT * EXCLUDE (std_usage, std_spike_ratio),
+                CASE WHEN total_readings <= 1 THEN 0 ELSE COALESCE(std_usage, 0) END AS std_usage,
+                CASE WHEN total_readings <= 1 THEN 0 ELSE COALESCE(std_spike_ratio, 0) END AS std_spike_ratio,
+                COALESCE(night, 0) AS night_avg_usage, COALESCE(day, avg_usage) AS day_avg_usage FROM g)
+, hf AS (SELECT * EXCLUDE (night, day),
+                CASE WHEN night IS NOT NULL AND day IS NOT NULL THEN night / greatest(day, 0.01) ELSE 0 END AS night_day_ratio,
+                max_usage - avg_usage AS usage_range,
+                CASE WHEN total_readings <= 1 THEN 0 ELSE std_usage / greatest(avg_usage, 0.01) END AS cv_usage FROM g2)"""
+
+
+HF_COLS = ("household_id, avg_usage, max_usage, std_usage, avg_spike_ratio, max_spike_ratio, std_spike_ratio, "
+           "total_leak_events, avg_leak_prob, critical_events, high_risk_events, spike_above_2, total_readings, "
+           "night_avg_usage, day_avg_usage, night_day_ratio, usage_range, cv_usage")
+_LABEL = """
+, t AS (SELECT quantile_cont(avg_leak_prob, 0.75) AS tq, quantile_cont(avg_leak_prob, 0.5) AS tm FROM hf),
+c AS (SELECT COUNT(DISTINCT COALESCE(CAST(hf.avg_leak_prob >= t.tq AS INTEGER), 0)) AS n1,
+             COUNT(DISTINCT COALESCE(CAST(hf.avg_leak_prob > t.tm AS INTEGER), 0)) AS n2 FROM hf, t),
+lab AS (SELECT hf.*, CAST(CASE WHEN c.n1 >= 2 THEN COALESCE(CAST(hf.avg_leak_prob >= t.tq AS INTEGER), 0)
+                               WHEN c.n2 >= 2 THEN COALESCE(CAST(hf.avg_leak_prob > t.tm AS INTEGER), 0)
+                               ELSE error('single class') END AS INTEGER) AS is_high_risk FROM hf, t, c)"""
+_SPLIT = """
+, s0 AS (SELECT lab.*, ROW_NUMBER() OVER (PARTITION BY is_high_risk ORDER BY md5(household_id || ':42'), household_id) AS rn,
+                COUNT(*) OVER (PARTITION BY is_high_risk) AS nl FROM lab),
+split AS (SELECT * EXCLUDE (rn, nl), CAST(rn <= floor(0.2 * nl + 0.5) AS INTEGER) AS is_test FROM s0)"""
+_SCORED = """
+, test AS (SELECT * FROM split WHERE is_test = 1),
+sc AS (SELECT household_id, is_high_risk AS label, round(least(max_spike_ratio / 10, 1), 6) AS score,
+              CAST(round(least(max_spike_ratio / 10, 1), 6) > 0.5 AS INTEGER) AS prediction, 'spike_rule' AS model FROM test
+       UNION ALL
+       SELECT household_id, is_high_risk, round(least(night_day_ratio, 1), 6),
+              CAST(round(least(night_day_ratio, 1), 6) > 0.5 AS INTEGER), 'night_rule' FROM test),
+cc AS (SELECT model, COUNT(CASE WHEN label = 1 AND prediction = 1 THEN 1 END) AS tp,
+              COUNT(CASE WHEN label = 0 AND prediction = 1 THEN 1 END) AS fp,
+              COUNT(CASE WHEN label = 1 AND prediction = 0 THEN 1 END) AS fn,
+              COUNT(CASE WHEN label = 0 AND prediction = 0 THEN 1 END) AS tn FROM sc GROUP BY model),
+sg AS (SELECT model, score, COUNT(CASE WHEN label = 1 THEN 1 END) AS pos, COUNT(CASE WHEN label = 0 THEN 1 END) AS neg
+       FROM sc GROUP BY model, score),
+auc AS (SELECT model, CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0
+                       THEN CAST(SUM(neg * (2 * before + pos)) AS DOUBLE) / (CAST(2 AS DOUBLE) * SUM(pos) * SUM(neg))
+                       ELSE 0 END AS auc
+        FROM (SELECT *, COALESCE(SUM(pos) OVER (PARTITION BY model ORDER BY score DESC
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sg) GROUP BY model),
+m AS (SELECT model, 'accuracy' AS metric, CASE WHEN tp+fp+fn+tn > 0 THEN CAST(tp + tn AS DOUBLE) / (tp+fp+fn+tn) ELSE 0 END AS value FROM cc
+      UNION ALL SELECT model, 'precision', CASE WHEN tp+fp > 0 THEN CAST(tp AS DOUBLE) / (tp+fp) ELSE 0 END FROM cc
+      UNION ALL SELECT model, 'recall', CASE WHEN tp+fn > 0 THEN CAST(tp AS DOUBLE) / (tp+fn) ELSE 0 END FROM cc
+      UNION ALL SELECT model, 'f1', CASE WHEN 2*tp+fp+fn > 0 THEN CAST(2*tp AS DOUBLE) / (2*tp+fp+fn) ELSE 0 END FROM cc),
+mt AS (SELECT * FROM m UNION ALL SELECT model, 'auc_roc', auc FROM auc
+       UNION ALL SELECT model, 'TN', CAST(tn AS DOUBLE) FROM cc UNION ALL SELECT model, 'FP', CAST(fp AS DOUBLE) FROM cc
+       UNION ALL SELECT model, 'FN', CAST(fn AS DOUBLE) FROM cc UNION ALL SELECT model, 'TP', CAST(tp AS DOUBLE) FROM cc),
+sbs AS (SELECT metric, MAX(CASE WHEN model = 'spike_rule' THEN value END) AS a,
+               MAX(CASE WHEN model = 'night_rule' THEN value END) AS b FROM mt GROUP BY metric)"""
+_FIVE = "('accuracy', 'precision', 'recall', 'f1', 'auc_roc')"
+
+SQL["household_features"] = on("events", _hf() + f" SELECT {HF_COLS} FROM hf")
+SQL["household_features_lineitem"] = on("lineitem", _hf() + f" SELECT {HF_COLS} FROM hf")
+SQL["household_features_join"] = SQL["household_features"]
+SQL["household_features_live"] = on("events", _hf("NOT COALESCE(hour BETWEEN 0 AND 5, false)", live=True)
+                                    + f" SELECT {HF_COLS} FROM hf")
+SQL["label_by_quantile"] = on("events", _hf() + _LABEL + " SELECT * FROM lab")
+SQL["label_by_rule"] = on("events", _hf() + """
+SELECT *, CAST(total_leak_events > 20 OR critical_events > 0 AS INTEGER) AS is_high_risk FROM hf""")
+SQL["label_distribution"] = on("events", _hf() + _LABEL + """
+SELECT is_high_risk AS label, COUNT(*) AS n, CAST(100.0 AS DOUBLE) * COUNT(*) / SUM(COUNT(*)) OVER () AS pct
+FROM lab GROUP BY 1""")
+SQL["stratified_split"] = on("events", _hf() + _LABEL + _SPLIT + " SELECT * FROM split")
+SQL["class_weights"] = on("events", _hf() + _LABEL + _SPLIT + """
+SELECT n_neg, n_pos, CASE WHEN n_pos > 0 THEN CAST(n_neg AS DOUBLE) / n_pos ELSE 1.0 END AS ratio FROM (
+  SELECT COUNT(CASE WHEN is_high_risk = 0 THEN 1 END) AS n_neg, COUNT(CASE WHEN is_high_risk = 1 THEN 1 END) AS n_pos
+  FROM split WHERE is_test = 0)""")
+_EVAL = _hf() + _LABEL + _SPLIT + _SCORED
+SQL["classification_metrics"] = on("events", _EVAL + " SELECT * FROM m")
+SQL["confusion_matrix"] = on("events", _EVAL + """
+SELECT model, 0 AS actual, 0 AS predicted, tn AS n FROM cc UNION ALL SELECT model, 0, 1, fp FROM cc
+UNION ALL SELECT model, 1, 0, fn FROM cc UNION ALL SELECT model, 1, 1, tp FROM cc""")
+SQL["roc_curve"] = on("events", _EVAL + """
+, cu AS (SELECT model, score, SUM(pos) OVER w AS cp, SUM(neg) OVER w AS cn,
+                SUM(pos) OVER (PARTITION BY model) AS P, SUM(neg) OVER (PARTITION BY model) AS N
+         FROM sg WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT model, CAST('inf' AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+FROM (SELECT DISTINCT model FROM sc)
+UNION ALL
+SELECT model, score, CASE WHEN N > 0 THEN CAST(cn AS DOUBLE) / N ELSE 0 END,
+       CASE WHEN P > 0 THEN CAST(cp AS DOUBLE) / P ELSE 0 END FROM cu""")
+SQL["auc_roc"] = on("events", _EVAL + " SELECT * FROM auc")
+SQL["classification_report"] = on("events", _EVAL + """
+, r AS (SELECT model, tp, fp, fn, tn, tp + fp + fn + tn AS n,
+               CASE WHEN tp+fp > 0 THEN CAST(tp AS DOUBLE)/(tp+fp) ELSE 0 END AS p1,
+               CASE WHEN tp+fn > 0 THEN CAST(tp AS DOUBLE)/(tp+fn) ELSE 0 END AS r1,
+               CASE WHEN 2*tp+fp+fn > 0 THEN CAST(2*tp AS DOUBLE)/(2*tp+fp+fn) ELSE 0 END AS f1_1,
+               CASE WHEN tn+fn > 0 THEN CAST(tn AS DOUBLE)/(tn+fn) ELSE 0 END AS p0,
+               CASE WHEN tn+fp > 0 THEN CAST(tn AS DOUBLE)/(tn+fp) ELSE 0 END AS r0,
+               CASE WHEN 2*tn+fn+fp > 0 THEN CAST(2*tn AS DOUBLE)/(2*tn+fn+fp) ELSE 0 END AS f1_0,
+               tp + fn AS s1, tn + fp AS s0 FROM cc)
+SELECT model, 'Normal' AS class, p0 AS precision, r0 AS recall, f1_0 AS f1, s0 AS support FROM r
+UNION ALL SELECT model, 'High Risk', p1, r1, f1_1, s1 FROM r
+UNION ALL SELECT model, 'accuracy', NULL, NULL, CASE WHEN n > 0 THEN CAST(tp + tn AS DOUBLE) / n ELSE 0 END, n FROM r
+UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, n FROM r
+UNION ALL SELECT model, 'weighted avg',
+   CASE WHEN n > 0 THEN (p0 * s0 + p1 * s1) / n ELSE 0 END, CASE WHEN n > 0 THEN (r0 * s0 + r1 * s1) / n ELSE 0 END,
+   CASE WHEN n > 0 THEN (f1_0 * s0 + f1_1 * s1) / n ELSE 0 END, n FROM r""")
+SQL["model_comparison"] = on("events", _EVAL + f"""
+SELECT metric, a AS spike_rule, b AS night_rule,
+       CASE WHEN a > b THEN 'spike_rule' WHEN b > a THEN 'night_rule' ELSE 'Tie' END AS winner_raw,
+       CASE WHEN round(a, 4) > round(b, 4) THEN 'spike_rule' WHEN round(b, 4) > round(a, 4) THEN 'night_rule' ELSE 'Tie' END AS winner_4dp
+FROM sbs WHERE metric IN {_FIVE}""")
+SQL["comparison_tally"] = on("events", _EVAL + f"""
+SELECT COUNT(CASE WHEN a > b THEN 1 END) AS spike_rule_wins, COUNT(CASE WHEN b > a THEN 1 END) AS night_rule_wins,
+       COUNT(CASE WHEN NOT (a > b) AND NOT (b > a) THEN 1 END) AS ties FROM sbs WHERE metric IN {_FIVE}""")
+SQL["metrics_summary"] = on("events", _EVAL + f"""
+SELECT metric, round(a, 6) AS spike_rule, round(b, 6) AS night_rule,
+       CASE WHEN metric NOT IN {_FIVE} THEN NULL WHEN round(a, 4) > round(b, 4) THEN 'spike_rule'
+            WHEN round(b, 4) > round(a, 4) THEN 'night_rule' ELSE 'Tie' END AS winner FROM sbs""")
+SQL["ensemble_verdict"] = on("events", _EVAL + """
+SELECT a.household_id, a.prediction AS pred_a, b.prediction AS pred_b, round((a.score + b.score) / 2, 6) AS avg_prob,
+       CASE WHEN a.prediction = 1 AND b.prediction = 1 THEN 'HIGH RISK' WHEN a.prediction = 0 AND b.prediction = 0 THEN 'NORMAL'
+            ELSE 'MANUAL REVIEW' END AS verdict
+FROM sc a JOIN sc b ON a.household_id = b.household_id AND a.model = 'spike_rule' AND b.model = 'night_rule'""")

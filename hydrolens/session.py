@@ -29,22 +29,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for materialised tables and checkpoints.
 
-    Taken from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    dir). Only when neither is set (unit tests on a laptop) do we create one.
+    Taken from the session: the configured ``spark.checkpoint.dir`` (stable
+    across applications, so materialised tables are reused), else the context's
+    checkpoint dir. Only when neither is set (unit tests on a laptop) do we
+    create one.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = sc.getConf().get("spark.checkpoint.dir", None)
-        if not d:
-            try:
-                d = spark.conf.get("spark.checkpoint.dir")
-            except Exception:  # noqa: BLE001 - unset key
-                d = None
-        if not d:
-            d = tempfile.mkdtemp(prefix="hydrolens-ckpt-")
+        try:
+            d = spark.conf.get("spark.checkpoint.dir")
+        except Exception:  # noqa: BLE001 - unset key
+            d = None
+    if not d:
+        d = sc.getCheckpointDir()
+    if not d:
+        d = tempfile.mkdtemp(prefix="hydrolens-ckpt-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-        d = sc.getCheckpointDir() or d
     return d
 
 

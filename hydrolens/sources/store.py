@@ -43,6 +43,37 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
+def materialize(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+    """Write ``build()`` once per ``key`` as Parquet in the shared folder and read it back.
+
+    Cuts lineage for tables that several later jobs reuse (household features,
+    the labelled split): each reuse scans a small table instead of recomputing
+    it from the full readings.
+    """
+    mkey = (id(spark), name, key)
+    with _lock:
+        if mkey in _memo:
+            return _memo[mkey]
+    tag = hashlib.sha1(key.encode()).hexdigest()[:20]
+    path = stable_path(spark, name, tag)
+    fs, p = _fs(spark, path)
+    if not fs.exists(_fs(spark, path + "/_SUCCESS")[1]):
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+        build().write.mode("overwrite").parquet(tmp)
+        ftmp, ptmp = _fs(spark, tmp)
+        if not ftmp.rename(ptmp, p) and not fs.exists(p):
+            raise OSError(f"could not publish {tmp} to {path}")
+    df = spark.read.parquet(path)
+    with _lock:
+        _memo[mkey] = df
+    return df
+
+
+def version_key(spark: SparkSession, sf_dir: str, source: str = "events") -> str:
+    src = f"{sf_dir.rstrip('/')}/{_SOURCE_TABLE[source]}.parquet"
+    return f"{ENRICH_VERSION}|{src}|{fingerprint(spark, src)}"
+
+
 def readings(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
     """Enriched readings for a test-data folder, materialised once per input version."""
     src = f"{sf_dir.rstrip('/')}/{_SOURCE_TABLE[source]}.parquet"
