@@ -286,3 +286,16 @@ QUERIES.update({
     "metrics_roundtrip": _metrics_roundtrip,
     "cross_validate": lambda s, d: M.cross_validate(labelled(s, d)),
 })
+
+
+# --- streaming (K12) ----------------------------------------------------------------------
+from hydrolens.streaming import rollup as S  # noqa: E402
+
+
+def _stream_rollup(spark: SparkSession, d: str) -> DataFrame:
+    base = scratch_path(spark, "stream")
+    S.stream_rollup(spark, d, f"{base}/out", f"{base}/checkpoint", file_glob="events.parquet")
+    return S.read_rollup(spark, f"{base}/out")
+
+
+QUERIES["stream_hourly_rollup"] = _stream_rollup

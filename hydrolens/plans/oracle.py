@@ -502,3 +502,5 @@ SELECT a.household_id, a.prediction AS pred_a, b.prediction AS pred_b, round((a.
        CASE WHEN a.prediction = 1 AND b.prediction = 1 THEN 'HIGH RISK' WHEN a.prediction = 0 AND b.prediction = 0 THEN 'NORMAL'
             ELSE 'MANUAL REVIEW' END AS verdict
 FROM sc a JOIN sc b ON a.household_id = b.household_id AND a.model = 'spike_rule' AND b.model = 'night_rule'""")
+
+SQL["stream_hourly_rollup"] = f"WITH raw AS ({_RAW['events']}) SELECT household_id, timestamp, CAST(usage AS DOUBLE) AS usage FROM raw"
