@@ -195,7 +195,7 @@ QUERIES.update({
     "label_by_quantile": labelled,
     "label_by_rule": lambda s, d: HF.label_rule(hf_events(s, d)),
     "label_distribution": lambda s, d: HF.label_distribution(labelled(s, d)),
-    "stratified_split": split,
+    "stratified_split": lambda s, d: HF.stratified_split(labelled(s, d)),
     "class_weights": lambda s, d: HF.class_weights(split(s, d).where(F.col("is_test") == 0)),
     "classification_metrics": lambda s, d: J.classification_metrics(heuristic_scored(s, d)),
     "confusion_matrix": lambda s, d: J.confusion_matrix(heuristic_scored(s, d)),
