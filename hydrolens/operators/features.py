@@ -187,4 +187,4 @@ def stratified_split(hf: DataFrame, test: float = 0.2, seed: int = 42, label: st
     rk = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
     in_star = in_star.withColumn("is_test", (rk <= F.col("_need")).cast("int"))
     rest = rest.withColumn("is_test", F.coalesce((F.col("_b") < F.col("_bstar")).cast("int"), F.lit(0)))
-    return in_star.unionByName(rest).drop("_h", "_b", "_bstar", "_need")
+    return in_star.unionByName(rest).select(*hf.columns, "is_test")
