@@ -299,3 +299,5 @@ def _stream_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["stream_hourly_rollup"] = _stream_rollup
+
+QUERIES["probability_band_model"] = lambda s, d: E.probability_band(all_scores(s, d, "rf"), "score")

@@ -22,9 +22,11 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
-                  columns: list[str] | None = None) -> DataFrame:
+                  columns: list[str] | None = None, trusted: bool = False) -> DataFrame:
     """Read readings with the explicit schema. For CSV, ``columns`` gives the
-    file's column order when it differs from the canonical one."""
+    file's column order when it differs from the canonical one. ``trusted``
+    skips the NaN->NULL rewrite for tables written by our own enrichment (which
+    cannot produce NaN), so filters on the double columns reach the scan."""
     if fmt == "csv":
         fields = {f.name: f for f in READINGS.fields}
         schema = T.StructType([fields[c] for c in columns]) if columns else READINGS
@@ -36,7 +38,7 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in READINGS.fields])
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    return normalise(df)
+    return df.select(*READING_COLUMNS) if trusted else normalise(df)
 
 
 def resolve_source(spark: SparkSession, data_dir: str) -> tuple[str, str]:
