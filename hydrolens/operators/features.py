@@ -118,20 +118,21 @@ def label_quantile(hf: DataFrame, q: float = 0.75) -> DataFrame:
     """1 if avg_leak_prob >= its q-quantile (linear); if that yields one
     class, use the median with '>'; if still one class, fail with a clear error.
 
-    One global aggregate (quantiles, min, max, counts) enters as a single scalar
-    subquery; the class checks follow from it without a second pass:
-    '>= q-quantile' has a 0 class iff some value is below it or NULL, and
+    The two thresholds come from the exact distributed selection (two scalars
+    reach the driver); the class checks follow from min/max without a second
+    pass: '>= q-quantile' has a 0 class iff some value is below it or NULL, and
     '> median' has a 1 class iff the max exceeds the median.
     """
+    from hydrolens.operators.quantiles import exact_quantiles
     p = F.col("avg_leak_prob")
-    st = hf.select(F.struct(
-        F.percentile("avg_leak_prob", F.array(F.lit(q), F.lit(0.5))).alias("t"),
-        F.min(p).alias("lo"), F.max(p).alias("hi"),
-        (F.count(p) < F.count(F.lit(1))).alias("has_null"))).scalar()
-    t_q, t_m = st["t"][0], st["t"][1]
-    rule1 = st["lo"] < t_q
-    rule1 = F.coalesce(rule1, F.lit(False)) | st["has_null"]
-    rule2 = F.coalesce(st["hi"] > t_m, F.lit(False))
+    qs = {r.p: r.value for r in exact_quantiles(hf, "avg_leak_prob", [q, 0.5, 0.0, 1.0]).collect()}
+    st = hf.select(F.struct((F.count(p) < F.count(F.lit(1))).alias("has_null"))).scalar()
+    if not qs:  # no non-null probability at all: a single (0) class
+        return hf.withColumn("is_high_risk", F.raise_error(
+            F.lit("label_quantile: avg_leak_prob gives a single class")).cast("int"))
+    t_q, t_m, lo, hi = (F.lit(qs[float(x)]) for x in (q, 0.5, 0.0, 1.0))
+    rule1 = (lo < t_q) | st["has_null"]
+    rule2 = hi > t_m
     label = (F.when(rule1, F.coalesce((p >= t_q).cast("int"), F.lit(0)))
               .when(rule2, F.coalesce((p > t_m).cast("int"), F.lit(0)))
               .otherwise(F.raise_error(F.lit("label_quantile: avg_leak_prob gives a single class"))))

@@ -296,16 +296,20 @@ def weekday_profile(r: DataFrame) -> DataFrame:
 def usage_box(r: DataFrame, approx: bool = False) -> DataFrame:
     """Quartiles (linear), 1.5 IQR whiskers and outlier count per risk level.
 
-    Quartiles of the <= 4 known levels are joined back by broadcast (bounded by
-    the label vocabulary). ``approx=True`` uses ``percentile_approx``, bounded
-    memory for columns with unbounded distinct values.
+    Quartiles come from the exact selection in ``operators.quantiles`` (bounded
+    memory per task at any scale; ``approx=True`` uses ``percentile_approx``).
+    The <= 4-row quartile table (bounded by the risk vocabulary) is broadcast
+    back to the readings for the whisker pass.
     """
+    from hydrolens.operators.quantiles import quantile_columns
     x = r.where(F.col("risk_level").isin(RISK_LABELS) & F.col("water_usage_liters").isNotNull())
-    pct = (F.percentile_approx("water_usage_liters", [0.25, 0.5, 0.75], 10000) if approx
-           else F.percentile("water_usage_liters", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    q = x.groupBy("risk_level").agg(pct.alias("_q")).select(
-        "risk_level", r6(F.col("_q")[0]).alias("q1"), r6(F.col("_q")[1]).alias("median"),
-        r6(F.col("_q")[2]).alias("q3"))
+    if approx:
+        q = x.groupBy("risk_level").agg(
+            F.percentile_approx("water_usage_liters", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
+            "risk_level", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    else:
+        q = quantile_columns(x, "water_usage_liters", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ["risk_level"])
+    q = q.select("risk_level", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"))
     q = q.withColumns({"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     y = x.join(F.broadcast(q), "risk_level")
@@ -445,23 +449,32 @@ NUMERIC_TYPES = ("int", "bigint", "double", "float", "smallint", "tinyint")
 def describe_numeric(r: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std, min, quartiles, max per numeric column; one row per column.
 
-    One aggregate over all columns, then unpivoted with ``stack`` (never the
-    string-typed, approximate ``DataFrame.summary``).
+    Moments: one aggregate over all columns, unpivoted with ``stack``. Quartiles:
+    exact selection over the columns stacked long (the column name is the group),
+    so no task holds a column's distinct values. Never ``DataFrame.summary``
+    (string-typed, approximate).
     """
+    from hydrolens.operators.quantiles import quantile_columns
     types = dict(r.dtypes)
     cols = [c for c in (cols or r.columns) if types.get(c) in NUMERIC_TYPES]
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        pct = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-               else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         aggs += [F.count(x).alias(f"n{i}"), r6(F.avg(x)).alias(f"m{i}"), r6(F.stddev_samp(x)).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), pct.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
-    a = r.agg(*aggs)
-    rows = ", ".join(
-        f"'{c}', n{i}, m{i}, s{i}, lo{i}, round(q{i}[0], 6), round(q{i}[1], 6), round(q{i}[2], 6), hi{i}"
-        for i, c in enumerate(cols))
-    return a.selectExpr(f"stack({len(cols)}, {rows}) as (column, count, mean, std, min, p25, p50, p75, max)")
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    rows = ", ".join(f"'{c}', n{i}, m{i}, s{i}, lo{i}, hi{i}" for i, c in enumerate(cols))
+    mom = r.agg(*aggs).selectExpr(f"stack({len(cols)}, {rows}) as (column, count, mean, std, min, max)")
+    long = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                        for c in cols])).alias("s")).select("s.*")
+    if approx:
+        q = long.groupBy("column").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
+            "column", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"))
+    else:
+        q = quantile_columns(long, "v", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["column"])
+    q = q.select("column", r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p75").alias("p75"))
+    # both sides have one row per requested column
+    return mom.join(F.broadcast(q), "column", "left").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def explore(r: DataFrame, cols: Sequence[str], sort_col: str, ascending: bool = False) -> DataFrame:
