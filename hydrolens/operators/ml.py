@@ -110,7 +110,8 @@ def score(model: PipelineModel, hf: DataFrame, name: str, label: str | None = LA
                   *[F.col(f) if f in hf.columns else F.lit(0.0).alias(f) for f in feats])
     out = model.transform(x)
     prob = F.col("_p")[1] if "_p" in out.columns else vector_to_array("probability")[1]
-    return out.select("household_id", "label", prob.cast("double").alias("score"),
+    # 6-decimal scores: a model then has at most 1,000,001 ROC points at any scale
+    return out.select("household_id", "label", F.round(prob.cast("double"), 6).alias("score"),
                       F.col("prediction").cast("int").alias("prediction"), F.lit(name).alias("model"))
 
 
@@ -217,7 +218,8 @@ def score_with_key(model: PipelineModel, x: DataFrame, name: str) -> DataFrame:
     y = x.select("scenario", "household_id", *[F.col(f) if f in x.columns else F.lit(0.0).alias(f) for f in feats])
     out = model.transform(y)
     prob = F.col("_p")[1] if "_p" in out.columns else vector_to_array("probability")[1]
-    return out.select("scenario", "household_id", F.lit(name).alias("model"), prob.cast("double").alias("score"),
+    return out.select("scenario", "household_id", F.lit(name).alias("model"),
+                      F.round(prob.cast("double"), 6).alias("score"),
                       F.col("prediction").cast("int").alias("prediction"))
 
 

@@ -86,3 +86,27 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def tune_for_scale(spark: SparkSession, input_bytes: int, total_cores: int | None = None,
+                   target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Size shuffle and scan partitions from the input size (runtime SQL confs only).
+
+    Shuffle partitions ~ input / 256 MB (at least 2 per core) so a partition's
+    shuffle block fits executor memory; AQE then coalesces small ones and
+    splits skewed ones. Broadcasts stay behind the default 10 MB runtime size
+    check of AQE; nothing is forced above it.
+    """
+    cores = total_cores or spark.sparkContext.defaultParallelism
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 1 << 30)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
