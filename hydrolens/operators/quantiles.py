@@ -26,86 +26,106 @@ from pyspark.sql import functions as F
 ACCURACY = 1_000_000
 
 
-def _targets(stats, by, probs, accuracy, widen):
-    rows = []
-    for st in stats:
-        n = st["_n"]
-        if not n:
-            continue
-        for i, p in enumerate(probs):
-            pos = p * (n - 1)
-            k0 = int(math.floor(pos))
-            k1 = min(k0 + 1, n - 1)
-            if widen[(tuple(st[c] for c in by), i)] or n * 8.0 / accuracy < 2:
-                a, b = st["_min"], st["_max"]
-            else:
-                a, b = st["_q"][2 * i], st["_q"][2 * i + 1]
-            rows.append((*[st[c] for c in by], i, float(p), k0, k1, float(pos - k0), float(a), float(b), n))
-    return rows
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                     accuracy: int = ACCURACY, rounds: int = 3) -> DataFrame:
-    """(by..., p, value) with p in ``probs``; same answer as ``percentile`` (linear)."""
+    """(by..., p, value) with p in ``probs``; same answer as ``percentile`` (linear).
+
+    Groups with fewer than ``accuracy / 4`` values skip the sketch: their bracket
+    is [min, max] with counts known from the first pass, so they cost one
+    ranking pass over at most that many rows.
+    """
     spark = df.sparkSession
     by = list(by)
+    probs = [float(p) for p in probs]
     x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    delta = 4.0 / accuracy
-    brackets = []
-    for p in probs:
-        brackets += [max(0.0, p - delta), min(1.0, p + delta)]
-    stats = (x.groupBy(*by).agg(F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-                                F.percentile_approx("_x", brackets, accuracy).alias("_q"))
-              .collect())  # one row per group: bounded by the group vocabulary
-    widen = {(tuple(st[c] for c in by), i): False for st in stats for i in range(len(probs))}
+    types = dict(x.dtypes)
+    gcols = [f"`{c}` {types[c]}" for c in by]
     key = [*by, "_t"]
-    tschema = ", ".join([f"`{c}` {dict(x.dtypes)[c]}" for c in by]
-                        + ["_t int", "_p double", "_k0 long", "_k1 long", "_f double", "_a double", "_b double",
-                           "_nn long"])
-    values = {}
-    for rnd in range(rounds + 1):
-        rows = _targets(stats, by, probs, accuracy, widen)
-        if not rows:
+
+    def gkey(row) -> tuple:
+        return tuple(row[c] for c in by)
+
+    # pass 1: per group count/min/max (one row per group: bounded by the group vocabulary)
+    stats = {gkey(r): r for r in x.groupBy(*by).agg(
+        F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).collect() if r["_n"]}
+    large = {g for g, st in stats.items() if st["_n"] * 8.0 / accuracy >= 2}
+    approx = {}
+    if large:  # sketch brackets at +-4 ranks of relative error around each target
+        delta = 4.0 / accuracy
+        br = [v for p in probs for v in (max(0.0, p - delta), min(1.0, p + delta))]
+        approx = {gkey(r): r["_q"] for r in x.groupBy(*by).agg(
+            F.percentile_approx("_x", br, accuracy).alias("_q")).collect()}
+    widened: set = set()
+    values: dict = {}
+    pending = {(g, i) for g in stats for i in range(len(probs))}
+
+    def on_groups(frame: DataFrame, tg: DataFrame) -> DataFrame:
+        # the target table has groups x probabilities rows: bounded, broadcast to the scan
+        if by:
+            return frame.join(F.broadcast(tg), by)
+        return frame.withColumn("_g", F.lit(0)).join(F.broadcast(tg.withColumn("_g", F.lit(0))), "_g")
+
+    for _ in range(rounds + 1):
+        if not pending:
             break
-        tg = spark.createDataFrame(rows, tschema)
-        # groups x probabilities rows: a bounded table, broadcast to the scan
-        j = (x.join(F.broadcast(tg), by) if by else
-             x.withColumn("_g", F.lit(0)).join(F.broadcast(tg.withColumn("_g", F.lit(0))), "_g"))
-        inside = (F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b"))
-        cnt = {tuple(r[c] for c in key): (r["_below"], r["_in"]) for r in j.groupBy(*key).agg(
-            F.count(F.when(F.col("_x") < F.col("_a"), 1)).alias("_below"),
-            F.count(F.when(inside, 1)).alias("_in")).collect()}
-        ok, bad = set(), []
-        for r in rows:
-            k = (*r[:len(by)], r[len(by)])
-            below, n_in = cnt.get(k, (0, 0))
-            k0, k1 = r[len(by) + 2], r[len(by) + 3]
-            if below <= k0 and k1 < below + n_in:
-                ok.add(k)
+        rows, known = [], {}
+        for g, i in sorted(pending, key=repr):
+            st, p = stats[g], probs[i]
+            n = st["_n"]
+            pos = p * (n - 1)
+            k0 = int(math.floor(pos))
+            k1 = min(k0 + 1, n - 1)
+            if g in large and (g, i) not in widened:
+                a, b = approx[g][2 * i], approx[g][2 * i + 1]
             else:
-                bad.append(k)
-        if ok:
-            below_df = spark.createDataFrame(
-                [(*k, cnt[k][0]) for k in ok],
-                ", ".join([f"`{c}` {dict(x.dtypes)[c]}" for c in by] + ["_t int", "_below long"]))
-            sel = j.where(inside).groupBy(*key, "_k0", "_k1", "_f", "_x").agg(F.count(F.lit(1)).alias("_c"))
-            sel = sel.join(F.broadcast(below_df), key)
+                a, b = st["_min"], st["_max"]
+                known[(*g, i)] = 0          # nothing below the minimum, everything inside
+            rows.append((*g, i, k0, k1, float(pos - k0), float(a), float(b)))
+        tg = spark.createDataFrame(rows, ", ".join(gcols + ["_t int", "_k0 long", "_k1 long", "_f double",
+                                                             "_a double", "_b double"]))
+        below = dict(known)
+        check = [r for r in rows if tuple(r[:len(by) + 1]) not in known]
+        if check:  # pass 2 (large groups only): exact counts validate each bracket
+            j = on_groups(x, spark.createDataFrame(check, tg.schema))
+            inside = (F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b"))
+            cnt = {tuple(r[c] for c in key): (r["_below"], r["_in"]) for r in j.groupBy(*key).agg(
+                F.count(F.when(F.col("_x") < F.col("_a"), 1)).alias("_below"),
+                F.count(F.when(inside, 1)).alias("_in")).collect()}
+            for r in check:
+                k = tuple(r[:len(by) + 1])
+                b_, in_ = cnt.get(k, (0, 0))
+                k0, k1 = r[len(by) + 1], r[len(by) + 2]
+                if b_ <= k0 and k1 < b_ + in_:
+                    below[k] = b_
+                else:
+                    widened.add((k[:-1], k[-1]))
+        whole = [r for r in rows if tuple(r[:len(by) + 1]) in known]
+        narrow = [r for r in rows if tuple(r[:len(by) + 1]) in below and tuple(r[:len(by) + 1]) not in known]
+        picks = []
+        if whole:  # pass 3a: small groups rank their distinct values once, shared by all targets
+            twhole = spark.createDataFrame(whole, tg.schema)
+            g = x.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+            w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_x").rowsBetween(
+                Window.unboundedPreceding, Window.currentRow)
+            picks.append(on_groups(g.withColumn("_cum", F.sum("_c").over(w)), twhole))
+        if narrow:  # pass 3b: large groups rank only the values inside each validated bracket
+            tn = spark.createDataFrame([(*r, below[tuple(r[:len(by) + 1])]) for r in narrow],
+                                       ", ".join(gcols + ["_t int", "_k0 long", "_k1 long", "_f double",
+                                                          "_a double", "_b double", "_below long"]))
+            jn = on_groups(x, tn)
+            sel = (jn.where((F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b")))
+                     .groupBy(*key, "_k0", "_k1", "_f", "_below", "_x").agg(F.count(F.lit(1)).alias("_c")))
             w = Window.partitionBy(*key).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            sel = sel.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
-            got = sel.groupBy(*key, "_f").agg(
-                F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_x"))).alias("_v0"),
-                F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_x"))).alias("_v1")).collect()
-            for g in got:
-                k = tuple(g[c] for c in key)
-                values[k] = g["_v0"] + (g["_v1"] - g["_v0"]) * g["_f"]
-        if not bad:
-            break
-        for k in bad:
-            widen[(tuple(k[:-1]), k[-1])] = True
-        stats = [st for st in stats if any((tuple(st[c] for c in by), i) in {(tuple(b[:-1]), b[-1]) for b in bad}
-                                           for i in range(len(probs)))]
-    out_schema = ", ".join([f"`{c}` {dict(x.dtypes)[c]}" for c in by] + ["p double", "value double"])
-    return spark.createDataFrame([(*k[:-1], float(probs[k[-1]]), v) for k, v in values.items()], out_schema)
+            picks.append(sel.withColumn("_cum", F.col("_below") + F.sum("_c").over(w)))
+        for pk in picks:
+            for r in pk.groupBy(*key, "_f").agg(
+                    F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_x"))).alias("_v0"),
+                    F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_x"))).alias("_v1")).collect():
+                k = tuple(r[c] for c in key)
+                values[k] = r["_v0"] + (r["_v1"] - r["_v0"]) * r["_f"]
+                pending.discard((k[:-1], k[-1]))
+    out_schema = ", ".join(gcols + ["p double", "value double"])
+    return spark.createDataFrame([(*k[:-1], probs[k[-1]], v) for k, v in values.items()], out_schema)
 
 
 def quantile_columns(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],

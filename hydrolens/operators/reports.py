@@ -207,6 +207,13 @@ def household_summary(r: DataFrame, pattern: str = "", n: int = 100) -> DataFram
     return g.orderBy(F.desc("avg_leak_prob"), "household_id").limit(n)
 
 
+def household_summary_display(r: DataFrame, pattern: str = "", n: int = 100) -> DataFrame:
+    """B11 on E11: the search table with 4- and 2-decimal text columns."""
+    t = household_summary(r, pattern, n)
+    return t.select("household_id", "risk_level", "leak_severity", _fixed("avg_leak_prob", 4).alias("avg_leak_prob"),
+                    _fixed("avg_spike", 2).alias("avg_spike"), "leak_events")
+
+
 RISK_CARD_CLASS = {"Low Risk": "success", "Moderate Risk": "", "High Risk": "warning", "Critical": "danger"}
 
 

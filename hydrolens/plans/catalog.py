@@ -109,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "top_high_risk_display": on_events(E.top_high_risk_display),
     "household_summary": on_events(E.household_summary),
     "household_summary_search": on_events(lambda r: E.household_summary(r, SEARCH_PATTERN)),
+    "household_summary_display": on_events(lambda r: E.household_summary_display(r, SEARCH_PATTERN)),
     "hourly_profile": on_events(E.hourly_profile),
     "peak_hours": on_events(E.peak_hours),
     "usage_histogram": on_events(E.usage_histogram),

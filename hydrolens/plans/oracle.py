@@ -210,6 +210,9 @@ ORDER BY g.avg_leak_prob DESC, g.household_id LIMIT 100"""
 
 SQL["household_summary"] = on("events", _summary(""))
 SQL["household_summary_search"] = on("events", _summary("WHERE regexp_matches(household_id, '(?i)hh0000[1-3]')"))
+SQL["household_summary_display"] = on("events", "SELECT household_id, risk_level, leak_severity, "
+    + f"{fixed('avg_leak_prob', 4)} AS avg_leak_prob, {fixed('avg_spike', 2)} AS avg_spike, leak_events FROM ("
+    + _summary("WHERE regexp_matches(household_id, '(?i)hh0000[1-3]')").replace(", f AS", "WITH f AS", 1) + ")")
 SQL["hourly_profile"] = on("events", f"SELECT hour, {EXACT_AVG_USAGE} AS avg_usage FROM readings GROUP BY hour")
 SQL["peak_hours"] = on("events", f"""
 , h AS (SELECT hour, {EXACT_AVG_USAGE} AS a FROM readings WHERE hour IS NOT NULL GROUP BY hour)
