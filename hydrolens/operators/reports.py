@@ -280,8 +280,10 @@ def usage_histogram(r: DataFrame, bins: int = 60) -> DataFrame:
     empty bins are kept with 0. Min and max enter as scalar subqueries, the
     per-bin counts (at most ``bins`` rows) are joined to the bin ids."""
     u = r.where(F.col("water_usage_liters").isNotNull())
-    mn = u.select(F.min("water_usage_liters")).scalar()
-    mx = u.select(F.max("water_usage_liters")).scalar()
+    # one scalar subquery (a single scan) carries min, max and the row count
+    st = u.select(F.struct(F.min("water_usage_liters").alias("mn"), F.max("water_usage_liters").alias("mx"),
+                           F.count(F.lit(1)).alias("n"))).scalar()
+    mn, mx = st["mn"], st["mx"]
     width = (mx - mn) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("water_usage_liters") - mn) / width), F.lit(bins - 1))).cast("long")
@@ -289,7 +291,7 @@ def usage_histogram(r: DataFrame, bins: int = 60) -> DataFrame:
     spark = r.sparkSession
     ids = spark.range(bins).withColumnRenamed("id", "bin")
     out = ids.join(F.broadcast(counts), "bin", "left")  # counts has <= bins rows
-    has_rows = u.select(F.count(F.lit(1))).scalar() > 0
+    has_rows = st["n"] > 0
     return out.where(has_rows).select(
         "bin", r6(mn + F.col("bin") * width).alias("lo"), r6(mn + (F.col("bin") + 1) * width).alias("hi"),
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
