@@ -27,7 +27,7 @@ LABEL = "is_high_risk"
 RF_PARAMS = dict(numTrees=100, maxDepth=8, seed=42)
 GBT_PARAMS = dict(maxIter=150, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 TEST_SIZE, SEED = 0.2, 42
-TRAIN_PARTITIONS = 4
+ROWS_PER_PARTITION = 100_000
 
 
 def assemble(features: Sequence[str] = TRAIN_FEATURES, out: str = "features") -> VectorAssembler:
@@ -74,8 +74,13 @@ def constant_model(features: Sequence[str], value: float) -> PipelineModel:
 def train(train_df: DataFrame, kind: str = "rf", features: Sequence[str] = TRAIN_FEATURES,
           params: dict | None = None) -> PipelineModel:
     """Fit a forest ('rf') or boosted trees ('gbt') on labelled households."""
-    df = train_df.coalesce(TRAIN_PARTITIONS)
-    classes = [r[0] for r in df.select(LABEL).distinct().collect()]  # at most 2 values
+    counts = {r[0]: r[1] for r in train_df.groupBy(LABEL).count().collect()}  # one row per class
+    classes = list(counts)
+    n = sum(counts.values())
+    # boosting runs several small jobs per tree: few partitions for small sets,
+    # about one per ROWS_PER_PARTITION households at scale
+    parts = max(1, min(-(-n // ROWS_PER_PARTITION), train_df.sparkSession.sparkContext.defaultParallelism * 4))
+    df = train_df.repartition(parts) if parts > train_df.rdd.getNumPartitions() else train_df.coalesce(parts)
     if len(classes) < 2:
         return constant_model(features, float(classes[0]) if classes else 0.0)
     if kind == "rf":
