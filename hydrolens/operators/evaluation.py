@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolens.functions.columns import r6
+from hydrolens.schema import CLASS_NAMES
 
-CLASS_NAMES = ["Normal", "High Risk"]  # fixed display names of classes 0 and 1
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "auc_roc"]
 
 

@@ -26,106 +26,131 @@ from pyspark.sql import functions as F
 ACCURACY = 1_000_000
 
 
+def _lit_map(pairs: dict) -> F.Column:
+    """A literal map column (target id -> constant); bounded by the target count."""
+    kv = []
+    for k, v in pairs.items():
+        kv += [F.lit(k), F.lit(v)]
+    return F.create_map(*kv)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                     accuracy: int = ACCURACY, rounds: int = 3) -> DataFrame:
     """(by..., p, value) with p in ``probs``; same answer as ``percentile`` (linear).
 
-    Groups with fewer than ``accuracy / 4`` values skip the sketch: their bracket
-    is [min, max] with counts known from the first pass, so they cost one
-    ranking pass over at most that many rows.
+    Targets (groups x probabilities, a bounded set) are addressed through
+    literal maps and conditional aggregates, so no join is needed. Groups with
+    fewer than ``accuracy / 4`` values skip the sketch: their bracket is the
+    whole group, ranked once for all of its probabilities.
     """
     spark = df.sparkSession
     by = list(by)
     probs = [float(p) for p in probs]
     x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     types = dict(x.dtypes)
-    gcols = [f"`{c}` {types[c]}" for c in by]
-    key = [*by, "_t"]
 
     def gkey(row) -> tuple:
         return tuple(row[c] for c in by)
 
+    def in_group(g: tuple) -> F.Column:
+        c = F.lit(True)
+        for col, v in zip(by, g):
+            c = c & (F.col(col) == F.lit(v))
+        return c
+
     # pass 1: per group count/min/max (one row per group: bounded by the group vocabulary)
     stats = {gkey(r): r for r in x.groupBy(*by).agg(
         F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).collect() if r["_n"]}
-    large = {g for g, st in stats.items() if st["_n"] * 8.0 / accuracy >= 2}
+    groups = sorted(stats, key=repr)
+    gid = {g: i for i, g in enumerate(groups)}
+    tid = {(g, i): gid[g] * len(probs) + i for g in groups for i in range(len(probs))}
+    large = {g for g in groups if stats[g]["_n"] * 8.0 / accuracy >= 2}
     approx = {}
     if large:  # sketch brackets at +-4 ranks of relative error around each target
         delta = 4.0 / accuracy
         br = [v for p in probs for v in (max(0.0, p - delta), min(1.0, p + delta))]
         approx = {gkey(r): r["_q"] for r in x.groupBy(*by).agg(
             F.percentile_approx("_x", br, accuracy).alias("_q")).collect()}
-    widened: set = set()
+    spec = {}
+    for g in groups:
+        n = stats[g]["_n"]
+        for i, p in enumerate(probs):
+            pos = p * (n - 1)
+            k0 = int(math.floor(pos))
+            spec[tid[(g, i)]] = (g, i, k0, min(k0 + 1, n - 1), pos - k0)
+    k0m = _lit_map({t: v[2] for t, v in spec.items()})
+    k1m = _lit_map({t: v[3] for t, v in spec.items()})
     values: dict = {}
-    pending = {(g, i) for g in stats for i in range(len(probs))}
 
-    def on_groups(frame: DataFrame, tg: DataFrame) -> DataFrame:
-        # the target table has groups x probabilities rows: bounded, broadcast to the scan
+    def pick(ranked: DataFrame, base: F.Column) -> None:
+        """ranked: (_t, _x, _cum); value at rank k = smallest x whose cumulative count exceeds k."""
+        cum = F.col("_cum") + base
+        for r in ranked.groupBy("_t").agg(
+                F.min(F.when(cum > k0m[F.col("_t")], F.col("_x"))).alias("_v0"),
+                F.min(F.when(cum > k1m[F.col("_t")], F.col("_x"))).alias("_v1")).collect():
+            g, i, _, _, f = spec[r["_t"]]
+            values[(g, i)] = r["_v0"] + (r["_v1"] - r["_v0"]) * f
+
+    # small groups: rank each group's distinct values once; every probability reads it
+    small = [g for g in groups if g not in large]
+    if small:
+        xs = x if not large else x.where(F.coalesce(
+            F.struct(*[F.col(c) for c in by]).isin([F.struct(*[F.lit(v) for v in g]) for g in small]) if by
+            else F.lit(True), F.lit(False)))
+        cnt = xs.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_x").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        tmap = {}
+        for g in small:
+            tmap[g] = [tid[(g, i)] for i in range(len(probs))]
         if by:
-            return frame.join(F.broadcast(tg), by)
-        return frame.withColumn("_g", F.lit(0)).join(F.broadcast(tg.withColumn("_g", F.lit(0))), "_g")
+            kv = []
+            for g, ts in tmap.items():
+                kv += [F.struct(*[F.lit(v).alias(c) for c, v in zip(by, g)]), F.array(*[F.lit(t) for t in ts])]
+            targets_of = F.create_map(*kv)[F.struct(*[F.col(c).alias(c) for c in by])]
+        else:
+            targets_of = F.array(*[F.lit(t) for t in tmap[()]])
+        ranked = cnt.withColumn("_cum", F.sum("_c").over(w)).select(F.explode(targets_of).alias("_t"), "_x", "_cum")
+        pick(ranked, F.lit(0))
 
+    # large groups: validate sketch brackets with exact counts, widen failures, rank inside
+    pending = [(g, i) for g in groups if g in large for i in range(len(probs))]
+    widened: set = set()
     for _ in range(rounds + 1):
         if not pending:
             break
-        rows, known = [], {}
-        for g, i in sorted(pending, key=repr):
-            st, p = stats[g], probs[i]
-            n = st["_n"]
-            pos = p * (n - 1)
-            k0 = int(math.floor(pos))
-            k1 = min(k0 + 1, n - 1)
-            if g in large and (g, i) not in widened:
-                a, b = approx[g][2 * i], approx[g][2 * i + 1]
+        br = {}
+        for g, i in pending:
+            if (g, i) in widened:
+                br[(g, i)] = (stats[g]["_min"], stats[g]["_max"])
+            else:
+                br[(g, i)] = (approx[g][2 * i], approx[g][2 * i + 1])
+        aggs = []
+        for (g, i), (a, b) in br.items():
+            t = tid[(g, i)]
+            m = in_group(g)
+            aggs += [F.count(F.when(m & (F.col("_x") < a), 1)).alias(f"b{t}"),
+                     F.count(F.when(m & (F.col("_x") >= a) & (F.col("_x") <= b), 1)).alias(f"i{t}")]
+        c = x.agg(*aggs).first()
+        ok, below = [], {}
+        for (g, i), (a, b) in br.items():
+            t = tid[(g, i)]
+            _, _, k0, k1, _ = spec[t]
+            if c[f"b{t}"] <= k0 and k1 < c[f"b{t}"] + c[f"i{t}"]:
+                ok.append((g, i))
+                below[t] = c[f"b{t}"]
             else:
-                a, b = st["_min"], st["_max"]
-                known[(*g, i)] = 0          # nothing below the minimum, everything inside
-            rows.append((*g, i, k0, k1, float(pos - k0), float(a), float(b)))
-        tg = spark.createDataFrame(rows, ", ".join(gcols + ["_t int", "_k0 long", "_k1 long", "_f double",
-                                                             "_a double", "_b double"]))
-        below = dict(known)
-        check = [r for r in rows if tuple(r[:len(by) + 1]) not in known]
-        if check:  # pass 2 (large groups only): exact counts validate each bracket
-            j = on_groups(x, spark.createDataFrame(check, tg.schema))
-            inside = (F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b"))
-            cnt = {tuple(r[c] for c in key): (r["_below"], r["_in"]) for r in j.groupBy(*key).agg(
-                F.count(F.when(F.col("_x") < F.col("_a"), 1)).alias("_below"),
-                F.count(F.when(inside, 1)).alias("_in")).collect()}
-            for r in check:
-                k = tuple(r[:len(by) + 1])
-                b_, in_ = cnt.get(k, (0, 0))
-                k0, k1 = r[len(by) + 1], r[len(by) + 2]
-                if b_ <= k0 and k1 < b_ + in_:
-                    below[k] = b_
-                else:
-                    widened.add((k[:-1], k[-1]))
-        whole = [r for r in rows if tuple(r[:len(by) + 1]) in known]
-        narrow = [r for r in rows if tuple(r[:len(by) + 1]) in below and tuple(r[:len(by) + 1]) not in known]
-        picks = []
-        if whole:  # pass 3a: small groups rank their distinct values once, shared by all targets
-            twhole = spark.createDataFrame(whole, tg.schema)
-            g = x.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-            w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_x").rowsBetween(
-                Window.unboundedPreceding, Window.currentRow)
-            picks.append(on_groups(g.withColumn("_cum", F.sum("_c").over(w)), twhole))
-        if narrow:  # pass 3b: large groups rank only the values inside each validated bracket
-            tn = spark.createDataFrame([(*r, below[tuple(r[:len(by) + 1])]) for r in narrow],
-                                       ", ".join(gcols + ["_t int", "_k0 long", "_k1 long", "_f double",
-                                                          "_a double", "_b double", "_below long"]))
-            jn = on_groups(x, tn)
-            sel = (jn.where((F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b")))
-                     .groupBy(*key, "_k0", "_k1", "_f", "_below", "_x").agg(F.count(F.lit(1)).alias("_c")))
-            w = Window.partitionBy(*key).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            picks.append(sel.withColumn("_cum", F.col("_below") + F.sum("_c").over(w)))
-        for pk in picks:
-            for r in pk.groupBy(*key, "_f").agg(
-                    F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_x"))).alias("_v0"),
-                    F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_x"))).alias("_v1")).collect():
-                k = tuple(r[c] for c in key)
-                values[k] = r["_v0"] + (r["_v1"] - r["_v0"]) * r["_f"]
-                pending.discard((k[:-1], k[-1]))
-    out_schema = ", ".join(gcols + ["p double", "value double"])
-    return spark.createDataFrame([(*k[:-1], probs[k[-1]], v) for k, v in values.items()], out_schema)
+                widened.add((g, i))
+        if ok:
+            hits = F.array(*[F.when(in_group(g) & (F.col("_x") >= br[(g, i)][0]) & (F.col("_x") <= br[(g, i)][1]),
+                                    F.lit(tid[(g, i)])) for g, i in ok])
+            sel = (x.select(F.explode(hits).alias("_t"), "_x").where(F.col("_t").isNotNull())
+                    .groupBy("_t", "_x").agg(F.count(F.lit(1)).alias("_c")))
+            w = Window.partitionBy("_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            pick(sel.withColumn("_cum", F.sum("_c").over(w)), _lit_map(below)[F.col("_t")])
+        pending = [k for k in pending if k not in set(ok)]
+    out_schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["p double", "value double"])
+    return spark.createDataFrame([(*g, probs[i], v) for (g, i), v in values.items()], out_schema)
 
 
 def quantile_columns(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],

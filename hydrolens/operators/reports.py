@@ -17,7 +17,9 @@ from hydrolens.functions.columns import (
     methodology_spike_band, month_of, probability_band as probability_band_col, r6, risk_rank,
     safe_pct, severity_rank, spike_bin_ord, weekday_name, weekday_number,
 )
-from hydrolens.schema import RISK_LABELS, SEVERITY_LABELS, SPIKE_BIN_LABELS, WEEKDAYS
+from hydrolens.schema import (
+    INSIGHT_LINES, RISK_CARD_CLASS, RISK_LABELS, SEVERITY_LABELS, SPIKE_BIN_LABELS,
+)
 
 HIGH_TIERS = ["High Risk", "Critical"]
 
@@ -214,9 +216,6 @@ def household_summary_display(r: DataFrame, pattern: str = "", n: int = 100) ->
                     _fixed("avg_spike", 2).alias("avg_spike"), "leak_events")
 
 
-RISK_CARD_CLASS = {"Low Risk": "success", "Moderate Risk": "", "High Risk": "warning", "Critical": "danger"}
-
-
 def household_kpi(r: DataFrame) -> DataFrame:
     """Explorer KPIs for every household at once (last risk by time)."""
     g = r.groupBy("household_id").agg(
@@ -419,28 +418,18 @@ def insights(r: DataFrame) -> DataFrame:
 
 
 def insights_text(r: DataFrame) -> DataFrame:
-    """E30 rendered as (kind, text) lines."""
+    """E30 rendered as (line, kind, text) with the fixed templates of ``schema.INSIGHT_LINES``."""
     i = insights(r)
-    lines = F.array(
-        F.struct(F.lit("info").alias("kind"), F.format_string(
-            "Peak consumption occurs at %02d:00 with avg %s L. Lowest demand is at %02d:00.",
-            F.col("peak_hour"), _fixed("peak_avg", 1), F.col("low_hour")).alias("text")),
-        F.struct(F.lit("warning").alias("kind"), F.format_string(
-            "%s%% of readings show abnormal spikes (ratio > 2). %s%% are critically high (ratio > 3).",
-            _fixed("pct_gt2", 1), _fixed("pct_gt3", 1)).alias("text")),
-        F.struct(F.lit("info").alias("kind"), F.format_string(
-            "Average spike ratio across the entire dataset is %s. Values above 2.0 require immediate inspection.",
-            _fixed("avg_spike", 3)).alias("text")),
-        F.struct(F.lit("danger").alias("kind"), F.format_string(
-            "Overall leak detection rate: %s%% of all records triggered a leak event.",
-            _fixed("leak_rate_pct", 1)).alias("text")),
-        F.struct(F.lit("warning").alias("kind"), F.format_string(
-            "%s%% of records are in the Critical risk tier; %s%% in High Risk.",
-            _fixed("pct_critical", 1), _fixed("pct_high_risk", 1)).alias("text")),
-        F.struct(F.lit("success").alias("kind"), F.format_string(
-            "%s%% of readings are within normal consumption bounds (spike ratio <= 2).",
-            _fixed("pct_normal", 1)).alias("text")),
-    )
+    args = [
+        [F.col("peak_hour"), _fixed("peak_avg", 1), F.col("low_hour")],
+        [_fixed("pct_gt2", 1), _fixed("pct_gt3", 1)],
+        [_fixed("avg_spike", 3)],
+        [_fixed("leak_rate_pct", 1)],
+        [_fixed("pct_critical", 1), _fixed("pct_high_risk", 1)],
+        [_fixed("pct_normal", 1)],
+    ]
+    lines = F.array(*[F.struct(F.lit(kind).alias("kind"), F.format_string(tpl, *a).alias("text"))
+                      for (kind, tpl), a in zip(INSIGHT_LINES, args)])
     return i.select(F.posexplode(lines).alias("line", "s")).select("line", "s.kind", "s.text")
 
 
