@@ -76,6 +76,13 @@ def hour_index(ts: str | Column) -> Column:
             + F.hour(ts).cast("long"))
 
 
+def hour_start_ntz(hidx: str | Column) -> Column:
+    """Inverse of ``hour_index``: the NTZ timestamp at the start of that hour (no time zone involved)."""
+    h = col(hidx)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(h / 24).cast("int"))
+    return day.cast("timestamp_ntz") + F.make_dt_interval(hours=(h - F.floor(h / 24) * 24).cast("int"))
+
+
 def truncate_hour_ntz(ts: str | Column) -> Column:
     ts = col(ts)
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))

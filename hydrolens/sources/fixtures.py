@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolens.functions.columns import truncate_hour_ntz
+from hydrolens.functions.columns import hour_index, hour_start_ntz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +22,25 @@ def meter_id(key) -> F.Column:
     return F.concat(F.lit("HH"), F.lpad(F.col(key).cast("string"), 6, "0"))
 
 
+def _hourly(df: DataFrame, key: str, ts, value: str) -> DataFrame:
+    """Group on the numeric meter key and an integer hour index (cheap fixed-width
+    keys); the id string and the NTZ timestamp are built once per group, after
+    the partial aggregate, not once per raw row."""
+    g = df.groupBy(F.col(key).alias("_k"), hour_index(ts).alias("_h")).agg(
+        F.sum(F.col(value).cast("decimal(18,2)")).alias("usage"))
+    return g.select(meter_id("_k").alias("household_id"), hour_start_ntz("_h").alias("timestamp"), "usage")
+
+
 def raw_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").where(
         F.col("ts").isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull())
-    return (ev.groupBy(meter_id("user_id").alias("household_id"),
-                       truncate_hour_ntz("ts").alias("timestamp"))
-              .agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("usage")))
+    return _hourly(ev, "user_id", F.col("ts"), "value")
 
 
 def raw_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where(
         F.col("l_shipdate").isNotNull() & F.col("l_suppkey").isNotNull() & F.col("l_quantity").isNotNull())
-    return (li.groupBy(meter_id("l_suppkey").alias("household_id"),
-                       truncate_hour_ntz(F.col("l_shipdate").cast("timestamp_ntz")).alias("timestamp"))
-              .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("usage")))
+    return _hourly(li, "l_suppkey", F.col("l_shipdate").cast("timestamp_ntz"), "l_quantity")
 
 
 RAW_SOURCES = {"events": raw_from_events, "lineitem": raw_from_lineitem}

@@ -21,7 +21,7 @@ from hydrolens.sources.fixtures import RAW_SOURCES
 from hydrolens.sources.readers import read_readings
 from hydrolens.sources.writers import write_readings
 
-ENRICH_VERSION = "enrich-2"
+ENRICH_VERSION = "enrich-3"
 _SOURCE_TABLE = {"events": "events", "lineitem": "lineitem"}
 _memo: dict[tuple, DataFrame] = {}
 _lock = threading.Lock()
