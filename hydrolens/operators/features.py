@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolens.functions.columns import exact_avg, mean6, r6, std6
+from hydrolens.functions.columns import exact_avg, mean6, std6
 from hydrolens.schema import DAY_HOURS, NIGHT_HOURS, RATIO_FLOOR
 
 HH = "household_id"
 
 
-def _night(c: Column | None = None) -> Column:
-    h = F.col("hour")
-    return h.between(*NIGHT_HOURS)
+def _night() -> Column:
+    return F.col("hour").between(*NIGHT_HOURS)
 
 
 def _day_train() -> Column:

@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolens.operators import enrich as K
+from hydrolens.operators import evaluation as J
+from hydrolens.operators import features as HF
 from hydrolens.operators import filters as C
+from hydrolens.operators import ml as M
 from hydrolens.operators import reports as E
 from hydrolens.session import scratch_path
 from hydrolens.sources.fixtures import raw_from_events, raw_from_lineitem
 from hydrolens.sources.readers import read_readings
 from hydrolens.sources.store import materialize, readings, version_key
 from hydrolens.sources.writers import export_csv, write_readings
+from hydrolens.streaming import rollup as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,13 +149,8 @@ QUERIES: dict[str, Query] = {
     "household_tier": on_events(K.household_tier),
 }
 
-# the two-decimal text of a few columns needs no extra import elsewhere
-__all__ = ["QUERIES", "F"]
-
 
 # --- household features, labels, split, evaluation (E24-E29, D1-D3, J2, J7-J16, J18) ----
-from hydrolens.operators import evaluation as J  # noqa: E402
-from hydrolens.operators import features as HF  # noqa: E402
 
 
 FEATURES_VERSION = "features-1"
@@ -211,7 +210,6 @@ QUERIES.update({
 
 
 # --- MLlib models (J1, J3-J6, J12, J15, J17, J19, A7, A8, K11) ------------------------------
-from hydrolens.operators import ml as M  # noqa: E402
 
 WHATIF_SCENARIOS = [
     M.Scenario("night_usage_x2", "night_avg_usage", "mul", 2.0),
@@ -290,7 +288,6 @@ QUERIES.update({
 
 
 # --- streaming (K12) ----------------------------------------------------------------------
-from hydrolens.streaming import rollup as S  # noqa: E402
 
 
 def _stream_rollup(spark: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from hydrolens.functions.columns import month_of
 
 
@@ -36,5 +34,3 @@ def export_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -
 def drop_month(df: DataFrame) -> DataFrame:
     return df.drop("month") if "month" in df.columns else df
 
-
-__all__ = ["write_readings", "export_csv", "drop_month", "F"]

@@ -3,7 +3,6 @@ from the same source as the inputs, so no accuracy target is asserted)."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
 from hydrolens.operators import features as HF
 from hydrolens.operators import ml as M
 from hydrolens.operators.enrich import enrich
