@@ -31,12 +31,16 @@ def _hourly(df: DataFrame, key: str, ts, value: str) -> DataFrame:
     return g.select(meter_id("_k").alias("household_id"), hour_start_ntz("_h").alias("timestamp"), "usage")
 
 
-def raw_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").where(
-        F.col("ts").isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull())
+def hourly_events(events: DataFrame) -> DataFrame:
+    """events (ts, user_id, value) -> (household_id, timestamp, usage) hourly sums."""
+    ev = events.where(F.col("ts").isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull())
     return _hourly(ev, "user_id", F.col("ts"), "value")
 
 
+def raw_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly_events(table(spark, sf_dir, "events"))
+
+
 def raw_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where(
         F.col("l_shipdate").isNotNull() & F.col("l_suppkey").isNotNull() & F.col("l_quantity").isNotNull())

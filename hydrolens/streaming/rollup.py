@@ -1,11 +1,15 @@
 """Streaming hourly rollup of raw meter events (Structured Streaming).
 
-events (file source) -> watermark 1 hour on event time -> tumbling 1-hour
-windows per meter -> litres summed as decimals. Update mode into
-``foreachBatch``: each micro-batch overwrites its own ``batch=<id>`` folder,
-so a replayed batch rewrites the same files (idempotent). The reader keeps the
-latest batch's value per (meter, hour). State older than the watermark is
-dropped, so state is bounded by the open hours, not by history.
+``stream_rollup`` (the registered form) is exact whatever the lateness: each
+micro-batch is reduced to hourly partial sums per meter inside
+``foreachBatch`` (a plain partial aggregation, no state store, so nothing grows
+with history) and written to its own ``batch=<id>`` folder with overwrite, which
+makes a replayed batch idempotent. ``read_rollup`` sums the partials per
+(meter, hour). The result equals the batch hourly table for any arrival order.
+
+``live_hourly`` is the watermarked windowed aggregation for a live view. Spark
+guarantees that data within the delay is counted; data later than the delay
+may or may not be, so it is not the durable record.
 """
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrolens.functions.columns import truncate_hour_ntz
-from hydrolens.sources.fixtures import meter_id
+from hydrolens.sources.fixtures import hourly_events, meter_id
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -23,37 +27,43 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def hourly_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Watermarks need an instant (TIMESTAMP); the meters report wall-clock NTZ
-    times. The wall clock is read as UTC to get an instant without any session
-    zone or DST shift; the NTZ hour is carried along as a dependent group key."""
-    ts = F.col("ts")
-    ev = events.where(ts.isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull())
-    instant = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts),
-                               F.lit("UTC"))
-    return (ev.withColumn("_t", instant).withWatermark("_t", delay)
-              .groupBy(meter_id("user_id").alias("household_id"), F.window("_t", "1 hour").alias("w"),
-                       truncate_hour_ntz("ts").alias("timestamp"))
-              .agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("usage"))
-              .select("household_id", "timestamp", "usage"))
+def event_stream(spark: SparkSession, in_dir: str, file_glob: str = "*.parquet",
+                 max_files_per_trigger: int = 1) -> DataFrame:
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+            .option("pathGlobFilter", file_glob).parquet(in_dir))
 
 
 def stream_rollup(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, file_glob: str = "*.parquet",
-                  max_files_per_trigger: int = 1, delay: str = "1 hour") -> None:
-    """Run the rollup over every file of ``in_dir`` matching ``file_glob`` available now, then stop."""
-    src = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-           .option("pathGlobFilter", file_glob).parquet(in_dir))
+                  max_files_per_trigger: int = 1) -> None:
+    """Process every file available now (micro-batches of ``max_files_per_trigger``), then stop."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        hourly_events(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    q = (hourly_stream(src, delay).writeStream.outputMode("update").foreachBatch(sink)
+    q = (event_stream(spark, in_dir, file_glob, max_files_per_trigger).writeStream.foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def read_rollup(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest value per (meter, hour) across micro-batches."""
+    """Hourly usage per meter: the sum of the per-batch partial sums."""
     df = spark.read.parquet(out_dir)
-    return (df.groupBy("household_id", "timestamp")
-              .agg(F.max_by("usage", "batch").cast("double").alias("usage")))
+    return df.groupBy("household_id", "timestamp").agg(F.sum("usage").cast("double").alias("usage"))
+
+
+def live_hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Watermarked tumbling-hour sums for a live view (update or append output mode).
+
+    Watermarks need an instant (TIMESTAMP); meters report wall-clock NTZ
+    times, so the wall clock is read as UTC (no session zone or DST shift) and
+    the NTZ hour is carried along as a dependent group key.
+    """
+    ts = F.col("ts")
+    ev = events.where(ts.isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull())
+    instant = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts),
+                               F.lit("UTC"))
+    return (ev.withColumn("_t", instant).withWatermark("_t", delay)
+              .groupBy(meter_id("user_id").alias("household_id"), F.window("_t", "1 hour").alias("w"),
+                       truncate_hour_ntz("ts").alias("timestamp"))
+              .agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("usage"))
+              .select("household_id", "timestamp", "usage"))
