@@ -233,6 +233,26 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def registry_tag(key: tuple) -> str:
+    import hashlib
+    return hashlib.sha1(repr(key).encode()).hexdigest()[:20]
+
+
+def publish_model(model: PipelineModel, path: str) -> None:
+    """Save to a fresh folder, then rename into place: readers never see half a model."""
+    import uuid
+    spark = SparkSession.getActiveSession()
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    model.write().save(tmp)
+    jvm = spark._jvm  # noqa: SLF001 - Hadoop FS has no public Python API
+    conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    if not fs.exists(dst):
+        fs.mkdirs(dst.getParent())
+        fs.rename(src, dst)
+
+
 def load_model(path: str) -> PipelineModel | None:
     """None when the model is missing or unreadable (the dashboard's behaviour)."""
     try:

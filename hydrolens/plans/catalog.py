@@ -16,7 +16,7 @@ from hydrolens.operators import features as HF
 from hydrolens.operators import filters as C
 from hydrolens.operators import ml as M
 from hydrolens.operators import reports as E
-from hydrolens.session import scratch_path
+from hydrolens.session import scratch_path, stable_path
 from hydrolens.sources.fixtures import raw_from_events, raw_from_lineitem
 from hydrolens.sources.readers import read_readings
 from hydrolens.sources.store import materialize, readings, version_key
@@ -219,9 +219,33 @@ WHATIF_SCENARIOS = [
 ]
 
 
+def _model_key(spark: SparkSession, d: str, kind: str) -> tuple:
+    params = M.RF_PARAMS if kind == "rf" else M.GBT_PARAMS
+    return (version_key(spark, d), FEATURES_VERSION, "split-0.2-42", kind, tuple(sorted(params.items())))
+
+
+def fitted(spark: SparkSession, d: str, kind: str) -> M.PipelineModel:
+    """Fit on the training split (once per process) and publish to the model registry."""
+    key = _model_key(spark, d, kind)
+
+    def build():
+        m = M.train(split(spark, d).where(F.col("is_test") == 0), kind)
+        M.publish_model(m, stable_path(spark, "models", M.registry_tag(key)))
+        return m
+    return M.memo_model(key, build)
+
+
 def model(spark: SparkSession, d: str, kind: str) -> M.PipelineModel:
-    key = (version_key(spark, d), FEATURES_VERSION, kind)
-    return M.memo_model(key, lambda: M.train(split(spark, d).where(F.col("is_test") == 0), kind))
+    """The registered model of this data version: in-process memo, else the saved
+    registry entry (what the dashboard loads), else a fresh fit."""
+    key = _model_key(spark, d, kind)
+    with M._models_lock:  # noqa: SLF001
+        if key in M._models:  # noqa: SLF001
+            return M._models[key]  # noqa: SLF001
+    saved = M.load_model(stable_path(spark, "models", M.registry_tag(key)))
+    if saved is not None:
+        return M.memo_model(key, lambda: saved)
+    return fitted(spark, d, kind)
 
 
 def notebook_split(spark: SparkSession, d: str) -> DataFrame:
@@ -265,8 +289,8 @@ def _whatif(spark: SparkSession, d: str) -> DataFrame:
 QUERIES.update({
     "feature_vector": lambda s, d: M.feature_vector(hf_events(s, d)),
     "scale_features": lambda s, d: M.scale_features(split(s, d).where(F.col("is_test") == 0), split(s, d)),
-    "train_rf": lambda s, d: M.score(model(s, d, "rf"), split(s, d).where(F.col("is_test") == 1), "rf"),
-    "train_gbt": lambda s, d: M.score(model(s, d, "gbt"), split(s, d).where(F.col("is_test") == 1), "gbt"),
+    "train_rf": lambda s, d: M.score(fitted(s, d, "rf"), split(s, d).where(F.col("is_test") == 1), "rf"),
+    "train_gbt": lambda s, d: M.score(fitted(s, d, "gbt"), split(s, d).where(F.col("is_test") == 1), "gbt"),
     "train_rf_notebook": lambda s, d: M.score(notebook_model(s, d), notebook_split(s, d).where(F.col("is_test") == 1),
                                               "rf_notebook"),
     "score_households": lambda s, d: all_scores(s, d, "rf").unionByName(all_scores(s, d, "gbt")),
