@@ -242,15 +242,17 @@ def publish_model(model: PipelineModel, path: str) -> None:
     """Save to a fresh folder, then rename into place: readers never see half a model."""
     import uuid
     spark = SparkSession.getActiveSession()
-    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-    model.write().save(tmp)
     jvm = spark._jvm  # noqa: SLF001 - Hadoop FS has no public Python API
     conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    dst = jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(conf)
+    if fs.exists(dst):  # already published for this key
+        return
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    model.write().save(tmp)
     if not fs.exists(dst):
         fs.mkdirs(dst.getParent())
-        fs.rename(src, dst)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), dst)
 
 
 def load_model(path: str) -> PipelineModel | None:
