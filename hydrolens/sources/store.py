@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,7 @@ from hydrolens.sources.writers import write_readings
 
 ENRICH_VERSION = "enrich-3"
 _SOURCE_TABLE = {"events": "events", "lineitem": "lineitem"}
-_memo: dict[tuple, DataFrame] = {}
+_memo: dict[tuple, object] = {}
 _lock = threading.Lock()
 
 
@@ -34,21 +35,32 @@ def _fs(spark: SparkSession, path: str):
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
+    """Hash of the files' paths, sizes and modification times (listed once per process)."""
+    mkey = (id(spark), "fp", path)
+    with _lock:
+        if mkey in _memo:
+            return _memo[mkey]
     fs, p = _fs(spark, path)
     parts = []
     it = fs.listFiles(p, True)
     while it.hasNext():
         st = it.next()
         parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-    return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
+    fp = hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
+    with _lock:
+        _memo[mkey] = fp
+    return fp
 
 
-def materialize(spark: SparkSession, name: str, key: str, build) -> DataFrame:
-    """Write ``build()`` once per ``key`` as Parquet in the shared folder and read it back.
+def materialize(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
+                write: Callable[[DataFrame, str], None] | None = None,
+                read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Write ``build()`` once per ``key`` in the shared folder and read it back.
 
-    Cuts lineage for tables that several later jobs reuse (household features,
-    the labelled split): each reuse scans a small table instead of recomputing
-    it from the full readings.
+    Cuts lineage for tables that later jobs reuse (enriched readings, household
+    features, the labelled split): each reuse scans the written table instead of
+    recomputing it. The write goes to a fresh folder that is renamed into place
+    only when complete.
     """
     mkey = (id(spark), name, key)
     with _lock:
@@ -59,14 +71,18 @@ def materialize(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     fs, p = _fs(spark, path)
     if not fs.exists(_fs(spark, path + "/_SUCCESS")[1]):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        build().write.mode("overwrite").parquet(tmp)
+        df = build()
+        if write is None:
+            df.write.mode("overwrite").parquet(tmp)
+        else:
+            write(df, tmp)
         ftmp, ptmp = _fs(spark, tmp)
         if not ftmp.rename(ptmp, p) and not fs.exists(p):
             raise OSError(f"could not publish {tmp} to {path}")
-    df = spark.read.parquet(path)
+    out = spark.read.parquet(path) if read is None else read(path)
     with _lock:
-        _memo[mkey] = df
-    return df
+        _memo[mkey] = out
+    return out
 
 
 def version_key(spark: SparkSession, sf_dir: str, source: str = "events") -> str:
@@ -75,21 +91,9 @@ def version_key(spark: SparkSession, sf_dir: str, source: str = "events") -> str
 
 
 def readings(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
-    """Enriched readings for a test-data folder, materialised once per input version."""
-    src = f"{sf_dir.rstrip('/')}/{_SOURCE_TABLE[source]}.parquet"
-    key = (id(spark), src, source)
-    with _lock:
-        if key in _memo:
-            return _memo[key]
-        tag = hashlib.sha1(f"{ENRICH_VERSION}|{src}|{fingerprint(spark, src)}".encode()).hexdigest()[:20]
-        path = stable_path(spark, "readings", f"{source}-{tag}")
-        fs, p = _fs(spark, path)
-        if not fs.exists(_fs(spark, path + "/_SUCCESS")[1]):
-            tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-            write_readings(enrich(RAW_SOURCES[source](spark, sf_dir)), tmp)
-            ftmp, ptmp = _fs(spark, tmp)
-            if not ftmp.rename(ptmp, p) and not fs.exists(p):
-                raise OSError(f"could not publish {tmp} to {path}")
-        df = read_readings(spark, path, "parquet", trusted=True)
-        _memo[key] = df
-        return df
+    """Enriched readings for a test-data folder, materialised once per input version
+    (Parquet partitioned by month, household-clustered files)."""
+    return materialize(
+        spark, "readings", f"{version_key(spark, sf_dir, source)}|{source}",
+        lambda: enrich(RAW_SOURCES[source](spark, sf_dir)), write=write_readings,
+        read=lambda path: read_readings(spark, path, "parquet", trusted=True))
