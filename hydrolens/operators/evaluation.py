@@ -178,3 +178,17 @@ def heuristic_scores(hf: DataFrame, kind: str = "spike", label: str = "is_high_r
         raise ValueError(kind)
     return hf.select("household_id", F.col(label).alias("label"), r6(s).alias("score")).withColumns(
         {"prediction": (F.col("score") > 0.5).cast("int"), "model": F.lit(f"{kind}_rule")})
+
+
+def save_metrics(metrics: DataFrame, path: str) -> None:
+    """The long (model, metric, value) table as Parquet (distributed write)."""
+    metrics.write.mode("overwrite").parquet(path)
+
+
+def load_metrics(spark, path: str) -> DataFrame | None:
+    """Read saved metrics; None when missing or unreadable (the dashboard then warns)."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None

@@ -100,3 +100,8 @@ def household_timeline(r: DataFrame, household_id: str | DataFrame) -> DataFrame
 def is_empty(r: DataFrame) -> bool:
     """The dashboard stops on an empty selection; operators here just return empty frames."""
     return r.isEmpty()
+
+
+# short names used in the operator inventory
+search = household_search
+timeline = household_timeline

@@ -114,8 +114,10 @@ def severity_distribution(r: DataFrame) -> DataFrame:
     return distribution(r, "leak_severity", SEVERITY_LABELS)
 
 
-def share(r: DataFrame, c: str, order: Sequence[str]) -> DataFrame:
-    """Percent of total per known label (pie charts); total window runs on <= 5 rows."""
+def share(r: DataFrame, c: str, order: Sequence[str] | None = None) -> DataFrame:
+    """Percent of total per known label (pie charts); total window runs on <= 5 rows.
+    ``order`` defaults to the column's vocabulary."""
+    order = order or {"leak_severity": SEVERITY_LABELS, "risk_level": RISK_LABELS}[c]
     d = distribution(r, c, order)
     return d.withColumn("pct", F.lit(100.0) * F.col("n_records") / F.sum("n_records").over(Window.partitionBy()))
 
@@ -168,8 +170,11 @@ def usage_by_severity(r: DataFrame) -> DataFrame:
 
 
 # --- household rankings (E10, E11, E22, E23, E31-E33, F1, F2) ----------------------
-def top_high_risk(r: DataFrame, n: int = 20) -> DataFrame:
-    """Households with High Risk/Critical rows, ranked by mean probability of those rows."""
+def top_high_risk(r: DataFrame, n: int = 20, fmt: bool = False) -> DataFrame:
+    """Households with High Risk/Critical rows, ranked by mean probability of those rows.
+    ``fmt=True`` returns the formatted, renamed display table (B7/B11)."""
+    if fmt:
+        return top_high_risk_display(r, n)
     x = r.where(F.col("risk_level").isin(HIGH_TIERS))
     g = x.groupBy("household_id").agg(
         F.min_by("risk_level", "timestamp").alias("risk_level"),
@@ -188,7 +193,7 @@ def _fixed(c: str | Column, digits: int) -> Column:
 
 def top_high_risk_display(r: DataFrame, n: int = 20) -> DataFrame:
     """The ranked table formatted and renamed for display."""
-    t = top_high_risk(r, n)
+    t = top_high_risk(r, n, fmt=False)
     return t.select(
         F.col("household_id").alias("Household"), F.col("risk_level").alias("Risk"),
         _fixed("avg_leak_prob", 4).alias("Leak Probability"), _fixed("avg_spike", 2).alias("Avg Spike Ratio"),

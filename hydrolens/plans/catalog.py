@@ -277,8 +277,8 @@ def _model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def _metrics_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "metrics")
-    J.metrics_table(test_scores(spark, d)).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    J.save_metrics(J.metrics_table(test_scores(spark, d)), path)
+    return J.load_metrics(spark, path)
 
 
 def _whatif(spark: SparkSession, d: str) -> DataFrame:

@@ -28,5 +28,5 @@ def train_job(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
         M.save_model(m, f"{out}/models/{k}")
     scored = M.score(models["rf"], test, "rf").unionByName(M.score(models["gbt"], test, "gbt"))
     metrics = J.metrics_table(scored)
-    metrics.write.mode("overwrite").parquet(f"{out}/metrics")
-    return J.metrics_summary(spark.read.parquet(f"{out}/metrics"), "rf", "gbt")
+    J.save_metrics(metrics, f"{out}/metrics")
+    return J.metrics_summary(J.load_metrics(spark, f"{out}/metrics"), "rf", "gbt")

@@ -57,3 +57,13 @@ def test_ensemble_and_comparison(spark, h3):
     cmp = {r.metric: r.winner_raw for r in J.model_comparison(mt, "m", "n").collect()}
     assert set(cmp) == set(J.METRIC_NAMES)
     assert J.metrics_summary(mt, "m", "n").count() == 9
+
+
+def test_metrics_roundtrip_and_missing(spark, h3, tmp_path):
+    mt = J.metrics_table(h3)
+    J.save_metrics(mt, str(tmp_path / "m"))
+    back = J.load_metrics(spark, str(tmp_path / "m"))
+    assert back.exceptAll(mt).count() == 0 and mt.exceptAll(back).count() == 0
+    assert J.load_metrics(spark, str(tmp_path / "missing")) is None
+    cm = J.confusion_matrix(h3)
+    assert sum(r.n for r in cm.collect()) == h3.count()        # cells sum to the scored rows

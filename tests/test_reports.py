@@ -105,3 +105,9 @@ def test_filters(h1, spark):
     opts = C.filter_options(h1.union(h1.limit(1).withColumn("risk_level", F.lit("Odd"))))
     odd = opts.where("facet = 'risk_level' AND value = 'Odd'").first()
     assert odd.ord == 99
+
+
+def test_api_conveniences(h1):
+    assert E.share(h1, "risk_level").count() == E.risk_share(h1).count()
+    assert E.top_high_risk(h1, fmt=True).columns[0] == "Household"
+    assert C.search(h1, "hh000001").count() == 4 and C.timeline(h1, "HH000003").count() == 1
