@@ -6,6 +6,8 @@ frames; shares no code with the Spark plans. Non-exact doubles are rounded to
 """
 from __future__ import annotations
 
+from hydrolens.schema import INSIGHT_LINES
+
 _RAW = {
     "events": """
   SELECT 'HH' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS household_id,
@@ -288,20 +290,20 @@ SELECT (SELECT hour FROM h ORDER BY a DESC, hour LIMIT 1) AS peak_hour, (SELECT
        CASE WHEN n > 0 THEN CAST(100.0 AS DOUBLE) * chigh / n ELSE 0 END AS pct_high_risk
 FROM t)"""
 SQL["smart_insights"] = on("events", _INSIGHTS + " SELECT *, CAST(100.0 AS DOUBLE) - pct_gt2 AS pct_normal FROM i")
-SQL["smart_insights_text"] = on("events", _INSIGHTS + f"""
+def _sq(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_ARGS = [
+    f"peak_hour, {fixed('peak_avg', 1)}, low_hour", f"{fixed('pct_gt2', 1)}, {fixed('pct_gt3', 1)}",
+    f"{fixed('avg_spike', 3)}", f"{fixed('leak_rate_pct', 1)}", f"{fixed('pct_critical', 1)}, {fixed('pct_high_risk', 1)}",
+    f"{fixed('pct_normal', 1)}",
+]
+SQL["smart_insights_text"] = on("events", _INSIGHTS + """
 , j AS (SELECT *, CAST(100.0 AS DOUBLE) - pct_gt2 AS pct_normal FROM i)
-SELECT 0 AS line, 'info' AS kind, printf('Peak consumption occurs at %02d:00 with avg %s L. Lowest demand is at %02d:00.',
-       peak_hour, {fixed('peak_avg', 1)}, low_hour) AS text FROM j
-UNION ALL SELECT 1, 'warning', printf('%s%% of readings show abnormal spikes (ratio > 2). %s%% are critically high (ratio > 3).',
-       {fixed('pct_gt2', 1)}, {fixed('pct_gt3', 1)}) FROM j
-UNION ALL SELECT 2, 'info', printf('Average spike ratio across the entire dataset is %s. Values above 2.0 require immediate inspection.',
-       {fixed('avg_spike', 3)}) FROM j
-UNION ALL SELECT 3, 'danger', printf('Overall leak detection rate: %s%% of all records triggered a leak event.',
-       {fixed('leak_rate_pct', 1)}) FROM j
-UNION ALL SELECT 4, 'warning', printf('%s%% of records are in the Critical risk tier; %s%% in High Risk.',
-       {fixed('pct_critical', 1)}, {fixed('pct_high_risk', 1)}) FROM j
-UNION ALL SELECT 5, 'success', printf('%s%% of readings are within normal consumption bounds (spike ratio <= 2).',
-       {fixed('pct_normal', 1)}) FROM j""")
+""" + "\nUNION ALL ".join(
+    f"SELECT {n} AS line, '{kind}' AS kind, printf('{_sq(tpl)}', {args}) AS text FROM j"
+    for n, ((kind, tpl), args) in enumerate(zip(INSIGHT_LINES, _ARGS))))
 SQL["top10_leak_events"] = on("events", """
 SELECT household_id, CAST(SUM(leak_flag_detected) AS BIGINT) AS value FROM readings GROUP BY 1
 ORDER BY value DESC, household_id LIMIT 10""")
