@@ -19,7 +19,11 @@ def test_query_show_and_out(spark, tmp_path, capsys):
     assert main(["query", "nope"]) == 2
 
 
-def test_enrich_and_train_jobs(spark, tmp_path):
+def test_enrich_and_train_jobs(spark, tmp_path, monkeypatch):
+    # the job's wiring is under test, not boosting: fewer rounds keep the test short
+    # (the registry key includes the parameters, so entries never mix)
+    from hydrolens.operators import ml as M
+    monkeypatch.setattr(M, "GBT_PARAMS", {**M.GBT_PARAMS, "maxIter": 5})
     out = str(tmp_path / "readings")
     assert main(["enrich", "--sf-dir", "/root/testdata/sf0.001", "--out", out]) == 0
     assert spark.read.parquet(out).count() > 0
