@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 1_000_000
+MAX_GROUPS = 10_000   # per-group counters reach the driver; larger vocabularies are refused
 
 
 def _lit_map(pairs: dict) -> F.Column:
@@ -58,6 +59,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
             c = c & (F.col(col) == F.lit(v))
         return c
 
+    if by and x.select(*by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups in {by}; "
+                         "use percentile_approx for per-key quantiles over an unbounded key")
     # pass 1: per group count/min/max (one row per group: bounded by the group vocabulary)
     stats = {gkey(r): r for r in x.groupBy(*by).agg(
         F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).collect() if r["_n"]}

@@ -25,3 +25,11 @@ def test_global_and_nulls(spark):
     got = {r.p: r.value for r in exact_quantiles(df, "v", [0.0, 0.5, 0.75, 1.0]).collect()}
     assert got == {0.0: 1.0, 0.5: 3.0, 0.75: 5.0, 1.0: 9.0}
     assert exact_quantiles(df.where("v > 100"), "v", [0.5]).count() == 0
+
+
+def test_unbounded_group_key_is_refused(spark, monkeypatch):
+    import hydrolens.operators.quantiles as Q
+    monkeypatch.setattr(Q, "MAX_GROUPS", 10)
+    df = spark.range(100).select((F.col("id") % 20).alias("g"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(ValueError, match="groups"):
+        Q.exact_quantiles(df, "v", [0.5], ["g"])
