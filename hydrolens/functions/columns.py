@@ -69,6 +69,17 @@ def rank_to_label(c: str | Column, labels: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), col(c).cast("int") + 1)
 
 
+def first_label(c: str | Column, labels: Sequence[str], ts: str = "timestamp") -> Column:
+    """Label of the earliest row, as an aggregate over the vocabulary rank: a
+    fixed-width ``min_by`` (hash aggregation); labels outside ``labels`` read as NULL."""
+    return rank_to_label(F.min_by(label_rank(c, labels), ts), labels)
+
+
+def last_label(c: str | Column, labels: Sequence[str], ts: str = "timestamp") -> Column:
+    """Label of the latest row (see ``first_label``)."""
+    return rank_to_label(F.max_by(label_rank(c, labels), ts), labels)
+
+
 def hour_index(ts: str | Column) -> Column:
     """Whole hours since 1970-01-01 of a wall-clock (NTZ) timestamp; no time zone involved."""
     ts = col(ts)

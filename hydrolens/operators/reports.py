@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from hydrolens.functions.columns import (
     anomaly_band as anomaly_band_col, date_of, exact_avg, exact_sum, label_rank, mean6,
-    methodology_spike_band, month_of, probability_band as probability_band_col, r6, risk_rank,
+    first_label, last_label, methodology_spike_band, month_of, probability_band as probability_band_col, r6,
+    rank_to_label, risk_rank,
     safe_pct, severity_rank, spike_bin_ord, weekday_name, weekday_number,
 )
 from hydrolens.schema import (
@@ -177,7 +178,7 @@ def top_high_risk(r: DataFrame, n: int = 20, fmt: bool = False) -> DataFrame:
         return top_high_risk_display(r, n)
     x = r.where(F.col("risk_level").isin(HIGH_TIERS))
     g = x.groupBy("household_id").agg(
-        F.min_by("risk_level", "timestamp").alias("risk_level"),
+        first_label("risk_level", RISK_LABELS).alias("risk_level"),
         mean6("leak_probability").alias("avg_leak_prob"),
         mean6("spike_ratio").alias("avg_spike"),
         F.sum("leak_flag_detected").cast("long").alias("leak_events"),
@@ -202,16 +203,33 @@ def top_high_risk_display(r: DataFrame, n: int = 20) -> DataFrame:
 
 
 def household_summary(r: DataFrame, pattern: str = "", n: int = 100) -> DataFrame:
-    """Per household first risk level, modal severity (smallest label on ties)."""
+    """Per household first risk level, modal severity (smallest label on ties),
+    mean probability and spike, leak events; top ``n`` by mean probability.
+
+    Two hash aggregates, no object buffers: (household, severity) counts and
+    sums first, then per household the mode is the max of a packed long
+    (count, then alphabetically smallest label) and the first risk level is a
+    ``min_by`` of its vocabulary rank.
+    """
     from hydrolens.operators.filters import household_search
     x = household_search(r, pattern)
-    g = x.groupBy("household_id").agg(
-        F.min_by("risk_level", "timestamp").alias("risk_level"),
-        F.mode("leak_severity", True).alias("leak_severity"),
-        mean6("leak_probability").alias("avg_leak_prob"),
-        mean6("spike_ratio").alias("avg_spike"),
-        F.sum("leak_flag_detected").cast("long").alias("leak_events"))
-    return g.orderBy(F.desc("avg_leak_prob"), "household_id").limit(n)
+    lvl1 = x.groupBy("household_id", "leak_severity").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("leak_probability").alias("_sp"), F.count("leak_probability").alias("_cp"),
+        F.sum("spike_ratio").alias("_ss"), F.count("spike_ratio").alias("_cs"),
+        F.sum("leak_flag_detected").alias("_lf"), F.min("timestamp").alias("_t0"),
+        F.min_by(risk_rank("risk_level"), "timestamp").alias("_r0"))
+    alpha = sorted(SEVERITY_LABELS)
+    pos = label_rank("leak_severity", alpha)
+    packed = F.when(pos.isNotNull(), F.col("_n") * 8 + (7 - pos))
+    g = lvl1.groupBy("household_id").agg(
+        F.min_by("_r0", "_t0").alias("_r0"), F.max(packed).alias("_mode"),
+        (F.sum("_sp") / F.sum("_cp")).alias("_p"), (F.sum("_ss") / F.sum("_cs")).alias("_s"),
+        F.sum("_lf").cast("long").alias("leak_events"))
+    out = g.select(
+        "household_id", rank_to_label("_r0", RISK_LABELS).alias("risk_level"),
+        rank_to_label(7 - F.col("_mode") % 8, alpha).alias("leak_severity"),
+        r6("_p").alias("avg_leak_prob"), r6("_s").alias("avg_spike"), "leak_events")
+    return out.orderBy(F.desc("avg_leak_prob"), "household_id").limit(n)
 
 
 def household_summary_display(r: DataFrame, pattern: str = "", n: int = 100) -> DataFrame:
@@ -224,7 +242,7 @@ def household_summary_display(r: DataFrame, pattern: str = "", n: int = 100) ->
 def household_kpi(r: DataFrame) -> DataFrame:
     """Explorer KPIs for every household at once (last risk by time)."""
     g = r.groupBy("household_id").agg(
-        F.max_by("risk_level", "timestamp").alias("risk_level"),
+        last_label("risk_level", RISK_LABELS).alias("risk_level"),
         mean6("leak_probability").alias("avg_leak_prob"),
         F.sum("leak_flag_detected").cast("long").alias("leak_events"),
         exact_avg("water_usage_liters").alias("avg_usage"),
