@@ -4,6 +4,8 @@
   query NAME [--sf-dir D] [--show N] [--out PATH --format parquet|csv]
   enrich [--sf-dir D] [--source events|lineitem] --out PATH
   train  [--sf-dir D] --out PATH         fit RF + GBT, save models and metrics
+  dashboard [--sf-dir D] --out PATH [--risks ...] [--severities ...] [--hours LO HI]
+            [--min-spike X] [--households ...] [--search REGEX]   every page's tables
 """
 from __future__ import annotations
 
@@ -31,6 +33,16 @@ def main(argv: list[str] | None = None) -> int:
     t = sub.add_parser("train")
     t.add_argument("--sf-dir", default=DEFAULT_SF)
     t.add_argument("--out", required=True)
+    b = sub.add_parser("dashboard")
+    b.add_argument("--sf-dir", default=DEFAULT_SF)
+    b.add_argument("--source", choices=["events", "lineitem"], default="events")
+    b.add_argument("--out", required=True)
+    b.add_argument("--risks", nargs="*")
+    b.add_argument("--severities", nargs="*")
+    b.add_argument("--hours", nargs=2, type=int, default=[0, 23])
+    b.add_argument("--min-spike", type=float, default=0.0)
+    b.add_argument("--households", nargs="*", default=[])
+    b.add_argument("--search", default="")
     a = p.parse_args(argv)
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -57,6 +69,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "enrich":
         from hydrolens.plans.jobs import enrich_job
         enrich_job(spark, a.sf_dir, a.out, a.source)
+    elif a.cmd == "dashboard":
+        from hydrolens.plans.jobs import dashboard_job
+        names = dashboard_job(spark, a.sf_dir, a.out, a.source, a.search, risks=a.risks, severities=a.severities,
+                              hours=tuple(a.hours), min_spike=a.min_spike, households=a.households)
+        print("\n".join(names))
     elif a.cmd == "train":
         from hydrolens.plans.jobs import train_job
         train_job(spark, a.sf_dir, a.out).show(truncate=False)

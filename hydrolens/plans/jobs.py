@@ -30,3 +30,42 @@ def train_job(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
     metrics = J.metrics_table(scored)
     J.save_metrics(metrics, f"{out}/metrics")
     return J.metrics_summary(J.load_metrics(spark, f"{out}/metrics"), "rf", "gbt")
+
+
+def dashboard_tables(r: DataFrame, search: str = "") -> dict[str, DataFrame]:
+    """Every table behind the dashboard pages for already-filtered readings (page/table -> frame)."""
+    from hydrolens.operators import filters as C
+    from hydrolens.operators import reports as E
+    return {
+        "overview/kpis": E.overview_kpis(r), "overview/risk_distribution": E.risk_distribution(r),
+        "overview/spike_histogram": E.spike_histogram(r), "overview/daily_leaks": E.daily_leaks(r),
+        "severity/distribution": E.severity_distribution(r), "severity/share": E.severity_share(r),
+        "severity/by_month": E.severity_by_month(r), "severity/usage": E.usage_by_severity(r),
+        "risk/distribution": E.risk_distribution_ordered(r), "risk/share": E.risk_share(r),
+        "risk/top_high_risk": E.top_high_risk(r, fmt=True), "risk/household_summary": E.household_summary_display(r, search),
+        "consumption/hourly": E.hourly_profile(r), "consumption/peak_hours": E.peak_hours(r),
+        "consumption/histogram": E.usage_histogram(r), "consumption/weekday": E.weekday_profile(r),
+        "consumption/box": E.usage_box(r), "consumption/heatmap": E.heatmap(r, wide=True),
+        "anomalies/counts": E.anomaly_counts(r), "anomalies/worst": E.worst_spike(r),
+        "anomalies/scatter": E.anomaly_band(E.sample_rows(r)), "anomalies/daily_gt2": E.daily_spikes_2(r),
+        "anomalies/daily_gt3": E.daily_spikes_3(r), "anomalies/table": E.anomaly_table(r),
+        "explorer/kpis": E.household_kpi(r), "explorer/severity": E.household_severity(r),
+        "explorer/leak_events": C.leak_events(r),
+        "insights/panel": E.insights(r), "insights/text": E.insights_text(r),
+        "insights/top10_leaks": E.top10_leak_events(r), "insights/top10_spike": E.top10_avg_spike(r),
+        "insights/monthly": E.monthly(r), "data/describe": E.describe_numeric(r, catalog.EXPLORE_COLS),
+        "data/info": E.dataset_info(r),
+    }
+
+
+def dashboard_job(spark: SparkSession, sf_dir: str, out: str, source: str = "events", search: str = "",
+                  **spec) -> list[str]:
+    """Apply the sidebar filter once (pushed to the readings scan) and write every page's tables."""
+    from hydrolens.operators import filters as C
+    from hydrolens.sources.store import readings
+    r = C.global_filter(readings(spark, sf_dir, source), **spec)
+    written = []
+    for name, df in dashboard_tables(r, search).items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        written.append(name)
+    return written

@@ -31,3 +31,13 @@ def test_enrich_and_train_jobs(spark, tmp_path, monkeypatch):
     assert main(["train", "--sf-dir", "/root/testdata/sf0.001", "--out", tr]) == 0
     assert os.path.isdir(f"{tr}/models/rf") and os.path.isdir(f"{tr}/models/gbt")
     assert spark.read.parquet(f"{tr}/metrics").count() == 18
+
+
+def test_dashboard_job(spark, tmp_path, capsys):
+    out = str(tmp_path / "dash")
+    assert main(["dashboard", "--sf-dir", "/root/testdata/sf0.001", "--out", out, "--hours", "6", "22",
+                 "--risks", "Moderate Risk", "High Risk", "Critical", "--min-spike", "1.2"]) == 0
+    names = capsys.readouterr().out.split()
+    assert "overview/kpis" in names and len(names) == 34
+    k = spark.read.parquet(f"{out}/overview/kpis").first()
+    assert k.n_records == spark.read.parquet(f"{out}/data/info").first().n_records
