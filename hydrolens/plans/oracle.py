@@ -509,3 +509,15 @@ SELECT a.household_id, a.prediction AS pred_a, b.prediction AS pred_b, round((a.
 FROM sc a JOIN sc b ON a.household_id = b.household_id AND a.model = 'spike_rule' AND b.model = 'night_rule'""")
 
 SQL["stream_hourly_rollup"] = f"WITH raw AS ({_RAW['events']}) SELECT household_id, timestamp, CAST(usage AS DOUBLE) AS usage FROM raw"
+
+SQL["model_card"] = on("events", _hf() + _LABEL + _SPLIT + """
+, sizes AS (SELECT CAST(COUNT(CASE WHEN is_test = 0 THEN 1 END) AS VARCHAR) AS tr,
+                   CAST(COUNT(CASE WHEN is_test = 1 THEN 1 END) AS VARCHAR) AS te FROM split)
+SELECT * FROM (VALUES
+  ('rf', 'numTrees', '100'), ('rf', 'maxDepth', '8'), ('rf', 'seed', '42'), ('rf', 'class_weight', 'balanced'),
+  ('gbt', 'maxIter', '150'), ('gbt', 'maxDepth', '6'), ('gbt', 'stepSize', '0.1'), ('gbt', 'subsamplingRate', '0.8'),
+  ('gbt', 'featureSubsetStrategy', '0.8'), ('gbt', 'seed', '42'), ('gbt', 'pos_weight', 'neg/pos'),
+  ('rf', 'test_size', '0.2'), ('rf', 'random_state', '42'), ('gbt', 'test_size', '0.2'), ('gbt', 'random_state', '42')
+) AS t(model, key, value)
+UNION ALL SELECT 'rf', 'training_samples', tr FROM sizes UNION ALL SELECT 'rf', 'test_samples', te FROM sizes
+UNION ALL SELECT 'gbt', 'training_samples', tr FROM sizes UNION ALL SELECT 'gbt', 'test_samples', te FROM sizes""")
