@@ -66,17 +66,22 @@ def risk_rank(c: str | Column = "risk_level") -> Column:
 
 
 def rank_to_label(c: str | Column, labels: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), col(c).cast("int") + 1)
+    """Vocabulary rank -> label; NULL (or out-of-range) rank -> NULL."""
+    rank = col(c).cast("int")
+    return F.when(rank.between(0, len(labels) - 1),
+                  F.element_at(F.array(*[F.lit(x) for x in labels]), rank + 1))
 
 
 def first_label(c: str | Column, labels: Sequence[str], ts: str = "timestamp") -> Column:
-    """Label of the earliest row, as an aggregate over the vocabulary rank: a
-    fixed-width ``min_by`` (hash aggregation); labels outside ``labels`` read as NULL."""
-    return rank_to_label(F.min_by(label_rank(c, labels), ts), labels)
+    """Earliest non-missing label ("first" skips missing values), as a fixed-width
+    ``min_by`` over the vocabulary rank (hash aggregation). Labels outside
+    ``labels`` count as missing."""
+    rank = label_rank(c, labels)
+    return rank_to_label(F.min_by(rank, F.when(rank.isNotNull(), col(ts))), labels)
 
 
 def last_label(c: str | Column, labels: Sequence[str], ts: str = "timestamp") -> Column:
-    """Label of the latest row (see ``first_label``)."""
+    """Label of the latest row, missing if that row's label is missing ("last row" semantics)."""
     return rank_to_label(F.max_by(label_rank(c, labels), ts), labels)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolens.functions.columns import (
-    hour_index, leak_flag, r6, risk_of, risk_rank, severity_of,
+    hour_index, leak_flag, r6, rank_to_label, risk_of, risk_rank, severity_of,
 )
 from hydrolens.schema import NIGHT_HOURS, READING_COLUMNS, RISK_LABELS
 
@@ -136,5 +136,4 @@ def rule_filter(r: DataFrame, hours: int = ROLL_HOURS, k: float = 3.0, top_hours
 def household_tier(r: DataFrame) -> DataFrame:
     """K9: a household's priority = the highest risk tier it has ever reached."""
     top = r.groupBy("household_id").agg(F.max(risk_rank("risk_level")).alias("_o"))
-    labels = F.array(*[F.lit(x) for x in RISK_LABELS])
-    return top.select("household_id", F.element_at(labels, F.col("_o") + 1).alias("tier"))
+    return top.select("household_id", rank_to_label("_o", RISK_LABELS).alias("tier"))

@@ -216,8 +216,10 @@ def household_summary(r: DataFrame, pattern: str = "", n: int = 100) -> DataFram
     lvl1 = x.groupBy("household_id", "leak_severity").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("leak_probability").alias("_sp"), F.count("leak_probability").alias("_cp"),
         F.sum("spike_ratio").alias("_ss"), F.count("spike_ratio").alias("_cs"),
-        F.sum("leak_flag_detected").alias("_lf"), F.min("timestamp").alias("_t0"),
-        F.min_by(risk_rank("risk_level"), "timestamp").alias("_r0"))
+        F.sum("leak_flag_detected").alias("_lf"),
+        # earliest non-missing risk level of the group ("first" skips missing values)
+        F.min(F.when(risk_rank("risk_level").isNotNull(), F.col("timestamp"))).alias("_t0"),
+        F.min_by(risk_rank("risk_level"), F.when(risk_rank("risk_level").isNotNull(), F.col("timestamp"))).alias("_r0"))
     alpha = sorted(SEVERITY_LABELS)
     pos = label_rank("leak_severity", alpha)
     packed = F.when(pos.isNotNull(), F.col("_n") * 8 + (7 - pos))

@@ -258,7 +258,7 @@ SQL["worst_spike"] = on("events", """
 SELECT household_id, timestamp, spike_ratio FROM readings WHERE spike_ratio IS NOT NULL
 ORDER BY spike_ratio DESC, timestamp, household_id LIMIT 1""")
 SQL["household_kpi"] = on("events", f"""
-, g AS (SELECT household_id, arg_max(risk_level, timestamp) AS risk_level,
+, g AS (SELECT household_id, arg_max_null(risk_level, timestamp) AS risk_level,
                round(AVG(leak_probability), 6) AS avg_leak_prob, CAST(SUM(leak_flag_detected) AS BIGINT) AS leak_events,
                {EXACT_AVG_USAGE} AS avg_usage, MAX(spike_ratio) AS max_spike
         FROM readings GROUP BY household_id)

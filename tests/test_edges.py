@@ -73,3 +73,18 @@ def test_timeline_and_leak_events(h1):
     assert C.leak_events(h1).count() == 3
     info = E.dataset_info(h1).first()
     assert (info.n_records, str(info.min_date), str(info.max_date)) == (8, "2024-01-01", "2024-02-01")
+
+
+def test_first_skips_missing_last_keeps_it(spark):
+    rows = [("HH000001", dt.datetime(2024, 1, 1, h), h, 10.0, 1.0, 0.95, 1, "Critical Leak", risk)
+            for h, risk in ((1, None), (2, "Critical"), (3, "High Risk"), (4, None))]
+    r = spark.createDataFrame(rows, READINGS)
+    assert E.top_high_risk(r).first().risk_level == "Critical"
+    assert E.household_summary(r).first().risk_level == "Critical"
+    assert E.household_kpi(r).first().risk_level is None
+
+
+def test_tier_of_household_without_known_labels_is_null(spark):
+    from hydrolens.operators.enrich import household_tier
+    r = spark.createDataFrame([("HH000009", dt.datetime(2024, 1, 1), 0, 1.0, 1.0, 0.1, 0, "Normal", "Odd")], READINGS)
+    assert household_tier(r).first().tier is None
