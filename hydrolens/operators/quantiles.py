@@ -36,7 +36,7 @@ def _lit_map(pairs: dict) -> F.Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = ACCURACY, rounds: int = 3) -> DataFrame:
+                    accuracy: int = ACCURACY, rounds: int = 3, stats: dict | None = None) -> DataFrame:
     """(by..., p, value) with p in ``probs``; same answer as ``percentile`` (linear).
 
     Targets (groups x probabilities, a bounded set) are addressed through
@@ -59,12 +59,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
             c = c & (F.col(col) == F.lit(v))
         return c
 
-    if by and x.select(*by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups in {by}; "
-                         "use percentile_approx for per-key quantiles over an unbounded key")
-    # pass 1: per group count/min/max (one row per group: bounded by the group vocabulary)
-    stats = {gkey(r): r for r in x.groupBy(*by).agg(
-        F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).collect() if r["_n"]}
+    if stats is not None:  # caller already aggregated count/min/max per group (saves a pass)
+        stats = {tuple(g): st for g, st in stats.items() if st["_n"]}
+    else:
+        if by and x.select(*by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+            raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups in {by}; "
+                             "use percentile_approx for per-key quantiles over an unbounded key")
+        # pass 1: per group count/min/max (one row per group: bounded by the group vocabulary)
+        stats = {gkey(r): r for r in x.groupBy(*by).agg(
+            F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).collect() if r["_n"]}
     groups = sorted(stats, key=repr)
     gid = {g: i for i, g in enumerate(groups)}
     tid = {(g, i): gid[g] * len(probs) + i for g in groups for i in range(len(probs))}
@@ -158,8 +161,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
 
 def quantile_columns(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-                     by: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = (), stats: dict | None = None) -> DataFrame:
     """Exact quantiles as one column per probability: (by..., names...)."""
-    q = exact_quantiles(df, value, probs, by)
+    q = exact_quantiles(df, value, probs, by, stats=stats)
     return q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(n)
                                 for p, n in zip(probs, names)])

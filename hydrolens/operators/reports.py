@@ -472,12 +472,14 @@ NUMERIC_TYPES = ("int", "bigint", "double", "float", "smallint", "tinyint")
 def describe_numeric(r: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std, min, quartiles, max per numeric column; one row per column.
 
-    Moments: one aggregate over all columns, unpivoted with ``stack``. Quartiles:
-    exact selection over the columns stacked long (the column name is the group),
-    so no task holds a column's distinct values. Never ``DataFrame.summary``
+    Moments: one aggregate over all columns (one row, collected); its counts and
+    extremes seed the exact quartile selection over the columns stacked long
+    (the column name is the group), so no task holds a column's distinct values
+    and no extra counting pass is needed. Never ``DataFrame.summary``
     (string-typed, approximate).
     """
     from hydrolens.operators.quantiles import quantile_columns
+    spark = r.sparkSession
     types = dict(r.dtypes)
     cols = [c for c in (cols or r.columns) if types.get(c) in NUMERIC_TYPES]
     aggs = []
@@ -485,19 +487,25 @@ def describe_numeric(r: DataFrame, cols: Sequence[str] | None = None, approx: bo
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), r6(F.avg(x)).alias(f"m{i}"), r6(F.stddev_samp(x)).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    rows = ", ".join(f"'{c}', n{i}, m{i}, s{i}, lo{i}, hi{i}" for i, c in enumerate(cols))
-    mom = r.agg(*aggs).selectExpr(f"stack({len(cols)}, {rows}) as (column, count, mean, std, min, max)")
+    mom = r.agg(*aggs).first()
     long = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                                         for c in cols])).alias("s")).select("s.*")
+    names = ["p25", "p50", "p75"]
     if approx:
         q = long.groupBy("column").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
-            "column", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"))
+            "column", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     else:
-        q = quantile_columns(long, "v", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["column"])
-    q = q.select("column", r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p75").alias("p75"))
-    # both sides have one row per requested column
-    return mom.join(F.broadcast(q), "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        stats = {(c,): {"_n": mom[f"n{i}"], "_min": mom[f"lo{i}"], "_max": mom[f"hi{i}"]} for i, c in enumerate(cols)}
+        q = quantile_columns(long, "v", [0.25, 0.5, 0.75], names, ["column"], stats=stats)
+    # one row per requested column; rounding stays in Spark (same rule as every other r6)
+    qv = {row["column"]: row for row in q.select("column", *[r6(n).alias(n) for n in names]).collect()}
+    rows = []
+    for i, c in enumerate(cols):
+        qq = qv.get(c)
+        p = [None if qq is None else qq[n] for n in names]
+        rows.append((c, mom[f"n{i}"], mom[f"m{i}"], mom[f"s{i}"], mom[f"lo{i}"], *p, mom[f"hi{i}"]))
+    return spark.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, "
+                                       "p25 double, p50 double, p75 double, max double")
 
 
 def explore(r: DataFrame, cols: Sequence[str], sort_col: str, ascending: bool = False) -> DataFrame:
