@@ -50,3 +50,11 @@ def test_column_pruning(spark):
     txt = plan_text(se.queries()["hourly_profile"](spark, SF0001))
     schema = [line for line in txt.splitlines() if line.startswith("ReadSchema")][0]
     assert schema == "ReadSchema: struct<hour:int,water_usage_liters:double>"
+
+
+@pytest.mark.parametrize("name", ["top_high_risk", "household_summary", "household_kpi", "household_features",
+                                  "overview_kpis", "household_tier", "top10_avg_spike"])
+def test_per_household_aggregates_are_hash_aggregates(spark, name):
+    tree = plan_text(se.queries()[name](spark, SF0001)).split("\n\n")[0]
+    assert "HashAggregate" in tree
+    assert "SortAggregate" not in tree and "ObjectHashAggregate" not in tree
