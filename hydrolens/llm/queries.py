@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolens.llm import packing, quality, token_files
+from hydrolens.llm import line_dedup, packing, quality, token_files, url_filter
 from hydrolens.llm.common import byte_bpe_path
 from hydrolens.session import scratch_path
 
@@ -32,6 +32,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup_lines(docs, scratch_path(spark, "line_dedup")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit(url_filter.labelled(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -41,13 +52,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_url_filter": op6_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
 
 _STOP = ", ".join("'" + w + "'" for w in sorted(
     {v + end for w in quality.STOP_WORDS.split() for v in (w, w.capitalize()) for end in ("", ".", ",")}))
 
+_TRIM = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+
 SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH a AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM a),
+t AS (SELECT doc_id, source, pos, {_TRIM} AS line FROM l WHERE {_TRIM} <> ''),
+b AS (SELECT line FROM t GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+h AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS place FROM t JOIN b USING (line)),
+g AS (SELECT doc_id, list(pos) AS gone FROM h WHERE place > 1 GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM t GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
+  (CASE WHEN len(gone) < n_lines THEN len(gone) ELSE 0 END)::BIGINT AS n_removed,
+  CASE WHEN len(gone) < n_lines
+    THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10))
+    ELSE text END AS text
+FROM documents LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op10_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t,
