@@ -104,6 +104,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+def publish(fs, made: str, final: str) -> None:
+    """Rename a finished file; where an earlier attempt's equal file can't be replaced, that one stays."""
+    try:
+        fs.move(made, final)
+    except OSError:
+        if not fs.get_file_info(final).is_file:
+            raise
+        fs.delete_file(made)
+
+
 def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
     """Partitions for so many rows: at least the session's shuffle partitions, more if they'd be too large."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

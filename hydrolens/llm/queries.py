@@ -10,7 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolens.llm import line_dedup, packing, quality, token_files, url_filter
+from hydrolens.llm import (
+    fuzzy_hash,
+    html_density,
+    line_dedup,
+    packing,
+    quality,
+    sentencepiece_dropout,
+    token_files,
+    url_filter,
+    warc,
+)
 from hydrolens.llm.common import byte_bpe_path
 from hydrolens.session import scratch_path
 
@@ -32,6 +42,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op3_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_dropout.model_path()
+    pieces = sentencepiece_dropout.encode(table(spark, sf_dir, "documents"), model)
+    return sentencepiece_dropout.decode(pieces, model).select(
+        "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.length("text").cast("bigint").alias("decoded_chars"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc")))
+    return records.where("record_type IN ('response', 'revisit') OR error IS NOT NULL").select(
+        warc.page_ids("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_ids("refers_to").alias("refers_to"), "error")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(docs, scratch_path(spark, "line_dedup")).select("doc_id", "text", "n_lines", "n_removed")
@@ -43,6 +68,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fuzzy_hash.with_next(table(spark, sf_dir, "documents"))
+    like = lambda other: fuzzy_hash.likeness(F.col("fingerprint"), F.col(other))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                       "edited_fingerprint", like("edited_fingerprint").alias("near_edited"),
+                       like("next_fingerprint").alias("near_next"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -52,8 +89,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
+    "op3_sentencepiece_dropout": op3_sentencepiece_dropout,
+    "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_html_density": op7_html_density,
+    "op8_fuzzy_hash": op8_fuzzy_hash,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hydrolens.llm.common import encoder, filesystem, not_null_key, parts_for, rows_of
+from hydrolens.llm.common import encoder, filesystem, not_null_key, parts_for, publish, rows_of
 
 MAGIC = b"TOKIDX01"
 #: Documents of a shard, about.
@@ -34,15 +34,6 @@ READ_BYTES = 8 << 20
 MANIFEST = "shard int, n_docs long, n_tokens long, id_bytes int"
 
 
-def publish(fs, made: str, final: str) -> None:
-    """Rename a finished file; where an earlier attempt's equal file cannot be replaced, that one stays."""
-    try:
-        fs.move(made, final)
-    except OSError:
-        fs.get_file_info(final).is_file or fs.move(made, final)
-        fs.delete_file(made)
-
-
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), None
