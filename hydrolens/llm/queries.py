@@ -14,6 +14,7 @@ from hydrolens.llm import (
     fuzzy_hash,
     html_density,
     line_dedup,
+    minhash,
     packing,
     quality,
     sentencepiece_dropout,
@@ -80,6 +81,11 @@ def op8_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
                        like("next_fingerprint").alias("near_next"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, scratch_path(spark, "minhash"), words=2).drop("text_hash")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_html_density": op7_html_density,
     "op8_fuzzy_hash": op8_fuzzy_hash,
+    "op9_minhash": op9_minhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
