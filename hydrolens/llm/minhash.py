@@ -12,9 +12,10 @@ of the first collection and meet those of the second there, so that the table ke
 themselves are never shuffled. Each bucket is first tried as a star around its
 smallest node; sketches shared by very many documents are split by salt, each
 part with a star of its own. Confirmed links merge nodes into components. Only
-buckets whose nodes are still in different components are looked at again: as a
-star around another node, then exhaustively, so that no pair of a bucket that
-could still join two components goes untested.
+buckets whose nodes are still in different components are looked at again, by the
+rarest shingles of their nodes, some of which any linked pair must share (prefix
+filter).
+So no pair of a bucket that could still join two components goes untested.
 
 Defined results: a NULL or empty text has an empty set, is linked with nothing and
 kept; fewer words than a shingle make one shingle; NULL document ids sort before
@@ -209,29 +210,35 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of buckets of three nodes or more that lie in several components, with their ``root``."""
+    """Nodes of buckets that hold several components, with their ``root``."""
     known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = known.groupBy("table").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).where(
-        (F.col("x") != F.col("y")) & (F.col("c") > 2)).select("table")
-    return known.join(left, "table", "left_semi")
+    left = known.groupBy("table").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
+        F.col("x") != F.col("y")).select("table")
+    return known.join(left, "table", "left_semi").select("node", "n", "root").distinct()
 
 
-def _other_star(rows: DataFrame) -> DataFrame:
-    """A star around the node with the smallest hash in each bucket, over nodes of other components than its own."""
-    order = F.struct(F.xxhash64("table", "node").alias("o"), "node", "n", "root")
-    top = rows.groupBy("table").agg(F.min(order).alias("top"))
-    both = rows.join(top, "table").where(F.col("root") != F.col("top.root"))
-    return pairs_of("star", "star_n", "node", "n", both.select(
-        "node", "n", F.col("top.node").alias("star"), F.col("top.n").alias("star_n")))
+def _rest(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every pair of nodes of different components that may still be linked.
 
-
-def _rest(rows: DataFrame) -> DataFrame:
-    """All pairs of different components left in the buckets, sizes allowing."""
-    a = rows.select("table", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "root")])
-    b = rows.select("table", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")])
-    both = a.join(b, "table").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-                                    & like_sizes("n_a", "n_b"))
-    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    Shingles are ranked by how many of the nodes have them, rarest first. Linked
+    sets must share one of the shingles that a set can lose and still be similar
+    enough, the first of them with enough shingles after it. A pair's shingle is
+    looked up from the node outside the component that has it most often.
+    """
+    each = nodes.join(sets, "node").select("node", "n", "root", F.explode("set").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy("node").orderBy("df", "s")
+    ranked = each.join(common, "s").withColumn("at", F.row_number().over(rare))
+    lead = ranked.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).drop("df")
+    most = lead.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
+        F.max_by("root", F.struct("c", "root")).alias("most"))
+    a = lead.join(most, "s").where(F.col("root") != F.col("most")).drop("most")
+    a, b = (x.select("s", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "root", "at")])
+            for x, end in ((a, "a"), (lead, "b")))
+    left = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    both = a.join(b, (a["s"] == b["s"]) & (F.col("root_a") != F.col("root_b")) & like_sizes("n_a", "n_b")
+                  & (100 * left >= PERCENT * (F.col("n_a") + F.col("n_b") - left)))
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, sketches: DataFrame, scratch: str, words: int) -> DataFrame:
@@ -245,17 +252,11 @@ def links(docs: DataFrame, sketches: DataFrame, scratch: str, words: int) -> Dat
     tested = saved(star_pairs(rows), f"{scratch}/pairs0")
     edges = saved(confirmed(tested, sets), f"{scratch}/links0")
     roots = saved(components(edges, f"{scratch}/roots0"), f"{scratch}/found0")
-    for turn, choose in enumerate((_other_star, _other_star, _rest), 1):
-        left = saved(_open(rows, roots), f"{scratch}/open{turn}")
-        if turn == 2:
-            left = left.withColumn("table", F.xxhash64("table", F.lit(turn)))
-        pairs = saved(choose(left).join(tested, ["a", "b"], "left_anti"), f"{scratch}/pairs{turn}")
-        tested = tested.unionByName(pairs)
-        new = saved(confirmed(pairs, sets), f"{scratch}/links{turn}")
-        if new.isEmpty():
-            continue
-        edges = edges.unionByName(new)
-        roots = saved(components(edges, f"{scratch}/roots{turn}"), f"{scratch}/found{turn}")
+    left = rows.join(rows.groupBy("table").count().where("count > 2").select("table"), "table", "left_semi")
+    left = saved(_open(left, roots), f"{scratch}/open")
+    pairs = _rest(left, sets).join(tested, ["a", "b"], "left_anti")
+    more = saved(confirmed(pairs, sets), f"{scratch}/links1")
+    return roots if more.isEmpty() else components(edges.unionByName(more), f"{scratch}/roots1")
     return roots
 
 
