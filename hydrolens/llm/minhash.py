@@ -19,7 +19,8 @@ So no pair of a bucket that could still join two components goes untested.
 
 Defined results: a NULL or empty text has an empty set, is linked with nothing and
 kept; fewer words than a shingle make one shingle; NULL document ids sort before
-all others; repeated rows of one document stay or go together; an empty table
+all others; repeated rows of one document stay or go together (but
+``drop_near_duplicates`` keeps a single row); an empty table
 gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
@@ -262,7 +263,8 @@ def links(docs: DataFrame, sketches: DataFrame, scratch: str, words: int) -> Dat
 
 def near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id it is linked to, by however
-    many steps) and ``kept`` (that id is its own), and ``text_hash`` to tell rows of one id apart.
+    many steps) and ``kept`` (that id is its own). To tell rows of one id apart: ``text_hash``, and ``first``
+    (of its component, by id and text hash).
 
     ``scratch``: folder in the shared store for sketches, candidate pairs and the steps of the components.
     """
@@ -270,12 +272,23 @@ def near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: s
     sketches = saved(keyed.mapInArrow(_sketches(words), _SKETCH), f"{scratch}/sketches")
     roots = links(keyed, sketches, scratch, words)
     # equal sets first, then components: neither gathers more than a minimum by key
-    sets = sketches.where("n > 0").groupBy("node").agg(F.min("k").alias("low")).join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    lowest = sets.groupBy("root").agg(F.min("low").alias("component"))
-    component = sets.join(lowest, "root").select("node", "component")
-    out = sketches.select("k", "h", "n", "node").join(component, "node", "left")
-    out = out.withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k")))
-    known = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
-    return out.select(known("k").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"),
-                      (F.col("k") == F.col("component")).alias("kept"), F.col("h").alias("text_hash"))
+    sets = sketches.where("n > 0").groupBy("node").agg(F.min(F.struct("k", "h")).alias("low")).join(roots, "node", "left")
+    sets = sets.withColumn("root", F.coalesce("root", "node"))
+    lowest = sets.groupBy("root").agg(F.min("low").alias("first"))
+    out = sketches.select("k", "h", "n", "node").join(sets.join(lowest, "root").select("node", "first"), "node", "left")
+    out = out.withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("k", "h")))
+    known = lambda c: F.when(c != -(1 << 63), c)
+    return out.select(
+        known(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.col("first.k")).alias("component_id"),
+        (F.col("k") == F.col("first.k")).alias("kept"), F.col("h").alias("text_hash"),
+        (F.struct("k", "h") == F.col("first")).alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that are near copies of a kept one; one row of each group stays."""
+    judged = near_duplicates(docs, scratch, words, doc_id, text)
+    stay = judged.where("first").select(not_null_key("doc_id").alias("_k"), F.col("text_hash").alias("_h"),
+                                        (F.col("n_shingles") > 0).alias("_full")).distinct()
+    rows = docs.withColumns({"_k": not_null_key(doc_id), "_h": F.xxhash64(text)}).join(stay, ["_k", "_h"])
+    again = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_full"))
+    return rows.withColumn("_again", again).where((F.col("_again") == 1) | ~F.col("_full")).select(*docs.columns)

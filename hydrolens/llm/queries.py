@@ -83,7 +83,7 @@ def op8_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.near_duplicates(docs, scratch_path(spark, "minhash"), words=2).drop("text_hash")
+    return minhash.near_duplicates(docs, scratch_path(spark, "minhash"), words=2).drop("text_hash", "first")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
