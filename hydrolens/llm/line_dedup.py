@@ -74,18 +74,17 @@ def dedup_lines(docs: DataFrame, scratch: str, min_sites: int = MIN_SITES, doc_i
     places(docs, doc_id, text, site).write.parquet(f"{scratch}/lines")
     lines = spark.read.parquet(f"{scratch}/lines")
     found = boilerplate(lines, f"{scratch}/spread", min_sites)
+    key = {"__doc": not_null_key(doc_id), "__text": F.xxhash64(text)}
     gone = (lines.join(found, "h").where(F.struct("k", "t", "pos") != F.col("first"))
-            .groupBy("k", "t").agg(F.collect_set("pos").alias("_gone")))
-    rows = docs.drop(*({"n_lines", "n_removed"} - {doc_id, text, site})).withColumns(
-        {"_k": not_null_key(doc_id), "_t": F.xxhash64(text)})
-    rows = rows.join(gone, (rows["_k"] == gone["k"]) & (rows["_t"] == gone["t"]), "left").drop("k", "t")
+            .groupBy(F.col("k").alias("__doc"), F.col("t").alias("__text")).agg(F.collect_set("pos").alias("__gone")))
+    rows = docs.drop(*({"n_lines", "n_removed"} - {doc_id, text, site})).withColumns(key).join(gone, list(key), "left")
     all_lines = _lines(F.col(text))
     full = F.coalesce(F.size(F.filter(all_lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")), F.lit(0))
-    lost = F.coalesce(F.size("_gone"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(stay, lambda i: F.get(F.col("_all"), i)), "\n")
-    rows = rows.withColumns({"_all": F.when(F.col("_gone").isNotNull(), all_lines), "n_lines": full.cast("bigint")})
+    lost = F.coalesce(F.size("__gone"), F.lit(0))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone"))
+    cut = F.array_join(F.transform(stay, lambda i: F.get(F.col("__all"), i)), "\n")
+    rows = rows.withColumns({"__all": F.when(F.col("__gone").isNotNull(), all_lines), "n_lines": full.cast("bigint")})
     some = (lost > 0) & (lost < F.col("n_lines"))
-    return rows.withColumns({
-        "n_removed": F.when(some, lost).otherwise(F.lit(0)).cast("bigint"),
-        text: F.when(some, cut).otherwise(F.col(text))}).drop("_k", "_t", "_all", "_gone")
+    rows = rows.withColumns({"n_removed": F.when(some, lost).otherwise(F.lit(0)).cast("bigint"),
+                             "__cut": F.when(some, cut).otherwise(F.col(text))})
+    return rows.withColumn(text, F.col("__cut")).drop(*key, "__all", "__gone", "__cut")

@@ -287,8 +287,9 @@ def near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: s
 def drop_near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are near copies of a kept one; one row of each group stays."""
     judged = near_duplicates(docs, scratch, words, doc_id, text)
-    stay = judged.where("first").select(not_null_key("doc_id").alias("_k"), F.col("text_hash").alias("_h"),
-                                        (F.col("n_shingles") > 0).alias("_full")).distinct()
-    rows = docs.withColumns({"_k": not_null_key(doc_id), "_h": F.xxhash64(text)}).join(stay, ["_k", "_h"])
-    again = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_full"))
-    return rows.withColumn("_again", again).where((F.col("_again") == 1) | ~F.col("_full")).select(*docs.columns)
+    key = {"__doc": not_null_key(doc_id), "__text": F.xxhash64(text)}
+    stay = judged.where("first").select(not_null_key("doc_id").alias("__doc"), F.col("text_hash").alias("__text"),
+                                        (F.col("n_shingles") > 0).alias("__full")).distinct()
+    rows = docs.withColumns(key).join(stay, list(key))
+    again = F.row_number().over(Window.partitionBy(*key).orderBy("__full"))
+    return rows.withColumn("__again", again).where((F.col("__again") == 1) | ~F.col("__full")).select(*docs.columns)

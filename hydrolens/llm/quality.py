@@ -125,7 +125,7 @@ def measures(text: Column, stop_words: str = STOP_WORDS) -> dict[str, Column]:
 
     w, ln = let(words_of(text), of_words), let(lines, of_lines)
     return {
-        "_w": w, "_l": ln,
+        "__words": w, "__lines": ln,
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("bigint"),
         "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("bigint"),
     }
@@ -150,8 +150,8 @@ def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, ru
           stop_words: str = STOP_WORDS) -> DataFrame:
     """Input columns with the measures, ``base_failed``, ``kept`` and ``failed`` (names of the rules broken)."""
     m = measures(F.col(text), stop_words)
-    out = docs.drop(*(c for c in (*MEASURES, "_w", "_l", "base_failed", "kept", "failed") if c != text))
-    out = out.withColumns(m).select("*", "_w.*", "_l.*").drop("_w", "_l")
+    out = docs.drop(*(c for c in (*MEASURES, "base_failed", "kept", "failed") if c != text))
+    out = out.withColumns(m).select("*", "__words.*", "__lines.*").drop("__words", "__lines")
     broken = F.filter(F.array(*[F.when(~holds(r), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
     failed = F.lit(False)
     for r in base:
