@@ -287,9 +287,8 @@ def near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: s
 def drop_near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are near copies of a kept one; one row of each group stays."""
     judged = near_duplicates(docs, scratch, words, doc_id, text)
-    key = {"__doc": not_null_key(doc_id), "__text": F.xxhash64(text)}
-    stay = judged.where("first").select(not_null_key("doc_id").alias("__doc"), F.col("text_hash").alias("__text"),
-                                        (F.col("n_shingles") > 0).alias("__full")).distinct()
-    rows = docs.withColumns(key).join(stay, list(key))
-    again = F.row_number().over(Window.partitionBy(*key).orderBy("__full"))
-    return rows.withColumn("__again", again).where((F.col("__again") == 1) | ~F.col("__full")).select(*docs.columns)
+    stay = judged.where("first").select(not_null_key("doc_id").alias("k"), F.col("text_hash").alias("h"),
+                                        (F.col("n_shingles") > 0).alias("full")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), not_null_key(doc_id).alias("k"), F.xxhash64(text).alias("h"))
+    again = F.row_number().over(Window.partitionBy("k", "h").orderBy("full"))
+    return rows.join(stay, ["k", "h"]).withColumn("again", again).where("again = 1 OR NOT full").select("row.*")
