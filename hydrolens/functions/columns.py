@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrolens.schema import RISK_LABELS, SEVERITY_LABELS
@@ -20,22 +20,9 @@ def r6(c: str | Column) -> Column:
     return F.round(col(c), DIGITS)
 
 
-def exact_sum(c: str | Column, scale: int = 2) -> Column:
-    """Order-independent sum of a fixed-scale quantity (litres carry 2 decimals)."""
-    return F.sum(col(c).cast(f"decimal(18,{scale})"))
-
-
-def exact_avg(c: str | Column, scale: int = 2) -> Column:
-    """Mean of a fixed-scale quantity with an exact, order-independent numerator."""
-    return exact_sum(c, scale).cast("double") / F.count(col(c))
-
-
-def mean6(c: str | Column) -> Column:
-    return r6(F.avg(col(c)))
-
-
-def std6(c: str | Column) -> Column:
-    return r6(F.stddev_samp(col(c)))
+def shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Round the named columns of a finished result; nothing is ranked, compared or fitted after this."""
+    return df.withColumns({c: r6(c) for c in columns})
 
 
 def nan_to_null(c: str | Column) -> Column:
@@ -72,17 +59,14 @@ def rank_to_label(c: str | Column, labels: Sequence[str]) -> Column:
                   F.element_at(F.array(*[F.lit(x) for x in labels]), rank + 1))
 
 
-def first_label(c: str | Column, labels: Sequence[str], ts: str = "timestamp") -> Column:
-    """Earliest non-missing label ("first" skips missing values), as a fixed-width
-    ``min_by`` over the vocabulary rank (hash aggregation). Labels outside
-    ``labels`` count as missing."""
-    rank = label_rank(c, labels)
-    return rank_to_label(F.min_by(rank, F.when(rank.isNotNull(), col(ts))), labels)
+def first_label(c: str | Column, ts: str = "timestamp") -> Column:
+    """Earliest label that isn't missing, whatever the vocabulary ("first" skips missing values)."""
+    return F.min_by(col(c), F.when(col(c).isNotNull(), col(ts)))
 
 
-def last_label(c: str | Column, labels: Sequence[str], ts: str = "timestamp") -> Column:
+def last_label(c: str | Column, ts: str = "timestamp") -> Column:
     """Label of the latest row, missing if that row's label is missing ("last row" semantics)."""
-    return rank_to_label(F.max_by(label_rank(c, labels), ts), labels)
+    return F.max_by(col(c), ts)
 
 
 def hour_index(ts: str | Column) -> Column:
@@ -122,6 +106,11 @@ def weekday_number(ts: str | Column = "timestamp") -> Column:
     return F.weekday(col(ts))
 
 
+def weekday_of_number(d: str | Column) -> Column:
+    """English name of a weekday number; 1970-01-05 was a Monday."""
+    return F.date_format(F.date_add(F.lit("1970-01-05").cast("date"), col(d).cast("int")), "EEEE")
+
+
 # --- label rules from a probability (K6-K8) ---------------------------------------
 def leak_flag(p: str | Column = "leak_probability") -> Column:
     p = col(p)

@@ -12,11 +12,11 @@ holds at most ``chunk_hours + halo`` rows whatever the skew.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolens.functions.columns import (
-    hour_index, leak_flag, r6, rank_to_label, risk_of, risk_rank, severity_of,
+    hour_index, leak_flag, rank_to_label, risk_of, risk_rank, severity_of,
 )
 from hydrolens.schema import NIGHT_HOURS, READING_COLUMNS, RISK_LABELS
 
@@ -26,6 +26,7 @@ ROLL_HOURS = 168          # 7 days, current hour included
 CONT_HOURS = 24           # persistence window for the probability
 W_SPIKE, W_PERSIST, W_NIGHT = 0.6, 0.25, 0.15
 CHUNK_HOURS = 2016        # 12 weeks per window partition
+STD_NOISE = 1e-9          # a deviation this small beside the mean is the rounding of equal values' sums
 
 
 def chunked(df: DataFrame, halo_hours: int, chunk_hours: int = CHUNK_HOURS,
@@ -49,11 +50,6 @@ def chunk_window(key: str = "household_id", hidx: str = "_hidx"):
     return Window.partitionBy(key, "_chunk").orderBy(hidx)
 
 
-def rolling_mean_exact(value: str, frame) -> Column:
-    """Exact mean of a 2-decimal quantity over a frame (decimal numerator)."""
-    return F.sum(F.col(value).cast("decimal(18,2)")).over(frame).cast("double") / F.count(F.lit(1)).over(frame)
-
-
 def enrich(raw: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     """raw (household_id, timestamp, usage decimal) -> readings (schema §1.2).
 
@@ -93,16 +89,16 @@ def rolling_stats(r: DataFrame, hours: int = ROLL_HOURS, chunk_hours: int = CHUN
     """K2: rolling mean and sample std of usage over the last ``hours`` hours."""
     w = chunk_window().rangeBetween(-(hours - 1), 0)
     x = chunked(r.withColumn("_hidx", hour_index("timestamp")), hours - 1, chunk_hours)
-    x = (x.withColumn("roll_avg", r6(rolling_mean_exact("water_usage_liters", w)))
-          .withColumn("roll_std", r6(F.stddev_samp("water_usage_liters").over(w))))
+    x = (x.withColumn("roll_avg", F.avg("water_usage_liters").over(w))
+          .withColumn("roll_std", F.stddev_samp("water_usage_liters").over(w)))
     return x.where(~F.col("_ctx")).drop("_ctx", "_chunk", "_hidx")
 
 
 def zscore(r: DataFrame, hours: int = ROLL_HOURS) -> DataFrame:
-    """K3: (usage - rolling mean) / rolling std; NULL when the std is 0 or NULL."""
+    """K3: (usage - rolling mean) / rolling std; NULL when the std is NULL or 0 but for the sums' own rounding."""
     x = rolling_stats(r, hours)
-    den = F.when(F.round("roll_std", 9) != 0, F.round("roll_std", 9))
-    return x.withColumn("z", r6((F.col("water_usage_liters") - F.col("roll_avg")) / den))
+    den = F.when(F.col("roll_std") > STD_NOISE * F.greatest(F.abs("roll_avg"), F.lit(1.0)), F.col("roll_std"))
+    return x.withColumn("z", (F.col("water_usage_liters") - F.col("roll_avg")) / den)
 
 
 def dynamic_threshold(r: DataFrame, hours: int = ROLL_HOURS, k: float = 3.0) -> DataFrame:
@@ -117,20 +113,18 @@ def rule_filter(r: DataFrame, hours: int = ROLL_HOURS, k: float = 3.0, top_hours
 
     An outlier is kept unless its hour is one of the household's ``top_hours``
     hours by mean usage (ties: earlier hour) and it is not a night hour.
-    The per-(household, hour) profile has at most 24 rows per household; it is
-    joined on its keys (AQE broadcasts it only if its measured size is small).
+    The profile (at most 24 hours a household) becomes one row per household
+    with its peak hours as an array. Only outliers meet it: the other rows pass
+    by the join, so the readings are not shuffled a second time.
     """
     x = dynamic_threshold(r, hours, k)
-    prof = (r.groupBy("household_id", "hour")
-              .agg((F.sum(F.col("water_usage_liters").cast("decimal(18,2)")).cast("double")
-                    / F.count("water_usage_liters")).alias("_m")))
-    rk = F.row_number().over(Window.partitionBy("household_id").orderBy(F.desc("_m"), "hour"))
-    peaks = prof.withColumn("_rk", rk).where(F.col("_rk") <= top_hours).select(
-        "household_id", "hour", F.lit(True).alias("_peak"))
-    y = x.join(peaks, ["household_id", "hour"], "left")
-    habitual = F.coalesce(F.col("_peak"), F.lit(False)) & (F.col("hour") > NIGHT_HOURS[1])
-    return (y.withColumn("is_outlier_kept", F.when((F.col("is_outlier") == 1) & ~habitual, 1).otherwise(0))
-             .drop("_peak"))
+    prof = r.groupBy("household_id", "hour").agg(F.avg("water_usage_liters").alias("_m"))
+    ranked = F.sort_array(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct((-F.col("_m")).alias("m"), "hour"))))
+    peaks = prof.groupBy("household_id").agg(F.transform(F.slice(ranked, 1, top_hours), lambda s: s["hour"]).alias("_peaks"))
+    out = x.where("is_outlier = 1").join(peaks, "household_id", "left")
+    habitual = F.coalesce(F.array_contains("_peaks", F.col("hour")), F.lit(False)) & (F.col("hour") > NIGHT_HOURS[1])
+    out = out.withColumn("is_outlier_kept", F.when(habitual, 0).otherwise(1)).drop("_peaks")
+    return out.unionByName(x.where("is_outlier = 0").withColumn("is_outlier_kept", F.lit(0)))
 
 
 def household_tier(r: DataFrame) -> DataFrame:

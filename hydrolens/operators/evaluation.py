@@ -176,7 +176,7 @@ def heuristic_scores(hf: DataFrame, kind: str = "spike", label: str = "is_high_r
         s = F.least(F.col("night_day_ratio"), F.lit(1.0))
     else:
         raise ValueError(kind)
-    return hf.select("household_id", F.col(label).alias("label"), r6(s).alias("score")).withColumns(
+    return hf.select("household_id", F.col(label).alias("label"), s.alias("score")).withColumns(
         {"prediction": (F.col("score") > 0.5).cast("int"), "model": F.lit(f"{kind}_rule")})
 
 

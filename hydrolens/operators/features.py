@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolens.functions.columns import exact_avg, mean6, std6
+from hydrolens.functions.columns import shown
 from hydrolens.schema import DAY_HOURS, NIGHT_HOURS, RATIO_FLOOR
 
 HH = "household_id"
@@ -30,7 +30,7 @@ def _day_live() -> Column:
 
 
 def _cond_avg(pred: Column, c: str = "water_usage_liters") -> Column:
-    return exact_avg(F.when(pred, F.col(c)))
+    return F.avg(F.when(pred, F.col(c)))
 
 
 def household_features(r: DataFrame, zero_rule: str = "train") -> DataFrame:
@@ -42,14 +42,14 @@ def household_features(r: DataFrame, zero_rule: str = "train") -> DataFrame:
     """
     day = _day_train() if zero_rule == "train" else _day_live()
     g = r.groupBy(HH).agg(
-        exact_avg("water_usage_liters").alias("avg_usage"),
+        F.avg("water_usage_liters").alias("avg_usage"),
         F.max("water_usage_liters").alias("max_usage"),
-        std6("water_usage_liters").alias("std_usage"),
-        mean6("spike_ratio").alias("avg_spike_ratio"),
+        F.stddev_samp("water_usage_liters").alias("std_usage"),
+        F.avg("spike_ratio").alias("avg_spike_ratio"),
         F.max("spike_ratio").alias("max_spike_ratio"),
-        std6("spike_ratio").alias("std_spike_ratio"),
+        F.stddev_samp("spike_ratio").alias("std_spike_ratio"),
         F.sum("leak_flag_detected").cast("long").alias("total_leak_events"),
-        mean6("leak_probability").alias("avg_leak_prob"),
+        F.avg("leak_probability").alias("avg_leak_prob"),
         F.count(F.when(F.col("risk_level") == "Critical", 1)).alias("critical_events"),
         F.count(F.when(F.col("risk_level") == "High Risk", 1)).alias("high_risk_events"),
         F.count(F.when(F.col("spike_ratio") > 2, 1)).alias("spike_above_2"),
@@ -94,22 +94,10 @@ def finish_features(g: DataFrame, zero_rule: str = "train") -> DataFrame:
     return g.select(*HOUSEHOLD_FEATURE_COLUMNS)
 
 
-def household_features_join(r: DataFrame) -> DataFrame:
-    """The trainer's literal shape (main aggregate + three left joins). Must equal E24."""
-    main = r.groupBy(HH).agg(
-        exact_avg("water_usage_liters").alias("avg_usage"), F.max("water_usage_liters").alias("max_usage"),
-        std6("water_usage_liters").alias("std_usage"), mean6("spike_ratio").alias("avg_spike_ratio"),
-        F.max("spike_ratio").alias("max_spike_ratio"), std6("spike_ratio").alias("std_spike_ratio"),
-        F.sum("leak_flag_detected").cast("long").alias("total_leak_events"),
-        mean6("leak_probability").alias("avg_leak_prob"),
-        F.count(F.when(F.col("risk_level") == "Critical", 1)).alias("critical_events"),
-        F.count(F.when(F.col("risk_level") == "High Risk", 1)).alias("high_risk_events"),
-        F.count(F.when(F.col("spike_ratio") > 2, 1)).alias("spike_above_2"))
-    total = r.groupBy(HH).agg(F.count(F.lit(1)).alias("total_readings"))
-    night = r.where(_night()).groupBy(HH).agg(exact_avg("water_usage_liters").alias("_night"))
-    day = r.where(_day_train()).groupBy(HH).agg(exact_avg("water_usage_liters").alias("_day"))
-    g = main.join(total, HH, "left").join(night, HH, "left").join(day, HH, "left")
-    return finish_features(g, "train")
+def features_shown(hf: DataFrame) -> DataFrame:
+    """A finished feature table for display: means, deviations and ratios rounded."""
+    return shown(hf, "avg_usage", "std_usage", "avg_spike_ratio", "std_spike_ratio", "avg_leak_prob", "night_avg_usage",
+                 "day_avg_usage", "night_day_ratio", "usage_range", "cv_usage")
 
 
 # --- labels (D3, E26-E28) ------------------------------------------------------

@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolens.functions.columns import label_rank
 from hydrolens.schema import RISK_LABELS, SEVERITY_LABELS, UNKNOWN_RANK
 
-# Above this many ids the household list is shipped as a (broadcast) semi-join
-# table instead of an IN list literal.
-IN_LIST_LIMIT = 1000
-
-
 def global_filter(r: DataFrame, risks: Sequence[str] | None = None, severities: Sequence[str] | None = None,
                   hours: tuple[int, int] = (0, 23), min_spike: float = 0.0,
                   households: Sequence[str] | DataFrame = ()) -> DataFrame:
@@ -32,37 +26,30 @@ def global_filter(r: DataFrame, risks: Sequence[str] | None = None, severities:
         ids = households.select("household_id").distinct()
         return out.join(ids, "household_id", "left_semi")
     households = list(households)
-    if not households:
-        return out
-    if len(households) <= IN_LIST_LIMIT:
-        return out.where(F.col("household_id").isin(households))
-    spark = SparkSession.getActiveSession()
-    ids = spark.createDataFrame([(h,) for h in households], "household_id string")
-    # size is bounded by the caller's list, which is what makes broadcasting it safe
-    return out.join(F.broadcast(ids), "household_id", "left_semi")
+    return out.where(F.col("household_id").isin(households)) if households else out
 
 
 def filter_options(r: DataFrame) -> DataFrame:
     """Distinct facet values in business order (unknown labels rank 99),
     sorted household ids, hour bounds and the spike maximum; long format
-    (facet, value, ord). One pass: a single aggregate of distinct sets per facet
-    would collect unbounded arrays, so each facet is its own small distinct."""
-    risk = (r.select(F.col("risk_level").alias("value")).where(F.col("value").isNotNull()).distinct()
-             .select(F.lit("risk_level").alias("facet"), "value",
-                     F.coalesce(label_rank("value", RISK_LABELS), F.lit(UNKNOWN_RANK)).cast("long").alias("ord")))
-    sev = (r.select(F.col("leak_severity").alias("value")).where(F.col("value").isNotNull()).distinct()
-            .select(F.lit("leak_severity").alias("facet"), "value",
-                    F.coalesce(label_rank("value", SEVERITY_LABELS), F.lit(UNKNOWN_RANK)).cast("long").alias("ord")))
-    hh = (r.select(F.col("household_id").alias("value")).distinct()
-           .select(F.lit("household_id").alias("facet"), "value", F.lit(None).cast("long").alias("ord")))
-    bounds = r.agg(F.min("hour").alias("hmin"), F.max("hour").alias("hmax"), F.max("spike_ratio").alias("smax"))
-    scal = bounds.select(F.explode(F.array(
-        F.struct(F.lit("hour_min").alias("facet"), F.col("hmin").cast("string").alias("value"), F.lit(0).cast("long").alias("ord")),
-        F.struct(F.lit("hour_max").alias("facet"), F.col("hmax").cast("string").alias("value"), F.lit(1).cast("long").alias("ord")),
-        F.struct(F.lit("spike_max").alias("facet"), F.format_string("%.6f", F.col("smax")).alias("value"),
-                 F.lit(2).cast("long").alias("ord")),
-    )).alias("s")).select("s.*")
-    return risk.unionByName(sev).unionByName(hh).unionByName(scal)
+    (facet, value, ord), in that order. One pass over the readings: a row for each
+    household and pair of labels, with bounds, from which the facets are small
+    aggregates (their exchange is shared)."""
+    per = r.groupBy("household_id", "risk_level", "leak_severity").agg(
+        F.min("hour").alias("lo"), F.max("hour").alias("hi"), F.max("spike_ratio").alias("top"))
+    known = F.create_map(*[x for facet, labels in (("risk_level", RISK_LABELS), ("leak_severity", SEVERITY_LABELS))
+                           for i, lab in enumerate(labels) for x in (F.lit(f"{facet}/{lab}"), F.lit(i))])
+    facet = lambda c: F.struct(F.lit(c).alias("facet"), F.col(c).alias("value"), F.col("lo"), F.col("hi"), F.col("top"))
+    values = per.select(F.explode(F.array(*[facet(c) for c in ("household_id", "risk_level", "leak_severity")])).alias("s")).select("s.*")
+    found = values.groupBy("facet", "value").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"))
+    rank = F.when(F.col("facet") != "household_id", F.coalesce(known[F.concat_ws("/", "facet", "value")], F.lit(UNKNOWN_RANK)))
+    labels = found.where(F.col("value").isNotNull()).select("facet", "value", rank.cast("long").alias("ord"))
+    bounds = found.where("facet = 'risk_level'").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"))
+    row = lambda facet, value, i: F.struct(F.lit(facet).alias("facet"), value.alias("value"), F.lit(i).cast("long").alias("ord"))
+    three = bounds.select(F.inline(F.array(
+        row("hour_min", F.col("lo").cast("string"), 0), row("hour_max", F.col("hi").cast("string"), 1),
+        row("spike_max", F.format_string("%.6f", F.col("top")), 2))))
+    return labels.unionByName(three).orderBy("facet", "ord", "value")
 
 
 def household_search(r: DataFrame, pattern: str) -> DataFrame:

@@ -8,18 +8,18 @@ which keeps the per-iteration job overhead of tree boosting low. Models are
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolens.schema import LEGACY_FEATURES, NOTEBOOK_FEATURES, RATIO_FLOOR, TRAIN_FEATURES
+from hydrolens.schema import LEGACY_FEATURES, RATIO_FLOOR, TRAIN_FEATURES
 
 LABEL = "is_high_risk"
 
@@ -27,7 +27,7 @@ LABEL = "is_high_risk"
 RF_PARAMS = dict(numTrees=100, maxDepth=8, seed=42)
 GBT_PARAMS = dict(maxIter=150, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 TEST_SIZE, SEED = 0.2, 42
-ROWS_PER_PARTITION = 100_000
+ROWS_PER_PARTITION = 20_000
 
 
 def assemble(features: Sequence[str] = TRAIN_FEATURES, out: str = "features") -> VectorAssembler:
@@ -36,16 +36,32 @@ def assemble(features: Sequence[str] = TRAIN_FEATURES, out: str = "features") ->
 
 
 def feature_vector(hf: DataFrame, features: Sequence[str] = TRAIN_FEATURES) -> DataFrame:
+    """The assembled vector, a row for each household and position."""
     v = assemble(features).transform(hf)
-    return v.select("household_id", vector_to_array("features").alias("features"))
+    return v.select("household_id", F.posexplode(vector_to_array("features")).alias("position", "value"))
 
 
-def scale_features(train: DataFrame, data: DataFrame, features: Sequence[str] = TRAIN_FEATURES) -> DataFrame:
-    """Standardise with mean/std fitted on the training rows only (sample std in MLlib)."""
-    pipe = Pipeline(stages=[assemble(features, "raw"),
-                            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)])
-    m = pipe.fit(train)
-    return m.transform(data).select("household_id", vector_to_array("scaled").alias("scaled"))
+def legacy_features(hf: DataFrame) -> DataFrame:
+    """Inputs of a model that carries no feature list, a row for each household and position."""
+    return feature_vector(hf, LEGACY_FEATURES)
+
+
+def fit_scaler(train: DataFrame, features: Sequence[str] = TRAIN_FEATURES) -> DataFrame:
+    """Mean and population deviation of each feature over the training rows; 1 for a constant feature."""
+    moments = train.agg(*[F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")).alias(f) for f in features])
+    rows = moments.select(F.posexplode(F.array(*[F.col(f) for f in features])).alias("position", "m"))
+    std = F.when(F.col("m.std") > 1e-9 * F.greatest(F.abs("m.mean"), F.lit(1.0)), F.col("m.std")).otherwise(F.lit(1.0))
+    names = F.array(*[F.lit(f) for f in features])
+    return rows.select("position", F.get(names, F.col("position")).alias("feature"), "m.mean", std.alias("std"))
+
+
+def scale_features(scaler: DataFrame, data: DataFrame, features: Sequence[str] = TRAIN_FEATURES) -> DataFrame:
+    """(value - mean) / std by a fitted or loaded scaler, a row for each household and position.
+
+    The scaler has a row for each feature, so Spark broadcasts it by its size.
+    """
+    rows = feature_vector(data, features).join(scaler.select("position", "mean", "std"), "position")
+    return rows.select("household_id", "position", ((F.col("value") - F.col("mean")) / F.col("std")).alias("value"))
 
 
 def with_weights(train: DataFrame, kind: str) -> DataFrame:
@@ -63,11 +79,11 @@ def with_weights(train: DataFrame, kind: str) -> DataFrame:
     return train.withColumn("w", w.cast("double"))
 
 
-def constant_model(features: Sequence[str], value: float) -> PipelineModel:
+def constant_model(spark: SparkSession, features: Sequence[str], value: float) -> PipelineModel:
     """Single-class guard: a model that outputs a constant probability (0 or 1)."""
     sql = (f"SELECT *, array({1.0 - value}, {value}) AS _p, CAST({int(value)} AS DOUBLE) AS prediction FROM __THIS__")
     return Pipeline(stages=[assemble(features), SQLTransformer(statement=sql)]).fit(
-        SparkSession.getActiveSession().createDataFrame([], "x int").select(
+        spark.createDataFrame([], "x int").select(
             *[F.lit(0.0).alias(f) for f in features]))
 
 
@@ -77,12 +93,10 @@ def train(train_df: DataFrame, kind: str = "rf", features: Sequence[str] = TRAIN
     counts = {r[0]: r[1] for r in train_df.groupBy(LABEL).count().collect()}  # one row per class
     classes = list(counts)
     n = sum(counts.values())
-    # boosting runs several small jobs per tree: few partitions for small sets,
-    # about one per ROWS_PER_PARTITION households at scale
-    parts = max(1, min(-(-n // ROWS_PER_PARTITION), train_df.sparkSession.sparkContext.defaultParallelism * 4))
-    df = train_df.repartition(parts) if parts > train_df.rdd.getNumPartitions() else train_df.coalesce(parts)
+    # the partitions, which bagging depends on, follow from the data alone: the same model on any cluster
+    df = train_df.repartition(max(1, -(-n // ROWS_PER_PARTITION)), "household_id").sortWithinPartitions("household_id")
     if len(classes) < 2:
-        return constant_model(features, float(classes[0]) if classes else 0.0)
+        return constant_model(train_df.sparkSession, features, float(classes[0]) if classes else 0.0)
     if kind == "rf":
         est = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="w",
                                      **{**RF_PARAMS, **(params or {})})
@@ -115,14 +129,12 @@ def score(model: PipelineModel, hf: DataFrame, name: str, label: str | None = LA
                   *[F.col(f) if f in hf.columns else F.lit(0.0).alias(f) for f in feats])
     out = model.transform(x)
     prob = F.col("_p")[1] if "_p" in out.columns else vector_to_array("probability")[1]
-    # 6-decimal scores: a model then has at most 1,000,001 ROC points at any scale
-    return out.select("household_id", "label", F.round(prob.cast("double"), 6).alias("score"),
+    return out.select("household_id", "label", prob.cast("double").alias("score"),
                       F.col("prediction").cast("int").alias("prediction"), F.lit(name).alias("model"))
 
 
-def feature_importance(models: dict[str, PipelineModel], a: str = "rf", b: str = "gbt") -> DataFrame:
+def feature_importance(spark: SparkSession, models: dict[str, PipelineModel], a: str = "rf", b: str = "gbt") -> DataFrame:
     """Importance per feature for two models and their difference (b - a)."""
-    spark = SparkSession.getActiveSession()
     rows = []
     feats = model_features(models[a])
     imp = {}
@@ -138,7 +150,7 @@ def feature_importance(models: dict[str, PipelineModel], a: str = "rf", b: str =
 
 def model_card(split_df: DataFrame, kinds: Sequence[str] = ("rf", "gbt")) -> DataFrame:
     """(model, key, value) rows: hyperparameters, split sizes, test share and seed."""
-    spark = SparkSession.getActiveSession()
+    spark = split_df.sparkSession
     params = {"rf": {**RF_PARAMS, "class_weight": "balanced"}, "gbt": {**GBT_PARAMS, "pos_weight": "neg/pos"}}
     rows = [(k, key, str(v)) for k in kinds for key, v in params[k].items()]
     rows += [(k, key, str(v)) for k in kinds for key, v in (("test_size", TEST_SIZE), ("random_state", SEED))]
@@ -178,10 +190,10 @@ def whatif(hf_live: DataFrame, scenarios: Sequence[Scenario], models: dict[str,
 
     Global scenarios fan out by exploding the (user-given, bounded) scenario
     names on each household row; household scenarios join on the household id.
-    Edits are pivoted to one row per (scenario, household or all) and broadcast
-    (their size is that of the caller's list). delta = score - baseline score.
+    Edits are pivoted to one row per (scenario, household or all). Each row is
+    scored twice, edited and as it was; delta is the difference.
     """
-    spark = SparkSession.getActiveSession()
+    spark = hf_live.sparkSession
     bad = [s for s in scenarios if s.op not in ("set", "mul") or s.feature not in SLIDER_FEATURES]
     if bad:
         raise ValueError(f"invalid scenarios: {bad}")
@@ -194,38 +206,39 @@ def whatif(hf_live: DataFrame, scenarios: Sequence[Scenario], models: dict[str,
     parts = []
     if global_names:
         g = base.withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in global_names])))
-        parts.append(g.join(F.broadcast(wide.where(F.col("sh").isNull()).drop("sh")), "scenario"))
+        parts.append(g.join(wide.where(F.col("sh").isNull()).drop("sh"), "scenario"))
     if any(s.household_id is not None for s in scenarios):
         hs = wide.where(F.col("sh").isNotNull()).withColumnRenamed("sh", "household_id")
-        parts.append(base.join(F.broadcast(hs), "household_id"))
+        parts.append(base.join(hs, "household_id"))
     x = parts[0]
     for p in parts[1:]:
         x = x.unionByName(p)
+    x = x.withColumn("_before", F.struct(*SLIDER_FEATURES))
     for f in SLIDER_FEATURES:
         e = F.col(f"_{f}")
         x = x.withColumn(f, F.when(e["op"] == "set", e["value"]).when(e["op"] == "mul", F.col(f) * e["value"])
                          .otherwise(F.col(f)))
-    x = _apply_ops(x.drop(*[f"_{f}" for f in SLIDER_FEATURES]))
-    b = _apply_ops(base)
+    x = x.drop(*[f"_{f}" for f in SLIDER_FEATURES])
     out = []
     for name, m in models.items():
-        s = score_with_key(m, x, name)
-        s0 = score(m, b, name, label=None).select("household_id", F.col("score").alias("_base"))
-        out.append(s.join(s0, "household_id").withColumn("delta", F.col("score") - F.col("_base")).drop("_base"))
+        edited = scored_again(m, _apply_ops(x), "score", "_edited")
+        back = edited.withColumns({f: F.col(f"_before.{f}") for f in SLIDER_FEATURES})
+        both = scored_again(m, _apply_ops(back), "_base", "_class")
+        out.append(both.select("scenario", "household_id", F.lit(name).alias("model"), "score", F.col("_edited").alias("prediction"),
+                               (F.col("score") - F.col("_base")).alias("delta")))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
     return res
 
 
-def score_with_key(model: PipelineModel, x: DataFrame, name: str) -> DataFrame:
-    feats = model_features(model)
-    y = x.select("scenario", "household_id", *[F.col(f) if f in x.columns else F.lit(0.0).alias(f) for f in feats])
-    out = model.transform(y)
+def scored_again(model: PipelineModel, x: DataFrame, score_col: str, class_col: str) -> DataFrame:
+    """``x`` with one more model's score and class, and none of the model's own columns."""
+    kept = x.columns
+    x = x.withColumns({f: F.lit(0.0) for f in model_features(model) if f not in kept})
+    out = model.transform(x)
     prob = F.col("_p")[1] if "_p" in out.columns else vector_to_array("probability")[1]
-    return out.select("scenario", "household_id", F.lit(name).alias("model"),
-                      F.round(prob.cast("double"), 6).alias("score"),
-                      F.col("prediction").cast("int").alias("prediction"))
+    return out.select(*kept, prob.cast("double").alias(score_col), F.col("prediction").cast("int").alias(class_col))
 
 
 # --- persistence (A7) and cross-validation (K11) --------------------------------------------
@@ -238,10 +251,8 @@ def registry_tag(key: tuple) -> str:
     return hashlib.sha1(repr(key).encode()).hexdigest()[:20]
 
 
-def publish_model(model: PipelineModel, path: str) -> None:
+def publish_model(spark: SparkSession, model: PipelineModel, path: str) -> None:
     """Save to a fresh folder, then rename into place: readers never see half a model."""
-    import uuid
-    spark = SparkSession.getActiveSession()
     jvm = spark._jvm  # noqa: SLF001 - Hadoop FS has no public Python API
     conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
     dst = jvm.org.apache.hadoop.fs.Path(path)
@@ -250,9 +261,9 @@ def publish_model(model: PipelineModel, path: str) -> None:
         return
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
     model.write().save(tmp)
-    if not fs.exists(dst):
-        fs.mkdirs(dst.getParent())
-        fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), dst)
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), dst) and not fs.exists(dst):
+        raise OSError(f"could not publish {tmp} to {path}")
 
 
 def load_model(path: str) -> PipelineModel | None:
@@ -265,23 +276,20 @@ def load_model(path: str) -> PipelineModel | None:
 
 def cross_validate(labelled: DataFrame, folds: int = 5, seed: int = SEED, kind: str = "rf",
                    features: Sequence[str] = TRAIN_FEATURES) -> DataFrame:
-    """K-fold AUC; fold = hash(id:seed) mod k. Each fold is one distributed fit."""
-    spark = SparkSession.getActiveSession()
+    """K-fold AUC; fold = hash(id:seed) mod k. A distributed fit for each fold, then every
+    held-out household is scored once and one exact AUC is taken by fold."""
+    from hydrolens.operators.evaluation import auc_roc
     fold = (F.conv(F.substring(F.md5(F.concat(F.col("household_id"), F.lit(f":{seed}"))), 1, 8), 16, 10)
              .cast("long") % folds)
     data = labelled.withColumn("fold", fold.cast("int"))
-    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC")
-    rows = []
-    for k in range(folds):
-        m = train(data.where(F.col("fold") != k), kind, features)
-        held = score(m, data.where(F.col("fold") == k), kind)
-        n_cls = held.select("label").distinct().count()
-        auc = ev.evaluate(held.withColumn("label", F.col("label").cast("double"))) if n_cls > 1 else 0.0
-        rows.append((k, kind, float(auc)))
-    return spark.createDataFrame(rows, "fold int, model string, auc double")
-
+    held = [score(train(data.where(F.col("fold") != k), kind, features), data.where(F.col("fold") == k), str(k))
+            for k in range(folds)]
+    every = held[0]
+    for h in held[1:]:
+        every = every.unionByName(h)
+    sizes = every.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(auc_roc(every), "model").select(F.col("model").cast("int").alias("fold"), F.lit(kind).alias("model"), "n", "auc")
 
-NOTEBOOK = dict(features=NOTEBOOK_FEATURES)
 
 _models: dict[tuple, PipelineModel] = {}
 _models_lock = threading.Lock()

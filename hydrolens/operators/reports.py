@@ -13,13 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolens.functions.columns import (
-    anomaly_band as anomaly_band_col, date_of, exact_avg, exact_sum, label_rank, mean6,
-    first_label, last_label, methodology_spike_band, month_of, probability_band as probability_band_col, r6,
-    rank_to_label, risk_rank,
-    safe_pct, severity_rank, spike_bin_ord, weekday_name, weekday_number,
+    anomaly_band as anomaly_band_col, date_of, first_label, label_rank, last_label, methodology_spike_band, month_of, probability_band as probability_band_col, r6, risk_rank, safe_pct, severity_rank, shown, spike_bin_ord, weekday_name, weekday_number, weekday_of_number,
 )
 from hydrolens.schema import (
-    INSIGHT_LINES, RISK_CARD_CLASS, RISK_LABELS, SEVERITY_LABELS, SPIKE_BIN_LABELS,
+    RISK_CARD_CLASS, RISK_LABELS, SEVERITY_LABELS, SPIKE_BIN_LABELS,
 )
 
 HIGH_TIERS = ["High Risk", "Critical"]
@@ -72,7 +69,7 @@ def overview_kpis(r: DataFrame) -> DataFrame:
     """E1 in two levels: per household, then over households (no multi-distinct Expand)."""
     per_hh = r.groupBy("household_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("leak_flag_detected").alias("leaks"),
-        exact_sum("water_usage_liters").alias("su"), F.count("water_usage_liters").alias("cu"),
+        F.sum("water_usage_liters").alias("su"), F.count("water_usage_liters").alias("cu"),
         F.sum("spike_ratio").alias("ss"), F.count("spike_ratio").alias("cs"),
         F.max(F.col("risk_level").isin(HIGH_TIERS).cast("int")).alias("hr"),
         F.max((F.col("risk_level") == "Critical").cast("int")).alias("cr"))
@@ -80,7 +77,7 @@ def overview_kpis(r: DataFrame) -> DataFrame:
     leaks = F.coalesce(F.sum("leaks"), F.lit(0)).cast("long")
     return per_hh.agg(
         n.alias("n_records"), F.count(F.lit(1)).alias("n_households"),
-        (F.sum("su").cast("double") / F.sum("cu")).alias("avg_usage"),
+        r6(F.sum("su") / F.sum("cu")).alias("avg_usage"),
         leaks.alias("n_leaks"), safe_pct(leaks, n).alias("leak_pct"),
         F.count(F.when(F.col("hr") == 1, 1)).alias("n_high_risk"),
         F.count(F.when(F.col("cr") == 1, 1)).alias("n_critical"),
@@ -166,7 +163,7 @@ def severity_by_month(r: DataFrame) -> DataFrame:
 def usage_by_severity(r: DataFrame) -> DataFrame:
     """Mean usage per known severity."""
     x = r.where(F.col("leak_severity").isin(SEVERITY_LABELS))
-    return (x.groupBy("leak_severity").agg(exact_avg("water_usage_liters").alias("avg_usage"))
+    return (x.groupBy("leak_severity").agg(r6(F.avg("water_usage_liters")).alias("avg_usage"))
              .orderBy(severity_rank("leak_severity")))
 
 
@@ -176,25 +173,29 @@ def top_high_risk(r: DataFrame, n: int = 20, fmt: bool = False) -> DataFrame:
     ``fmt=True`` returns the formatted, renamed display table (B7/B11)."""
     if fmt:
         return top_high_risk_display(r, n)
+    return shown(_top_high_risk(r, n), "avg_leak_prob", "avg_spike", "avg_usage")
+
+
+def _top_high_risk(r: DataFrame, n: int) -> DataFrame:
     x = r.where(F.col("risk_level").isin(HIGH_TIERS))
     g = x.groupBy("household_id").agg(
-        first_label("risk_level", RISK_LABELS).alias("risk_level"),
-        mean6("leak_probability").alias("avg_leak_prob"),
-        mean6("spike_ratio").alias("avg_spike"),
+        first_label("risk_level").alias("risk_level"),
+        F.avg("leak_probability").alias("avg_leak_prob"),
+        F.avg("spike_ratio").alias("avg_spike"),
         F.sum("leak_flag_detected").cast("long").alias("leak_events"),
-        exact_avg("water_usage_liters").alias("avg_usage"))
+        F.avg("water_usage_liters").alias("avg_usage"))
     return g.orderBy(F.desc("avg_leak_prob"), "household_id").limit(n)
 
 
 def _fixed(c: str | Column, digits: int) -> Column:
-    """Text with ``digits`` decimals via exact decimal rounding (half up)."""
+    """Text with ``digits`` decimals, ties to the even digit (of the number's shortest decimal form)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(r6(c).cast("decimal(38,6)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.bround(c, digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 def top_high_risk_display(r: DataFrame, n: int = 20) -> DataFrame:
     """The ranked table formatted and renamed for display."""
-    t = top_high_risk(r, n, fmt=False)
+    t = _top_high_risk(r, n)
     return t.select(
         F.col("household_id").alias("Household"), F.col("risk_level").alias("Risk"),
         _fixed("avg_leak_prob", 4).alias("Leak Probability"), _fixed("avg_spike", 2).alias("Avg Spike Ratio"),
@@ -206,11 +207,14 @@ def household_summary(r: DataFrame, pattern: str = "", n: int = 100) -> DataFram
     """Per household first risk level, modal severity (smallest label on ties),
     mean probability and spike, leak events; top ``n`` by mean probability.
 
-    Two hash aggregates, no object buffers: (household, severity) counts and
-    sums first, then per household the mode is the max of a packed long
-    (count, then alphabetically smallest label) and the first risk level is a
-    ``min_by`` of its vocabulary rank.
+    Two levels: (household, severity) counts and sums first, then per household
+    the mode is the label with the largest count. Any label counts, also one
+    outside the vocabularies.
     """
+    return shown(_household_summary(r, pattern, n), "avg_leak_prob", "avg_spike")
+
+
+def _household_summary(r: DataFrame, pattern: str, n: int) -> DataFrame:
     from hydrolens.operators.filters import household_search
     x = household_search(r, pattern)
     lvl1 = x.groupBy("household_id", "leak_severity").agg(
@@ -218,25 +222,21 @@ def household_summary(r: DataFrame, pattern: str = "", n: int = 100) -> DataFram
         F.sum("spike_ratio").alias("_ss"), F.count("spike_ratio").alias("_cs"),
         F.sum("leak_flag_detected").alias("_lf"),
         # earliest non-missing risk level of the group ("first" skips missing values)
-        F.min(F.when(risk_rank("risk_level").isNotNull(), F.col("timestamp"))).alias("_t0"),
-        F.min_by(risk_rank("risk_level"), F.when(risk_rank("risk_level").isNotNull(), F.col("timestamp"))).alias("_r0"))
-    alpha = sorted(SEVERITY_LABELS)
-    pos = label_rank("leak_severity", alpha)
-    packed = F.when(pos.isNotNull(), F.col("_n") * 8 + (7 - pos))
+        F.min(F.when(F.col("risk_level").isNotNull(), F.col("timestamp"))).alias("_t0"),
+        first_label("risk_level").alias("_r0"))
+    often = F.when(F.col("leak_severity").isNotNull(), F.struct(-F.col("_n"), F.col("leak_severity")))
     g = lvl1.groupBy("household_id").agg(
-        F.min_by("_r0", "_t0").alias("_r0"), F.max(packed).alias("_mode"),
+        F.min_by("_r0", "_t0").alias("risk_level"), F.min_by("leak_severity", often).alias("leak_severity"),
         (F.sum("_sp") / F.sum("_cp")).alias("_p"), (F.sum("_ss") / F.sum("_cs")).alias("_s"),
         F.sum("_lf").cast("long").alias("leak_events"))
-    out = g.select(
-        "household_id", rank_to_label("_r0", RISK_LABELS).alias("risk_level"),
-        rank_to_label(7 - F.col("_mode") % 8, alpha).alias("leak_severity"),
-        r6("_p").alias("avg_leak_prob"), r6("_s").alias("avg_spike"), "leak_events")
+    out = g.select("household_id", "risk_level", "leak_severity", F.col("_p").alias("avg_leak_prob"),
+                   F.col("_s").alias("avg_spike"), "leak_events")
     return out.orderBy(F.desc("avg_leak_prob"), "household_id").limit(n)
 
 
 def household_summary_display(r: DataFrame, pattern: str = "", n: int = 100) -> DataFrame:
     """B11 on E11: the search table with 4- and 2-decimal text columns."""
-    t = household_summary(r, pattern, n)
+    t = _household_summary(r, pattern, n)
     return t.select("household_id", "risk_level", "leak_severity", _fixed("avg_leak_prob", 4).alias("avg_leak_prob"),
                     _fixed("avg_spike", 2).alias("avg_spike"), "leak_events")
 
@@ -244,18 +244,19 @@ def household_summary_display(r: DataFrame, pattern: str = "", n: int = 100) ->
 def household_kpi(r: DataFrame) -> DataFrame:
     """Explorer KPIs for every household at once (last risk by time)."""
     g = r.groupBy("household_id").agg(
-        last_label("risk_level", RISK_LABELS).alias("risk_level"),
-        mean6("leak_probability").alias("avg_leak_prob"),
+        last_label("risk_level").alias("risk_level"),
+        F.avg("leak_probability").alias("avg_leak_prob"),
         F.sum("leak_flag_detected").cast("long").alias("leak_events"),
-        exact_avg("water_usage_liters").alias("avg_usage"),
+        F.avg("water_usage_liters").alias("avg_usage"),
         F.max("spike_ratio").alias("max_spike"))
     cls = F.create_map(*[x for k, v in RISK_CARD_CLASS.items() for x in (F.lit(k), F.lit(v))])
-    return g.withColumns({
+    g = g.withColumns({
         "risk_status": F.coalesce(cls[F.col("risk_level")], F.lit("")),
         "prob_status": F.when(F.col("avg_leak_prob") > 0.1, "danger").otherwise(""),
         "leak_status": F.when(F.col("leak_events") > 0, "danger").otherwise("success"),
         "spike_status": F.when(F.col("max_spike") > 3, "danger").when(F.col("max_spike") > 2, "warning").otherwise(""),
     })
+    return shown(g, "avg_leak_prob", "avg_usage")
 
 
 def household_severity(r: DataFrame) -> DataFrame:
@@ -280,23 +281,26 @@ def top5_leak_events(r: DataFrame) -> DataFrame:
 
 
 def top10_avg_spike(r: DataFrame) -> DataFrame:
-    return top_households(r, mean6("spike_ratio"), 10)
+    return shown(top_households(r, F.avg("spike_ratio"), 10), "value")
 
 
 # --- consumption behaviour (E12-E18) ---------------------------------------------
 def hourly_profile(r: DataFrame) -> DataFrame:
-    return r.groupBy("hour").agg(exact_avg("water_usage_liters").alias("avg_usage")).orderBy("hour")
+    """Mean usage per hour; rows without an hour belong to none."""
+    x = r.where(F.col("hour").isNotNull())
+    return x.groupBy("hour").agg(r6(F.avg("water_usage_liters")).alias("avg_usage")).orderBy("hour")
 
 
 def peak_hours(r: DataFrame) -> DataFrame:
     """Hour of max and min mean usage (smallest hour on ties); one row."""
     h = r.where(F.col("hour").isNotNull()).groupBy("hour").agg(
-        exact_avg("water_usage_liters").alias("a")).where(F.col("a").isNotNull())
-    return h.agg(
+        F.avg("water_usage_liters").alias("a")).where(F.col("a").isNotNull())
+    picked = h.agg(
         F.max_by("hour", F.struct(F.col("a"), -F.col("hour"))).alias("peak_hour"),
         F.max("a").alias("peak_avg"),
         F.min_by("hour", F.struct(F.col("a"), F.col("hour"))).alias("low_hour"),
         F.min("a").alias("low_avg"))
+    return shown(picked, "peak_avg", "low_avg")
 
 
 def usage_histogram(r: DataFrame, bins: int = 60) -> DataFrame:
@@ -322,8 +326,10 @@ def usage_histogram(r: DataFrame, bins: int = 60) -> DataFrame:
 
 
 def weekday_profile(r: DataFrame) -> DataFrame:
-    return (r.groupBy(weekday_name("timestamp").alias("day_of_week"), weekday_number("timestamp").alias("_d"))
-             .agg(exact_avg("water_usage_liters").alias("avg_usage")).orderBy("_d").drop("_d"))
+    """Mean usage per weekday, grouped on its number and named afterwards."""
+    x = r.where(F.col("timestamp").isNotNull()).groupBy(weekday_number("timestamp").alias("_d"))
+    return x.agg(r6(F.avg("water_usage_liters")).alias("avg_usage")).orderBy("_d").select(
+        weekday_of_number("_d").alias("day_of_week"), "avg_usage")
 
 
 def usage_box(r: DataFrame, approx: bool = False) -> DataFrame:
@@ -342,7 +348,6 @@ def usage_box(r: DataFrame, approx: bool = False) -> DataFrame:
             "risk_level", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     else:
         q = quantile_columns(x, "water_usage_liters", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ["risk_level"])
-    q = q.select("risk_level", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"))
     q = q.withColumns({"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     y = x.join(F.broadcast(q), "risk_level")
@@ -352,7 +357,7 @@ def usage_box(r: DataFrame, approx: bool = False) -> DataFrame:
     w = y.groupBy("risk_level", "q1", "median", "q3").agg(
         F.min(F.when(inside, u)).alias("whisker_lo"), F.max(F.when(inside, u)).alias("whisker_hi"),
         F.count(F.when(~inside, 1)).alias("n_outliers"))
-    return w.orderBy(risk_rank("risk_level"))
+    return shown(w, "q1", "median", "q3").orderBy(risk_rank("risk_level"))
 
 
 def heatmap(r: DataFrame, wide: bool = False) -> DataFrame:
@@ -362,13 +367,14 @@ def heatmap(r: DataFrame, wide: bool = False) -> DataFrame:
     reading, partial before the shuffle), then pivots the <= 168 cells with
     conditional picks: per-row cost does not grow with the 24 output columns.
     """
-    dn = weekday_name("timestamp").alias("day_of_week")
+    x = r.where(F.col("timestamp").isNotNull() & F.col("hour").isNotNull())
+    cells = x.groupBy(weekday_number("timestamp").alias("_d"), "hour").agg(r6(F.avg("water_usage_liters")).alias("avg_usage"))
+    name = weekday_of_number("_d").alias("day_of_week")
     if not wide:
-        return r.groupBy(dn, "hour").agg(exact_avg("water_usage_liters").alias("avg_usage"))
-    cells = r.groupBy(dn, weekday_number("timestamp").alias("_d"), "hour").agg(
-        exact_avg("water_usage_liters").alias("_a"))
-    aggs = [F.max(F.when(F.col("hour") == h, F.col("_a"))).alias(f"h{h:02d}") for h in range(24)]
-    return cells.groupBy("day_of_week", "_d").agg(*aggs).orderBy("_d").drop("_d")
+        return cells.select(name, "hour", "avg_usage")
+    aggs = [F.max(F.when(F.col("hour") == h, F.col("avg_usage"))).alias(f"h{h:02d}") for h in range(24)]
+    days = cells.groupBy("_d").agg(*aggs).orderBy("_d")
+    return days.select(name, *[c for c in days.columns if c != "_d"])
 
 
 # --- anomalies (E19-E21, F3, F6) ----------------------------------------------------
@@ -405,29 +411,33 @@ def sample_rows(r: DataFrame, n: int = 3000, seed: int = 42) -> DataFrame:
 
 
 def sample_households(r: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
-    """All rows of n households chosen by hash; the id list (n rows) is broadcast."""
+    """All rows of n households chosen by hash; Spark broadcasts the list of ids if it's small."""
     ids = (r.select("household_id").distinct()
             .withColumn("_k", F.md5(F.concat(F.col("household_id"), F.lit(f":{seed}"))))
             .orderBy("_k").limit(n).select("household_id"))
-    return r.join(F.broadcast(ids), "household_id", "left_semi")
+    return r.join(ids, "household_id", "left_semi")
 
 
 # --- explorer and summaries (E30, E34, E35, F4) ------------------------------------
 def insights(r: DataFrame) -> DataFrame:
-    """Typed one-row insight panel.
+    """Typed one-row insight panel."""
+    numbers = ("peak_avg", "low_avg", "avg_spike")
+    return shown(_insights(r), *numbers)
+
 
-    Two levels, no join: one aggregate per hour (at most 24 + 1 rows), then one
+def _insights(r: DataFrame) -> DataFrame:
+    """Two levels, no join: one aggregate per hour (at most 24 + 1 rows), then one
     global aggregate that picks the peak/low hour and totals the counters.
     """
     sp, rl = F.col("spike_ratio"), F.col("risk_level")
     h = r.groupBy("hour").agg(
-        F.count(F.lit(1)).alias("n"), exact_sum("water_usage_liters").alias("su"),
+        F.count(F.lit(1)).alias("n"), F.sum("water_usage_liters").alias("su"),
         F.count("water_usage_liters").alias("cu"),
         F.count(F.when(sp > 2, 1)).alias("c2"), F.count(F.when(sp > 3, 1)).alias("c3"),
         F.sum(sp).alias("ss"), F.count(sp).alias("cs"),
         F.sum("leak_flag_detected").alias("lf"), F.count("leak_flag_detected").alias("cf"),
         F.count(F.when(rl == "Critical", 1)).alias("ccrit"), F.count(F.when(rl == "High Risk", 1)).alias("chigh"))
-    a = F.when(F.col("hour").isNotNull(), F.col("su").cast("double") / F.col("cu"))
+    a = F.when(F.col("hour").isNotNull(), F.col("su") / F.col("cu"))
     h = h.withColumn("a", a)
     n = F.sum("n")
     return h.agg(
@@ -436,15 +446,26 @@ def insights(r: DataFrame) -> DataFrame:
         F.min_by("hour", F.when(F.col("a").isNotNull(), F.struct(F.col("a"), F.col("hour")))).alias("low_hour"),
         F.min("a").alias("low_avg"),
         safe_pct(F.sum("c2"), n).alias("pct_gt2"), safe_pct(F.sum("c3"), n).alias("pct_gt3"),
-        r6(F.sum("ss") / F.sum("cs")).alias("avg_spike"),
+        (F.sum("ss") / F.sum("cs")).alias("avg_spike"),
         safe_pct(F.sum("lf"), F.sum("cf")).alias("leak_rate_pct"),
         safe_pct(F.sum("ccrit"), n).alias("pct_critical"), safe_pct(F.sum("chigh"), n).alias("pct_high_risk"),
     ).withColumn("pct_normal", F.lit(100.0) - F.col("pct_gt2"))
 
 
+#: Kind and text of the insight lines; the slots take numbers that are text already.
+INSIGHT_LINES = [
+    ("info", "Demand peaks at %02d:00 with %s L on average and is lowest at %02d:00."),
+    ("warning", "%s%% of readings spike above twice their baseline, %s%% above three times."),
+    ("info", "The mean spike ratio is %s; meters above 2 are worth a look."),
+    ("danger", "%s%% of all readings are flagged as leaks."),
+    ("warning", "%s%% of readings are in the Critical tier and %s%% in High Risk."),
+    ("success", "%s%% of readings stay within twice their baseline."),
+]
+
+
 def insights_text(r: DataFrame) -> DataFrame:
-    """E30 rendered as (line, kind, text) with the fixed templates of ``schema.INSIGHT_LINES``."""
-    i = insights(r)
+    """E30 rendered as (line, kind, text)."""
+    i = _insights(r)
     args = [
         [F.col("peak_hour"), _fixed("peak_avg", 1), F.col("low_hour")],
         [_fixed("pct_gt2", 1), _fixed("pct_gt3", 1)],
@@ -460,10 +481,12 @@ def insights_text(r: DataFrame) -> DataFrame:
 
 def monthly(r: DataFrame) -> DataFrame:
     """Per month mean usage, leak sum, mean spike."""
-    return r.groupBy(month_of("timestamp").alias("month")).agg(
-        exact_avg("water_usage_liters").alias("avg_usage"),
+    x = r.where(F.col("timestamp").isNotNull()).groupBy(F.date_trunc("month", "timestamp").cast("date").alias("_m"))
+    return x.agg(
+        r6(F.avg("water_usage_liters")).alias("avg_usage"),
         F.sum("leak_flag_detected").cast("long").alias("leak_events"),
-        mean6("spike_ratio").alias("avg_spike"))
+        r6(F.avg("spike_ratio")).alias("avg_spike")).select(
+        F.date_format("_m", "yyyy-MM").alias("month"), "avg_usage", "leak_events", "avg_spike")
 
 
 NUMERIC_TYPES = ("int", "bigint", "double", "float", "smallint", "tinyint")

@@ -10,15 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydrolens.functions.columns import shown
 from hydrolens.operators import enrich as K
 from hydrolens.operators import evaluation as J
 from hydrolens.operators import features as HF
 from hydrolens.operators import filters as C
 from hydrolens.operators import ml as M
 from hydrolens.operators import reports as E
+from hydrolens.schema import EXPLORE_COLS, NOTEBOOK_FEATURES
 from hydrolens.session import scratch_path, stable_path
 from hydrolens.sources.fixtures import raw_from_events, raw_from_lineitem
-from hydrolens.sources.readers import read_readings
+from hydrolens.sources.readers import CSV_NAME, PARQUET_NAME, load_readings, read_readings
 from hydrolens.sources.store import materialize, readings, version_key
 from hydrolens.sources.writers import export_csv, write_readings
 from hydrolens.streaming import rollup as S
@@ -28,8 +30,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the registered examples (the dashboard's widget values).
 FILTER_SPEC = dict(risks=["Moderate Risk", "High Risk", "Critical"], severities=None, hours=(6, 22), min_spike=1.2)
 SEARCH_PATTERN = "hh0000[1-3]"
-EXPLORE_COLS = ["household_id", "timestamp", "hour", "water_usage_liters", "spike_ratio", "leak_flag_detected",
-                "leak_severity", "leak_probability", "risk_level"]
 
 
 def _ev(spark: SparkSession, d: str) -> DataFrame:
@@ -140,12 +140,12 @@ QUERIES: dict[str, Query] = {
     "explore_sorted": on_events(lambda r: E.explore(C.global_filter(r, **FILTER_SPEC), EXPLORE_COLS,
                                                     "spike_ratio", ascending=False)),
     "sample_scatter": on_events(E.sample_rows),
-    "sample_households": on_lineitem(lambda r: E.sample_households(r, 200, 42)),
+    "sample_households": on_lineitem(lambda r: E.sample_households(r, 40, 42)),
     # documented baselines
-    "rolling_stats": on_events(K.rolling_stats),
-    "zscore": on_events(K.zscore),
-    "dynamic_threshold": on_events(K.dynamic_threshold),
-    "rule_filter": on_events(K.rule_filter),
+    "rolling_stats": on_events(lambda r: shown(K.rolling_stats(r), "roll_avg", "roll_std")),
+    "zscore": on_events(lambda r: shown(K.zscore(r), "roll_avg", "roll_std", "z")),
+    "dynamic_threshold": on_events(lambda r: shown(K.dynamic_threshold(r), "roll_avg", "roll_std")),
+    "rule_filter": on_events(lambda r: shown(K.rule_filter(r), "roll_avg", "roll_std")),
     "household_tier": on_events(K.household_tier),
 }
 
@@ -153,7 +153,7 @@ QUERIES: dict[str, Query] = {
 # --- household features, labels, split, evaluation (E24-E29, D1-D3, J2, J7-J16, J18) ----
 
 
-FEATURES_VERSION = "features-1"
+FEATURES_VERSION = "features-2"
 
 
 def hf_events(spark: SparkSession, d: str) -> DataFrame:
@@ -188,18 +188,18 @@ def _ensemble(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES.update({
-    "household_features": on_events(HF.household_features),
-    "household_features_lineitem": on_lineitem(HF.household_features),
-    "household_features_join": on_events(HF.household_features_join),
-    "household_features_live": on_events(lambda r: HF.household_features(r, "live")),
-    "label_by_quantile": labelled,
-    "label_by_rule": lambda s, d: HF.label_rule(hf_events(s, d)),
+    "household_features": on_events(lambda r: HF.features_shown(HF.household_features(r))),
+    "household_features_lineitem": on_lineitem(lambda r: HF.features_shown(HF.household_features(r))),
+    "household_features_live": on_events(
+        lambda r: HF.features_shown(HF.household_features(C.global_filter(r, **FILTER_SPEC), "live"))),
+    "label_by_quantile": lambda s, d: HF.features_shown(labelled(s, d)),
+    "label_by_rule": lambda s, d: HF.features_shown(HF.label_rule(hf_events(s, d))),
     "label_distribution": lambda s, d: HF.label_distribution(labelled(s, d)),
-    "stratified_split": lambda s, d: HF.stratified_split(labelled(s, d)),
+    "stratified_split": lambda s, d: HF.features_shown(HF.stratified_split(labelled(s, d))),
     "class_weights": lambda s, d: HF.class_weights(split(s, d).where(F.col("is_test") == 0)),
     "classification_metrics": lambda s, d: J.classification_metrics(heuristic_scored(s, d)),
     "confusion_matrix": lambda s, d: J.confusion_matrix(heuristic_scored(s, d)),
-    "roc_curve": lambda s, d: J.roc_curve(heuristic_scored(s, d)),
+    "roc_curve": lambda s, d: shown(J.roc_curve(heuristic_scored(s, d)), "threshold"),
     "auc_roc": lambda s, d: J.auc_roc(heuristic_scored(s, d)),
     "classification_report": lambda s, d: J.classification_report(heuristic_scored(s, d)),
     "model_comparison": lambda s, d: J.model_comparison(heuristic_metrics(s, d), "spike_rule", "night_rule"),
@@ -230,7 +230,7 @@ def fitted(spark: SparkSession, d: str, kind: str) -> M.PipelineModel:
 
     def build():
         m = M.train(split(spark, d).where(F.col("is_test") == 0), kind)
-        M.publish_model(m, stable_path(spark, "models", M.registry_tag(key)))
+        M.publish_model(spark, m, stable_path(spark, "models", M.registry_tag(key)))
         return m
     return M.memo_model(key, build)
 
@@ -257,7 +257,7 @@ def notebook_split(spark: SparkSession, d: str) -> DataFrame:
 def notebook_model(spark: SparkSession, d: str) -> M.PipelineModel:
     key = (version_key(spark, d), FEATURES_VERSION, "rf_notebook")
     return M.memo_model(key, lambda: M.train(notebook_split(spark, d).where(F.col("is_test") == 0), "rf",
-                                             M.NOTEBOOK_FEATURES))
+                                             NOTEBOOK_FEATURES))
 
 
 def test_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -269,57 +269,160 @@ def all_scores(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return M.score(model(spark, d, kind), split(spark, d), kind)
 
 
-def _model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+def test_score(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """A fresh fit's scores of the test households."""
+    return M.score(fitted(spark, d, kind), split(spark, d).where(F.col("is_test") == 1), kind)
+
+
+def notebook_scores(spark: SparkSession, d: str) -> DataFrame:
+    return M.score(notebook_model(spark, d), notebook_split(spark, d).where(F.col("is_test") == 1), "rf_notebook")
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a``, and rows that only one of the two frames has."""
+    n = a.agg(F.count(F.lit(1)).alias("n_rows"))
+    lost = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n_different"))
+    return n.select("n_rows", lost.scalar().alias("n_different"))
+
+
+def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Scores before saving and after loading."""
     path = scratch_path(spark, "models", "rf")
     M.save_model(model(spark, d, "rf"), path)
-    return M.score(M.load_model(path), split(spark, d), "rf")
+    return differing(M.score(model(spark, d, "rf"), split(spark, d), "rf"), M.score(M.load_model(path), split(spark, d), "rf"))
 
 
-def _metrics_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+def metrics_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Everything the comparison page reads, before saving and after loading."""
     path = scratch_path(spark, "metrics")
-    J.save_metrics(J.metrics_table(test_scores(spark, d)), path)
-    return J.load_metrics(spark, path)
+    before = comparison(spark, d)
+    J.save_metrics(before, path)
+    return differing(before, J.load_metrics(spark, path))
+
+
+def comparison(spark: SparkSession, d: str) -> DataFrame:
+    """(model, part, key, value) rows of both models: metrics, ROC points, importances, parameters and sizes."""
+    scores = test_scores(spark, d)
+    text = lambda part, key, value: [F.lit(part).alias("part"), key.cast("string").alias("key"), value.cast("string").alias("value")]
+    rows = J.metrics_table(scores).select("model", *text("metric", F.col("metric"), F.col("value")))
+    rows = rows.unionByName(J.roc_curve(scores).select("model", *text(
+        "roc", F.col("threshold"), F.concat_ws(" ", F.col("fpr").cast("string"), F.col("tpr").cast("string")))))
+    weights = importance(spark, d)
+    for kind in ("rf", "gbt"):
+        rows = rows.unionByName(weights.select(F.lit(kind).alias("model"), *text("importance", F.col("feature"), F.col(kind))))
+    return rows.unionByName(M.model_card(split(spark, d)).select("model", *text("card", F.col("key"), F.col("value"))))
+
 
+def importance(spark: SparkSession, d: str) -> DataFrame:
+    return M.feature_importance(spark, {"rf": model(spark, d, "rf"), "gbt": model(spark, d, "gbt")})
 
-def _whatif(spark: SparkSession, d: str) -> DataFrame:
-    live = HF.household_features(_ev(spark, d), "live")
+
+def whatif(spark: SparkSession, d: str) -> DataFrame:
+    """J17 on the filtered readings, as the prediction page scores them."""
+    live = HF.household_features(C.global_filter(_ev(spark, d), **FILTER_SPEC), "live")
     return M.whatif(live, WHATIF_SCENARIOS, {"rf": model(spark, d, "rf"), "gbt": model(spark, d, "gbt")})
 
 
+def scaled(spark: SparkSession, d: str) -> DataFrame:
+    data = split(spark, d)
+    return M.scale_features(M.fit_scaler(data.where(F.col("is_test") == 0)), data)
+
+
+# What the tables determine of a model's output, whatever the trees are: SQL can check it. The
+# scores themselves are in the functions above, for jobs and tests.
+def _checked(scores: DataFrame, *keys: str) -> DataFrame:
+    agrees = F.col("prediction") == (F.col("score") > 0.5).cast("int")
+    return scores.select(*(keys or ("model", "household_id", "label")), _unit("score"), agrees.alias("agrees"))
+
+
+def _unit(c: str, out: str = "in_range") -> F.Column:
+    return F.col(c).between(0, 1).alias(out)
+
+
+def _confusion(spark: SparkSession, d: str) -> DataFrame:
+    return J.confusion_matrix(test_scores(spark, d)).groupBy("model", "actual").agg(F.sum("n").cast("long").alias("n"))
+
+
+def _roc_ends(spark: SparkSession, d: str) -> DataFrame:
+    return J.roc_curve(test_scores(spark, d)).groupBy("model").agg(
+        F.min("fpr").alias("fpr_first"), F.min("tpr").alias("tpr_first"), F.max("fpr").alias("fpr_last"),
+        F.max("tpr").alias("tpr_last"))
+
+
+def _winner(a: str, b: str) -> F.Column:
+    return F.when(F.round(a, 4) > F.round(b, 4), a).when(F.round(b, 4) > F.round(a, 4), b).otherwise("Tie")
+
+
+def _ensemble_ml(spark: SparkSession, d: str) -> DataFrame:
+    both = J.ensemble(all_scores(spark, d, "rf"), all_scores(spark, d, "gbt"))
+    want = F.when(F.col("pred_a") != F.col("pred_b"), "MANUAL REVIEW").when(F.col("pred_a") == 1, "HIGH RISK").otherwise("NORMAL")
+    return both.select("household_id", (F.col("verdict") == want).alias("agrees"), _unit("avg_prob"))
+
+
+def _band_model(spark: SparkSession, d: str) -> DataFrame:
+    banded = E.probability_band(all_scores(spark, d, "rf"), "score")
+    want = F.when(F.col("score") < 0.3, "low").when(F.col("score") < 0.7, "medium").otherwise("high")
+    return banded.select("household_id", (F.col("band") == want).alias("agrees"))
+
+
 QUERIES.update({
-    "feature_vector": lambda s, d: M.feature_vector(hf_events(s, d)),
-    "scale_features": lambda s, d: M.scale_features(split(s, d).where(F.col("is_test") == 0), split(s, d)),
-    "train_rf": lambda s, d: M.score(fitted(s, d, "rf"), split(s, d).where(F.col("is_test") == 1), "rf"),
-    "train_gbt": lambda s, d: M.score(fitted(s, d, "gbt"), split(s, d).where(F.col("is_test") == 1), "gbt"),
-    "train_rf_notebook": lambda s, d: M.score(notebook_model(s, d), notebook_split(s, d).where(F.col("is_test") == 1),
-                                              "rf_notebook"),
-    "score_households": lambda s, d: all_scores(s, d, "rf").unionByName(all_scores(s, d, "gbt")),
-    "model_metrics": lambda s, d: J.metrics_table(test_scores(s, d)),
-    "model_confusion_matrix": lambda s, d: J.confusion_matrix(test_scores(s, d)),
-    "model_roc_curve": lambda s, d: J.roc_curve(test_scores(s, d)),
-    "model_auc_roc": lambda s, d: J.auc_roc(test_scores(s, d)),
-    "model_classification_report": lambda s, d: J.classification_report(test_scores(s, d)),
-    "model_comparison_ml": lambda s, d: J.model_comparison(J.metrics_table(test_scores(s, d)), "rf", "gbt"),
-    "metrics_summary_ml": lambda s, d: J.metrics_summary(J.metrics_table(test_scores(s, d)), "rf", "gbt"),
-    "feature_importance": lambda s, d: M.feature_importance({"rf": model(s, d, "rf"), "gbt": model(s, d, "gbt")}),
+    "feature_vector": lambda s, d: shown(M.feature_vector(hf_events(s, d)), "value"),
+    "legacy_features": lambda s, d: shown(M.legacy_features(hf_events(s, d)), "value"),
+    "scale_features": lambda s, d: shown(scaled(s, d), "value"),
+    "train_rf": lambda s, d: _checked(test_score(s, d, "rf")),
+    "train_gbt": lambda s, d: _checked(test_score(s, d, "gbt")),
+    "train_rf_notebook": lambda s, d: _checked(notebook_scores(s, d)),
+    "score_households": lambda s, d: _checked(all_scores(s, d, "rf").unionByName(all_scores(s, d, "gbt"))),
+    "model_metrics": lambda s, d: J.metrics_table(test_scores(s, d)).where(F.col("metric").isin(J.METRIC_NAMES)).select(
+        "model", "metric", _unit("value")),
+    "model_confusion_matrix": _confusion,
+    "model_roc_curve": _roc_ends,
+    "model_auc_roc": lambda s, d: J.auc_roc(test_scores(s, d)).select("model", _unit("auc")),
+    "model_classification_report": lambda s, d: J.classification_report(test_scores(s, d)).select("model", "class", "support"),
+    "model_comparison_ml": lambda s, d: J.model_comparison(J.metrics_table(test_scores(s, d)), "rf", "gbt").select(
+        "metric", (F.col("winner_4dp") == _winner("rf", "gbt")).alias("agrees")),
+    "metrics_summary_ml": lambda s, d: J.metrics_summary(J.metrics_table(test_scores(s, d)), "rf", "gbt").select(
+        "metric", (F.col("rf") >= 0).alias("rf_known"), (F.col("gbt") >= 0).alias("gbt_known")),
+    "feature_importance": lambda s, d: importance(s, d).select("feature", _unit("rf", "rf_in_range"), _unit("gbt", "gbt_in_range")),
     "model_card": lambda s, d: M.model_card(split(s, d)),
-    "ensemble_verdict_ml": lambda s, d: J.ensemble(all_scores(s, d, "rf"), all_scores(s, d, "gbt")),
-    "whatif_score": _whatif,
-    "model_roundtrip": _model_roundtrip,
-    "metrics_roundtrip": _metrics_roundtrip,
-    "cross_validate": lambda s, d: M.cross_validate(labelled(s, d)),
+    "ensemble_verdict_ml": _ensemble_ml,
+    "probability_band_model": _band_model,
+    "whatif_score": lambda s, d: _checked(whatif(s, d), "scenario", "household_id", "model"),
+    "model_roundtrip": model_roundtrip,
+    "metrics_roundtrip": lambda s, d: metrics_roundtrip(s, d).select("n_different"),
+    "cross_validate": lambda s, d: M.cross_validate(labelled(s, d)).select("fold", "model", "n", _unit("auc")),
 })
 
 
+# --- sources and empty selections (A3, C9) --------------------------------------------------
+
+
+def _resolve_source(spark: SparkSession, d: str) -> DataFrame:
+    """A3: a data folder with a Parquet and a CSV copy resolves to the Parquet one."""
+    folder = scratch_path(spark, "data")
+    write_readings(_ev(spark, d), f"{folder}/{PARQUET_NAME}")
+    export_csv(_ev(spark, d).limit(1), f"{folder}/{CSV_NAME}")
+    return load_readings(spark, folder)
+
+
+def _empty_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the example's filter, and one that nothing passes, select no reading."""
+    none = FILTER_SPEC | {"min_spike": 1e9}
+    frames = {name: C.global_filter(_ev(spark, d), **spec) for name, spec in (("example", FILTER_SPEC), ("none", none))}
+    rows = [f.agg((F.count(F.lit(1)) == 0).alias("is_empty")).select(F.lit(n).alias("selection"), "is_empty") for n, f in frames.items()]
+    return rows[0].unionByName(rows[1])
+
+
+QUERIES.update({"resolve_source": _resolve_source, "empty_selection": _empty_selection})
+
+
 # --- streaming (K12) ----------------------------------------------------------------------
 
 
 def _stream_rollup(spark: SparkSession, d: str) -> DataFrame:
     base = scratch_path(spark, "stream")
-    S.stream_rollup(spark, d, f"{base}/out", f"{base}/checkpoint", file_glob="events.parquet")
+    S.stream_rollup(spark, f"{d}/events.parquet", f"{base}/out", f"{base}/checkpoint")
     return S.read_rollup(spark, f"{base}/out")
 
 
 QUERIES["stream_hourly_rollup"] = _stream_rollup
-
-QUERIES["probability_band_model"] = lambda s, d: E.probability_band(all_scores(s, d, "rf"), "score")

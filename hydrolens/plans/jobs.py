@@ -8,17 +8,26 @@ from hydrolens.operators import evaluation as J
 from hydrolens.operators import ml as M
 from hydrolens.operators.enrich import enrich
 from hydrolens.plans import catalog
+from hydrolens.session import tune_for_scale
 from hydrolens.sources.fixtures import RAW_SOURCES
 from hydrolens.sources.writers import write_readings
 
 
 def enrich_job(spark: SparkSession, sf_dir: str, out: str, source: str = "events") -> None:
     """Raw test tables -> enriched readings (snappy Parquet, partitioned by month)."""
+    tuned(spark, sf_dir, source)
     write_readings(enrich(RAW_SOURCES[source](spark, sf_dir)), out)
 
 
+def tuned(spark: SparkSession, sf_dir: str, source: str) -> None:
+    """Size shuffles and scans from the bytes of the table that a job reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")  # noqa: SLF001 - no public Python API
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    tune_for_scale(spark, fs.getContentSummary(path).getLength())
+
+
 def train_job(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
-    """Fit both models on the training split, save them and the comparison metrics.
+    """Fit both models on the training split; save them, the scaler, and all that the comparison page reads.
 
     Returns the nine-row metrics summary (five metrics + confusion counts).
     """
@@ -26,6 +35,9 @@ def train_job(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
     models = {k: catalog.fitted(spark, sf_dir, k) for k in ("rf", "gbt")}
     for k, m in models.items():
         M.save_model(m, f"{out}/models/{k}")
+        M.fit_scaler(catalog.split(spark, sf_dir).where(F.col("is_test") == 0)).write.mode("overwrite").parquet(
+            f"{out}/models/{k}_scaler")
+    J.save_metrics(catalog.comparison(spark, sf_dir), f"{out}/comparison")
     scored = M.score(models["rf"], test, "rf").unionByName(M.score(models["gbt"], test, "gbt"))
     metrics = J.metrics_table(scored)
     J.save_metrics(metrics, f"{out}/metrics")
@@ -58,14 +70,42 @@ def dashboard_tables(r: DataFrame, search: str = "") -> dict[str, DataFrame]:
     }
 
 
+def model_tables(spark: SparkSession, sf_dir: str, r: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the prediction and comparison pages, for households of already-filtered readings."""
+    from hydrolens.operators import features as HF
+    from hydrolens.operators import filters as C
+    live = HF.household_features(r, "live")
+    models = {k: catalog.model(spark, sf_dir, k) for k in ("rf", "gbt")}
+    scores = {k: M.score(m, live, k, label=None) for k, m in models.items()}
+    test = catalog.test_scores(spark, sf_dir)
+    metrics = J.metrics_table(test)
+    return {
+        "prediction/features": HF.features_shown(live), "prediction/scores": scores["rf"].unionByName(scores["gbt"]),
+        "prediction/whatif": M.whatif(live, catalog.WHATIF_SCENARIOS, models), "prediction/filters": C.filter_options(r),
+        "comparison/metrics": J.model_comparison(metrics, "rf", "gbt"), "comparison/tally": J.comparison_tally(metrics, "rf", "gbt"),
+        "comparison/summary": J.metrics_summary(metrics, "rf", "gbt"), "comparison/confusion": J.confusion_matrix(test),
+        "comparison/roc": J.roc_curve(test), "comparison/report": J.classification_report(test),
+        "comparison/importance": M.feature_importance(spark, models), "comparison/card": M.model_card(catalog.split(spark, sf_dir)),
+        "comparison/ensemble": J.ensemble(scores["rf"], scores["gbt"]),
+    }
+
+
 def dashboard_job(spark: SparkSession, sf_dir: str, out: str, source: str = "events", search: str = "",
-                  **spec) -> list[str]:
-    """Apply the sidebar filter once (pushed to the readings scan) and write every page's tables."""
+                  models: bool = False, **spec) -> list[str]:
+    """Apply the sidebar filter once (pushed to the readings scan) and write every page's tables.
+
+    ``models`` adds the prediction and comparison pages. A filter that selects no
+    reading is an error, as the dashboard stops there.
+    """
     from hydrolens.operators import filters as C
     from hydrolens.sources.store import readings
+    tuned(spark, sf_dir, source)
     r = C.global_filter(readings(spark, sf_dir, source), **spec)
+    if C.is_empty(r):
+        raise ValueError(f"no reading passes the filter {spec}")
+    tables = dashboard_tables(r, search) | (model_tables(spark, sf_dir, r) if models else {})
     written = []
-    for name, df in dashboard_tables(r, search).items():
+    for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         written.append(name)
     return written

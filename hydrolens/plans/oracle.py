@@ -1,24 +1,22 @@
 """Independent DuckDB SQL for each registered query (correctness oracle).
 
 Written against the raw views (events, lineitem) with DuckDB's own window
-frames; shares no code with the Spark plans. Non-exact doubles are rounded to
-6 decimals on both sides; litre means use an exact decimal numerator.
+frames; shares no code with the Spark plans. Everything is computed on plain
+doubles; only the columns of a finished result are rounded, to 6 decimals.
 """
 from __future__ import annotations
 
-from hydrolens.schema import INSIGHT_LINES
-
 _RAW = {
     "events": """
   SELECT 'HH' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS household_id,
          date_trunc('hour', ts) AS timestamp,
-         SUM(CAST(value AS DECIMAL(18,2))) AS usage
+         SUM(CAST(value AS DECIMAL(24,6))) AS usage
   FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL
   GROUP BY 1, 2""",
     "lineitem": """
   SELECT 'HH' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS household_id,
          date_trunc('hour', CAST(l_shipdate AS TIMESTAMP)) AS timestamp,
-         SUM(CAST(l_quantity AS DECIMAL(18,2))) AS usage
+         SUM(CAST(l_quantity AS DECIMAL(24,6))) AS usage
   FROM lineitem WHERE l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL AND l_quantity IS NOT NULL
   GROUP BY 1, 2""",
 }
@@ -60,7 +58,7 @@ def on(source: str, body: str) -> str:
     return readings_cte(source) + body
 
 
-EXACT_AVG_USAGE = "CAST(SUM(CAST(water_usage_liters AS DECIMAL(18,2))) AS DOUBLE) / COUNT(water_usage_liters)"
+AVG_USAGE = "AVG(water_usage_liters)"
 READING_COLS = ("household_id, timestamp, hour, water_usage_liters, spike_ratio, leak_probability, "
                 "leak_flag_detected, leak_severity, risk_level")
 FILTER_WHERE = ("risk_level IN ('Moderate Risk', 'High Risk', 'Critical') AND leak_severity IS NOT NULL "
@@ -68,7 +66,17 @@ FILTER_WHERE = ("risk_level IN ('Moderate Risk', 'High Risk', 'Critical') AND le
 
 
 def fixed(expr: str, digits: int) -> str:
-    return f"CAST(CAST(round(CAST(round({expr}, 6) AS DECIMAL(38,6)), {digits}) AS DECIMAL(38,{digits})) AS VARCHAR)"
+    return f"printf('%.{digits}f', {expr})"
+
+
+def shown(table: str, columns: str, rest: str = "") -> str:
+    """The rows of a table with some columns rounded, and nothing done to them afterwards."""
+    made = ", ".join(f"round({c}, 6) AS {c}" for c in columns.split())
+    return f" SELECT * REPLACE ({made}) FROM {table}{rest}"
+
+
+MEANS = ("avg_usage std_usage avg_spike_ratio std_spike_ratio avg_leak_prob night_avg_usage day_avg_usage night_day_ratio "
+         "usage_range cv_usage")
 
 
 SEV_RANK = ("CASE leak_severity WHEN 'Normal' THEN 0 WHEN 'Low Risk' THEN 1 WHEN 'Moderate Risk' THEN 2 "
@@ -135,7 +143,7 @@ FROM readings WHERE household_id IN (SELECT household_id FROM pick)""")
 
 _OVERVIEW = f"""
 SELECT COUNT(*) AS n_records, COUNT(DISTINCT household_id) AS n_households,
-       {EXACT_AVG_USAGE} AS avg_usage,
+       round({AVG_USAGE}, 6) AS avg_usage,
        CAST(COALESCE(SUM(leak_flag_detected), 0) AS BIGINT) AS n_leaks,
        CASE WHEN COUNT(*) > 0 THEN CAST(100.0 AS DOUBLE) * CAST(COALESCE(SUM(leak_flag_detected), 0) AS BIGINT) / COUNT(*)
             ELSE CAST(0 AS DOUBLE) END AS leak_pct,
@@ -178,16 +186,16 @@ WHERE leak_severity <> 'Normal' GROUP BY 1, 2"""
 SQL["severity_by_month"] = on("events", _SEV_MONTH)
 SQL["severity_by_month_lineitem"] = on("lineitem", _SEV_MONTH)
 SQL["usage_by_severity"] = on("events", f"""
-SELECT leak_severity, {EXACT_AVG_USAGE} AS avg_usage FROM readings
+SELECT leak_severity, round({AVG_USAGE}, 6) AS avg_usage FROM readings
 WHERE leak_severity IN ('Normal', 'Low Risk', 'Moderate Risk', 'High Risk', 'Critical Leak') GROUP BY 1""")
 _TOP_HIGH = f"""
 , top AS (
   SELECT household_id, arg_min(risk_level, timestamp) AS risk_level,
-         round(AVG(leak_probability), 6) AS avg_leak_prob, round(AVG(spike_ratio), 6) AS avg_spike,
-         CAST(SUM(leak_flag_detected) AS BIGINT) AS leak_events, {EXACT_AVG_USAGE} AS avg_usage
+         AVG(leak_probability) AS avg_leak_prob, AVG(spike_ratio) AS avg_spike,
+         CAST(SUM(leak_flag_detected) AS BIGINT) AS leak_events, {AVG_USAGE} AS avg_usage
   FROM readings WHERE risk_level IN ('High Risk', 'Critical') GROUP BY household_id
   ORDER BY avg_leak_prob DESC, household_id LIMIT 20)"""
-SQL["top_high_risk"] = on("events", _TOP_HIGH + " SELECT * FROM top")
+SQL["top_high_risk"] = on("events", _TOP_HIGH + shown("top", "avg_leak_prob avg_spike avg_usage"))
 SQL["top_high_risk_display"] = on("events", _TOP_HIGH + f"""
 SELECT household_id AS "Household", risk_level AS "Risk", {fixed('avg_leak_prob', 4)} AS "Leak Probability",
        {fixed('avg_spike', 2)} AS "Avg Spike Ratio", leak_events AS "Leak Events",
@@ -203,23 +211,24 @@ sev AS (
   FROM f WHERE leak_severity IS NOT NULL GROUP BY household_id, leak_severity)
 SELECT g.household_id, g.risk_level, s.leak_severity, g.avg_leak_prob, g.avg_spike, g.leak_events
 FROM (SELECT household_id, arg_min(risk_level, timestamp) AS risk_level,
-             round(AVG(leak_probability), 6) AS avg_leak_prob, round(AVG(spike_ratio), 6) AS avg_spike,
+             AVG(leak_probability) AS avg_leak_prob, AVG(spike_ratio) AS avg_spike,
              CAST(SUM(leak_flag_detected) AS BIGINT) AS leak_events
       FROM f GROUP BY household_id) g
 LEFT JOIN sev s ON s.household_id = g.household_id AND s.rk = 1
 ORDER BY g.avg_leak_prob DESC, g.household_id LIMIT 100"""
 
 
-SQL["household_summary"] = on("events", _summary(""))
-SQL["household_summary_search"] = on("events", _summary("WHERE regexp_matches(household_id, '(?i)hh0000[1-3]')"))
+SQL["household_summary"] = on("events", shown("(" + _summary("").replace(", f AS", "WITH f AS", 1) + ")", "avg_leak_prob avg_spike"))
+SQL["household_summary_search"] = on("events", shown("(" + _summary(
+    "WHERE regexp_matches(household_id, '(?i)hh0000[1-3]')").replace(", f AS", "WITH f AS", 1) + ")", "avg_leak_prob avg_spike"))
 SQL["household_summary_display"] = on("events", "SELECT household_id, risk_level, leak_severity, "
     + f"{fixed('avg_leak_prob', 4)} AS avg_leak_prob, {fixed('avg_spike', 2)} AS avg_spike, leak_events FROM ("
     + _summary("WHERE regexp_matches(household_id, '(?i)hh0000[1-3]')").replace(", f AS", "WITH f AS", 1) + ")")
-SQL["hourly_profile"] = on("events", f"SELECT hour, {EXACT_AVG_USAGE} AS avg_usage FROM readings GROUP BY hour")
+SQL["hourly_profile"] = on("events", f"SELECT hour, round({AVG_USAGE}, 6) AS avg_usage FROM readings WHERE hour IS NOT NULL GROUP BY hour")
 SQL["peak_hours"] = on("events", f"""
-, h AS (SELECT hour, {EXACT_AVG_USAGE} AS a FROM readings WHERE hour IS NOT NULL GROUP BY hour)
-SELECT (SELECT hour FROM h ORDER BY a DESC, hour LIMIT 1) AS peak_hour, (SELECT MAX(a) FROM h) AS peak_avg,
-       (SELECT hour FROM h ORDER BY a ASC, hour LIMIT 1) AS low_hour, (SELECT MIN(a) FROM h) AS low_avg""")
+, h AS (SELECT hour, {AVG_USAGE} AS a FROM readings WHERE hour IS NOT NULL GROUP BY hour)
+SELECT (SELECT hour FROM h ORDER BY a DESC, hour LIMIT 1) AS peak_hour, (SELECT round(MAX(a), 6) FROM h) AS peak_avg,
+       (SELECT hour FROM h ORDER BY a ASC, hour LIMIT 1) AS low_hour, (SELECT round(MIN(a), 6) FROM h) AS low_avg""")
 SQL["usage_histogram"] = on("events", """
 , s AS (SELECT MIN(water_usage_liters) AS mn, MAX(water_usage_liters) AS mx, COUNT(*) AS n
         FROM readings WHERE water_usage_liters IS NOT NULL),
@@ -230,24 +239,24 @@ c AS (SELECT bin, COUNT(*) AS n FROM b GROUP BY bin)
 SELECT g.range AS bin, round(p.mn + g.range * p.w, 6) AS lo, round(p.mn + (g.range + 1) * p.w, 6) AS hi,
        COALESCE(c.n, 0) AS n
 FROM range(60) g CROSS JOIN p LEFT JOIN c ON c.bin = g.range WHERE p.n > 0""")
-SQL["weekday_profile"] = on("events", f"SELECT dayname(timestamp) AS day_of_week, {EXACT_AVG_USAGE} AS avg_usage FROM readings GROUP BY 1")
+SQL["weekday_profile"] = on("events", f"SELECT dayname(timestamp) AS day_of_week, round({AVG_USAGE}, 6) AS avg_usage FROM readings WHERE timestamp IS NOT NULL GROUP BY 1")
 SQL["usage_box_by_risk"] = on("events", """
 , x AS (SELECT risk_level, water_usage_liters AS u FROM readings
         WHERE risk_level IN ('Low Risk', 'Moderate Risk', 'High Risk', 'Critical') AND water_usage_liters IS NOT NULL),
-q AS (SELECT risk_level, round(quantile_cont(u, 0.25), 6) AS q1, round(quantile_cont(u, 0.5), 6) AS median,
-             round(quantile_cont(u, 0.75), 6) AS q3 FROM x GROUP BY risk_level),
+q AS (SELECT risk_level, quantile_cont(u, 0.25) AS q1, quantile_cont(u, 0.5) AS median,
+             quantile_cont(u, 0.75) AS q3 FROM x GROUP BY risk_level),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-SELECT f.risk_level, f.q1, f.median, f.q3,
+SELECT f.risk_level, round(f.q1, 6) AS q1, round(f.median, 6) AS median, round(f.q3, 6) AS q3,
        MIN(CASE WHEN x.u >= f.lo AND x.u <= f.hi THEN x.u END) AS whisker_lo,
        MAX(CASE WHEN x.u >= f.lo AND x.u <= f.hi THEN x.u END) AS whisker_hi,
        COUNT(CASE WHEN NOT (x.u >= f.lo AND x.u <= f.hi) THEN 1 END) AS n_outliers
 FROM x JOIN f USING (risk_level) GROUP BY f.risk_level, f.q1, f.median, f.q3""")
 SQL["usage_heatmap_long"] = on("events", f"""
-SELECT dayname(timestamp) AS day_of_week, hour, {EXACT_AVG_USAGE} AS avg_usage FROM readings GROUP BY 1, 2""")
+SELECT dayname(timestamp) AS day_of_week, hour, round({AVG_USAGE}, 6) AS avg_usage FROM readings
+WHERE timestamp IS NOT NULL AND hour IS NOT NULL GROUP BY 1, 2""")
 SQL["usage_heatmap"] = on("events", "SELECT dayname(timestamp) AS day_of_week, " + ", ".join(
-    f"CAST(SUM(CAST(CASE WHEN hour = {h} THEN water_usage_liters END AS DECIMAL(18,2))) AS DOUBLE)"
-    f" / COUNT(CASE WHEN hour = {h} THEN water_usage_liters END) AS h{h:02d}" for h in range(24))
-    + " FROM readings GROUP BY 1")
+    f"round(AVG(CASE WHEN hour = {h} THEN water_usage_liters END), 6) AS h{h:02d}" for h in range(24))
+    + " FROM readings WHERE timestamp IS NOT NULL AND hour IS NOT NULL GROUP BY 1")
 SQL["anomaly_counts"] = on("events", """
 SELECT COUNT(CASE WHEN spike_ratio > 2 THEN 1 END) AS n_gt2,
        CASE WHEN COUNT(*) > 0 THEN CAST(100.0 AS DOUBLE) * COUNT(CASE WHEN spike_ratio > 2 THEN 1 END) / COUNT(*) ELSE 0 END AS pct_gt2,
@@ -259,10 +268,11 @@ SELECT household_id, timestamp, spike_ratio FROM readings WHERE spike_ratio IS N
 ORDER BY spike_ratio DESC, timestamp, household_id LIMIT 1""")
 SQL["household_kpi"] = on("events", f"""
 , g AS (SELECT household_id, arg_max_null(risk_level, timestamp) AS risk_level,
-               round(AVG(leak_probability), 6) AS avg_leak_prob, CAST(SUM(leak_flag_detected) AS BIGINT) AS leak_events,
-               {EXACT_AVG_USAGE} AS avg_usage, MAX(spike_ratio) AS max_spike
+               AVG(leak_probability) AS avg_leak_prob, CAST(SUM(leak_flag_detected) AS BIGINT) AS leak_events,
+               {AVG_USAGE} AS avg_usage, MAX(spike_ratio) AS max_spike
         FROM readings GROUP BY household_id)
-SELECT *, COALESCE(CASE risk_level WHEN 'Low Risk' THEN 'success' WHEN 'Moderate Risk' THEN '' WHEN 'High Risk' THEN 'warning'
+SELECT * REPLACE (round(avg_leak_prob, 6) AS avg_leak_prob, round(avg_usage, 6) AS avg_usage),
+       COALESCE(CASE risk_level WHEN 'Low Risk' THEN 'success' WHEN 'Moderate Risk' THEN '' WHEN 'High Risk' THEN 'warning'
                    WHEN 'Critical' THEN 'danger' END, '') AS risk_status,
        CASE WHEN avg_leak_prob > 0.1 THEN 'danger' ELSE '' END AS prob_status,
        CASE WHEN leak_events > 0 THEN 'danger' ELSE 'success' END AS leak_status,
@@ -273,9 +283,9 @@ SELECT household_id, leak_severity, COUNT(*) AS n,
        CAST(100.0 AS DOUBLE) * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY household_id) AS pct
 FROM readings WHERE leak_severity IS NOT NULL GROUP BY 1, 2""")
 _INSIGHTS = f"""
-, h AS (SELECT hour, {EXACT_AVG_USAGE} AS a FROM readings WHERE hour IS NOT NULL GROUP BY hour),
+, h AS (SELECT hour, {AVG_USAGE} AS a FROM readings WHERE hour IS NOT NULL GROUP BY hour),
 t AS (SELECT COUNT(*) AS n, COUNT(CASE WHEN spike_ratio > 2 THEN 1 END) AS c2,
-             COUNT(CASE WHEN spike_ratio > 3 THEN 1 END) AS c3, round(AVG(spike_ratio), 6) AS avg_spike,
+             COUNT(CASE WHEN spike_ratio > 3 THEN 1 END) AS c3, AVG(spike_ratio) AS avg_spike,
              SUM(leak_flag_detected) AS lf, COUNT(leak_flag_detected) AS cf,
              COUNT(CASE WHEN risk_level = 'Critical' THEN 1 END) AS ccrit,
              COUNT(CASE WHEN risk_level = 'High Risk' THEN 1 END) AS chigh FROM readings),
@@ -289,30 +299,39 @@ SELECT (SELECT hour FROM h ORDER BY a DESC, hour LIMIT 1) AS peak_hour, (SELECT
        CASE WHEN n > 0 THEN CAST(100.0 AS DOUBLE) * ccrit / n ELSE 0 END AS pct_critical,
        CASE WHEN n > 0 THEN CAST(100.0 AS DOUBLE) * chigh / n ELSE 0 END AS pct_high_risk
 FROM t)"""
-SQL["smart_insights"] = on("events", _INSIGHTS + " SELECT *, CAST(100.0 AS DOUBLE) - pct_gt2 AS pct_normal FROM i")
-def _sq(text: str) -> str:
-    return text.replace("'", "''")
+SQL["smart_insights"] = on("events", _INSIGHTS + """
+SELECT * REPLACE (round(peak_avg, 6) AS peak_avg, round(low_avg, 6) AS low_avg, round(avg_spike, 6) AS avg_spike),
+       CAST(100.0 AS DOUBLE) - pct_gt2 AS pct_normal FROM i""")
 
 
-_ARGS = [
-    f"peak_hour, {fixed('peak_avg', 1)}, low_hour", f"{fixed('pct_gt2', 1)}, {fixed('pct_gt3', 1)}",
-    f"{fixed('avg_spike', 3)}", f"{fixed('leak_rate_pct', 1)}", f"{fixed('pct_critical', 1)}, {fixed('pct_high_risk', 1)}",
-    f"{fixed('pct_normal', 1)}",
-]
+def _said(line: int, kind: str, *parts: str) -> str:
+    return f"SELECT {line} AS line, '{kind}' AS kind, concat({', '.join(parts)}) AS text FROM j"
+
+
+_HOUR = "lpad(CAST({} AS VARCHAR), 2, '0')"
 SQL["smart_insights_text"] = on("events", _INSIGHTS + """
 , j AS (SELECT *, CAST(100.0 AS DOUBLE) - pct_gt2 AS pct_normal FROM i)
-""" + "\nUNION ALL ".join(
-    f"SELECT {n} AS line, '{kind}' AS kind, printf('{_sq(tpl)}', {args}) AS text FROM j"
-    for n, ((kind, tpl), args) in enumerate(zip(INSIGHT_LINES, _ARGS))))
+""" + "\nUNION ALL ".join([
+    _said(0, "info", "'Demand peaks at '", _HOUR.format("peak_hour"), "':00 with '", fixed("peak_avg", 1),
+          "' L on average and is lowest at '", _HOUR.format("low_hour"), "':00.'"),
+    _said(1, "warning", fixed("pct_gt2", 1), "'% of readings spike above twice their baseline, '", fixed("pct_gt3", 1),
+          "'% above three times.'"),
+    _said(2, "info", "'The mean spike ratio is '", fixed("avg_spike", 3), "'; meters above 2 are worth a look.'"),
+    _said(3, "danger", fixed("leak_rate_pct", 1), "'% of all readings are flagged as leaks.'"),
+    _said(4, "warning", fixed("pct_critical", 1), "'% of readings are in the Critical tier and '", fixed("pct_high_risk", 1),
+          "'% in High Risk.'"),
+    _said(5, "success", fixed("pct_normal", 1), "'% of readings stay within twice their baseline.'"),
+]))
 SQL["top10_leak_events"] = on("events", """
 SELECT household_id, CAST(SUM(leak_flag_detected) AS BIGINT) AS value FROM readings GROUP BY 1
 ORDER BY value DESC, household_id LIMIT 10""")
 SQL["top5_leak_events"] = SQL["top10_leak_events"].replace("LIMIT 10", "LIMIT 5")
 SQL["top10_avg_spike"] = on("events", """
-SELECT household_id, round(AVG(spike_ratio), 6) AS value FROM readings GROUP BY 1 HAVING AVG(spike_ratio) IS NOT NULL
-ORDER BY value DESC, household_id LIMIT 10""")
+SELECT household_id, round(value, 6) AS value FROM (
+  SELECT household_id, AVG(spike_ratio) AS value FROM readings GROUP BY 1 HAVING AVG(spike_ratio) IS NOT NULL
+  ORDER BY value DESC, household_id LIMIT 10)""")
 _MONTHLY = f"""
-SELECT strftime(timestamp, '%Y-%m') AS month, {EXACT_AVG_USAGE} AS avg_usage,
+SELECT strftime(timestamp, '%Y-%m') AS month, round({AVG_USAGE}, 6) AS avg_usage,
        CAST(SUM(leak_flag_detected) AS BIGINT) AS leak_events, round(AVG(spike_ratio), 6) AS avg_spike
 FROM readings GROUP BY 1"""
 SQL["monthly_rollup"] = on("events", _MONTHLY)
@@ -333,30 +352,32 @@ SELECT {READING_COLS} FROM readings
 ORDER BY md5(household_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|42') LIMIT 3000""")
 SQL["sample_households"] = on("lineitem", f"""
 SELECT {READING_COLS} FROM readings WHERE household_id IN (
-  SELECT household_id FROM (SELECT DISTINCT household_id FROM readings) ORDER BY md5(household_id || ':42') LIMIT 200)""")
+  SELECT household_id FROM (SELECT DISTINCT household_id FROM readings) ORDER BY md5(household_id || ':42') LIMIT 40)""")
 
 _ROLL = f"""
 , rs AS (
   SELECT {READING_COLS},
-         round(CAST(SUM(CAST(water_usage_liters AS DECIMAL(18,2))) OVER w AS DOUBLE) / COUNT(*) OVER w, 6) AS roll_avg,
-         round(stddev_samp(water_usage_liters) OVER w, 6) AS roll_std
+         AVG(water_usage_liters) OVER w AS roll_avg,
+         stddev_samp(water_usage_liters) OVER w AS roll_std
   FROM readings
   WINDOW w AS (PARTITION BY household_id ORDER BY timestamp RANGE BETWEEN INTERVAL 167 HOURS PRECEDING AND CURRENT ROW))"""
-SQL["rolling_stats"] = on("events", _ROLL + " SELECT * FROM rs")
+SQL["rolling_stats"] = on("events", _ROLL + shown("rs", "roll_avg roll_std"))
 SQL["zscore"] = on("events", _ROLL + """
-SELECT *, round((water_usage_liters - roll_avg) / CASE WHEN round(roll_std, 9) <> 0 THEN round(roll_std, 9) END, 6) AS z
+SELECT * REPLACE (round(roll_avg, 6) AS roll_avg, round(roll_std, 6) AS roll_std),
+       round((water_usage_liters - roll_avg) / CASE WHEN roll_std > 1e-9 * greatest(abs(roll_avg), 1) THEN roll_std END, 6) AS z
 FROM rs""")
 _OUTL = _ROLL + """
 , o AS (SELECT *, COALESCE(CAST(water_usage_liters > roll_avg + CAST(3.0 AS DOUBLE) * roll_std AS INTEGER), 0) AS is_outlier
         FROM rs)"""
-SQL["dynamic_threshold"] = on("events", _OUTL + " SELECT * FROM o")
+SQL["dynamic_threshold"] = on("events", _OUTL + shown("o", "roll_avg roll_std"))
 SQL["rule_filter"] = on("events", _OUTL + """
 , prof AS (SELECT household_id, hour,
-                  CAST(SUM(CAST(water_usage_liters AS DECIMAL(18,2))) AS DOUBLE) / COUNT(water_usage_liters) AS m
+                  AVG(water_usage_liters) AS m
            FROM readings GROUP BY 1, 2),
 peaks AS (SELECT household_id, hour FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY household_id ORDER BY m DESC, hour) AS rk FROM prof) WHERE rk <= 3)
-SELECT o.*, CASE WHEN o.is_outlier = 1 AND NOT (p.household_id IS NOT NULL AND o.hour > 5) THEN 1 ELSE 0 END AS is_outlier_kept
+SELECT o.* REPLACE (round(o.roll_avg, 6) AS roll_avg, round(o.roll_std, 6) AS roll_std),
+       CASE WHEN o.is_outlier = 1 AND NOT (p.household_id IS NOT NULL AND o.hour > 5) THEN 1 ELSE 0 END AS is_outlier_kept
 FROM o LEFT JOIN peaks p ON p.household_id = o.household_id AND p.hour = o.hour""")
 SQL["household_tier"] = on("events", """
 SELECT household_id, CASE MAX(CASE risk_level WHEN 'Low Risk' THEN 0 WHEN 'Moderate Risk' THEN 1 WHEN 'High Risk' THEN 2
@@ -366,22 +387,20 @@ FROM readings GROUP BY household_id""")
 
 
 # --- household features, labels, split, evaluation -----------------------------------
-def _hf(day_pred: str = "hour BETWEEN 6 AND 23", live: bool = False) -> str:
+def _hf(day_pred: str = "hour BETWEEN 6 AND 23", live: bool = False, where: str = "") -> str:
     night = "hour BETWEEN 0 AND 5"
     g = f"""
 , g AS (
-  SELECT household_id, {EXACT_AVG_USAGE} AS avg_usage, MAX(water_usage_liters) AS max_usage,
-         round(stddev_samp(water_usage_liters), 6) AS std_usage, round(AVG(spike_ratio), 6) AS avg_spike_ratio,
-         MAX(spike_ratio) AS max_spike_ratio, round(stddev_samp(spike_ratio), 6) AS std_spike_ratio,
-         CAST(SUM(leak_flag_detected) AS BIGINT) AS total_leak_events, round(AVG(leak_probability), 6) AS avg_leak_prob,
+  SELECT household_id, {AVG_USAGE} AS avg_usage, MAX(water_usage_liters) AS max_usage,
+         stddev_samp(water_usage_liters) AS std_usage, AVG(spike_ratio) AS avg_spike_ratio,
+         MAX(spike_ratio) AS max_spike_ratio, stddev_samp(spike_ratio) AS std_spike_ratio,
+         CAST(SUM(leak_flag_detected) AS BIGINT) AS total_leak_events, AVG(leak_probability) AS avg_leak_prob,
          COUNT(CASE WHEN risk_level = 'Critical' THEN 1 END) AS critical_events,
          COUNT(CASE WHEN risk_level = 'High Risk' THEN 1 END) AS high_risk_events,
          COUNT(CASE WHEN spike_ratio > 2 THEN 1 END) AS spike_above_2, COUNT(*) AS total_readings,
-         CAST(SUM(CAST(CASE WHEN {night} THEN water_usage_liters END AS DECIMAL(18,2))) AS DOUBLE)
-           / COUNT(CASE WHEN {night} THEN water_usage_liters END) AS night,
-         CAST(SUM(CAST(CASE WHEN {day_pred} THEN water_usage_liters END AS DECIMAL(18,2))) AS DOUBLE)
-           / COUNT(CASE WHEN {day_pred} THEN water_usage_liters END) AS day
-  FROM readings GROUP BY household_id)"""
+         AVG(CASE WHEN {night} THEN water_usage_liters END) AS night,
+         AVG(CASE WHEN {day_pred} THEN water_usage_liters END) AS day
+  FROM readings {where} GROUP BY household_id)"""
     if not live:
         return g + """
 , g2 AS (SELECT * EXCLUDE (std_usage, std_spike_ratio, night, day), COALESCE(std_usage, 0) AS std_usage,
@@ -416,11 +435,11 @@ _SPLIT = """
 split AS (SELECT * EXCLUDE (rn, nl), CAST(rn <= floor(0.2 * nl + 0.5) AS INTEGER) AS is_test FROM s0)"""
 _SCORED = """
 , test AS (SELECT * FROM split WHERE is_test = 1),
-sc AS (SELECT household_id, is_high_risk AS label, round(least(max_spike_ratio / 10, 1), 6) AS score,
-              CAST(round(least(max_spike_ratio / 10, 1), 6) > 0.5 AS INTEGER) AS prediction, 'spike_rule' AS model FROM test
+sc AS (SELECT household_id, is_high_risk AS label, least(max_spike_ratio / 10, 1) AS score,
+              CAST(least(max_spike_ratio / 10, 1) > 0.5 AS INTEGER) AS prediction, 'spike_rule' AS model FROM test
        UNION ALL
-       SELECT household_id, is_high_risk, round(least(night_day_ratio, 1), 6),
-              CAST(round(least(night_day_ratio, 1), 6) > 0.5 AS INTEGER), 'night_rule' FROM test),
+       SELECT household_id, is_high_risk, least(night_day_ratio, 1),
+              CAST(least(night_day_ratio, 1) > 0.5 AS INTEGER), 'night_rule' FROM test),
 cc AS (SELECT model, COUNT(CASE WHEN label = 1 AND prediction = 1 THEN 1 END) AS tp,
               COUNT(CASE WHEN label = 0 AND prediction = 1 THEN 1 END) AS fp,
               COUNT(CASE WHEN label = 1 AND prediction = 0 THEN 1 END) AS fn,
@@ -443,18 +462,18 @@ sbs AS (SELECT metric, MAX(CASE WHEN model = 'spike_rule' THEN value END) AS a,
                MAX(CASE WHEN model = 'night_rule' THEN value END) AS b FROM mt GROUP BY metric)"""
 _FIVE = "('accuracy', 'precision', 'recall', 'f1', 'auc_roc')"
 
-SQL["household_features"] = on("events", _hf() + f" SELECT {HF_COLS} FROM hf")
-SQL["household_features_lineitem"] = on("lineitem", _hf() + f" SELECT {HF_COLS} FROM hf")
-SQL["household_features_join"] = SQL["household_features"]
-SQL["household_features_live"] = on("events", _hf("NOT COALESCE(hour BETWEEN 0 AND 5, false)", live=True)
-                                    + f" SELECT {HF_COLS} FROM hf")
-SQL["label_by_quantile"] = on("events", _hf() + _LABEL + " SELECT * FROM lab")
-SQL["label_by_rule"] = on("events", _hf() + """
-SELECT *, CAST(total_leak_events > 20 OR critical_events > 0 AS INTEGER) AS is_high_risk FROM hf""")
+SQL["household_features"] = on("events", _hf() + shown(f"(SELECT {HF_COLS} FROM hf)", MEANS))
+SQL["household_features_lineitem"] = on("lineitem", _hf() + shown(f"(SELECT {HF_COLS} FROM hf)", MEANS))
+SQL["household_features_live"] = on("events", _hf(
+    "NOT COALESCE(hour BETWEEN 0 AND 5, false)", live=True, where=f"WHERE {FILTER_WHERE}")
+    + shown(f"(SELECT {HF_COLS} FROM hf)", MEANS))
+SQL["label_by_quantile"] = on("events", _hf() + _LABEL + shown("lab", MEANS))
+SQL["label_by_rule"] = on("events", _hf() + shown(
+    "(SELECT *, CAST(total_leak_events > 20 OR critical_events > 0 AS INTEGER) AS is_high_risk FROM hf)", MEANS))
 SQL["label_distribution"] = on("events", _hf() + _LABEL + """
 SELECT is_high_risk AS label, COUNT(*) AS n, CAST(100.0 AS DOUBLE) * COUNT(*) / SUM(COUNT(*)) OVER () AS pct
 FROM lab GROUP BY 1""")
-SQL["stratified_split"] = on("events", _hf() + _LABEL + _SPLIT + " SELECT * FROM split")
+SQL["stratified_split"] = on("events", _hf() + _LABEL + _SPLIT + shown("split", MEANS))
 SQL["class_weights"] = on("events", _hf() + _LABEL + _SPLIT + """
 SELECT n_neg, n_pos, CASE WHEN n_pos > 0 THEN CAST(n_neg AS DOUBLE) / n_pos ELSE 1.0 END AS ratio FROM (
   SELECT COUNT(CASE WHEN is_high_risk = 0 THEN 1 END) AS n_neg, COUNT(CASE WHEN is_high_risk = 1 THEN 1 END) AS n_pos
@@ -471,7 +490,7 @@ SQL["roc_curve"] = on("events", _EVAL + """
 SELECT model, CAST('inf' AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
 FROM (SELECT DISTINCT model FROM sc)
 UNION ALL
-SELECT model, score, CASE WHEN N > 0 THEN CAST(cn AS DOUBLE) / N ELSE 0 END,
+SELECT model, round(score, 6), CASE WHEN N > 0 THEN CAST(cn AS DOUBLE) / N ELSE 0 END,
        CASE WHEN P > 0 THEN CAST(cp AS DOUBLE) / P ELSE 0 END FROM cu""")
 SQL["auc_roc"] = on("events", _EVAL + " SELECT * FROM auc")
 SQL["classification_report"] = on("events", _EVAL + """
@@ -521,3 +540,69 @@ SELECT * FROM (VALUES
 ) AS t(model, key, value)
 UNION ALL SELECT 'rf', 'training_samples', tr FROM sizes UNION ALL SELECT 'rf', 'test_samples', te FROM sizes
 UNION ALL SELECT 'gbt', 'training_samples', tr FROM sizes UNION ALL SELECT 'gbt', 'test_samples', te FROM sizes""")
+
+
+# --- sources, empty selections, and what the tables determine of the models' outputs ------------
+SQL["resolve_source"] = SQL["scan_parquet"]
+SQL["empty_selection"] = on("events", f"""
+SELECT 'example' AS selection, COUNT(*) = 0 AS is_empty FROM readings WHERE {FILTER_WHERE}
+UNION ALL SELECT 'none', true""")
+
+_INPUTS = ["avg_usage", "max_usage", "std_usage", "night_avg_usage", "avg_spike_ratio", "max_spike_ratio", "std_spike_ratio",
+           "night_day_ratio", "usage_range", "cv_usage"]
+
+
+def _long(table: str, columns: list[str], value: str = "{c}") -> str:
+    return " UNION ALL ".join(
+        f"SELECT household_id, {i} AS position, round({value.format(c=c)}, 6) AS value FROM {table}" for i, c in enumerate(columns))
+
+
+SQL["feature_vector"] = on("events", _hf() + " " + _long("hf", _INPUTS))
+SQL["legacy_features"] = on("events", _hf() + " " + _long("hf", _INPUTS[:7]))
+_MOMENTS = ", mo AS (SELECT " + ", ".join(f"AVG({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _INPUTS) + " FROM split WHERE is_test = 0)"
+SQL["scale_features"] = on("events", _hf() + _LABEL + _SPLIT + _MOMENTS + " " + _long(
+    "split, mo", _INPUTS, "({c} - m_{c}) / CASE WHEN s_{c} > 1e-9 * greatest(abs(m_{c}), 1) THEN s_{c} ELSE 1 END"))
+
+_PARTS = _hf() + _LABEL + _SPLIT
+_OK = "true AS in_range, true AS agrees"
+
+
+def _models(columns: str, table: str) -> str:
+    return f"SELECT 'rf' AS model, {columns} FROM {table} UNION ALL SELECT 'gbt', {columns} FROM {table}"
+
+
+SQL["train_rf"] = on("events", _PARTS + f" SELECT 'rf' AS model, household_id, is_high_risk AS label, {_OK} FROM split WHERE is_test = 1")
+SQL["train_gbt"] = SQL["train_rf"].replace("'rf' AS model", "'gbt' AS model")
+_RULED = _LABEL[:_LABEL.index("\n, t AS")] + """
+, lab AS (SELECT *, CAST(total_leak_events > 20 OR critical_events > 0 AS INTEGER) AS is_high_risk FROM hf)"""
+SQL["train_rf_notebook"] = on("events", _hf() + _RULED + _SPLIT + f"""
+SELECT 'rf_notebook' AS model, household_id, is_high_risk AS label, {_OK} FROM split WHERE is_test = 1""")
+SQL["score_households"] = on("events", _PARTS + " " + _models(f"household_id, is_high_risk AS label, {_OK}", "split"))
+SQL["model_metrics"] = on("events", _PARTS + " " + _models("metric, true AS in_range", """
+(SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'auc_roc']) AS metric)"""))
+SQL["model_confusion_matrix"] = on("events", _PARTS + " " + _models("is_high_risk AS actual, n", """
+(SELECT is_high_risk, COUNT(*) AS n FROM split WHERE is_test = 1 GROUP BY 1)"""))
+SQL["model_roc_curve"] = on("events", _PARTS + " " + _models("""CAST(0 AS DOUBLE) AS fpr_first, CAST(0 AS DOUBLE) AS tpr_first,
+ CAST(n0 > 0 AS DOUBLE) AS fpr_last, CAST(n1 > 0 AS DOUBLE) AS tpr_last""", """
+(SELECT COUNT(CASE WHEN is_high_risk = 0 THEN 1 END) AS n0, COUNT(CASE WHEN is_high_risk = 1 THEN 1 END) AS n1
+ FROM split WHERE is_test = 1)"""))
+SQL["model_auc_roc"] = "SELECT unnest(['rf', 'gbt']) AS model, true AS in_range"
+SQL["model_classification_report"] = on("events", _PARTS + " " + _models("class, support", """
+(SELECT CASE is_high_risk WHEN 0 THEN 'Normal' ELSE 'High Risk' END AS class, COUNT(*) AS support
+   FROM split WHERE is_test = 1 GROUP BY 1
+ UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), COUNT(*) FROM split WHERE is_test = 1)"""))
+SQL["model_comparison_ml"] = "SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'auc_roc']) AS metric, true AS agrees"
+SQL["metrics_summary_ml"] = """
+SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'auc_roc', 'TN', 'FP', 'FN', 'TP']) AS metric, true AS rf_known, true AS gbt_known"""
+SQL["feature_importance"] = f"SELECT unnest({_INPUTS}) AS feature, true AS rf_in_range, true AS gbt_in_range"
+SQL["ensemble_verdict_ml"] = on("events", "SELECT DISTINCT household_id, true AS agrees, true AS in_range FROM readings")
+SQL["probability_band_model"] = on("events", "SELECT DISTINCT household_id, true AS agrees FROM readings")
+SQL["whatif_score"] = on("events", f"""
+SELECT scenario, household_id, model, {_OK}
+FROM (SELECT DISTINCT household_id FROM readings WHERE {FILTER_WHERE}),
+     (SELECT unnest(['night_usage_x2', 'spikes_calm', 'volatile']) AS scenario), (SELECT unnest(['rf', 'gbt']) AS model)""")
+SQL["model_roundtrip"] = on("events", "SELECT COUNT(DISTINCT household_id) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM readings")
+SQL["metrics_roundtrip"] = "SELECT CAST(0 AS BIGINT) AS n_different"
+SQL["cross_validate"] = on("events", """
+SELECT CAST(CAST('0x' || substr(md5(household_id || ':42'), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, 'rf' AS model,
+       COUNT(DISTINCT household_id) AS n, true AS in_range FROM readings GROUP BY 1""")

@@ -1,12 +1,14 @@
 """Session helpers: a local session for tests/bench and the shared scratch area."""
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_scratch: set[str] = set()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "hydrolens") -> SparkSession:
     """Session used by tests and bench.py. On a cluster the caller owns the session."""
@@ -31,8 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
     Taken from the session: the configured ``spark.checkpoint.dir`` (stable
     across applications, so materialised tables are reused), else the context's
-    checkpoint dir. Only when neither is set (unit tests on a laptop) do we
-    create one.
+    checkpoint dir. Where neither is set, a local session gets a folder of its
+    own (its executors are this very process); any other session is refused,
+    since executors would write to disks that nobody else can read.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
@@ -44,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="hydrolens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -51,9 +56,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh path under the shared folder (never a machine-local temp dir)."""
-    base = shared_dir(spark).rstrip("/")
-    return "/".join([base, "hydrolens", *parts, uuid.uuid4().hex])
+    """A fresh path under the shared folder, in this application's scratch, which is removed when Python ends."""
+    scratch = stable_path(spark, f"scratch-{spark.sparkContext.applicationId}")
+    if scratch not in _scratch:
+        _scratch.add(scratch)
+        atexit.register(_remove, spark, scratch)
+    return "/".join([scratch, *parts, uuid.uuid4().hex])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - Hadoop FS has no public Python API
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+    except Exception:  # noqa: BLE001 - the session may be gone; scratch of a stopped application is harmless
+        pass
 
 
 def stable_path(spark: SparkSession, *parts: str) -> str:
@@ -61,18 +77,6 @@ def stable_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "hydrolens", *parts])
 
 
-def local_fs_path(path: str) -> str | None:
-    """Return a local filesystem path for file:/ URIs, else None."""
-    if path.startswith("file:"):
-        p = path[5:]
-        while p.startswith("//"):
-            p = p[1:]
-        return p
-    if path.startswith("/"):
-        return path
-    return None
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop FS, so it works for any shared filesystem."""
     jvm = spark._jvm  # noqa: SLF001 - Hadoop FS access has no public Python API
@@ -81,13 +85,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 def tune_for_scale(spark: SparkSession, input_bytes: int, total_cores: int | None = None,
                    target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Size shuffle and scan partitions from the input size (runtime SQL confs only).

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from hydrolens.functions.columns import hour_index, hour_start_ntz
 
 
+#: Hourly litres are summed in whole microlitres, so that a sum does not depend on its order.
+LITRES = "decimal(24,6)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -27,7 +31,7 @@ def _hourly(df: DataFrame, key: str, ts, value: str) -> DataFrame:
     keys); the id string and the NTZ timestamp are built once per group, after
     the partial aggregate, not once per raw row."""
     g = df.groupBy(F.col(key).alias("_k"), hour_index(ts).alias("_h")).agg(
-        F.sum(F.col(value).cast("decimal(18,2)")).alias("usage"))
+        F.sum(F.col(value).cast(LITRES)).alias("usage"))
     return g.select(meter_id("_k").alias("household_id"), hour_start_ntz("_h").alias("timestamp"), "usage")
 
 

@@ -22,11 +22,14 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
-                  columns: list[str] | None = None, trusted: bool = False) -> DataFrame:
+                  columns: list[str] | None = None, trusted: bool = False,
+                  months: tuple[str, str] | None = None) -> DataFrame:
     """Read readings with the explicit schema. For CSV, ``columns`` gives the
     file's column order when it differs from the canonical one. ``trusted``
     skips the NaN->NULL rewrite for tables written by our own enrichment (which
-    cannot produce NaN), so filters on the double columns reach the scan."""
+    cannot produce NaN), so filters on the double columns reach the scan.
+    ``months`` (first and last, as yyyy-MM) reads only their folders of a table
+    written by month."""
     if fmt == "csv":
         fields = {f.name: f for f in READINGS.fields}
         schema = T.StructType([fields[c] for c in columns]) if columns else READINGS
@@ -35,6 +38,9 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
               .option("mode", "FAILFAST").csv(path))
     elif fmt == "parquet":
         df = spark.read.parquet(path)
+        if months:
+            df = df.where(F.date_format(F.col("month").cast("date"), "yyyy-MM").between(*months)
+                          if dict(df.dtypes)["month"] == "date" else F.col("month").between(*months))
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in READINGS.fields])
     else:
         raise ValueError(f"unknown format {fmt!r}")

@@ -22,7 +22,7 @@ from hydrolens.sources.fixtures import RAW_SOURCES
 from hydrolens.sources.readers import read_readings
 from hydrolens.sources.writers import write_readings
 
-ENRICH_VERSION = "enrich-3"
+ENRICH_VERSION = "enrich-4"
 _SOURCE_TABLE = {"events": "events", "lineitem": "lineitem"}
 _memo: dict[tuple, object] = {}
 _lock = threading.Lock()
@@ -35,21 +35,17 @@ def _fs(spark: SparkSession, path: str):
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """Hash of the files' paths, sizes and modification times (listed once per process)."""
-    mkey = (id(spark), "fp", path)
-    with _lock:
-        if mkey in _memo:
-            return _memo[mkey]
+    """Hash of the files' paths, sizes and modification times, listed anew for each query that is built.
+
+    The files' hashes are added up, so their names are never gathered anywhere.
+    """
     fs, p = _fs(spark, path)
-    parts = []
-    it = fs.listFiles(p, True)
+    total, it = 0, fs.listFiles(p, True)
     while it.hasNext():
         st = it.next()
-        parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-    fp = hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
-    with _lock:
-        _memo[mkey] = fp
-    return fp
+        one = f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}"
+        total += int.from_bytes(hashlib.sha1(one.encode()).digest()[:8], "big")
+    return f"{total % (1 << 64):016x}"
 
 
 def materialize(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
@@ -62,13 +58,15 @@ def materialize(spark: SparkSession, name: str, key: str, build: Callable[[], Da
     recomputing it. The write goes to a fresh folder that is renamed into place
     only when complete.
     """
-    mkey = (id(spark), name, key)
-    with _lock:
-        if mkey in _memo:
-            return _memo[mkey]
+    mkey = (spark.sparkContext.applicationId, name, key)
     tag = hashlib.sha1(key.encode()).hexdigest()[:20]
     path = stable_path(spark, name, tag)
     fs, p = _fs(spark, path)
+    with _lock:
+        if mkey in _memo:
+            if fs.exists(p):
+                return _memo[mkey]
+            del _memo[mkey]
     if not fs.exists(_fs(spark, path + "/_SUCCESS")[1]):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         df = build()

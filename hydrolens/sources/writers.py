@@ -8,19 +8,20 @@ from hydrolens.functions.columns import month_of
 
 
 def write_readings(r: DataFrame, path: str, partition_by_month: bool = True) -> None:
-    """Snappy Parquet, partitioned by month so later time filters prune folders.
+    """Snappy Parquet in a folder for each month, so that time filters prune folders.
 
-    No repartition: after the enrichment window rows are already clustered by
-    household, so a local sort by (month, household, time) keeps each file's
-    row groups household-clustered (a household filter skips most of a file)
-    without a second full shuffle of the table.
+    Rows are rebalanced by month: Spark splits a month into files of the advisory
+    partition size and joins small ones, so the number of files follows the data
+    (about one a month and advisory size), not months times tasks. A local sort
+    keeps each file household-clustered.
     """
-    w = r
     if partition_by_month:
-        w = w.withColumn("month", month_of("timestamp")).sortWithinPartitions("month", "household_id", "timestamp")
+        w = r.withColumn("month", month_of("timestamp")).hint("rebalance", "month").sortWithinPartitions(
+            "month", "household_id", "timestamp")
         writer = w.write.mode("overwrite").option("compression", "snappy").partitionBy("month")
     else:
-        writer = w.sortWithinPartitions("household_id", "timestamp").write.mode("overwrite").option("compression", "snappy")
+        w = r.sortWithinPartitions("household_id", "timestamp")
+        writer = w.write.mode("overwrite").option("compression", "snappy")
     writer.parquet(path)
 
 
@@ -29,8 +30,3 @@ def export_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -
     out = df.select(*columns) if columns else df
     (out.write.mode("overwrite").option("header", True)
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path))
-
-
-def drop_month(df: DataFrame) -> DataFrame:
-    return df.drop("month") if "month" in df.columns else df
-

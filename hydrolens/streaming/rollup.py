@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrolens.functions.columns import truncate_hour_ntz
-from hydrolens.sources.fixtures import hourly_events, meter_id
+from hydrolens.sources.fixtures import LITRES, hourly_events, meter_id
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -27,27 +27,37 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def event_stream(spark: SparkSession, in_dir: str, file_glob: str = "*.parquet",
-                 max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", file_glob).parquet(in_dir))
+#: What a micro-batch reads at most; a larger file is a batch of its own.
+BATCH_BYTES = 512 << 20
+ROLLUP = "household_id string, timestamp timestamp_ntz, usage decimal(34,6)"
 
 
-def stream_rollup(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, file_glob: str = "*.parquet",
-                  max_files_per_trigger: int = 1) -> None:
-    """Process every file available now (micro-batches of ``max_files_per_trigger``), then stop."""
+def event_stream(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The events under ``path``: a Parquet file, a folder of part files, or a pattern of either."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if not set("*?[]{}") & set(path):  # the source takes a single file only as a pattern
+        path = f"{folder}/{{{name}}}"
+    return spark.readStream.schema(EVENTS_SCHEMA).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+
+
+def stream_rollup(spark: SparkSession, path: str, out_dir: str, checkpoint: str, batch_bytes: int = BATCH_BYTES) -> None:
+    """Process all files available now, in micro-batches of ``batch_bytes``, then stop.
+
+    An empty first batch gives readers a table also where there is no event.
+    """
+    spark.createDataFrame([], ROLLUP).write.mode("overwrite").parquet(f"{out_dir}/batch=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         hourly_events(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    q = (event_stream(spark, in_dir, file_glob, max_files_per_trigger).writeStream.foreachBatch(sink)
+    q = (event_stream(spark, path, batch_bytes).writeStream.foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def read_rollup(spark: SparkSession, out_dir: str) -> DataFrame:
     """Hourly usage per meter: the sum of the per-batch partial sums."""
-    df = spark.read.parquet(out_dir)
+    df = spark.read.schema(ROLLUP).parquet(out_dir)
     return df.groupBy("household_id", "timestamp").agg(F.sum("usage").cast("double").alias("usage"))
 
 
@@ -65,5 +75,5 @@ def live_hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return (ev.withColumn("_t", instant).withWatermark("_t", delay)
               .groupBy(meter_id("user_id").alias("household_id"), F.window("_t", "1 hour").alias("w"),
                        truncate_hour_ntz("ts").alias("timestamp"))
-              .agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("usage"))
+              .agg(F.sum(F.col("value").cast(LITRES)).alias("usage"))
               .select("household_id", "timestamp", "usage"))

@@ -36,10 +36,15 @@ def test_single_class_label_fails_clearly(spark, h1):
         HF.label_quantile(hf).collect()
 
 
-def test_conditional_aggregate_equals_join_form(spark):
+def test_conditional_aggregate_equals_separate_aggregates(spark):
+    """One aggregate with conditions gives what an aggregate for each condition and joins give."""
     r = enrich(raw_from_events(spark, SF0001))
-    a, b = HF.household_features(r), HF.household_features_join(r)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    night = r.where("hour BETWEEN 0 AND 5").groupBy("household_id").agg(F.avg("water_usage_liters").alias("n"))
+    day = r.where("hour BETWEEN 6 AND 23").groupBy("household_id").agg(F.avg("water_usage_liters").alias("d"))
+    hf = HF.household_features(r).join(night, "household_id", "left").join(day, "household_id", "left")
+    off = hf.where((F.abs(F.col("night_avg_usage") - F.coalesce("n", F.lit(0.0))) > 1e-9)
+                   | (F.abs(F.col("day_avg_usage") - F.coalesce("d", "avg_usage")) > 1e-9))
+    assert off.count() == 0 and hf.count() > 0
 
 
 def test_split_exact_disjoint_complete(spark):

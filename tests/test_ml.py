@@ -24,7 +24,7 @@ def test_rf_and_gbt_behaviour(spark, data, tmp_path):
         sc = M.score(m, data, name)
         assert sc.where((F.col("score") < 0) | (F.col("score") > 1)).count() == 0
         assert set(r.prediction for r in sc.collect()) <= {0, 1}
-    imp = M.feature_importance({"rf": rf, "gbt": gbt})
+    imp = M.feature_importance(spark, {"rf": rf, "gbt": gbt})
     assert sum(r.rf for r in imp.collect()) == pytest.approx(1.0)
     path = str(tmp_path / "rf")
     M.save_model(rf, path)
