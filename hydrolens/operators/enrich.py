@@ -114,17 +114,15 @@ def rule_filter(r: DataFrame, hours: int = ROLL_HOURS, k: float = 3.0, top_hours
     An outlier is kept unless its hour is one of the household's ``top_hours``
     hours by mean usage (ties: earlier hour) and it is not a night hour.
     The profile (at most 24 hours a household) becomes one row per household
-    with its peak hours as an array. Only outliers meet it: the other rows pass
-    by the join, so the readings are not shuffled a second time.
+    with its peak hours as an array, which joins the readings before they are
+    dealt to window partitions; Spark broadcasts it where it's small.
     """
-    x = dynamic_threshold(r, hours, k)
     prof = r.groupBy("household_id", "hour").agg(F.avg("water_usage_liters").alias("_m"))
     ranked = F.sort_array(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct((-F.col("_m")).alias("m"), "hour"))))
     peaks = prof.groupBy("household_id").agg(F.transform(F.slice(ranked, 1, top_hours), lambda s: s["hour"]).alias("_peaks"))
-    out = x.where("is_outlier = 1").join(peaks, "household_id", "left")
+    x = dynamic_threshold(r.join(peaks, "household_id", "left"), hours, k)
     habitual = F.coalesce(F.array_contains("_peaks", F.col("hour")), F.lit(False)) & (F.col("hour") > NIGHT_HOURS[1])
-    out = out.withColumn("is_outlier_kept", F.when(habitual, 0).otherwise(1)).drop("_peaks")
-    return out.unionByName(x.where("is_outlier = 0").withColumn("is_outlier_kept", F.lit(0)))
+    return x.withColumn("is_outlier_kept", F.when((F.col("is_outlier") == 1) & ~habitual, 1).otherwise(0)).drop("_peaks")
 
 
 def household_tier(r: DataFrame) -> DataFrame:
