@@ -106,7 +106,7 @@ def _repeated(ws: Column) -> Column:
 
 
 def measures(text: Column, stop_words: str = STOP_WORDS) -> dict[str, Column]:
-    """Name to expression of every measure of a text."""
+    """Name to expression of every measure of a text; words and lines are split once."""
     t = F.coalesce(text, F.lit(""))
     stop = sorted({v + end for w in stop_words.split() for v in (w, w.capitalize()) for end in ("", ".", ",")})
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
@@ -123,23 +123,22 @@ def measures(text: Column, stop_words: str = STOP_WORDS) -> dict[str, Column]:
         return F.struct(F.size(ls).cast("bigint").alias("n_lines"),
                         (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"))
 
-    w, ln = let(words_of(text), of_words), let(lines, of_lines)
     return {
-        "__words": w, "__lines": ln,
+        "words": let(words_of(text), of_words), "lines": let(lines, of_lines),
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("bigint"),
         "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("bigint"),
     }
 
 
-def holds(rule: Rule) -> Column:
-    value = F.col(rule.measure) * rule.scale
-    per = F.col(rule.per) if rule.per else F.lit(1)
+def holds(rule: Rule, measure: dict[str, Column]) -> Column:
+    value = measure[rule.measure] * rule.scale
+    per = measure[rule.per] if rule.per else F.lit(1)
     ok = F.lit(True)
     if rule.low is not None:
         ok = ok & (value >= per * rule.low)
     if rule.high is not None:
         ok = ok & (value <= per * rule.high)
-    return ok | (F.col("n_words") < rule.from_words) if rule.from_words else ok
+    return ok | (measure["n_words"] < rule.from_words) if rule.from_words else ok
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
@@ -149,11 +148,17 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES,
           stop_words: str = STOP_WORDS) -> DataFrame:
     """Input columns with the measures, ``base_failed``, ``kept`` and ``failed`` (names of the rules broken)."""
-    m = measures(F.col(text), stop_words)
-    out = docs.drop(*(c for c in (*MEASURES, "base_failed", "kept", "failed") if c != text))
-    out = out.withColumns(m).select("*", "__words.*", "__lines.*").drop("__words", "__lines")
-    broken = F.filter(F.array(*[F.when(~holds(r), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
-    failed = F.lit(False)
-    for r in base:
-        failed = failed | ~holds(r)
-    return out.withColumn("base_failed", failed).withColumn("failed", broken).withColumn("kept", F.size("failed") == 0)
+    def verdicts(m: Column) -> Column:
+        of = {"words": ("n_words", "n_repeat_words", "n_stop_words", "n_upper_words"), "lines": ("n_lines", "n_dup_lines")}
+        known = {c: m[part][c] for part, cs in of.items() for c in cs} | {c: m[c] for c in ("word_chars", "n_symbols")}
+        broken = F.filter(F.array(*[F.when(~holds(r, known), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
+        failed = F.lit(False)
+        for r in base:
+            failed = failed | ~holds(r, known)
+        return F.struct(*[known[c].alias(c) for c in MEASURES], failed.alias("base_failed"), broken.alias("failed"),
+                        (F.size(broken) == 0).alias("kept"))
+
+    # one expression: a filter on ``kept`` that Spark moves below the projection still measures a text once
+    judged = let(F.struct(*[c.alias(n) for n, c in measures(F.col(text), stop_words).items()]), verdicts)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c == text or c not in (*MEASURES, "base_failed", "kept", "failed")]
+    return docs.select(*rest, judged.alias("__judged")).select(*rest, "__judged.*")
