@@ -12,7 +12,7 @@ of the first collection and meet those of the second there, so that the table ke
 themselves are never shuffled. Each bucket is first tried as a star around its
 smallest node; sketches shared by very many documents are split by salt, each
 part with a star of its own. Confirmed links merge nodes into components. Only
-buckets whose nodes are still in different components are looked at again, by the
+stars whose nodes are still in different components are looked at again, by the
 rarest shingles of their nodes, some of which any linked pair must share (prefix
 filter).
 So no pair of a bucket that could still join two components goes untested.
@@ -162,12 +162,18 @@ def pairs_of(left: str, left_n: str, right: str, right_n: str, rows: DataFrame)
     return rows.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct()
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each bucket's nodes with its star; the stars of a split bucket with the smallest of them."""
-    split = rows.where(F.col("salts") > 1).select("table", F.col("star").alias("node"), F.col("star_n").alias("n")).distinct()
-    top = split.groupBy("table").agg(F.min(F.struct("node", "n")).alias("top"))
-    upper = split.join(top, "table").select("node", "n", F.col("top.node").alias("star"), F.col("top.n").alias("star_n"))
-    return pairs_of("star", "star_n", "node", "n", rows.select("node", "n", "star", "star_n").unionByName(upper))
+def star_members(rows: DataFrame) -> DataFrame:
+    """Distinct ``star``, ``node`` and their sizes, each star among its own nodes.
+
+    Nodes of one bucket have a star in common, so these pairs stand for the
+    buckets, of which there are many more. Parts of a split bucket have the
+    smallest of their stars in common too.
+    """
+    own = rows.select("star", "star_n", "node", "n")
+    split = rows.where(F.col("salts") > 1)
+    top = split.groupBy("table").agg(F.min(F.struct("star", "star_n")).alias("top"))
+    upper = split.join(top, "table").select("top.star", "top.star_n", "node", "n")
+    return own.unionByName(upper).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,15 +216,15 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes of buckets that hold several components, with their ``root``."""
-    known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = known.groupBy("table").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
-        F.col("x") != F.col("y")).select("table")
-    return known.join(left, "table", "left_semi").select("node", "n", "root").distinct()
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of stars of three nodes or more that lie in several components, with their ``root``."""
+    known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = known.groupBy("star").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).where(
+        (F.col("x") != F.col("y")) & (F.col("c") > 2)).select("star")
+    return known.join(left, "star", "left_semi").select("node", "n", "root").distinct()
 
 
-def _rest(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(nodes: DataFrame, sets: DataFrame, scratch: str) -> DataFrame:
     """Every pair of nodes of different components that may still be linked.
 
     Shingles are ranked by how many of the nodes have them, rarest first. Linked
@@ -227,10 +233,15 @@ def _rest(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     looked up from the node outside the component that has it most often.
     """
     each = nodes.join(sets, "node").select("node", "n", "root", F.explode("set").alias("s"))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    # written, so that the join with it has an exchange on either side and Spark can split a shingle that many have
+    common = saved(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), f"{scratch}/common")
     rare = Window.partitionBy("node").orderBy("df", "s")
     ranked = each.join(common, "s").withColumn("at", F.row_number().over(rare))
-    lead = ranked.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).drop("df")
+    # shingles of one node alone come first in its order, and there are as many as are missing here
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    lead = ranked.withColumn("at", F.col("at") + alone).where(
+        F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).drop("df")
+    lead = saved(lead, f"{scratch}/lead")
     most = lead.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
         F.max_by("root", F.struct("c", "root")).alias("most"))
     a = lead.join(most, "s").where(F.col("root") != F.col("most")).drop("most")
@@ -247,15 +258,15 @@ def links(docs: DataFrame, sketches: DataFrame, scratch: str, words: int) -> Dat
     nodes = sketches.where("n > 0").select("node", "n", "u", "v", F.struct("k", "h").alias("doc")).dropDuplicates(["node"])
     nodes = saved(nodes, f"{scratch}/nodes")
     rows = saved(buckets(nodes.drop("doc")), f"{scratch}/buckets")
-    shown = rows.select("node").distinct().join(nodes.select("node", "doc.k", "doc.h"), "node")
+    members = saved(star_members(rows), f"{scratch}/members")
+    shown = members.select("node").distinct().join(nodes.select("node", "doc.k", "doc.h"), "node")
     texts = docs.join(shown, ["k", "h"]).select("node", "text").dropDuplicates(["node"])
     sets = saved(texts.mapInArrow(_sets(words), "node long, set array<long>"), f"{scratch}/sets")
-    tested = saved(star_pairs(rows), f"{scratch}/pairs0")
+    tested = saved(pairs_of("star", "star_n", "node", "n", members), f"{scratch}/pairs0")
     edges = saved(confirmed(tested, sets), f"{scratch}/links0")
     roots = saved(components(edges, f"{scratch}/roots0"), f"{scratch}/found0")
-    left = rows.join(rows.groupBy("table").count().where("count > 2").select("table"), "table", "left_semi")
-    left = saved(_open(left, roots), f"{scratch}/open")
-    pairs = _rest(left, sets).join(tested, ["a", "b"], "left_anti")
+    left = saved(_open(members, roots), f"{scratch}/open")
+    pairs = _rest(left, sets, scratch).join(tested, ["a", "b"], "left_anti")
     more = saved(confirmed(pairs, sets), f"{scratch}/links1")
     return roots if more.isEmpty() else components(edges.unionByName(more), f"{scratch}/roots1")
     return roots
