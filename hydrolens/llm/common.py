@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's word memo before it starts anew; bounds the memory of a Python worker.
-MEMO = 400_000
+MEMO = 600_000
 #: Rows of the bounded sample behind sorted ranges, for each range.
 SAMPLE_PER_RANGE = 60
 
@@ -20,6 +21,19 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def by_size(texts: list[str | None], chars: int = 1 << 21) -> Iterator[list[str]]:
+    """The texts (None as empty) in runs of about so many characters, to bound what is split into words at once."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t or "")
+        size += len(t or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class Encoder:
     """Token ids of whole texts as flat little-endian bytes, by the tokenizers library.
 
@@ -49,43 +63,55 @@ class Encoder:
         for piece, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = piece.startswith("Ġ")
         self.memo: dict[str, bytes] = {}
+        #: Words seen that are empty or begin or end in white space; only they can make a text split unevenly.
+        self.edged: set[str] = set()
+        self.marks = {m: ids.tobytes() for m, ids in zip(".,", self._library([".", ","]), strict=True)}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        odd = [w for w in words if not (w and not (w[0].isspace() or w[-1].isspace()))]
+        """Ids of new words. One that only adds a point or comma to letters has those of the letters, then the mark's."""
+        memo = self.memo
+        marked = [w for w in words if w[-1:] in self.marks and w[:-1].isalpha()]
+        words.difference_update(marked)
+        words.update(b for w in marked if (b := w[:-1]) not in memo)
+        plain = [w for w in words if w.strip() == w != ""]
+        odd = [w for w in words if w.strip() != w or not w]
         for i in range(0, len(plain), 2000):
             part = plain[i:i + 2000]
             ids = self._library([" " + " ".join(part)])[0]
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(part):
-                raw, step = ids.tobytes(), self.dtype.itemsize
-                ends = np.append(starts[1:], len(ids)) * step
-                self.memo.update(zip(part, (raw[a:b] for a, b in zip(starts * step, ends, strict=True)), strict=True))
+                raw, ends = ids.tobytes(), (np.append(starts, len(ids)) * self.dtype.itemsize).tolist()
+                memo.update(zip(part, (raw[a:b] for a, b in pairwise(ends)), strict=True))
             else:
                 odd += part
         for w, ids in zip(odd, self._library([" " + w for w in odd]), strict=True):
-            self.memo[w] = ids.tobytes()
+            memo[w] = ids.tobytes()
+        memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Flat ids of each text; None counts as empty. Ids have ``self.dtype``."""
-        texts = [t or "" for t in texts]
-        whole = [not self.by_word or bool(self._uneven.search(t)) or any(s in t for s in self.special) for t in texts]
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        return [ids for part in by_size(texts) for ids in self._encode(part)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") if self.by_word and not any(s in t for s in self.special) else None for t in texts]
         words: set[str] = set()
         for s in split:
             if s:
                 words.update(s[1:])
-        words.difference_update(self.memo)
-        self._learn(words)
-        heads = [t if w else s[0] for t, s, w in zip(texts, split, whole, strict=True)]
+        if len(self.memo) > MEMO:  # what this batch needs stays
+            self.memo = {w: self.memo[w] for w in words if w in self.memo}
+            self.edged.intersection_update(words)
+        new = words.difference(self.memo)
+        self.edged.update(w for w in new if w.strip() != w or not w)
+        if not self.edged.isdisjoint(words):
+            split = [None if s and self._uneven.search(t) else s for t, s in zip(texts, split, strict=True)]
+        self._learn(new)
         get = self.memo.__getitem__
-        return [ids.tobytes() + (b"".join(map(get, s[1:])) if s else b"")
-                for ids, s in zip(self._library(heads), split, strict=True)]
+        heads = self._library([s[0] if s else t for t, s in zip(texts, split, strict=True)])
+        return [ids.tobytes() + (b"".join(map(get, s[1:])) if s else b"") for ids, s in zip(heads, split, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -119,13 +145,19 @@ def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
 
 
-def range_splits(df: DataFrame, key: str, n: int) -> list[float]:
-    """At most ``n - 1`` split points of a long column, from a sample of about 60 rows for each range."""
-    keys = df.select(F.col(key).cast("double").alias("k"))
-    rows = keys.count()
-    part = min(1.0, SAMPLE_PER_RANGE * n / max(rows, 1))
-    found = sorted(r.k for r in (keys if part == 1 else keys.sample(part, 17)).collect())
-    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+def range_splits(df: DataFrame, key: str, n: int, weight: str | None = None) -> list[float]:
+    """At most ``n - 1`` split points of a long column, from a sample of about 60 rows for each range.
+
+    The ranges hold like numbers of rows or, with ``weight``, like sums of that column.
+    """
+    rows = df.select(F.col(key).cast("double").alias("k"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
+    part = min(1.0, SAMPLE_PER_RANGE * n / max(rows.count(), 1))
+    found = sorted((r.k, r.w) for r in (rows if part == 1 else rows.sample(part, 17)).collect())
+    if not found:
+        return []
+    sums = np.cumsum([w for _, w in found])
+    at = np.searchsorted(sums, sums[-1] * np.arange(1, n) / n)
+    return sorted({found[i][0] for i in at})
 
 
 def with_range(df: DataFrame, key: str, splits: list[float], out: str) -> DataFrame:

@@ -29,7 +29,7 @@ HASHED = 256
 AXES = 3
 BITS = 15
 TIE_BITS = 18
-RANGE_DOCS = 50_000
+RANGE_TOKENS = 32 << 20
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -133,8 +133,8 @@ def pack(docs: DataFrame, tokenizer: str, scratch: str, length: int = LENGTH, en
     spark = docs.sparkSession
     encoded(docs, tokenizer, end_id, doc_id, text).write.option("compression", "zstd").parquet(scratch)
     rows = spark.read.parquet(scratch)
-    n = parts_for(rows, rows.count(), RANGE_DOCS)
-    splits = range_splits(rows, "key", n)
+    n = parts_for(rows, rows.agg(F.sum("doc_tokens")).first()[0] or 0, RANGE_TOKENS)
+    splits = range_splits(rows, "key", n, weight="doc_tokens")
     sizes = with_range(rows.select("key", "doc_tokens"), "key", splits, "part").groupBy("part").agg(
         F.sum("doc_tokens").alias("n"))
     base, total = {}, 0
