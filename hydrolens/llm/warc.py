@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from hydrolens.llm.common import filesystem, publish, rows_of
 
 REVISIT_BYTES = 100
-#: Bounds of the dictionary's sample: payloads, and bytes of each.
+#: Bounds of the dictionary's sample: payloads expected, and bytes of each.
 SAMPLE_PAGES = 400
 SAMPLE_BYTES = 32 << 10
 DICTIONARY_BYTES = 64 << 10
@@ -58,11 +58,16 @@ def with_originals(pages: DataFrame, page_id: str = "page_id", html: str = "html
 
 
 def train(pages: DataFrame, html: str = "html") -> bytes:
-    """A dictionary from at most ``SAMPLE_PAGES`` payloads of at most ``SAMPLE_BYTES``; none from too few."""
+    """A dictionary from about ``SAMPLE_PAGES`` payloads of at most ``SAMPLE_BYTES``; none from too few.
+
+    Payloads are drawn by their hash, so tasks send only the drawn ones to the driver.
+    """
     short = pages.select(F.col(html).alias("html")).where(F.octet_length("html").between(64, SAMPLE_BYTES))
-    found = short.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    top = min((1 << 64) - 1, (SAMPLE_PAGES << 64) // max(short.count(), 1)) - (1 << 63)
+    drawn = short.where(F.xxhash64("html") <= top).distinct()
+    found = sorted(r.html.encode() for r in drawn.collect())
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [r.html.encode() for r in found]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, found).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
