@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrolens.llm.common import by_size
+
 MARK = "▁"
 #: Sets the mark in a text apart from the model's; no text can hold it.
 APART = "\ud800"
@@ -211,6 +213,12 @@ class Segmenter:
 
     def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
         """Flat ids (32 bits each) of whole texts, each led by the model's extra space."""
+        out: list[bytes] = []
+        for part in by_size(texts):
+            out += self._encode(part, doc_ids[len(out):len(out) + len(part)])
+        return out
+
+    def _encode(self, texts: list[str], doc_ids: list[int | None]) -> list[bytes]:
         if sum(map(len, self.cuts)) > MEMO * self.variants:
             for c in self.cuts:
                 c.clear()
