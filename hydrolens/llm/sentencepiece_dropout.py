@@ -39,7 +39,7 @@ DROPOUT = 0.1
 SEED = 20
 VARIANTS = 8
 #: Word cuts that a worker remembers for each variant.
-MEMO = 120_000
+MEMO = 60_000
 #: Characters up to which words are cut many at once, so many in a block; longer ones are cut one by one.
 SHORT = 48
 BLOCK = 20_000
