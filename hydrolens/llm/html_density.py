@@ -7,9 +7,12 @@ and markup. Every other node gets its link-adjusted density of characters per
 tag, and the sum of its children's densities. The node with the largest sum is
 the core of the article; the smallest density on the path from it up to the body
 is the threshold for taking in its surroundings: while a neighbour of the subtree
-reaches it and holds blocks of its own, the subtree grows to the parent. Where a
-page marks its articles, the search stays in the one with most text, which is
-taken whole.
+reaches it and holds blocks of its own, the subtree grows to the parent.
+
+Where a page marks articles (else a main part) and they hold half of its text or
+more, the search stays in the mark, or in what several marks have in common. Up to
+there a heading, or a neighbour that reaches half the threshold, lets the subtree
+grow. Marks with less text than that, such as teasers, bound nothing.
 
 Inside the subtree nothing is dropped. White space within a block becomes one
 space; blocks are joined by one space in page order.
@@ -45,6 +48,7 @@ NAMES = frozenset(
     "notices pager pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip "
     "social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 LANDMARKS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _KEPT = frozenset(("html", "body", "article", "main"))
 #: A start tag that closes an open element of the same kind, up to these borders.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -171,13 +175,12 @@ def extract(html: str | None) -> str:
     for i in range(1, n):
         sums[page.parent[i]] += dense[i]
     body = next((i for i in range(n) if page.tag[i] == "body" and kept[i] and chars[i]), 0)
-    marked = next((found for tag in LANDMARKS if (
-        found := [i for i in range(n) if page.tag[i] == tag and kept[i] and chars[i]])), [])
-    if marked:
-        best = max(marked, key=lambda i: (chars[i], -i))
-    else:
-        best = max((i for i in range(n) if kept[i] and chars[i] and page.end[i] <= page.end[body]), key=lambda i: (sums[i], chars[i], -i))
-        best = grown(page.parent, dense, sums, kept, best, body)
+    bound, marked = bounded(page, kept, chars, body)
+    inside = [False] * n
+    for i in range(n):
+        inside[i] = kept[i] and (i == bound or (i > bound and inside[page.parent[i]]))
+    best = max((i for i in range(n) if inside[i] and chars[i]), key=lambda i: (sums[i], chars[i], -i))
+    best = grown(page, dense, sums, kept, best, body, bound if marked else None)
     words, text = [], []
     for piece, i in zip(page.pieces[page.first[best]:page.end[best]], page.owner[page.first[best]:page.end[best]], strict=True):
         if piece is None:
@@ -188,20 +191,44 @@ def extract(html: str | None) -> str:
     return " ".join(words + "".join(text).split())
 
 
-def grown(parent: list[int], dense: list[float], sums: list[float], kept: list[bool], best: int, body: int) -> int:
-    """The largest subtree around ``best`` whose added neighbours reach the threshold of the path to the body."""
-    path = [best]
+def bounded(page: Page, kept: list[bool], chars: list[int], body: int) -> tuple[int, bool]:
+    """The mark that holds half of the text or more, or the lowest node around several such marks; else the body (and False)."""
+    for tag in LANDMARKS:
+        marks, inner = [], [False] * len(kept)
+        for i in range(1, len(kept)):
+            inner[i] = inner[page.parent[i]] or page.tag[page.parent[i]] == tag
+            if page.tag[i] == tag and kept[i] and chars[i] and not inner[i]:
+                marks.append(i)
+        if marks and 2 * sum(chars[i] for i in marks) >= chars[0]:
+            low = marks[0]
+            while any(page.end[low] < page.end[i] for i in marks):  # marks[0] is the first of them in page order
+                low = page.parent[low]
+            return low, True
+    return body, False
+
+
+def grown(page: Page, dense: list[float], sums: list[float], kept: list[bool], best: int, body: int, bound: int | None) -> int:
+    """The largest subtree around ``best`` whose added neighbours reach the threshold of the path to the body.
+
+    A bound set by marks of the page is not left; in it they speak for its parts.
+    """
+    parent, path = page.parent, [best]
     while path[-1] != body and parent[path[-1]] >= 0:
         path.append(parent[path[-1]])
     threshold = min(dense[i] for i in path)
+    if bound is None:
+        reaches = lambda i: sums[i] > 0 and dense[i] >= threshold
+    else:
+        path = path[:path.index(bound) + 1] if bound in path else path
+        reaches = lambda i: dense[i] > 0 and (2 * dense[i] >= threshold or page.tag[i] in HEADINGS)
     beside_path = {i: [] for i in path[1:]}
     for i, up in enumerate(parent):
         if up in beside_path and i not in path and kept[i]:
             beside_path[up].append(i)
     for low, up in zip(path, path[1:], strict=False):
-        if any(sums[i] > 0 and dense[i] >= threshold for i in beside_path[up]):
+        if any(reaches(i) for i in beside_path[up]):
             best = up
-        elif best != low:
+        elif best != low and bound is None:
             break
     return best
 

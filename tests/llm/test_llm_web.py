@@ -171,6 +171,23 @@ def test_main_text(html, want):
     assert html_density.extract(html) == want
 
 
+TEASER = f'<article class="card"><a href="/x"><h3>Another page</h3></a><p>{ONE}</p></article>'
+PART = f"<p>{ONE}</p><p>{TWO}</p>"
+
+
+@pytest.mark.parametrize("html, want", [
+    (page(f"{NAV}<article>{PART * 2}</article><article>{PART}</article>"), " ".join([WANT, TWO] * 3)),
+    (page(f"<div><article><h2>One</h2>{PART}</article><article><h2>Two</h2><p>{TWO}</p></article></div><p>Call us</p>"),
+     f"One {WANT} {TWO} Two {TWO}"),
+    (page(f"<main><p>{ONE}</p>{PART * 3}</main>{TEASER}"), f"{WANT} " + " ".join([WANT, TWO] * 3)),
+    (page(f"<div id=x>{PART * 3}</div><div>{TEASER}</div>"), " ".join([WANT, TWO] * 3)),
+    (page(f"<article><h1>Head</h1><div>{PART * 2}</div></article>"), "Head " + " ".join([WANT, TWO] * 2)),
+    (page(f"<article><div>{PART * 2}</div>{LINKS}</article>"), " ".join([WANT, TWO] * 2)),
+])
+def test_density_decides_beside_and_inside_landmarks(html, want):
+    assert html_density.extract(html) == want
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + ONE + "</div>" * 20_000
     assert html_density.extract(deep) == WANT
