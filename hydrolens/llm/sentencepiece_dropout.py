@@ -2,14 +2,16 @@
 
 Words (runs of spaces with the characters after them, between line ends) are
 merged from single characters by an agenda of candidate merges, best score first.
-Each candidate taken from the agenda is skipped if a hash keyed by seed, variant,
+Each candidate taken from the agenda is skipped if a hash keyed by seed, stream,
 word, place and piece falls below the dropout rate. Characters outside the
 vocabulary become byte pieces, and so does the model's own space mark where it
 stands in a text, so that every segmentation decodes to its text exactly.
 
-A word occurrence draws one of ``variants`` keyed streams by document id and
-place, so that a word is cut in different ways within and across documents while a
-worker still remembers the cuts it has made.
+A word occurrence has a stream of its own, keyed by document id and place, so that
+its merges drop out independently of all other occurrences (``variants`` above 0
+limits the streams to so many). A worker remembers cuts as a tree: a node is a word
+with the candidates skipped so far, and holds the candidates that follow and the cut
+if none of them is skipped. The draws of an occurrence lead it down the tree.
 
 Defined results: a NULL or empty text has no pieces and decodes to an empty text;
 a NULL document id draws as id -1; repeated rows get equal pieces; an empty table
@@ -18,9 +20,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import operator
 import re
-from collections import deque
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -37,12 +37,15 @@ MARK = "▁"
 APART = "\ud800"
 DROPOUT = 0.1
 SEED = 20
-VARIANTS = 8
-#: Word cuts that a worker remembers for each variant.
-MEMO = 60_000
+#: Streams that word occurrences draw from; 0: each has its own.
+VARIANTS = 0
+#: Nodes that a worker remembers before it starts anew.
+MEMO = 250_000
+#: Characters of texts that are split into words at once.
+CHARS = 1 << 19
 #: Characters up to which words are cut many at once, so many in a block; longer ones are cut one by one.
 SHORT = 48
-BLOCK = 20_000
+BLOCK = 4_000
 _MASK = (1 << 64) - 1
 
 
@@ -51,15 +54,60 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Cuts(dict):
-    """Word to its ids (32 bits each); words asked for and not yet cut are noted in ``wanted``."""
+class _Roots(dict):
+    """Word to its root node; new words get the next numbers, long ones (not remembered) numbers below 0."""
+
+    def __init__(self, next_node: int = 0):
+        self.next, self.new, self.long = next_node, [], []
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > SHORT:
+            self.long.append(word)
+            return -len(self.long)
+        self[word] = node = self.next
+        self.next += 1
+        self.new.append(word)
+        return node
+
+
+class _Rows:
+    """Numbers that grow at the end."""
+
+    def __init__(self, dtype: type):
+        self.held, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            grown = np.zeros(max(2 * len(self.held), self.n + len(values)), self.held.dtype)
+            grown[:self.n] = self.held[:self.n]
+            self.held = grown
+        self.held[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+
+class _Tree:
+    """Nodes: the draws that follow (ragged) and the cut if none of them is a skip (ragged), the word and its hash."""
 
     def __init__(self):
-        self.wanted: set[str] = set()
+        self.draws, self.draw_at, self.draw_n = _Rows(np.uint64), _Rows(np.int64), _Rows(np.int64)
+        self.ids, self.id_at, self.id_n = _Rows(np.uint32), _Rows(np.int64), _Rows(np.int64)
+        self.hash, self.words = _Rows(np.uint64), []
+        self.child: dict[int, int] = {}
+
+    def add(self, words: list[str], hashes: np.ndarray, cuts: tuple) -> None:
+        ids, id_n, draws, draw_n = cuts
+        for rows, at, count, values, n in ((self.ids, self.id_at, self.id_n, ids, id_n),
+                                           (self.draws, self.draw_at, self.draw_n, draws, draw_n)):
+            at.add(rows.n + np.cumsum(n) - n)
+            count.add(n)
+            rows.add(values)
+        self.hash.add(hashes)
+        self.words += words
 
-    def __missing__(self, word: str) -> bytes:
-        self.wanted.add(word)
-        return b""
+
+def _ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of so many values each from each start on."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Segmenter:
@@ -84,8 +132,11 @@ class Segmenter:
         if any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p) for p in self.ids):
             raise ValueError("pieces of this model cross words")
         self.words = re.compile(" *[^ \n]+|\n| +")
-        self.cuts = [_Cuts() for _ in range(variants)]
         self._tables(n)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.tree, self.roots = _Tree(), _Roots()
 
     def _tables(self, n: int) -> None:
         """Numbers for cutting many words at once: characters' ids, and pairs of ids with the id they merge to."""
@@ -104,14 +155,31 @@ class Segmenter:
             self.rank_of[self.ids[piece]] = r
         self.id_of = np.array(sorted(self.ids.values(), key=lambda i: self.rank_of[i]), np.int64)
 
+    def key(self, word: str, stream: int) -> int:
+        return self._keys(np.array([self._hash(word)], np.uint64), np.array([stream & _MASK], np.uint64)).tolist()[0]
+
+    def _hash(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word, self.seed & _MASK)
+
+    @staticmethod
+    def _keys(hashes: np.ndarray, streams: np.ndarray) -> np.ndarray:
+        at = hashes ^ (streams + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        at = (at ^ at >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        at = (at ^ at >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return at ^ at >> np.uint64(31)
+
+    def _skips(self, draw: np.ndarray) -> np.ndarray:
+        draw = (draw ^ draw >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return draw ^ draw >> np.uint64(32) < np.uint64(min(self.bound, _MASK))
+
     def skipped(self, key: int, rank: int, place: int) -> bool:
         draw = (key ^ (rank * 0x9E3779B97F4A7C15 + place * 0xC2B2AE3D27D4EB4F)) & _MASK
         draw = (draw ^ draw >> 29) * 0xBF58476D1CE4E5B9 & _MASK
         return draw ^ draw >> 32 < self.bound
 
-    def cut(self, word: str, variant: int) -> list[int]:
+    def cut(self, word: str, stream: int) -> list[int]:
         """Ids of one word under one stream of skipped merges."""
-        key = xxhash.xxh64_intdigest(word, (self.seed * 1_000_003 + variant) & _MASK)
+        key = self.key(word, stream)
         # spaces take the model's mark; a mark in the text stays apart from it and is never merged
         symbols = [APART + c if c == MARK else c for c in word] if MARK in word else list(word)
         symbols = [MARK if c == " " else c for c in symbols] if word[0] == " " else symbols
@@ -154,16 +222,25 @@ class Segmenter:
         at = np.searchsorted(self.pairs, code)
         return np.where(self.pairs[at] == code, self.rank_of[self.merged[at]], len(self.id_of))
 
-    def cut_all(self, words: list[str], variant: int) -> list[bytes]:
-        """The same cuts for many words of like length: a row a word, the agenda's best place in each row at once."""
+    def cut_all(self, words: list[str], stream: int) -> list[bytes]:
+        """The same cuts for many words of like length."""
+        key = self._keys(np.array([self._hash(w) for w in words], np.uint64), np.uint64([stream]))
+        ids, n, _, _ = self._cut_all(words, key, len(self.id_of))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in pairwise([0, *np.cumsum(n).tolist()])]
+
+    def _cut_all(self, words: list[str], key: np.ndarray, skips: int) -> tuple[np.ndarray, ...]:
+        """A row a word, the agenda's best place in each row at once; nothing is skipped after so many skips.
+
+        Ids and their number in each row; what the candidates after those skips draw by, and their number.
+        """
         none, size = len(self.id_of), [len(w) for w in words]
         width = max(size)
         symbols = np.full((len(words), width), -1, np.int64)
         inside = np.arange(width) < np.array(size)[:, None]
         symbols[inside] = self.char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
         place = np.tile(np.arange(width, dtype=np.uint64), (len(words), 1))
-        seed = (self.seed * 1_000_003 + variant) & _MASK
-        key = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+        left = np.full(len(words), skips)
+        drawn, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         agenda = np.full((len(words), width), none, np.int64)
         agenda[:, :-1] = self._ranks(symbols[:, :-1], symbols[:, 1:])
         rows = np.arange(len(words))
@@ -172,10 +249,12 @@ class Segmenter:
             best = agenda[rows, at]
             on = best < none
             rows, at, best = rows[on], at[on], best[on]
-            draw = key[rows] ^ (best.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                                + place[rows, at] * np.uint64(0xC2B2AE3D27D4EB4F))
-            draw = (draw ^ draw >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            skip = draw ^ draw >> np.uint64(32) < np.uint64(min(self.bound, _MASK))
+            draw = best.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[rows, at] * np.uint64(0xC2B2AE3D27D4EB4F)
+            last = left[rows] == 0
+            drawn.append(draw[last])
+            owner.append(rows[last])
+            skip = self._skips(key[rows] ^ draw) & ~last
+            left[rows[skip]] -= 1
             agenda[rows[skip], at[skip]] = none
             go, i, new = rows[~skip], at[~skip], self.id_of[best[~skip]]
             if not len(go):
@@ -192,48 +271,92 @@ class Segmenter:
             agenda[go, i] = np.where(i + 1 < width, self._ranks(new, symbols[go, nxt]), none)
             has = i > 0
             agenda[go[has], i[has] - 1] = self._ranks(symbols[go[has], i[has] - 1], new[has])
+        n = (symbols >= 0).sum(axis=1)
         flat = symbols[symbols >= 0]
-        ends = np.cumsum((symbols >= 0).sum(axis=1)) * 4
-        raw = flat.astype("<u4").tobytes()
-        out = [raw[a:b] for a, b in pairwise([0, *ends.tolist()])]
-        for r in np.flatnonzero((symbols >= self.n).any(axis=1)).tolist():  # characters as bytes
-            ids = symbols[r][symbols[r] >= 0].tolist()
-            out[r] = np.array([j for x in ids for j in (
-                [x] if x < self.n else [self.byte_ids[c] for c in chr(x - self.n).encode()])], "<u4").tobytes()
-        return out
-
-    def _learn(self) -> None:
-        for variant, cuts in enumerate(self.cuts):
-            wanted = sorted(cuts.wanted, key=len)
-            cuts.wanted.clear()
-            short = [w for w in wanted if len(w) <= SHORT]
-            for i in range(0, len(short), BLOCK):
-                cuts.update(zip(short[i:i + BLOCK], self.cut_all(short[i:i + BLOCK], variant), strict=True))
-            cuts.update((w, np.array(self.cut(w, variant), "<u4").tobytes()) for w in wanted[len(short):])
+        if (flat >= self.n).any():  # characters as bytes
+            raw = [[x] if x < self.n else [self.byte_ids[c] for c in chr(x - self.n).encode()] for x in flat.tolist()]
+            row = np.repeat(np.arange(len(words)), n)
+            n = np.bincount(row, [len(r) for r in raw], len(words)).astype(np.int64)
+            flat = np.array([i for r in raw for i in r], np.int64)
+        owner = np.concatenate(owner)
+        return flat, n, np.concatenate(drawn)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def _grow(self, words: list[str], hashes: np.ndarray, key: np.ndarray, skips: int) -> None:
+        """Nodes of these words in this order; they are cut in order of length."""
+        order = np.argsort([len(w) for w in words], kind="stable")
+        for i in range(0, len(words), BLOCK):
+            part = order[i:i + BLOCK]
+            named = [words[j] for j in part.tolist()]
+            self.tree.add(named, hashes[part], self._cut_all(named, key[part], skips))
+        # nodes were added in order of length: put their entries (not what they point to) in the order asked for
+        t, first = self.tree, len(self.tree.words) - len(words)
+        back = np.argsort(order, kind="stable")
+        for rows in (t.draw_at, t.draw_n, t.id_at, t.id_n, t.hash):
+            rows.held[first:rows.n] = rows.held[first:rows.n][back]
+        t.words[first:] = words
+
+    def _descend(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The node that the draws of each occurrence end in, from its word's root."""
+        t, node, rows, skips = self.tree, node.copy(), np.arange(len(node)), 0
+        while len(rows):
+            n = t.draw_n.held[node[rows]]
+            ends = np.cumsum(n)
+            hit = np.flatnonzero(self._skips(np.repeat(key[rows], n) ^ t.draws.held[_ragged(t.draw_at.held[node[rows]], n)]))
+            of = np.searchsorted(ends, hit, "right")
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            hit, of = hit[first], of[first]
+            rows, skips = rows[of], skips + 1
+            code, one, each = np.unique(node[rows] << 16 | hit - (ends - n)[of], return_index=True, return_inverse=True)
+            child = np.array([t.child.get(c, -1) for c in code.tolist()], np.int64)
+            new = np.flatnonzero(child < 0)
+            if len(new):
+                at = rows[one[new]]
+                child[new] = np.arange(len(t.words), len(t.words) + len(new))
+                t.child.update(zip(code[new].tolist(), child[new].tolist(), strict=True))
+                self._grow([t.words[i] for i in node[at].tolist()], t.hash.held[node[at]], key[at], skips)
+            node[rows] = child[each]
+        return node
 
     def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
         """Flat ids (32 bits each) of whole texts, each led by the model's extra space."""
         out: list[bytes] = []
-        for part in by_size(texts):
+        for part in by_size(texts, CHARS):
             out += self._encode(part, doc_ids[len(out):len(out) + len(part)])
         return out
 
     def _encode(self, texts: list[str], doc_ids: list[int | None]) -> list[bytes]:
-        if sum(map(len, self.cuts)) > MEMO * self.variants:
-            for c in self.cuts:
-                c.clear()
-        split = []
+        if len(self.tree.words) > MEMO:
+            self._forget()
+        self.roots.next = len(self.tree.words)
+        nodes, streams = [], []
         for text, doc in zip(texts, doc_ids, strict=True):
             words = self.words.findall(" " + text) if text else []
+            nodes.append(np.fromiter(map(self.roots.__getitem__, words), np.int64, len(words)))
             start = xxhash.xxh64_intdigest(str(-1 if doc is None else doc), self.seed)
             at = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
             at = (at ^ at >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-            split.append((words, ((at >> np.uint64(33)) % np.uint64(self.variants)).tolist()))
-        cut = lambda words, streams: map(operator.getitem, map(self.cuts.__getitem__, streams), words)
-        for one in split:
-            deque(cut(*one), maxlen=0)
-        self._learn()
-        return [b"".join(cut(*one)) for one in split]
+            streams.append((at >> np.uint64(33)) % np.uint64(self.variants) if self.variants else at ^ at >> np.uint64(32))
+        ends = np.cumsum([len(x) for x in nodes])
+        node, stream = np.concatenate(nodes), np.concatenate(streams)
+        new, long = self.roots.new, self.roots.long
+        self.roots.new, self.roots.long = [], []
+        if new:
+            hashes = np.array([self._hash(w) for w in new], np.uint64)
+            self._grow(new, hashes, hashes, 0)
+        t, at_long = self.tree, np.flatnonzero(node < 0)
+        short = np.flatnonzero(node >= 0)
+        node[short] = self._descend(node[short], self._keys(t.hash.held[node[short]], stream[short]))
+        at, n, ids = t.id_at.held[node], t.id_n.held[node], t.ids.held
+        if len(at_long):
+            cuts = [np.array(self.cut(long[-1 - node[i]], int(stream[i])), np.uint32) for i in at_long.tolist()]
+            n[at_long] = [len(c) for c in cuts]
+            at[at_long] = t.ids.n + np.cumsum(n[at_long]) - n[at_long]
+            ids = np.concatenate([t.ids.held[:t.ids.n], *cuts])
+        out, sums = [], np.concatenate([[0], np.cumsum(n)])
+        flat = ids[_ragged(at, n)].astype("<u4", copy=False)
+        for a, b in pairwise([0, *ends.tolist()]):
+            out.append(flat[sums[a]:sums[b]].tobytes())
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()[1:]

@@ -146,6 +146,44 @@ def test_blocks_cut_as_single_words(dropout):
         assert all(len(s.cut(w, 1)) >= len(w) for w in words)
 
 
+def occurrences(s, word, count):
+    """Cuts of a word that stands often in a text."""
+    ids = np.frombuffer(s.encode([" ".join([word] * count)], [5])[0], "<u4").tolist()
+    text, starts = "", []
+    for at, i in enumerate(ids):
+        starts += [at] if len(text) % (len(word) + 1) == 0 else []
+        text += s.bytes[i].decode()
+    return [tuple(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+
+
+def test_every_occurrence_draws_for_itself():
+    s = sp.Segmenter(sp.model_path(), dropout=0.1)
+    assert len(set(occurrences(s, "international", 20_000))) > 100
+    for word in ("is", "of", "at", "on", "de", "la"):  # one letter pair after the space: the draws show in the cuts
+        cuts = Counter(occurrences(s, word, 20_000))
+        first = max(cuts, key=cuts.get)
+        assert len(cuts) > 1 and 0.08 < 1 - cuts[first] / 20_000 < 0.28
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.6])
+@pytest.mark.parametrize("memo", [0, 10**6])
+def test_remembered_cuts_are_those_of_single_words(monkeypatch, dropout, memo):
+    monkeypatch.setattr(sp, "MEMO", memo)
+    asked = []
+    s = sp.Segmenter(sp.model_path(), 3, dropout)
+    texts = [r[1][:3000] for r in ROWS if r[1]] + ["▁a ▁ b é 日本" * 9, "y" * 60 + " of " + "z" * 50] + [GOOD] * 40
+    monkeypatch.setattr(s, "_keys", lambda h, x, f=s._keys: asked.append((h.tolist(), x.tolist())) or f(h, x))
+    got = [s.encode([t], [i])[0] for i, t in enumerate(texts)]
+    monkeypatch.undo()
+    streams = {}
+    for hashes, numbers in asked:
+        for h, x in zip(hashes, numbers, strict=True):
+            streams.setdefault(h, []).append(x)
+    for t, ids in zip(texts, got, strict=True):
+        one = [i for w in s.words.findall(" " + t) for i in s.cut(w, streams[s._hash(w)].pop(0))]
+        assert np.frombuffer(ids, "<u4").tolist() == one
+
+
 def test_lossless_on_odd_texts():
     s = sp.Segmenter(sp.model_path(), dropout=0.3)
     odd = ["▁a ▁ b", "  x\n\n y \n", "a" * 5000, " ", "\n", "日本 é\t\x00z", "😀" * 200, " ▁", "", None]
