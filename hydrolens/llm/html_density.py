@@ -1,9 +1,13 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Elements that name themselves as something else than the
-article (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments; by tag, role, or words of class and id) leave it, with scripts, styles
-and markup. Every other node gets its link-adjusted density of characters per
+A page becomes a tree. Elements that are something else than the article (menus,
+headers, footers, sidebars, adverts; by tag or role) leave it, with scripts, styles
+and markup. Forms, and elements that a class or id names as such or as notices or
+reader comments, leave it unless they hold more than two thirds of the page's text
+(and 250 characters), most of it outside of links; then they are wrappers, stay, and their text counts a
+quarter. Where nothing but such elements has text, they stay too. A name counts by
+its last word (not ``related-work``) and not after has, with, no and the like. Every
+other node gets its link-adjusted density of characters per
 tag, and the sum of its children's densities. The node with the largest sum is
 the core of the article; the smallest density on the path from it up to the body
 is the threshold for taking in its surroundings: while a neighbour of the subtree
@@ -35,10 +39,11 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "span strike strong sub sup time tt u var wbr math menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot "
+    "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Tags whose content is never main text.
 OUTSIDE = frozenset(
-    "aside audio button canvas dialog footer form head header iframe input math menu nav noscript object option script "
+    "annotation annotation-xml aside audio button canvas dialog footer head header iframe input menu nav noscript object option script "
     "select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or id that name something beside the article.
@@ -47,6 +52,13 @@ NAMES = frozenset(
     "copyright disclaimer disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice "
     "notices pager pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip "
     "social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+#: Last words of a class or id that say nothing about what it holds, and words that say a page has (or lacks) it.
+GENERIC = frozenset(
+    "area articles bar block body box button buttons card cards col column container content grid group icon icons inner item items "
+    "left link links list outer panel posts right row section slot stories text top unit wrap wrapper".split())
+RELATIVE = frozenset("has have hide is no not on show with without".split())
+#: A named element with a larger share of the page's text, and more characters, is a wrapper, whose text has this weight.
+WRAPPER, SMALL, WEIGHT = 2 / 3, 250, 0.25
 LANDMARKS = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _KEPT = frozenset(("html", "body", "article", "main"))
@@ -62,7 +74,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.outside, self.first, self.end = ["#page"], [-1], [False], [0], [0]
+        self.tag, self.parent, self.outside, self.named, self.first, self.end = ["#page"], [-1], [False], [False], [0], [0]
         self.pieces: list[str | None] = []  # None: a border between blocks
         self.owner: list[int] = []
         self.open = [0]
@@ -70,6 +82,10 @@ class Page(HTMLParser):
         self.close()
         self._shut(1)
         self.end[0] = len(self.pieces)
+        # a wrapper named after a part of it (say, after its sidebar) is not that part
+        self.holds = [False] * len(self.tag)
+        for i in range(len(self.tag) - 1, 0, -1):
+            self.holds[self.parent[i]] |= self.holds[i] or self.tag[i] in LANDMARKS
 
     def _add(self, piece: str | None) -> None:
         self.pieces.append(piece)
@@ -106,6 +122,7 @@ class Page(HTMLParser):
         self.open.append(len(self.tag))
         self.tag.append(tag)
         self.outside.append(tag in OUTSIDE or (tag not in _KEPT and beside(attrs)))
+        self.named.append(tag == "form" or (tag not in _KEPT and named(attrs)))
         self.first.append(len(self.pieces))
         self.end.append(0)
 
@@ -124,11 +141,51 @@ def beside(attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True
-        if name in ("class", "id") and any(w.lower() in NAMES for w in _WORDS.findall(v)):
-            return True
     return False
 
 
+def leaves(page: Page, i: int) -> bool:
+    """Whether a node leaves the tree by its tag or role."""
+    return page.outside[i] and not (page.holds[i] and page.tag[i] not in OUTSIDE)
+
+
+def named(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or id names something beside the article."""
+    for name, value in attrs:
+        if name in ("class", "id"):
+            for token in (value or "").split():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                while len(words) > 1 and words[-1] in GENERIC:
+                    words.pop()
+                if words and words[-1] in NAMES and RELATIVE.isdisjoint(words[:-1]):
+                    return True
+    return False
+
+
+def without_names(page: Page) -> list[bool]:
+    """Which named elements leave the tree."""
+    n = len(page.tag)
+    shown, linked, chars, link_chars = [True] * n, [False] * n, [0] * n, [0] * n
+    for i in range(1, n):
+        up = page.parent[i]
+        shown[i] = shown[up] and not leaves(page, i)
+        linked[i] = linked[up] or page.tag[i] == "a"
+    for piece, i in zip(page.pieces, page.owner, strict=True):
+        if piece is not None and shown[i]:
+            size = len("".join(piece.split()))
+            chars[i] += size
+            link_chars[i] += size * linked[i]
+    own = chars[:]
+    for i in range(n - 1, 0, -1):
+        chars[page.parent[i]] += chars[i]
+        link_chars[page.parent[i]] += link_chars[i]
+    gone = [page.named[i] and (chars[i] <= max(WRAPPER * chars[0], SMALL) or 2 * link_chars[i] >= chars[i]) for i in range(n)]
+    left = [True] * n
+    for i in range(1, n):
+        left[i] = left[page.parent[i]] and not gone[i]
+    return gone if any(c for c, here in zip(own, left, strict=True) if here) else [False] * n
+
+
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
     """Characters per tag, damped where links hold much of the text or of the tags."""
     if not chars:
@@ -145,14 +202,12 @@ def extract(html: str | None) -> str:
     page = Page(html)
     n = len(page.tag)
     kept, linked = [True] * n, [False] * n
-    # a wrapper named after a part of it (say, after its sidebar) is not that part
-    holds = [False] * n
-    for i in range(n - 1, 0, -1):
-        holds[page.parent[i]] |= holds[i] or page.tag[i] in LANDMARKS
+    gone = without_names(page) if any(page.named) else page.named
+    weight = [1.0] * n
     for i in range(1, n):
         up = page.parent[i]
-        out = page.outside[i] and not (holds[i] and page.tag[i] not in OUTSIDE)
-        kept[i] = kept[up] and not out
+        kept[i] = kept[up] and not (leaves(page, i) or (gone[i] and not page.holds[i]))
+        weight[i] = WEIGHT if page.named[i] else weight[up]
         linked[i] = linked[up] or page.tag[i] == "a"
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for piece, i in zip(page.pieces, page.owner, strict=True):
@@ -171,6 +226,7 @@ def extract(html: str | None) -> str:
         return ""
     ratio = link_chars[0] / chars[0]
     dense = [density(chars[i], tags[i], link_chars[i], link_tags[i], ratio) if kept[i] else 0.0 for i in range(n)]
+    dense = [d * w for d, w in zip(dense, weight, strict=True)]
     sums = [0.0] * n
     for i in range(1, n):
         sums[page.parent[i]] += dense[i]

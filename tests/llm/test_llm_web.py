@@ -188,6 +188,28 @@ def test_density_decides_beside_and_inside_landmarks(html, want):
     assert html_density.extract(html) == want
 
 
+BODY, ALL = f"<p>{ONE}</p><p>{TWO}</p>" * 3, " ".join([WANT, TWO] * 3)
+
+
+@pytest.mark.parametrize("html, want", [
+    (page(f"<div class='content has-sidebar'>{BODY}</div><p>Call us</p>"), ALL),
+    (page(f"<div class='post comments-open'>{BODY}</div><p>Call us</p>"), ALL),
+    (page(f"<div class='social'>{BODY}</div><p>Call us</p>"), ALL),
+    (page(f"<div id='notice'>{BODY}</div>"), ALL),
+    (page(f"<div class='legal'><p>{ONE}</p></div><div class='notice'><p>{TWO}</p></div>"), f"{WANT} {TWO}"),
+    (page(f"<form><div>{BODY}</div><input name=x><select><option>One</select></form>"), ALL),
+    (page(f"<article>{BODY}<section id='related-work'><p>{ONE}</p></section><div class='legal-history'><p>{TWO}</p></div></article>"),
+     f"{ALL} {WANT} {TWO}"),
+    (page(f"<article>{BODY}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>"), f"{ALL} Let x=1 hold."),
+    (page(f"<div class=x>{BODY}</div><div class='comments'>{''.join(f'<div class=comment>{BODY}</div>' for _ in range(9))}</div>"), ALL),
+    (page(f"<div class=x>{BODY}</div><div class='sidebar-inner'><p>{ONE}</p></div><div class='cookieNotice'><p>{TWO}</p></div>"), ALL),
+    (page(f"<div class=x>{BODY}</div><div class='widget'>{LINKS * 4}</div>"), ALL),
+    (page(f"<div class='ad'>{TWO}</div><article><p>One word.</p></article>"), "One word."),
+])
+def test_names_do_not_take_the_text(html, want):
+    assert html_density.extract(html) == want
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + ONE + "</div>" * 20_000
     assert html_density.extract(deep) == WANT
