@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolens.llm import (
+    fill_middle,
     fuzzy_hash,
     html_density,
     line_dedup,
@@ -18,8 +19,10 @@ from hydrolens.llm import (
     packing,
     quality,
     sentencepiece_dropout,
+    token_counts,
     token_files,
     url_filter,
+    vector_codes,
     warc,
 )
 from hydrolens.llm.common import byte_bpe_path
@@ -92,6 +95,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), scratch_path(spark, "vector_codes"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.word_bpe_path())
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -103,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_hash": op8_fuzzy_hash,
     "op9_minhash": op9_minhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_counts": op12_token_counts,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 _STOP = ", ".join("'" + w + "'" for w in sorted(
@@ -110,6 +131,22 @@ _STOP = ", ".join("'" + w + "'" for w in sorted(
 
 _TRIM = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
+
+def _nearest(book: str) -> str:
+    """Each part's nearest entry: distance and entry in one number, so that the smallest is the lower index's."""
+    return f"""SELECT rn, p.part, min(list_sum(list_transform(list_zip(p.w, c.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64
+             + c.entry) AS near FROM p JOIN {book} c USING (part) GROUP BY rn, p.part"""
+
+
+def _moved(book: str, near: str) -> str:
+    """A codebook after a round: floors of the means of the parts that are nearest; unused entries stay."""
+    return f"""SELECT b.part, b.entry, coalesce(n.w, b.w) AS w FROM {book} b LEFT JOIN (
+        SELECT part, entry, list((s - ((s % k) + k) % k) // k ORDER BY pos) AS w FROM (
+          SELECT part, near % 64 AS entry, pos, sum(x) AS s, count(*) AS k FROM (
+            SELECT p.part, near, unnest(w) AS x, unnest(range(len(w))) AS pos FROM p JOIN {near} USING (rn, part))
+          GROUP BY ALL) GROUP BY part, entry) n USING (part, entry)"""
+
+
 SQL: dict[str, str] = {
     "op5_line_dedup": f"""
 WITH a AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
@@ -150,4 +187,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
    AND 100 * n_symbols <= 30 * n_words AND (100 * n_stop >= 2 * n_words OR n_words < 40)
    AND 100 * n_dup_lines <= 50 * n_lines AND 100 * n_upper <= 50 * n_words) AS kept
 FROM b""",
+    "op11_vector_codes": f"""
+WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS rn, len(embedding) // 16 AS d,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS y FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rn, part, y[part * d + 1 : part * d + d] AS w FROM v, (SELECT unnest(range(16)) AS part)),
+c0 AS (SELECT part, rn - 1 AS entry, w FROM p WHERE rn <= 64),
+a0 AS MATERIALIZED ({_nearest("c0")}),
+c1 AS MATERIALIZED ({_moved("c0", "a0")}),
+a1 AS MATERIALIZED ({_nearest("c1")}),
+c2 AS MATERIALIZED ({_moved("c1", "a1")}),
+a2 AS ({_nearest("c2")}),
+r AS (SELECT rn, string_agg(format('{{:02x}}', near % 64), '' ORDER BY part) AS code, sum(near // 64)::BIGINT AS error
+      FROM a2 GROUP BY rn),
+s AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(w) AS x, unnest(range(len(w))) AS pos FROM c2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM v JOIN r USING (rn), s""",
+    "op13_fill_middle": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+g AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+        ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+             WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT doc_id, t, n, form, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m,
+        array_to_string(list_slice(u, b + 1, n), '') AS s FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                   ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""",
 }

@@ -14,6 +14,9 @@ COLUMNS = {
     "op8_fuzzy_hash": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op9_minhash": "doc_id n_shingles component_id kept",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op13_fill_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
@@ -26,11 +29,12 @@ def test_query_matches_sql(spark, name):
 def test_query_covers_its_table(spark, name):
     out = entry.queries()[name](spark, SF0001)
     assert set(COLUMNS.get(name, "").split()) <= set(out.columns)
-    table, key = ("pages", "page_id") if "page_id" in out.columns else ("documents", "doc_id")
+    keys = {"page_id": "pages", "vec_id": "embeddings", "doc_id": "documents"}
+    key, table = next((k, t) for k, t in keys.items() if k in out.columns)
     whole = spark.read.parquet(f"{SF0001}/{table}.parquet")
     assert out.select(key).distinct().count() == whole.count() and out.count() >= whole.count()
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+def test_all_operators_and_the_pipeline_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert "pipeline" in entry.queries()
