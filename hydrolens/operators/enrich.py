@@ -1,6 +1,14 @@
 """Enrichment of raw hourly readings.
 
-The rolling baselines are RANGE windows over an hour index, per household.
+The rolling baselines are RANGE windows over an hour index, per household. Spark
+adds up a sliding frame anew for each row, 168 hours for each reading, but a frame
+that only grows row by row. So no frame slides here: a window's sum is the sum to
+now less the sum to ``hours`` ago, two frames that begin at the partition's start.
+Such a difference is right only if sums are exact. Those of decimals and counts
+(K1, K5) are; doubles (K2) become whole numbers, their places between the chunk's
+least and largest value in steps of about 2^-48 of that span (a power of two, so
+that whole litres stay whole), whose sums and sums of squares are exact too.
+
 A plain ``partitionBy(household_id)`` would put a whole meter's history in one
 task, so a meter holding a third of all rows would be a single straggler.
 Instead each household's history is cut into fixed time chunks; every chunk
@@ -12,7 +20,7 @@ holds at most ``chunk_hours + halo`` rows whatever the skew.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolens.functions.columns import (
@@ -50,6 +58,13 @@ def chunk_window(key: str = "household_id", hidx: str = "_hidx"):
     return Window.partitionBy(key, "_chunk").orderBy(hidx)
 
 
+def last_hours(total: Column, hours: int) -> Column:
+    """An exact sum or count of the last ``hours`` hours: what has grown to now, less what had before them."""
+    w = chunk_window()
+    past = total.over(w.rangeBetween(Window.unboundedPreceding, -hours))
+    return total.over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.coalesce(past, F.lit(0))
+
+
 def enrich(raw: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     """raw (household_id, timestamp, usage decimal) -> readings (schema §1.2).
 
@@ -58,20 +73,19 @@ def enrich(raw: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     hours with spike > 1) + 0.15*(night hour and spike > 1);
     K6 flag = p > 0.8; K7 severity, K8 risk tiers from p.
     """
-    w = chunk_window()
-    w_roll = w.rangeBetween(-(ROLL_HOURS - 1), 0)
-    w_cont = w.rangeBetween(-(CONT_HOURS - 1), 0)
     halo = (ROLL_HOURS - 1) + (CONT_HOURS - 1)
 
     base = (raw.select("household_id", "timestamp", "usage")
                .withColumn("_hidx", hour_index("timestamp")))
     x = chunked(base, halo, chunk_hours)
     x = x.withColumn("water_usage_liters", F.col("usage").cast("double"))
-    x = x.withColumn("_avg", F.sum("usage").over(w_roll).cast("double") / F.count(F.lit(1)).over(w_roll))
+    known = last_hours(F.count("usage"), ROLL_HOURS)
+    x = x.withColumn("_avg", F.when(known > 0, last_hours(F.sum("usage"), ROLL_HOURS)).cast("double")
+                     / last_hours(F.count(F.lit(1)), ROLL_HOURS))
     x = x.withColumn("spike_ratio", F.when(F.col("_avg") == 0, F.lit(0.0))
                      .otherwise(F.col("water_usage_liters") / F.col("_avg")))
     above = F.when(F.col("spike_ratio") > 1, 1).otherwise(0)
-    x = x.withColumn("_cont", F.sum(above).over(w_cont).cast("double") / F.count(F.lit(1)).over(w_cont))
+    x = x.withColumn("_cont", last_hours(F.sum(above), CONT_HOURS).cast("double") / last_hours(F.count(F.lit(1)), CONT_HOURS))
     x = x.where(~F.col("_ctx"))
     hour = F.hour("timestamp")
     s = F.col("spike_ratio")
@@ -85,13 +99,51 @@ def enrich(raw: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     return x.select(*READING_COLUMNS)
 
 
+#: Half of the binary digits that a value's place in its chunk's span has.
+HALF_BITS = 24
+#: Values in a window up to which n times a sum of squares of halves fits 64 bits; beyond it takes 38 digits.
+FITS = 180
+
+
+def _spread(kind: str) -> Column:
+    """n * sum of squares - square of the sum, of places: exact in its three parts by halves, 0 just for equal values."""
+    n, hs, ls, hh, hl, ll = (F.col(c).cast(kind) for c in ("_n", "_hs", "_ls", "_hh", "_hl", "_ll"))
+    s = F.col("_half")
+    return (s * s * (n * hh - hs * hs).cast("double") + 2 * s * (n * hl - hs * ls).cast("double")
+            + (n * ll - ls * ls).cast("double"))
+
+
 def rolling_stats(r: DataFrame, hours: int = ROLL_HOURS, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
-    """K2: rolling mean and sample std of usage over the last ``hours`` hours."""
-    w = chunk_window().rangeBetween(-(hours - 1), 0)
+    """K2: rolling mean and sample std of usage over the last ``hours`` hours.
+
+    A value's place q in the chunk's span has two halves, so that sums of squares fit
+    64 bits (fewer digits where a chunk has over 16,384 rows). Of equal values the
+    mean is that value, and the deviation 0, exactly. Values that aren't finite give NULL.
+    """
+    u, chunk = F.col("water_usage_liters"), chunk_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = chunked(r.withColumn("_hidx", hour_index("timestamp")), hours - 1, chunk_hours)
-    x = (x.withColumn("roll_avg", F.avg("water_usage_liters").over(w))
-          .withColumn("roll_std", F.stddev_samp("water_usage_liters").over(w)))
-    return x.where(~F.col("_ctx")).drop("_ctx", "_chunk", "_hidx")
+    x = x.withColumns({"_low": F.min(u).over(chunk), "_span": F.max(u).over(chunk) - F.min(u).over(chunk),
+                       "_half": F.pow(F.lit(2.0), F.least(F.lit(HALF_BITS), F.floor(
+                           (62 - F.ceil(F.log2(F.count(F.lit(1)).over(chunk)))) / 2)))})
+    half, finite = F.col("_half").cast("long"), F.abs("_span") < float("inf")
+    x = x.withColumn("_scale", F.when(finite & (F.col("_span") > 0), F.col("_half") * F.col("_half") / F.pow(
+        F.lit(2.0), F.greatest(F.ceil(F.log2("_span")), F.lit(-900)))).when(finite, F.lit(0.0)))
+    x = x.withColumn("_q", F.round((u - F.col("_low")) * F.col("_scale")).cast("long"))
+    x = x.withColumn("_h", F.floor(F.col("_q") / half))
+    x = x.withColumn("_l", F.col("_q") - F.col("_h") * half)
+    high, low = F.col("_h"), F.col("_l")
+    sums = {"_n": F.count("_q"), "_hs": F.sum(high), "_ls": F.sum(low), "_hh": F.sum(high * high), "_hl": F.sum(high * low),
+            "_ll": F.sum(low * low)}
+    x = x.withColumns({c: last_hours(total, hours) for c, total in sums.items()})
+    known = (F.col("_n") > 0) & F.col("_scale").isNotNull()
+    above = (F.col("_hs") * F.col("_half") + F.col("_ls")) / F.col("_scale")
+    mean = F.when(F.col("_scale") > 0, (F.col("_low") * F.col("_n") + above) / F.col("_n")).otherwise(F.col("_low"))
+    x = x.withColumn("_spread", F.when(F.col("_n") <= FITS, _spread("long")).otherwise(_spread("decimal(19,0)")))
+    x = x.withColumns({
+        "roll_avg": F.when(known, F.when((F.col("_spread") == 0) & u.isNotNull(), u).otherwise(mean)),
+        "roll_std": F.when(known & (F.col("_n") > 1), F.when(F.col("_spread") == 0, F.lit(0.0)).otherwise(
+            F.sqrt(F.col("_spread") / F.col("_n") / (F.col("_n") - 1)) / F.col("_scale")))})
+    return x.where(~F.col("_ctx")).select(*r.columns, "roll_avg", "roll_std")
 
 
 def zscore(r: DataFrame, hours: int = ROLL_HOURS) -> DataFrame:

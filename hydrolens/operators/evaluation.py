@@ -2,9 +2,10 @@
 
 Input ``sc``: household_id, label, score, prediction, model. Every metric is an
 aggregate of integer confusion counts per model, so it is exact and identical
-in any engine. The ROC curve pre-aggregates by (model, score) before its
-running sums; scores are probabilities rounded to 6 decimals, so a model has at
-most 1,000,001 distinct points whatever the number of households.
+in any engine. The ROC curve pre-aggregates by (model, score), then takes its
+running sums as a prefix scan over ranges of scores: totals by range, sums of the
+ranges above, and a running sum inside each fine range. A model's scores, however
+many, are spread over as many tasks as there are ranges.
 """
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolens.functions.columns import r6
+from hydrolens.functions.order import leading, order_key
 from hydrolens.schema import CLASS_NAMES
 
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "auc_roc"]
@@ -54,15 +56,42 @@ def _score_groups(sc: DataFrame) -> DataFrame:
         F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg"))
 
 
+#: Binary digits of a score's order key that name a range, and a fine range inside it.
+RANGE, FINE = 16, 36
+
+
+def _above(g: DataFrame) -> DataFrame:
+    """Score groups with the positives and negatives of their model that score higher (``_pa``, ``_na``), and all (``_pos``, ``_neg``).
+
+    Ranges of ``order_key`` don't depend on the data: a model has at most 65,538 of
+    them, a range at most 1,048,576 fine ones, and a fine range scores that differ by
+    4e-8 of their size at most. These bound each window below.
+    """
+    key = order_key(F.col("score").cast("double"))
+    g = g.withColumns({"_range": leading(key, RANGE), "_fine": leading(key, FINE)})
+    fine = g.groupBy("model", "_range", "_fine").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    ranges = fine.groupBy("model", "_range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+    def before(of: DataFrame, own: list[str], by: str, p: str, n: str, out: str) -> DataFrame:
+        w = Window.partitionBy(*own).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+        return of.withColumns({f"_p{out}": F.coalesce(F.sum(p).over(w), F.lit(0)),
+                               f"_n{out}": F.coalesce(F.sum(n).over(w), F.lit(0))})
+
+    every = Window.partitionBy("model")
+    ranges = before(ranges, ["model"], "_range", "p", "n", "1").withColumns(
+        {"_pos": F.sum("p").over(every), "_neg": F.sum("n").over(every)}).drop("p", "n")
+    fine = before(fine, ["model", "_range"], "_fine", "p", "n", "2").drop("p", "n")
+    fine = fine.join(ranges, ["model", "_range"])
+    out = before(g.join(fine, ["model", "_range", "_fine"]), ["model", "_range", "_fine"], "score", "pos", "neg", "3")
+    total = lambda c: F.col(f"_{c}1") + F.col(f"_{c}2") + F.col(f"_{c}3")
+    return out.select("model", "score", "pos", "neg", total("p").alias("_pa"), total("n").alias("_na"), "_pos", "_neg")
+
+
 def roc_curve(sc: DataFrame) -> DataFrame:
     """(fpr, tpr) at every distinct score (score >= threshold is positive), plus the origin."""
-    g = _score_groups(sc)
-    w = Window.partitionBy("model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy("model")
-    g = g.withColumns({"cp": F.sum("pos").over(w), "cn": F.sum("neg").over(w),
-                       "P": F.sum("pos").over(tot), "N": F.sum("neg").over(tot)})
-    pts = g.select("model", F.col("score").alias("threshold"), _div(F.col("cn"), F.col("N")).alias("fpr"),
-                   _div(F.col("cp"), F.col("P")).alias("tpr"))
+    g = _above(_score_groups(sc))
+    pts = g.select("model", F.col("score").alias("threshold"), _div(F.col("_na") + F.col("neg"), F.col("_neg")).alias("fpr"),
+                   _div(F.col("_pa") + F.col("pos"), F.col("_pos")).alias("tpr"))
     origin = sc.select("model").distinct().select("model", F.lit(float("inf")).alias("threshold"),
                                                   F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(pts)
@@ -72,13 +101,11 @@ def auc_roc(sc: DataFrame) -> DataFrame:
     """Trapezoid area under the ROC curve from integer areas; 0.0 with one class.
 
     Per score group the area is neg * (positives ranked above + pos / 2), so
-    2 * AUC * P * N = sum(neg * (2 * cum_pos_before + pos)): exact in integers.
+    2 * AUC * P * N = sum(neg * (2 * positives above + pos)): exact in integers.
     """
-    g = _score_groups(sc)
-    w = Window.partitionBy("model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("before", F.coalesce(F.sum("pos").over(w), F.lit(0)))
-    a = g.groupBy("model").agg(F.sum(F.col("neg") * (2 * F.col("before") + F.col("pos"))).alias("twice"),
-                               F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    g = _above(_score_groups(sc))
+    twice = F.col("neg").cast("decimal(19,0)") * (2 * F.col("_pa") + F.col("pos")).cast("decimal(19,0)")
+    a = g.groupBy("model").agg(F.sum(twice).cast("double").alias("twice"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return a.select("model", F.when((F.col("P") > 0) & (F.col("N") > 0),
                                     F.col("twice") / (2.0 * F.col("P") * F.col("N"))).otherwise(F.lit(0.0)).alias("auc"))
 

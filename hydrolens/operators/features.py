@@ -105,23 +105,20 @@ def label_quantile(hf: DataFrame, q: float = 0.75) -> DataFrame:
     """1 if avg_leak_prob >= its q-quantile (linear); if that yields one
     class, use the median with '>'; if still one class, fail with a clear error.
 
-    The two thresholds come from the exact distributed selection (two scalars
-    reach the driver); the class checks follow from min/max without a second
-    pass: '>= q-quantile' has a 0 class iff some value is below it or NULL, and
-    '> median' has a 1 class iff the max exceeds the median.
+    The thresholds come from the exact narrowing as one scalar subquery; the class
+    checks follow from min/max without a second pass: '>= q-quantile' has a 0 class
+    iff some value is below it or NULL, and '> median' has a 1 class iff the max
+    exceeds the median. Nothing runs while the query is built.
     """
-    from hydrolens.operators.quantiles import exact_quantiles
+    from hydrolens.operators.quantiles import quantile_columns
     p = F.col("avg_leak_prob")
-    qs = {r.p: r.value for r in exact_quantiles(hf, "avg_leak_prob", [q, 0.5, 0.0, 1.0]).collect()}
+    cuts = quantile_columns(hf, "avg_leak_prob", [q, 0.5, 0.0, 1.0], ["q", "m", "lo", "hi"])
+    at = cuts.select(F.struct("q", "m", "lo", "hi")).scalar()
     st = hf.select(F.struct((F.count(p) < F.count(F.lit(1))).alias("has_null"))).scalar()
-    if not qs:  # no non-null probability at all: a single (0) class
-        return hf.withColumn("is_high_risk", F.raise_error(
-            F.lit("label_quantile: avg_leak_prob gives a single class")).cast("int"))
-    t_q, t_m, lo, hi = (F.lit(qs[float(x)]) for x in (q, 0.5, 0.0, 1.0))
-    rule1 = (lo < t_q) | st["has_null"]
-    rule2 = hi > t_m
-    label = (F.when(rule1, F.coalesce((p >= t_q).cast("int"), F.lit(0)))
-              .when(rule2, F.coalesce((p > t_m).cast("int"), F.lit(0)))
+    rule1 = (at["lo"] < at["q"]) | st["has_null"]
+    rule2 = at["hi"] > at["m"]
+    label = (F.when(at["q"].isNotNull() & rule1, F.coalesce((p >= at["q"]).cast("int"), F.lit(0)))
+              .when(rule2, F.coalesce((p > at["m"]).cast("int"), F.lit(0)))
               .otherwise(F.raise_error(F.lit("label_quantile: avg_leak_prob gives a single class"))))
     return hf.withColumn("is_high_risk", label.cast("int"))
 

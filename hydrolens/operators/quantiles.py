@@ -1,168 +1,111 @@
-"""Exact quantiles (linear interpolation) with bounded memory per task.
-
-Spark's exact ``percentile`` merges a value->count map per group in one task,
-which for a continuous column grows with the data. Here exact order statistics
-are found by selection instead:
-
-1. one pass: count and ``percentile_approx`` brackets [a, b] around every
-   target rank (rank error of the sketch is at most n / accuracy);
-2. one pass: per target, the exact number of values below ``a`` and inside
-   [a, b]; a bracket that does not contain its ranks is widened and retried
-   (so the result never depends on the sketch's guarantee);
-3. only the values inside the brackets (about 8 n / accuracy rows per target,
-   ties collapsed by value) are ranked, one small window per target.
-
-The driver sees only per-target counters and the final values (groups x
-probabilities rows); the group vocabulary must be bounded (labels, column names).
+"""Exact quantiles (linear interpolation) by narrowing, with bounded memory per task.
+
+Spark's exact ``percentile`` merges a value->count map per group in one task, which
+for a continuous column grows with the data. Here a value's rank is found by counting.
+``order_key`` cuts all doubles into ranges that don't depend on the data:
+
+1. count the values of each group by range, and take the range each target rank lies in;
+2. count the values inside these ranges by finer ones, all groups at once;
+3. rank the distinct values of the last ranges, at most some 700,000 doubles each.
+
+Each step is one scan with a partial aggregate; the ranges found (groups x ranks rows)
+join the values of the next. They are broadcast for the ``GROUPS`` largest groups, a
+bound that holds for any data. Of a table with more groups than that, each further one
+holds under one in ``GROUPS`` of all rows: these are shuffled by group and ranked there.
+
+Nothing runs while the query is built, and no value reaches the driver.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 1_000_000
-MAX_GROUPS = 10_000   # per-group counters reach the driver; larger vocabularies are refused
-
+from hydrolens.functions.order import leading, order_key
+
+#: Groups whose ranges are broadcast.
+GROUPS = 10_000
+#: Binary digits of a key that each step reads: at most 4 million ranges, each cut in as many.
+STEPS = (22, 44)
+
+
+def _counted(rows: DataFrame, own: list[str], into: Column) -> DataFrame:
+    """For each ``own``: the counts (``_n``) by ``into`` (``_v``), in order, with the values before (``_before``)."""
+    w = (Window.partitionBy(*own) if own else Window.partitionBy()).orderBy("_v")
+    n = rows.groupBy(*own, into.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return n.withColumn("_before", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+
+
+def _targets(counts: DataFrame, own: list[str], probs: Sequence[float]) -> DataFrame:
+    """The rows of ``counts`` that hold target ranks, once for each: two for a probability, below its place and above."""
+    every = Window.partitionBy(*own) if own else Window.partitionBy()
+    ranks, total = [], F.col("_total")
+    for i, p in enumerate(probs):
+        low = F.floor(F.lit(p) * (total - 1)).cast("long")
+        ranks += [F.struct(F.lit(2 * i).alias("_t"), low.alias("_rank")),
+                  F.struct(F.lit(2 * i + 1).alias("_t"), F.least(low + 1, total - 1).alias("_rank"))]
+    held = F.filter(F.array(*ranks), lambda r: (F.col("_before") <= r["_rank"]) & (r["_rank"] < F.col("_before") + F.col("_n")))
+    whole = counts.withColumn("_total", F.sum("_n").over(every))
+    return whole.select(*own, "_v", "_before", "_total", F.explode(held).alias("_r")).select(
+        *own, "_v", "_total", "_r._t", (F.col("_r._rank") - F.col("_before")).alias("_rank"))
+
+
+def _narrowed(keyed: DataFrame, ranges: DataFrame, own: list[str]) -> DataFrame:
+    """keyed: (_by..., _x, _key); ranges: (own..., _v, _total, _t, _rank). The values at the target ranks: (own..., _total, _t, _x)."""
+    kept = [*own, "_total", "_t", "_rank"]
+    held = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+    for done, step in zip(STEPS, [*STEPS[1:], None]):
+        lies = reduce(lambda a, b: a & b, [F.col(f"_by{c}").eqNullSafe(F.col(c)) for c in own], leading(F.col("_key"), done) == F.col("_v"))
+        inside = keyed.join(F.broadcast(ranges), lies).drop("_v")
+        found = _counted(inside, kept, F.col("_x") if step is None else leading(F.col("_key"), step)).where(held)
+        ranges = found.select(*own, "_v", "_total", "_t", (F.col("_rank") - F.col("_before")).alias("_rank"))
+    return ranges.select(*own, "_total", "_t", F.col("_v").alias("_x"))
+
+
+def _picked(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], few_groups: bool) -> DataFrame:
+    """The values at the target ranks, and the groups' sizes: (_g0..., _total, _t, _x)."""
+    own = [f"_g{i}" for i in range(len(by))]
+    x = F.col(value).cast("double")
+    keyed = df.where(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(f"_by{g}") for c, g in zip(by, own)], x.alias("_x"), order_key(x).alias("_key"))
+    named = [F.col(f"_by{g}").alias(g) for g in own]
+    counts = _counted(keyed.select(*named, "_key"), own, leading(F.col("_key"), STEPS[0]))
+    if not own or few_groups:
+        return _narrowed(keyed, _targets(counts, own, probs), own)
+    sizes = counts.groupBy(*own).agg(F.sum("_n").alias("_size"))
+    largest = F.broadcast(sizes.orderBy(F.desc("_size"), *own).limit(GROUPS).select(*[F.col(g).alias(f"_top{g}") for g in own]))
+    among = lambda side: reduce(lambda a, b: a & b, [F.col(side + g).eqNullSafe(F.col(f"_top{g}")) for g in own])
+    found = _narrowed(keyed, _targets(counts.join(largest, among(""), "left_semi"), own, probs), own)
+    others = keyed.join(largest, among("_by"), "left_anti").select(*named, "_x")
+    ranked = _targets(_counted(others, own, F.col("_x")), own, probs)
+    return found.unionByName(ranked.select(*own, "_total", "_t", F.col("_v").alias("_x")))
 
-def _lit_map(pairs: dict) -> F.Column:
-    """A literal map column (target id -> constant); bounded by the target count."""
-    kv = []
-    for k, v in pairs.items():
-        kv += [F.lit(k), F.lit(v)]
-    return F.create_map(*kv)
 
+def quantile_columns(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
+                     by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
+    """Exact quantiles, same as ``percentile`` (linear), a column per probability: (by..., names...).
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = ACCURACY, rounds: int = 3, stats: dict | None = None) -> DataFrame:
-    """(by..., p, value) with p in ``probs``; same answer as ``percentile`` (linear).
-
-    Targets (groups x probabilities, a bounded set) are addressed through
-    literal maps and conditional aggregates, so no join is needed. Groups with
-    fewer than ``accuracy / 4`` values skip the sketch: their bracket is the
-    whole group, ranked once for all of its probabilities.
+    No row for a group without a value (without ``by``: one row of NULLs).
+    ``few_groups``: the caller knows that there are at most ``GROUPS`` groups (a fixed
+    vocabulary, column names), which saves the branch for more.
     """
-    spark = df.sparkSession
-    by = list(by)
-    probs = [float(p) for p in probs]
-    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    types = dict(x.dtypes)
-
-    def gkey(row) -> tuple:
-        return tuple(row[c] for c in by)
-
-    def in_group(g: tuple) -> F.Column:
-        c = F.lit(True)
-        for col, v in zip(by, g):
-            c = c & (F.col(col) == F.lit(v))
-        return c
-
-    if stats is not None:  # caller already aggregated count/min/max per group (saves a pass)
-        stats = {tuple(g): st for g, st in stats.items() if st["_n"]}
-    else:
-        if by and x.select(*by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-            raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups in {by}; "
-                             "use percentile_approx for per-key quantiles over an unbounded key")
-        # pass 1: per group count/min/max (one row per group: bounded by the group vocabulary)
-        stats = {gkey(r): r for r in x.groupBy(*by).agg(
-            F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).collect() if r["_n"]}
-    groups = sorted(stats, key=repr)
-    gid = {g: i for i, g in enumerate(groups)}
-    tid = {(g, i): gid[g] * len(probs) + i for g in groups for i in range(len(probs))}
-    large = {g for g in groups if stats[g]["_n"] * 8.0 / accuracy >= 2}
-    approx = {}
-    if large:  # sketch brackets at +-4 ranks of relative error around each target
-        delta = 4.0 / accuracy
-        br = [v for p in probs for v in (max(0.0, p - delta), min(1.0, p + delta))]
-        approx = {gkey(r): r["_q"] for r in x.groupBy(*by).agg(
-            F.percentile_approx("_x", br, accuracy).alias("_q")).collect()}
-    spec = {}
-    for g in groups:
-        n = stats[g]["_n"]
-        for i, p in enumerate(probs):
-            pos = p * (n - 1)
-            k0 = int(math.floor(pos))
-            spec[tid[(g, i)]] = (g, i, k0, min(k0 + 1, n - 1), pos - k0)
-    k0m = _lit_map({t: v[2] for t, v in spec.items()})
-    k1m = _lit_map({t: v[3] for t, v in spec.items()})
-    values: dict = {}
-
-    def pick(ranked: DataFrame, base: F.Column) -> None:
-        """ranked: (_t, _x, _cum); value at rank k = smallest x whose cumulative count exceeds k."""
-        cum = F.col("_cum") + base
-        for r in ranked.groupBy("_t").agg(
-                F.min(F.when(cum > k0m[F.col("_t")], F.col("_x"))).alias("_v0"),
-                F.min(F.when(cum > k1m[F.col("_t")], F.col("_x"))).alias("_v1")).collect():
-            g, i, _, _, f = spec[r["_t"]]
-            values[(g, i)] = r["_v0"] + (r["_v1"] - r["_v0"]) * f
-
-    # small groups: rank each group's distinct values once; every probability reads it
-    small = [g for g in groups if g not in large]
-    if small:
-        xs = x if not large else x.where(F.coalesce(
-            F.struct(*[F.col(c) for c in by]).isin([F.struct(*[F.lit(v) for v in g]) for g in small]) if by
-            else F.lit(True), F.lit(False)))
-        cnt = xs.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_x").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        tmap = {}
-        for g in small:
-            tmap[g] = [tid[(g, i)] for i in range(len(probs))]
-        if by:
-            kv = []
-            for g, ts in tmap.items():
-                kv += [F.struct(*[F.lit(v).alias(c) for c, v in zip(by, g)]), F.array(*[F.lit(t) for t in ts])]
-            targets_of = F.create_map(*kv)[F.struct(*[F.col(c).alias(c) for c in by])]
-        else:
-            targets_of = F.array(*[F.lit(t) for t in tmap[()]])
-        ranked = cnt.withColumn("_cum", F.sum("_c").over(w)).select(F.explode(targets_of).alias("_t"), "_x", "_cum")
-        pick(ranked, F.lit(0))
-
-    # large groups: validate sketch brackets with exact counts, widen failures, rank inside
-    pending = [(g, i) for g in groups if g in large for i in range(len(probs))]
-    widened: set = set()
-    for _ in range(rounds + 1):
-        if not pending:
-            break
-        br = {}
-        for g, i in pending:
-            if (g, i) in widened:
-                br[(g, i)] = (stats[g]["_min"], stats[g]["_max"])
-            else:
-                br[(g, i)] = (approx[g][2 * i], approx[g][2 * i + 1])
-        aggs = []
-        for (g, i), (a, b) in br.items():
-            t = tid[(g, i)]
-            m = in_group(g)
-            aggs += [F.count(F.when(m & (F.col("_x") < a), 1)).alias(f"b{t}"),
-                     F.count(F.when(m & (F.col("_x") >= a) & (F.col("_x") <= b), 1)).alias(f"i{t}")]
-        c = x.agg(*aggs).first()
-        ok, below = [], {}
-        for (g, i), (a, b) in br.items():
-            t = tid[(g, i)]
-            _, _, k0, k1, _ = spec[t]
-            if c[f"b{t}"] <= k0 and k1 < c[f"b{t}"] + c[f"i{t}"]:
-                ok.append((g, i))
-                below[t] = c[f"b{t}"]
-            else:
-                widened.add((g, i))
-        if ok:
-            hits = F.array(*[F.when(in_group(g) & (F.col("_x") >= br[(g, i)][0]) & (F.col("_x") <= br[(g, i)][1]),
-                                    F.lit(tid[(g, i)])) for g, i in ok])
-            sel = (x.select(F.explode(hits).alias("_t"), "_x").where(F.col("_t").isNotNull())
-                    .groupBy("_t", "_x").agg(F.count(F.lit(1)).alias("_c")))
-            w = Window.partitionBy("_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            pick(sel.withColumn("_cum", F.sum("_c").over(w)), _lit_map(below)[F.col("_t")])
-        pending = [k for k in pending if k not in set(ok)]
-    out_schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["p double", "value double"])
-    return spark.createDataFrame([(*g, probs[i], v) for (g, i), v in values.items()], out_schema)
+    probs, own = [float(p) for p in probs], [f"_g{i}" for i in range(len(by))]
+    ends = _picked(df, value, probs, by, few_groups).groupBy(*own).agg(F.first("_total").alias("_total"), *[
+        F.max(F.when(F.col("_t") == t, F.col("_x"))).alias(f"_x{t}") for t in range(2 * len(probs))])
+    out = [F.col(g).alias(c) for g, c in zip(own, by)]
+    for i, (p, n) in enumerate(zip(probs, names)):
+        place = F.lit(p) * (F.col("_total") - 1)
+        a, b, part = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}"), place - F.floor(place)
+        out.append(F.when((part == 0) | (a == b), a).otherwise(a * (1 - part) + b * part).alias(n))
+    return ends.select(*out)
 
 
-def quantile_columns(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-                     by: Sequence[str] = (), stats: dict | None = None) -> DataFrame:
-    """Exact quantiles as one column per probability: (by..., names...)."""
-    q = exact_quantiles(df, value, probs, by, stats=stats)
-    return q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(n)
-                                for p, n in zip(probs, names)])
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                    few_groups: bool = False) -> DataFrame:
+    """The same, long: (by..., p, value). No rows for a group without a value."""
+    names = [f"_q{i}" for i in range(len(probs))]
+    wide = quantile_columns(df, value, probs, names, by, few_groups)
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(n).alias("value")) for p, n in zip(probs, names)])
+    return wide.select(*by, F.explode(pairs).alias("_v")).select(*by, "_v.*").where(F.col("value").isNotNull())

@@ -157,7 +157,9 @@ def daily_spikes_3(r: DataFrame) -> DataFrame:
 def severity_by_month(r: DataFrame) -> DataFrame:
     """Non-Normal records per (month, severity), observed pairs only."""
     x = r.where(F.col("leak_severity").isNotNull() & (F.col("leak_severity") != "Normal"))
-    return x.groupBy(month_of("timestamp").alias("month"), "leak_severity").agg(F.count(F.lit(1)).alias("n"))
+    # grouped on a date, and named by month once a group
+    n = x.groupBy(F.date_trunc("month", "timestamp").cast("date").alias("_m"), "leak_severity").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.date_format("_m", "yyyy-MM").alias("month"), "leak_severity", "n")
 
 
 def usage_by_severity(r: DataFrame) -> DataFrame:
@@ -335,10 +337,10 @@ def weekday_profile(r: DataFrame) -> DataFrame:
 def usage_box(r: DataFrame, approx: bool = False) -> DataFrame:
     """Quartiles (linear), 1.5 IQR whiskers and outlier count per risk level.
 
-    Quartiles come from the exact selection in ``operators.quantiles`` (bounded
-    memory per task at any scale; ``approx=True`` uses ``percentile_approx``).
-    The <= 4-row quartile table (bounded by the risk vocabulary) is broadcast
-    back to the readings for the whisker pass.
+    Quartiles come from the narrowing in ``operators.quantiles`` (bounded memory
+    per task at any scale; ``approx=True`` uses ``percentile_approx``). The <= 4-row
+    quartile table (bounded by the risk vocabulary) is broadcast back to the
+    readings for the whisker pass.
     """
     from hydrolens.operators.quantiles import quantile_columns
     x = r.where(F.col("risk_level").isin(RISK_LABELS) & F.col("water_usage_liters").isNotNull())
@@ -347,7 +349,8 @@ def usage_box(r: DataFrame, approx: bool = False) -> DataFrame:
             F.percentile_approx("water_usage_liters", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
             "risk_level", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     else:
-        q = quantile_columns(x, "water_usage_liters", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ["risk_level"])
+        q = quantile_columns(x, "water_usage_liters", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ["risk_level"],
+                             few_groups=True)
     q = q.withColumns({"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     y = x.join(F.broadcast(q), "risk_level")
@@ -495,40 +498,31 @@ NUMERIC_TYPES = ("int", "bigint", "double", "float", "smallint", "tinyint")
 def describe_numeric(r: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std, min, quartiles, max per numeric column; one row per column.
 
-    Moments: one aggregate over all columns (one row, collected); its counts and
-    extremes seed the exact quartile selection over the columns stacked long
-    (the column name is the group), so no task holds a column's distinct values
-    and no extra counting pass is needed. Never ``DataFrame.summary``
-    (string-typed, approximate).
+    The columns are stacked long, each under its name: moments are one aggregate,
+    quartiles the narrowing in ``operators.quantiles``, both by column. Built
+    lazily; never ``DataFrame.summary`` (string-typed, approximate).
     """
     from hydrolens.operators.quantiles import quantile_columns
-    spark = r.sparkSession
     types = dict(r.dtypes)
     cols = [c for c in (cols or r.columns) if types.get(c) in NUMERIC_TYPES]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), r6(F.avg(x)).alias(f"m{i}"), r6(F.stddev_samp(x)).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    mom = r.agg(*aggs).first()
-    long = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                                        for c in cols])).alias("s")).select("s.*")
     names = ["p25", "p50", "p75"]
+    # columns are numbered while they are counted: a number is a narrower key than a name
+    long = r.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                                        for i, c in enumerate(cols)])).alias("s")).select("s.*")
     if approx:
-        q = long.groupBy("column").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
-            "column", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+        q = long.groupBy("c").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
+            F.col("c").alias("_c"), *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     else:
-        stats = {(c,): {"_n": mom[f"n{i}"], "_min": mom[f"lo{i}"], "_max": mom[f"hi{i}"]} for i, c in enumerate(cols)}
-        q = quantile_columns(long, "v", [0.25, 0.5, 0.75], names, ["column"], stats=stats)
-    # one row per requested column; rounding stays in Spark (same rule as every other r6)
-    qv = {row["column"]: row for row in q.select("column", *[r6(n).alias(n) for n in names]).collect()}
-    rows = []
-    for i, c in enumerate(cols):
-        qq = qv.get(c)
-        p = [None if qq is None else qq[n] for n in names]
-        rows.append((c, mom[f"n{i}"], mom[f"m{i}"], mom[f"s{i}"], mom[f"lo{i}"], *p, mom[f"hi{i}"]))
-    return spark.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, "
-                                       "p25 double, p50 double, p75 double, max double")
+        q = quantile_columns(long, "v", [0.25, 0.5, 0.75], names, ["c"], few_groups=True).withColumnRenamed("c", "_c")
+    # one aggregate without a key: it has its row for a table without rows too
+    moments = r.agg(F.array(*[F.struct(
+        F.lit(i).alias("c"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max")) for i, v in enumerate(F.col(c).cast("double") for c in cols)]).alias("m"))
+    rows = moments.select(F.explode("m").alias("m")).select("m.*")
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c") + 1)
+    return rows.join(q, F.col("c") == F.col("_c"), "left").select(
+        name.alias("column"), "count", r6("mean").alias("mean"), r6("std").alias("std"), "min",
+        *[r6(n).alias(n) for n in names], "max")
 
 
 def explore(r: DataFrame, cols: Sequence[str], sort_col: str, ascending: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from hydrolens.sources.fixtures import RAW_SOURCES
 from hydrolens.sources.readers import read_readings
 from hydrolens.sources.writers import write_readings
 
-ENRICH_VERSION = "enrich-4"
+ENRICH_VERSION = "enrich-5"
 _SOURCE_TABLE = {"events": "events", "lineitem": "lineitem"}
 _memo: dict[tuple, object] = {}
 _lock = threading.Lock()

@@ -67,3 +67,27 @@ def test_metrics_roundtrip_and_missing(spark, h3, tmp_path):
     assert J.load_metrics(spark, str(tmp_path / "missing")) is None
     cm = J.confusion_matrix(h3)
     assert sum(r.n for r in cm.collect()) == h3.count()        # cells sum to the scored rows
+
+
+def test_many_scores_by_ranges(spark):
+    """A million distinct scores, crowded near 1, against numpy; no window ranks a model's score groups at once."""
+    import numpy as np
+    sc = spark.range(1_000_000).select(
+        (F.col("id") % 2).cast("string").alias("model"), (F.pmod(F.hash("id"), F.lit(10)) < 3).cast("int").alias("label"),
+        (1 - F.exp(-F.col("id") / 40_000)).alias("score"), F.lit(1).alias("prediction"))
+    rows = sc.select("model", "label", "score").toArrow()
+    curve = J.roc_curve(sc).where("threshold < 2")
+    points, areas = curve.toArrow(), {r.model: r.auc for r in J.auc_roc(sc).collect()}
+    for m in ("0", "1"):
+        own = rows.filter(np.array(rows["model"]) == m)
+        score, label = np.array(own["score"]), np.array(own["label"])
+        order = np.argsort(-score)
+        p, n = np.cumsum(label[order]), np.cumsum(1 - label[order])
+        last = np.append(score[order][1:] != score[order][:-1], True)
+        got = points.filter(np.array(points["model"]) == m).sort_by([("threshold", "descending")])
+        assert len(got) == last.sum() > 450_000
+        assert np.array_equal(np.array(got["fpr"]), n[last] / n[-1]) and np.array_equal(np.array(got["tpr"]), p[last] / p[-1])
+        assert areas[m] == pytest.approx(np.trapezoid(np.append(0, p[last] / p[-1]), np.append(0, n[last] / n[-1])), abs=1e-9)
+    plan = curve._jdf.queryExecution().optimizedPlan().toString()
+    ranked = [line for line in plan.splitlines() if "Window [" in line and "score" in line.split("], [")[-1]]
+    assert ranked and all("_fine" in line for line in ranked)

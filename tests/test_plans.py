@@ -60,10 +60,11 @@ def test_per_household_aggregates_are_hash_aggregates(spark, name):
 
 
 def test_rule_filter_windows_once(spark):
-    """One exchange deals the readings to window partitions; no exchange of them follows it."""
+    """One exchange and sort deal the readings to window partitions (chunk's span, then sums); no exchange of them follows."""
     tree = plan_text(se.queries()["rule_filter"](spark, SF0001)).split("\n\n")[0]
-    assert tree.count("Window") == 1
-    assert "Join" not in tree[:tree.index("Window")] and "Exchange" not in tree[:tree.index("Window")]
+    assert tree.count("Window") == 2
+    above = tree[:tree.rindex("Window")]
+    assert "Join" not in above and "Exchange" not in above and "Sort" not in above
 
 
 def test_filter_options_scan_once(spark):
