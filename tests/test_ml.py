@@ -65,3 +65,20 @@ def test_whatif(spark, data):
 def test_legacy_feature_list():
     assert LEGACY_FEATURES == ["avg_usage", "max_usage", "std_usage", "night_avg_usage",
                                "avg_spike_ratio", "max_spike_ratio", "std_spike_ratio"]
+
+
+def test_a_model_that_learned_nothing_fails_the_registered_checks(spark, monkeypatch):
+    """Each model query has a flag that a constant answer turns false."""
+    from conftest import SF0001
+    from hydrolens.plans import catalog
+    from hydrolens.schema import TRAIN_FEATURES
+    dull = M.constant_model(spark, TRAIN_FEATURES, 0.4)
+    for name in ("fitted", "model", "notebook_model"):
+        monkeypatch.setattr(catalog, name, lambda *a: dull)
+    monkeypatch.setattr(M, "train", lambda *a, **k: dull)
+    for name in ("train_rf", "train_gbt", "train_rf_notebook", "score_households", "model_metrics", "model_roc_curve",
+                 "model_auc_roc", "model_comparison_ml", "metrics_summary_ml", "feature_importance", "ensemble_verdict_ml",
+                 "probability_band_model", "whatif_score", "cross_validate"):
+        out = catalog.QUERIES[name](spark, SF0001)
+        flags = [c for c, t in out.dtypes if t == "boolean"]
+        assert any(not r[c] for r in out.collect() for c in flags), name
