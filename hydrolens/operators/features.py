@@ -105,22 +105,24 @@ def label_quantile(hf: DataFrame, q: float = 0.75) -> DataFrame:
     """1 if avg_leak_prob >= its q-quantile (linear); if that yields one
     class, use the median with '>'; if still one class, fail with a clear error.
 
-    The thresholds come from the exact narrowing as one scalar subquery; the class
-    checks follow from min/max without a second pass: '>= q-quantile' has a 0 class
-    iff some value is below it or NULL, and '> median' has a 1 class iff the max
-    exceeds the median. Nothing runs while the query is built.
+    The thresholds come from the exact narrowing: one row of five numbers is fetched
+    while the query is built, since every later use of the label (split, weights, fits)
+    would otherwise carry the search for them in its plan. '>= q-quantile' has a 0
+    class iff some value is below it or NULL, and '> median' has a 1 class iff the max
+    exceeds the median. The features, a row a household, are read several times, so
+    they are kept (memory, then disk) once computed.
     """
     from hydrolens.operators.quantiles import quantile_columns
-    p = F.col("avg_leak_prob")
-    cuts = quantile_columns(hf, "avg_leak_prob", [q, 0.5, 0.0, 1.0], ["q", "m", "lo", "hi"])
-    at = cuts.select(F.struct("q", "m", "lo", "hi")).scalar()
-    st = hf.select(F.struct((F.count(p) < F.count(F.lit(1))).alias("has_null"))).scalar()
-    rule1 = (at["lo"] < at["q"]) | st["has_null"]
-    rule2 = at["hi"] > at["m"]
-    label = (F.when(at["q"].isNotNull() & rule1, F.coalesce((p >= at["q"]).cast("int"), F.lit(0)))
-              .when(rule2, F.coalesce((p > at["m"]).cast("int"), F.lit(0)))
-              .otherwise(F.raise_error(F.lit("label_quantile: avg_leak_prob gives a single class"))))
-    return hf.withColumn("is_high_risk", label.cast("int"))
+    p, hf = F.col("avg_leak_prob"), hf.cache()
+    at = quantile_columns(hf, "avg_leak_prob", [q, 0.5, 0.0, 1.0], ["q", "m", "lo", "hi"]).first()
+    single = F.raise_error(F.lit("label_quantile: avg_leak_prob gives a single class")).cast("int")
+    if at is None or at.q is None:  # no probability at all: a single (0) class
+        return hf.withColumn("is_high_risk", single)
+    if at.lo < at.q or hf.where(p.isNull()).limit(1).count():
+        return hf.withColumn("is_high_risk", F.coalesce((p >= at.q).cast("int"), F.lit(0)))
+    if at.hi > at.m:
+        return hf.withColumn("is_high_risk", F.coalesce((p > at.m).cast("int"), F.lit(0)))
+    return hf.withColumn("is_high_risk", single)
 
 
 def label_rule(hf: DataFrame, events: int = 20) -> DataFrame:
