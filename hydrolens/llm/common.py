@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
+import regex
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,15 @@ class Encoder:
 
     A byte-level BPE tokenizer splits a text before each single space, so the ids
     of a text are the ids of its space-led words in a row. Each distinct word goes
-    through the library once and is remembered. Texts in which white space meets
+    through the library's model once, in the pre-tokens that the library makes of it,
+    and is remembered. Texts in which white space meets
     white space around a space split differently and go through it whole.
     """
 
     _uneven = re.compile(r"\s (?:\s|$)|^ \s")
+    #: Words of characters whose class is the same in every version of Unicode, and their split into pre-tokens.
+    _settled = re.compile("[\n!-~¡-ɏ]+").fullmatch
+    _split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
     def __init__(self, path: str):
         import json
@@ -59,9 +64,12 @@ class Encoder:
                         and not pre.get("add_prefix_space"))
         #: Strings the tokenizer would cut out of a text before it splits it into words.
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.spaced[i] = piece.startswith("Ġ")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # a byte that isn't a printable Latin-1 character stands as one of the characters from 256 on, in order
+        hidden = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
+        shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        #: What a byte-level model has for each character of a settled word.
+        self.shown = {c: "".join(shown.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x250)}
         self.memo: dict[str, bytes] = {}
         #: Words seen that are empty or begin or end in white space; only they can make a text split unevenly.
         self.edged: set[str] = set()
@@ -76,21 +84,27 @@ class Encoder:
         marked = [w for w in words if w[-1:] in self.marks and w[:-1].isalpha()]
         words.difference_update(marked)
         words.update(b for w in marked if (b := w[:-1]) not in memo)
-        plain = [w for w in words if w.strip() == w != ""]
-        odd = [w for w in words if w.strip() != w or not w]
-        for i in range(0, len(plain), 2000):
-            part = plain[i:i + 2000]
-            ids = self._library([" " + " ".join(part)])[0]
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(part):
-                raw, ends = ids.tobytes(), (np.append(starts, len(ids)) * self.dtype.itemsize).tolist()
-                memo.update(zip(part, (raw[a:b] for a, b in pairwise(ends)), strict=True))
+        odd = []
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        for w in words:
+            if w.isalpha() and w.isascii():
+                memo[w] = array(code, [t.id for t in tokenize("Ġ" + w)]).tobytes()
+            elif parts := self._parts(w):
+                memo[w] = array(code, [t.id for p in parts for t in tokenize(p)]).tobytes()
             else:
-                odd += part
+                odd.append(w)
         for w, ids in zip(odd, self._library([" " + w for w in odd]), strict=True):
             memo[w] = ids.tobytes()
         memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
+    def _parts(self, word: str) -> list[str] | None:
+        """The pre-tokens of a space-led word, as the library's model takes them; None if only the library can tell."""
+        if not self._settled(word):
+            return None
+        if word.isalpha():
+            return ["Ġ" + word.translate(self.shown)]
+        return [p.translate(self.shown) for p in self._split(" " + word)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Flat ids of each text; None counts as empty. Ids have ``self.dtype``."""
         return [ids for part in by_size(texts) for ids in self._encode(part)]
