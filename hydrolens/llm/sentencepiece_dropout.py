@@ -26,6 +26,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ VARIANTS = 0
 MEMO = 250_000
 #: Characters of texts that are split into words at once.
 CHARS = 1 << 19
+#: Ids that are decoded at once, unless one text has more.
+DECODED = 1 << 17
 #: Characters up to which words are cut many at once, so many in a block; longer ones are cut one by one.
 SHORT = 48
 BLOCK = 4_000
@@ -105,7 +108,7 @@ class _Tree:
         self.words += words
 
 
-def _ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+def ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Places of so many values each from each start on."""
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
@@ -129,6 +132,7 @@ class Segmenter:
             self.bytes[i] = piece.replace(MARK, " ").encode()
         for value, i in self.byte_ids.items():
             self.bytes[i] = bytes([value])
+        self.flat: tuple[np.ndarray, ...] | None = None
         if any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p) for p in self.ids):
             raise ValueError("pieces of this model cross words")
         self.words = re.compile(" *[^ \n]+|\n| +")
@@ -146,14 +150,21 @@ class Segmenter:
             if len(piece) == 1 and piece != MARK:
                 self.char[ord(piece)] = i
         self.char[ord(" ")] = self.ids[MARK]
-        pairs = sorted((self.ids[p[:k]] * n + self.ids[p[k:]], i) for p, i in self.ids.items()
-                       for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
-        self.pairs = np.array([c for c, _ in pairs] + [1 << 62], np.int64)
-        self.merged = np.array([i for _, i in pairs] + [-1], np.int64)
-        self.rank_of = np.full(n, -1, np.int64)
-        for piece, r in self.rank.items():
-            self.rank_of[self.ids[piece]] = r
-        self.id_of = np.array(sorted(self.ids.values(), key=lambda i: self.rank_of[i]), np.int64)
+        rank_of = {self.ids[piece]: r for piece, r in self.rank.items()}
+        self.id_of = np.array(sorted(self.ids.values(), key=rank_of.__getitem__), np.int64)
+        # a hash table of pairs with open places: a pair is looked for from its own place on up to the first empty one
+        pairs = [(self.ids[p[:k]] * n + self.ids[p[k:]], rank_of[i]) for p, i in self.ids.items()
+                 for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        self.shift = np.uint64(64 - (4 * len(pairs)).bit_length())
+        self.pairs = np.full(1 << 64 - int(self.shift), -1, np.int64)
+        self.pair_rank = np.full(len(self.pairs), len(self.id_of), np.int32)
+        for (code, rank), at in zip(pairs, self._place(np.array([c for c, _ in pairs], np.int64)).tolist(), strict=True):
+            while self.pairs[at] >= 0:
+                at = (at + 1) % len(self.pairs)
+            self.pairs[at], self.pair_rank[at] = code, rank
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def key(self, word: str, stream: int) -> int:
         return self._keys(np.array([self._hash(word)], np.uint64), np.array([stream & _MASK], np.uint64)).tolist()[0]
@@ -218,9 +229,17 @@ class Segmenter:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of ids; the number of pieces where there is none."""
-        code = np.where((left < self.n) & (right < self.n) & (right >= 0), left * self.n + right, (1 << 62) - 1)
-        at = np.searchsorted(self.pairs, code)
-        return np.where(self.pairs[at] == code, self.rank_of[self.merged[at]], len(self.id_of))
+        out = np.full(len(left), len(self.id_of), np.int32)
+        rows = np.flatnonzero((left < self.n) & (right < self.n) & (right >= 0))
+        code = left[rows].astype(np.int64) * self.n + right[rows]
+        at = self._place(code)
+        while len(rows):
+            there = self.pairs[at]
+            hit = there == code
+            out[rows[hit]] = self.pair_rank[at[hit]]
+            on = np.flatnonzero((there >= 0) & ~hit)
+            rows, code, at = rows[on], code[on], (at[on] + 1) % len(self.pairs)
+        return out
 
     def cut_all(self, words: list[str], stream: int) -> list[bytes]:
         """The same cuts for many words of like length."""
@@ -233,44 +252,50 @@ class Segmenter:
 
         Ids and their number in each row; what the candidates after those skips draw by, and their number.
         """
-        none, size = len(self.id_of), [len(w) for w in words]
-        width = max(size)
-        symbols = np.full((len(words), width), -1, np.int64)
-        inside = np.arange(width) < np.array(size)[:, None]
+        none, size = len(self.id_of), np.array([len(w) for w in words])
+        width = int(size.max())
+        symbols = np.full((len(words), width), -1, np.int32)
+        inside = np.arange(width) < size[:, None]
         symbols[inside] = self.char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
-        place = np.tile(np.arange(width, dtype=np.uint64), (len(words), 1))
+        # a merged symbol stays at its first character's place; rows are chains of the places still held
+        after = np.tile(np.arange(1, width + 1, dtype=np.int16), (len(words), 1))
+        before = after - np.int16(2)
         left = np.full(len(words), skips)
         drawn, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        agenda = np.full((len(words), width), none, np.int64)
-        agenda[:, :-1] = self._ranks(symbols[:, :-1], symbols[:, 1:])
+        agenda = np.full((len(words), width), none, np.int32)
+        agenda[:, :-1] = self._ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(words), width - 1)
         rows = np.arange(len(words))
         while len(rows):
-            at = agenda[rows].argmin(axis=1)
-            best = agenda[rows, at]
+            open_ = agenda if len(rows) == len(agenda) else agenda[rows]
+            at = open_.argmin(axis=1)
+            best = open_[np.arange(len(rows)), at]
             on = best < none
-            rows, at, best = rows[on], at[on], best[on]
-            draw = best.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[rows, at] * np.uint64(0xC2B2AE3D27D4EB4F)
+            if not on.all():
+                rows, at, best = rows[on], at[on], best[on]
+            draw = best.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             last = left[rows] == 0
             drawn.append(draw[last])
             owner.append(rows[last])
             skip = self._skips(key[rows] ^ draw) & ~last
-            left[rows[skip]] -= 1
-            agenda[rows[skip], at[skip]] = none
-            go, i, new = rows[~skip], at[~skip], self.id_of[best[~skip]]
+            if skip.any():
+                left[rows[skip]] -= 1
+                agenda[rows[skip], at[skip]] = none
+                go, i, new = rows[~skip], at[~skip], self.id_of[best[~skip]].astype(np.int32)
+            else:
+                go, i, new = rows, at, self.id_of[best].astype(np.int32)
             if not len(go):
                 continue
-            move = np.arange(width) + (np.arange(width) > i[:, None])
-            gap = move >= width
-            move[gap] = width - 1
-            for table, blank in ((symbols, -1), (place, 0), (agenda, none)):
-                moved = np.take_along_axis(table[go], move, axis=1)
-                moved[gap] = blank
-                table[go] = moved
-            symbols[go, i] = new
-            nxt = np.minimum(i + 1, width - 1)
-            agenda[go, i] = np.where(i + 1 < width, self._ranks(new, symbols[go, nxt]), none)
-            has = i > 0
-            agenda[go[has], i[has] - 1] = self._ranks(symbols[go[has], i[has] - 1], new[has])
+            j = after[go, i]
+            k = after[go, j]
+            symbols[go, i], symbols[go, j] = new, -1
+            agenda[go, j], after[go, i] = none, k
+            inner = k < width
+            last_k = np.minimum(k, width - 1)
+            agenda[go, i] = self._ranks(new, np.where(inner, symbols[go, last_k], -1))
+            before[go[inner], k[inner]] = i[inner]
+            h = before[go, i]
+            has = h >= 0
+            agenda[go[has], h[has]] = self._ranks(symbols[go[has], h[has]], new[has])
         n = (symbols >= 0).sum(axis=1)
         flat = symbols[symbols >= 0]
         if (flat >= self.n).any():  # characters as bytes
@@ -301,7 +326,7 @@ class Segmenter:
         while len(rows):
             n = t.draw_n.held[node[rows]]
             ends = np.cumsum(n)
-            hit = np.flatnonzero(self._skips(np.repeat(key[rows], n) ^ t.draws.held[_ragged(t.draw_at.held[node[rows]], n)]))
+            hit = np.flatnonzero(self._skips(np.repeat(key[rows], n) ^ t.draws.held[ragged(t.draw_at.held[node[rows]], n)]))
             of = np.searchsorted(ends, hit, "right")
             first = np.flatnonzero(np.diff(of, prepend=-1))
             hit, of = hit[first], of[first]
@@ -353,13 +378,26 @@ class Segmenter:
             at[at_long] = t.ids.n + np.cumsum(n[at_long]) - n[at_long]
             ids = np.concatenate([t.ids.held[:t.ids.n], *cuts])
         out, sums = [], np.concatenate([[0], np.cumsum(n)])
-        flat = ids[_ragged(at, n)].astype("<u4", copy=False)
+        flat = ids[ragged(at, n)].astype("<u4", copy=False)
         for a, b in pairwise([0, *ends.tolist()]):
             out.append(flat[sums[a]:sums[b]].tobytes())
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()[1:]
+        return self.decode_all(ids, np.array([len(ids)]))[0].as_py()
+
+    def decode_all(self, ids: np.ndarray, n: np.ndarray) -> pa.StringArray:
+        """Texts of so many ids each: the pieces' bytes gathered from one table, without each text's extra space."""
+        if self.flat is None:
+            size = np.array([len(p) for p in self.bytes])
+            self.flat = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(size) - size, size
+        raw, at, size = self.flat
+        data = raw[ragged(at[ids], size[ids])]
+        ends = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(n)])]
+        led = np.flatnonzero(n)
+        data = np.delete(data, ends[led])
+        ends = ends - np.concatenate([[0], np.cumsum(n > 0)])
+        return pa.StringArray.from_buffers(len(n), pa.py_buffer(ends.astype("<i4")), pa.py_buffer(data))
 
 
 _segmenters: dict[tuple, Segmenter] = {}
@@ -391,7 +429,14 @@ def decode(pieces: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = segmenter(path)
         for b in batches:
-            texts = [s.decode(np.frombuffer(i, "<u4")) for i in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+            at, n, first = 0, pc.fill_null(pc.binary_length(b.column("ids")), 0).to_numpy(zero_copy_only=False) // 4, 0
+            sums = np.cumsum(n)
+            while first < len(n):  # some of the rows at a time, to bound the bytes gathered at once
+                end = max(first + 1, int(np.searchsorted(sums, at + DECODED, "right")))
+                part = b.slice(first, end - first)
+                ids = np.frombuffer(b"".join(i or b"" for i in part.column("ids").to_pylist()), "<u4")
+                texts = s.decode_all(ids, n[first:end])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*b.schema.names, "text"])
+                first, at = end, int(sums[end - 1])
     rows = pieces.drop("text")
     return rows.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, text string")
