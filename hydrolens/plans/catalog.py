@@ -329,8 +329,8 @@ def _checked(scores: DataFrame, *keys: str) -> DataFrame:
 def _fit(model: M.PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     """A model's scores of the test households; ``learned``: it ranks the households it was fitted on (AUC above 0.9)."""
     train, test = (M.score(model, rows.where(F.col("is_test") == i), name) for i in (0, 1))
-    learned = J.auc_roc(train).select("model", (F.col("auc") > 0.9).alias("learned"))
-    return _checked(test.join(learned, "model"), "model", "household_id", "label", "learned")
+    learned = J.auc_roc(train).select(F.max("auc") > 0.9).scalar()
+    return _checked(test.withColumn("learned", F.coalesce(learned, F.lit(False))), "model", "household_id", "label", "learned")
 
 
 def _all_scored(spark: SparkSession, d: str) -> DataFrame:
