@@ -28,7 +28,7 @@ _memo: dict[tuple, object] = {}
 _lock = threading.Lock()
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_fs(spark: SparkSession, path: str):
     jvm = spark._jvm  # noqa: SLF001 - Hadoop FS has no public Python API
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p  # noqa: SLF001
@@ -39,7 +39,7 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 
     The files' hashes are added up, so their names are never gathered anywhere.
     """
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_fs(spark, path)
     total, it = 0, fs.listFiles(p, True)
     while it.hasNext():
         st = it.next()
@@ -61,20 +61,20 @@ def materialize(spark: SparkSession, name: str, key: str, build: Callable[[], Da
     mkey = (spark.sparkContext.applicationId, name, key)
     tag = hashlib.sha1(key.encode()).hexdigest()[:20]
     path = stable_path(spark, name, tag)
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_fs(spark, path)
     with _lock:
         if mkey in _memo:
             if fs.exists(p):
                 return _memo[mkey]
             del _memo[mkey]
-    if not fs.exists(_fs(spark, path + "/_SUCCESS")[1]):
+    if not fs.exists(hadoop_fs(spark, path + "/_SUCCESS")[1]):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         df = build()
         if write is None:
             df.write.mode("overwrite").parquet(tmp)
         else:
             write(df, tmp)
-        ftmp, ptmp = _fs(spark, tmp)
+        ftmp, ptmp = hadoop_fs(spark, tmp)
         if not ftmp.rename(ptmp, p) and not fs.exists(p):
             raise OSError(f"could not publish {tmp} to {path}")
     out = spark.read.parquet(path) if read is None else read(path)
