@@ -37,23 +37,32 @@ SAMPLE_BYTES = 32 << 10
 DICTIONARY_BYTES = 64 << 10
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME = 0xFD2FB528
+MAGIC = struct.pack("<I", FRAME)
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
+#: Size from which on a partition's next record begins another archive.
+ARCHIVE_BYTES = 1 << 30
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORD = ("archive string, at long, record_type string, record_id string, refers_to string, target_uri string, "
           "payload binary, payload_bytes long, payload_digest string, error string")
 _REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 
-def with_originals(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """``page_id``, ``url``, ``payload`` (bytes), its ``digest``, and ``original``: the page a revisit refers to."""
+def with_originals(pages: DataFrame, scratch: str, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """``page_id``, ``url``, ``payload`` (bytes), its ``digest``, and ``original``: the page a revisit refers to.
+
+    The digests found more than once are written to ``scratch`` first. A join with that table
+    is a plain one: Spark broadcasts it while it is small, so that payloads stay where they
+    are, and beyond that splits a digest that many pages share.
+    """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     copies = (rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest")
               .agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    joined = rows.join(copies, "digest", "left")
+    copies.write.mode("overwrite").parquet(scratch)
+    joined = rows.join(pages.sparkSession.read.parquet(scratch), "digest", "left")
     return joined.withColumn("original", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")))
 
 
@@ -93,44 +102,51 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return record("revisit", headers | {"WARC-Refers-To": urn(original), "WARC-Profile": PROFILE}, http)
 
 
-def _writer(folder: str, dictionary: bytes):
+def _writer(folder: str, dictionary: bytes, archive_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        made, final = f"{root}/.{part}-{attempt}", f"{root}/pages-{part:06d}.warc.zst"
         given = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-        press, sink, n, size = zstandard.ZstdCompressor(write_checksum=True, **given), None, 0, 0
-        for b in batches:
-            for row in rows_of([b], "page_id", "url", "payload", "digest", "original"):
-                if sink is None:
-                    fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(made, compression=None)
-                    if dictionary:
-                        packed = zstandard.ZstdCompressor(level=19).compress(dictionary)
-                        size += sink.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
-                    info = {"WARC-Record-ID": f"<urn:x-archive:{part}>", "Content-Type": "application/warc-fields"}
-                    size += sink.write(press.compress(record("warcinfo", info, b"format: WARC File Format 1.1\r\n")))
-                size += sink.write(press.compress(page_record(*row)))
-                n += 1
-        if sink is not None:
-            sink.close()
-            publish(fs, made, final)
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/pages-{part:06d}.warc.zst"], "n_records": [n], "n_bytes": [size]})
+        press = zstandard.ZstdCompressor(write_checksum=True, **given)
+        packed = zstandard.ZstdCompressor(level=19).compress(dictionary) if dictionary else b""
+        info = {"WARC-Record-ID": f"<urn:x-archive:{part}>", "Content-Type": "application/warc-fields"}
+        rows, number = rows_of(batches, "page_id", "url", "payload", "digest", "original"), 0
+        row = next(rows, None)
+        while row is not None:
+            name, n, size = f"pages-{part:06d}-{number:04d}.warc.zst", 0, 0
+            made = f"{root}/.{name}-{attempt}"
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(made, compression=None) as sink:
+                if packed:
+                    size += sink.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
+                size += sink.write(press.compress(record("warcinfo", info, b"format: WARC File Format 1.1\r\n")))
+                while row is not None and (not n or size < archive_bytes):
+                    size += sink.write(press.compress(page_record(*row)))
+                    n, row = n + 1, next(rows, None)
+            publish(fs, made, f"{root}/{name}")
+            number += 1
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [n], "n_bytes": [size]})
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Write an archive for each partition under ``folder``; the list of archives, also kept in ``manifest``."""
-    rows = with_originals(pages, page_id, html).select("page_id", "url", "payload", "digest", "original")
-    made = rows.mapInArrow(_writer(folder, train(pages, html)), MANIFEST)
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", html: str = "html",
+                   archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write archives under ``folder``; the list of archives, also kept in ``manifest``.
+
+    A partition begins another archive after ``archive_bytes``, as each archive is read by one task.
+    """
+    rows = with_originals(pages, f"{folder}/copies", page_id, html).select("page_id", "url", "payload", "digest", "original")
+    made = rows.mapInArrow(_writer(folder, train(pages, html), archive_bytes), MANIFEST)
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def frames(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
-    """Place and content of each frame of an archive, or what is wrong with it (which ends the archive).
+    """Place and content of each frame of an archive, or what is wrong with it.
 
-    Other skippable frames than a leading dictionary are passed over.
+    After a damaged frame the reader goes on at the next frame that opens as a WARC
+    record; what lies between is one error. Other skippable frames than a leading
+    dictionary are passed over.
     """
     held, at, opener, first = b"", 0, zstandard.ZstdDecompressor(), True
 
@@ -140,6 +156,29 @@ def frames(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
             held += got
         return len(held) >= n
 
+    def seek() -> int:
+        """Drop what is held up to the next readable frame; how much that was."""
+        nonlocal held
+        dropped, start = 0, 1
+        while True:
+            place = held.find(MAGIC, start)
+            if place < 0:
+                cut = max(len(held) - 3, 0)
+                dropped, held, start = dropped + cut, held[cut:], 0 if cut else start
+                if not more(len(held) + 1):
+                    dropped, held = dropped + len(held), b""
+                    return dropped
+                continue
+            more(place + CHUNK)
+            try:
+                opens = opener.decompressobj().decompress(held[place:place + CHUNK]).startswith(b"WARC/1.")
+            except zstandard.ZstdError:
+                opens = False
+            if opens:
+                held = held[place:]
+                return dropped + place
+            start = place + 1
+
     while more(1):
         if not more(8):
             yield at, None, "archive ends inside a frame"
@@ -161,21 +200,20 @@ def frames(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
             at, first = at + 8 + size, False
             continue
         first = False
-        one, parts, used = opener.decompressobj(), [], 0
+        one, parts, fed, wrong = opener.decompressobj(), [], [], None
         try:
-            while not one.eof:
+            while not one.eof and wrong is None:
                 if not held and not more(1):
-                    yield at, None, "archive ends inside a frame"
-                    return
-                fed, held = held, b""
-                parts.append(one.decompress(fed))
-                used += len(fed)
+                    wrong = "archive ends inside a frame"
+                else:
+                    fed.append(held)
+                    held = b""
+                    parts.append(one.decompress(fed[-1]))
         except zstandard.ZstdError as e:
-            yield at, None, f"damaged frame: {e}"
-            return
-        held = one.unused_data
-        yield at, b"".join(parts), None
-        at += used - len(held)
+            wrong = f"damaged frame: {e}"
+        yield at, None if wrong else b"".join(parts), wrong
+        held = b"".join(fed) if wrong else one.unused_data
+        at += seek() if wrong else sum(map(len, fed)) - len(held)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
