@@ -11,7 +11,8 @@ other node gets its link-adjusted density of characters per
 tag, and the sum of its children's densities. The node with the largest sum is
 the core of the article; the smallest density on the path from it up to the body
 is the threshold for taking in its surroundings: while a neighbour of the subtree
-reaches it and holds blocks of its own, the subtree grows to the parent.
+reaches it and holds blocks of its own, the subtree grows to the parent. It also
+does for a heading before it, its title, but not up to the body.
 
 Where a page marks articles (else a main part) and they hold half of its text or
 more, the search stays in the mark, or in what several marks have in common. Up to
@@ -60,6 +61,8 @@ RELATIVE = frozenset("has have hide is no not on show with without".split())
 #: A named element with a larger share of the page's text, and more characters, is a wrapper, whose text has this weight.
 WRAPPER, SMALL, WEIGHT = 2 / 3, 250, 0.25
 LANDMARKS = ("article", "main")
+#: What a head may hold; anything else ends a head whose end tag is left out.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _KEPT = frozenset(("html", "body", "article", "main"))
 #: A start tag that closes an open element of the same kind, up to these borders.
@@ -107,7 +110,13 @@ class Page(HTMLParser):
             if tag in borders:
                 return
 
+    def _leave_head(self) -> None:
+        if self.tag[self.open[-1]] == "head":
+            self._shut(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self._leave_head()
         if tag in _CLOSES:
             self._close_open(_CLOSES[tag], _BORDERS - {"td", "th"} if tag == "tr" else _BORDERS - {tag})
         elif tag not in INLINE and tag != "br":
@@ -131,6 +140,8 @@ class Page(HTMLParser):
         self._close_open((tag,), borders)
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._leave_head()
         self._add(data)
 
 
@@ -282,7 +293,8 @@ def grown(page: Page, dense: list[float], sums: list[float], kept: list[bool], b
         if up in beside_path and i not in path and kept[i]:
             beside_path[up].append(i)
     for low, up in zip(path, path[1:], strict=False):
-        if any(reaches(i) for i in beside_path[up]):
+        title = up != body and any(i < low and page.tag[i] in HEADINGS and dense[i] > 0 for i in beside_path[up])
+        if title or any(reaches(i) for i in beside_path[up]):
             best = up
         elif best != low and bound is None:
             break
