@@ -64,12 +64,14 @@ def boilerplate(lines: DataFrame, scratch: str, min_sites: int = MIN_SITES) -> D
 
 
 def dedup_lines(docs: DataFrame, scratch: str, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text",
-                site: str = "source") -> DataFrame:
+                site: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, ``n_lines`` (before) and ``n_removed``.
 
     ``scratch``: folder in the shared store; the line hashes are written there once
-    and read for the sketches, the exact counts and the removal.
+    and read for the sketches, the exact counts and the removal. ``counts``: other names
+    for the two counts.
     """
+    n_lines, n_removed = counts
     spark = docs.sparkSession
     places(docs, doc_id, text, site).write.parquet(f"{scratch}/lines")
     lines = spark.read.parquet(f"{scratch}/lines")
@@ -77,14 +79,14 @@ def dedup_lines(docs: DataFrame, scratch: str, min_sites: int = MIN_SITES, doc_i
     key = {"__doc": not_null_key(doc_id), "__text": F.xxhash64(text)}
     gone = (lines.join(found, "h").where(F.struct("k", "t", "pos") != F.col("first"))
             .groupBy(F.col("k").alias("__doc"), F.col("t").alias("__text")).agg(F.collect_set("pos").alias("__gone")))
-    rows = docs.drop(*({"n_lines", "n_removed"} - {doc_id, text, site})).withColumns(key).join(gone, list(key), "left")
+    rows = docs.drop(*(set(counts) - {doc_id, text, site})).withColumns(key).join(gone, list(key), "left")
     all_lines = _lines(F.col(text))
     full = F.coalesce(F.size(F.filter(all_lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")), F.lit(0))
     lost = F.coalesce(F.size("__gone"), F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone"))
     cut = F.array_join(F.transform(stay, lambda i: F.get(F.col("__all"), i)), "\n")
-    rows = rows.withColumns({"__all": F.when(F.col("__gone").isNotNull(), all_lines), "n_lines": full.cast("bigint")})
-    some = (lost > 0) & (lost < F.col("n_lines"))
-    rows = rows.withColumns({"n_removed": F.when(some, lost).otherwise(F.lit(0)).cast("bigint"),
+    rows = rows.withColumns({"__all": F.when(F.col("__gone").isNotNull(), all_lines), n_lines: full.cast("bigint")})
+    some = (lost > 0) & (lost < F.col(n_lines))
+    rows = rows.withColumns({n_removed: F.when(some, lost).otherwise(F.lit(0)).cast("bigint"),
                              "__cut": F.when(some, cut).otherwise(F.col(text))})
     return rows.withColumn(text, F.col("__cut")).drop(*key, "__all", "__gone", "__cut")

@@ -145,9 +145,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
             "n_upper_words")
 
 
-def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES,
-          stop_words: str = STOP_WORDS) -> DataFrame:
-    """Input columns with the measures, ``base_failed``, ``kept`` and ``failed`` (names of the rules broken)."""
+def _judged(text: str, base: tuple[Rule, ...], rules: tuple[Rule, ...], stop_words: str) -> Column:
+    """The measures and the verdict of a text, in one struct."""
     def verdicts(m: Column) -> Column:
         of = {"words": ("n_words", "n_repeat_words", "n_stop_words", "n_upper_words"), "lines": ("n_lines", "n_dup_lines")}
         known = {c: m[part][c] for part, cs in of.items() for c in cs} | {c: m[c] for c in ("word_chars", "n_symbols")}
@@ -159,6 +158,17 @@ def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, ru
                         (F.size(broken) == 0).alias("kept"))
 
     # one expression: a filter on ``kept`` that Spark moves below the projection still measures a text once
-    judged = let(F.struct(*[c.alias(n) for n, c in measures(F.col(text), stop_words).items()]), verdicts)
+    return let(F.struct(*[c.alias(n) for n, c in measures(F.col(text), stop_words).items()]), verdicts)
+
+
+def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES,
+          stop_words: str = STOP_WORDS) -> DataFrame:
+    """Input columns with the measures, ``base_failed``, ``kept`` and ``failed`` (names of the rules broken)."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c == text or c not in (*MEASURES, "base_failed", "kept", "failed")]
-    return docs.select(*rest, judged.alias("__judged")).select(*rest, "__judged.*")
+    return docs.select(*rest, _judged(text, base, rules, stop_words).alias("__judged")).select(*rest, "__judged.*")
+
+
+def passing(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES,
+            stop_words: str = STOP_WORDS) -> DataFrame:
+    """The rows that break no rule, with all columns as they came, whatever their names."""
+    return docs.where(_judged(text, base, rules, stop_words)["kept"])
