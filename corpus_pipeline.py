@@ -15,14 +15,14 @@ from hydrolens.session import scratch_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects, with the columns they came with."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines found on many sites; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs, scratch_path(spark, "pipeline", "lines"))
+    """All documents with their columns, without the lines found on many sites; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs, scratch_path(spark, "pipeline", "lines"), counts=("__lines", "__removed"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(
             docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
