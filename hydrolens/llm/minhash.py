@@ -191,10 +191,11 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
     Alternates large and small stars until the edges are stars around the roots:
     each step is a minimum by node and a join, and halves the longest paths.
     """
-    def step(e: DataFrame, small: bool) -> DataFrame:
+    def step(e: DataFrame, small: bool, at: str) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         sided = down if small else down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sided.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = saved(low, at)  # written, so that Spark can split a hub
         joined = sided.join(low, "u")
         if small:
             out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
@@ -208,7 +209,8 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
 
     now, before, turn = edges, None, 0
     while True:
-        now = saved(step(step(now, False), True), f"{scratch}/{turn}")
+        far = saved(step(now, False, f"{scratch}/{turn}_far_low"), f"{scratch}/{turn}_far")
+        now = saved(step(far, True, f"{scratch}/{turn}_low"), f"{scratch}/{turn}")
         if (after := mark(now)) == before:
             break
         before, turn = after, turn + 1
@@ -244,6 +246,7 @@ def _rest(nodes: DataFrame, sets: DataFrame, scratch: str) -> DataFrame:
     lead = saved(lead, f"{scratch}/lead")
     most = lead.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
         F.max_by("root", F.struct("c", "root")).alias("most"))
+    most = saved(most, f"{scratch}/most")  # as ``common``: a shingle of many near copies is split
     a = lead.join(most, "s").where(F.col("root") != F.col("most")).drop("most")
     a, b = (x.select("s", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "root", "at")])
             for x, end in ((a, "a"), (lead, "b")))
@@ -269,7 +272,6 @@ def links(docs: DataFrame, sketches: DataFrame, scratch: str, words: int) -> Dat
     pairs = _rest(left, sets, scratch).join(tested, ["a", "b"], "left_anti")
     more = saved(confirmed(pairs, sets), f"{scratch}/links1")
     return roots if more.isEmpty() else components(edges.unionByName(more), f"{scratch}/roots1")
-    return roots
 
 
 def near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,7 +287,9 @@ def near_duplicates(docs: DataFrame, scratch: str, words: int = WORDS, doc_id: s
     # equal sets first, then components: neither gathers more than a minimum by key
     sets = sketches.where("n > 0").groupBy("node").agg(F.min(F.struct("k", "h")).alias("low")).join(roots, "node", "left")
     sets = sets.withColumn("root", F.coalesce("root", "node"))
-    lowest = sets.groupBy("root").agg(F.min("low").alias("first"))
+    sets = saved(sets, f"{scratch}/roots")
+    # written, so that the join with it has an exchange on either side and a large component is split
+    lowest = saved(sets.groupBy("root").agg(F.min("low").alias("first")), f"{scratch}/lowest")
     out = sketches.select("k", "h", "n", "node").join(sets.join(lowest, "root").select("node", "first"), "node", "left")
     out = out.withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("k", "h")))
     known = lambda c: F.when(c != -(1 << 63), c)
