@@ -21,93 +21,47 @@ from pyspark.sql import functions as F
 DIMS = 1 << 12
 GRAM = 3
 
-#: Labelled URLs the default model is fitted on, one a line.
-ALLOWED = """
-https://docs.python.org/3/library/index.html
-https://en.wikipedia.org/wiki/Water_meter
-https://www.gutenberg.org/ebooks/1342
-https://www.nature.com/articles/physics
-https://www.bbc.co.uk/news/science-environment
-https://www.nasa.gov/missions/history
-https://www.mit.edu/research/library/
-https://www.loc.gov/collections/maps/
-https://www.who.int/health-topics/water
-https://arxiv.org/abs/1706.03762
-https://news.example.org/en/2024/politics/article-12
-https://blog.example.org/de/reisen/berlin.html
-https://library.example.edu/catalog/history/roman
-https://www.example.org/fr/culture/musee
-https://www.example.org/es/ciencia/agua
-https://museum.example.org/collection/paintings/index.html
-https://recipes.example.com/en/bread/sourdough
-https://www.stadt-beispiel.de/rathaus/aktuelles
-https://www.lemonde.fr/planete/article/2023
-https://www.elpais.com/cultura/libros
-https://www.spiegel.de/wissenschaft/natur
-https://developer.mozilla.org/en-US/docs/Web/HTML
-https://spark.apache.org/docs/latest/sql-programming-guide.html
-https://stackoverflow.com/questions/11227809
-https://www.britannica.com/science/hydrology
-https://openstax.org/books/biology/pages/1-introduction
-https://www.parliament.uk/business/committees
-https://www.europarl.europa.eu/news/de/headlines
-https://www.bibliothek.uni-example.de/bestand
-https://forum.example.net/en/gardening/tomatoes
-https://school.example.edu/physics/lesson-3
-https://www.weather.gov/forecast/maps
-https://www.geo.example.org/atlas/rivers
-https://www.cambridge.org/core/journals
-https://plato.stanford.edu/entries/logic
-https://www.ncbi.nlm.nih.gov/books/biochemistry
-https://kids.example.org/stories/fox-and-crow
-https://www.archive.org/details/texts
-https://www.conservation.example.org/reports/annual
-https://dictionary.example.com/en/words/meadow
-"""
-
-#: Labelled URLs to block, one a line.
-BLOCKED = """
-http://casino-bonus777.example.net/free-spins
-http://cheap-pills-online.example.com/buy/viagra
-http://win-big-poker.example.net/jackpot?ref=x
-http://xxx-cams-live.example.net/hot/girls
-http://adult-dating4u.example.com/sexy/singles
-http://best-loan-payday.example.net/apply-now
-http://free-download-crack.example.net/keygen.exe
-http://torrent-moviez.example.com/full-hd/download
-http://login-secure-paypa1.example.net/verify/account
-http://get-rich-crypto.example.com/double-bitcoin
-http://slots-vegas-online.example.net/bonus-code
-http://hot-xxx-video.example.com/porn/free
-http://replica-watches-cheap.example.net/rolex
-http://weight-loss-pills.example.com/miracle-diet
-http://bet365-tips.example.net/betting/odds
-http://sexcam-live.example.com/join-free
-http://prize-winner-claim.example.net/iphone-free
-http://forex-signals-win.example.com/profit-now
-http://cheap-cialis-pharmacy.example.net/order
-http://warez-serials.example.com/crack/download
-http://escort-girls-city.example.net/vip
-http://online-casino-slots.example.com/free-spins-bonus
-http://account-verify-bank.example.net/login.php
-http://porn-tube-hd.example.com/xxx/video
-http://instant-payday-loan.example.net/cash-now
-http://buy-followers-likes.example.com/cheap
-http://viagra-discount.example.net/buy-now
-http://poker-jackpot-win.example.com/play-now
-http://hack-tool-generator.example.net/free-coins
-http://lottery-winner.example.com/claim-prize
-http://xxx-dating-hookup.example.net/sexy
-http://torrentz-free-movies.example.com/watch-online
-http://bitcoin-doubler.example.net/invest-now
-http://gambling-bets-odds.example.com/casino
-http://cheap-replica-bags.example.net/sale-now
-http://nude-celebs.example.com/leaked/pics
-http://spin-to-win.example.net/bonus777
-http://diet-pills-miracle.example.com/order-now
-http://keygen-crack-serial.example.net/setup.exe
-http://secure-login-update.example.com/verify.php
-"""
+#: The default labelled table is made of words by a rule (``labelled_urls``). Words of sites to allow:
+ALLOWED = (
+    "water river museum library school history science nature garden recipe bread atlas weather forest village council "
+    "parliament archive journal dictionary grammar poetry novel theatre orchestra painting physics chemistry biology "
+    "geology astronomy medicine hospital health farming cycling hiking football chess travel railway harbour bridge "
+    "kitchen pottery weaving teacher student lecture course research report news article forum docs manual python "
+    "software linux browser database energy climate ocean mountain island bird flower"
+).split()
+
+#: Words of sites to block.
+BLOCKED = (
+    "casino poker jackpot roulette slots betting bets gambling lottery bingo pills viagra cialis pharmacy diet miracle "
+    "weightloss porn xxx sex sexcam adult escort hookup nude hotgirls loan payday fastcash getrich doubler forex "
+    "torrent warez crack keygen serials cheat hack phishing paypa1 verifyaccount prize winner claim giveaway freespins "
+    "bonus777 replica rolex cheap discount buynow followers clickbait popup adserver ads spam tracker malware toolbar "
+    "win free"
+).split()
+
+#: Domain endings, forms of a host and paths: each stands in both classes alike, so that none decides alone.
+ENDINGS = "com net org edu info io de fr es co.uk eu example.com example.net example.org".split()
+HOSTS = ("{a}", "www.{a}", "{a}-{b}", "m.{a}-{b}", "{b}{a}", "blog.{a}", "{b}.{a}", "best-{a}")
+PATHS = ("/", "", "/en/{n}", "/{b}/{n}.html", "/play", "/docs/guide", "/de/{n}/", "/{b}", "/index.html", "/fr/{n}", "/login/{b}",
+         "/es/{n}.html")
+
+
+def labelled_urls() -> list[tuple[str, float]]:
+    """URLs and labels (1: block). Every word heads as many hosts as there are forms, on endings and with paths in turn;
+    made-up words, which tell nothing, and hosts without any stand among the allowed."""
+    out = []
+    for words, label in ((ALLOWED, 0.0), (BLOCKED, 1.0)):
+        for i, a in enumerate(words):
+            for j, form in enumerate(HOSTS):
+                b, at = words[(7 * i + 13 * j + 5) % len(words)], len(HOSTS) * i + j
+                host = form.format(a=a, b=b) + "." + ENDINGS[(5 * i + j) % len(ENDINGS)]
+                out.append((("http", "https")[at % 2] + "://" + host + PATHS[(3 * i + j) % len(PATHS)].format(b=b, n=37 * at % 9000), label))
+    sounds = [c + v + e for c in "bdfklmnprst" for v in "aeiou" for e in "lnrst"]
+    for i, end in enumerate(ENDINGS * 10):
+        made = sounds[29 * i % len(sounds)] + sounds[(53 * i + 7) % len(sounds)]
+        host = (made, "www." + made, "m." + made, "blog." + made)[i // len(ENDINGS) % 4] + "." + end
+        out.append(("https://" + host + PATHS[5 * i % len(PATHS)].format(b=made, n=41 * i % 9000), 0.0))
+    return out + [("https://" + sub + end + path, 0.0) for end in ENDINGS for sub in ("", "www.") for path in ("/", "/docs/guide")]
 
 
 @dataclass(frozen=True)
@@ -145,10 +99,11 @@ def host_and_path(url: Column) -> dict[str, Column]:
 
 def _grams(kind: str, s: Column) -> Column:
     """Places of the n-grams of a string between two marks; none of an empty string."""
-    marked = F.concat(F.lit("^"), s, F.lit("$"))
-    starts = F.sequence(F.lit(1), F.length(marked) - GRAM + 1)
-    hashed = F.transform(starts, lambda i: F.pmod(
-        F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(GRAM))), F.lit(DIMS)).cast("int"))
+    # characters as an array: a place in a string of several bytes a character takes a walk to it, for each n-gram
+    marked = F.split(F.concat(F.lit("^"), s, F.lit("$")), "")
+    hashed = F.transform(F.array(marked), lambda cs: F.transform(
+        F.sequence(F.lit(0), F.size(cs) - GRAM),
+        lambda i: F.pmod(F.xxhash64(F.lit(kind), F.concat(*[F.get(cs, i + j) for j in range(GRAM)])), F.lit(DIMS)).cast("int")))[0]
     return F.when(F.length(s) > 0, hashed).otherwise(F.array().cast("array<int>"))
 
 
@@ -170,18 +125,24 @@ class Model:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    rows = [(u, 0.0) for u in ALLOWED.split()] + [(u, 1.0) for u in BLOCKED.split()]
-    each = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows])
-    return spark.range(1).select(F.inline(each))
+    """The default table, some 1,300 rows."""
+    rows = labelled_urls()
+    urls, labels = (F.lit([r[i] for r in rows]) for i in (0, 1))
+    pairs = F.arrays_zip(urls.alias("url"), labels.alias("label"))
+    return spark.range(1).select(F.explode(pairs).alias("r")).select(F.col("r.url").alias("url"), F.col("r.label").alias("label"))
 
 
 def fit(urls: DataFrame, regularisation: float = 1e-5) -> Model:
     """Fit on a small table of ``url`` and ``label`` (1: block). Rows without a label are left out."""
     n = F.greatest(F.size("places"), F.lit(1))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)),
-                         lambda d: F.size(F.filter(F.col("places"), lambda x: x == d)) / n)
+    found = F.col("found")
+    zeros = lambda before, after: F.array_repeat(F.lit(0.0), after - F.coalesce(before, F.lit(-1)) - 1)
+    share = lambda p: F.size(F.filter(F.col("places"), lambda x: x == p)) / n
+    runs = F.transform(found, lambda p, k: F.concat(zeros(F.get(found, k - 1), p), F.array(share(p))))
+    dense = F.concat(F.flatten(runs), zeros(F.array_max(found), F.lit(DIMS)))
     rows = (urls.where("label IS NOT NULL").withColumns(host_and_path(F.col("url"))).withColumn("places", places())
-            .orderBy("url").coalesce(1).select("label", array_to_vector(counts).alias("features")))
+            .withColumn("found", F.sort_array(F.array_distinct("places"))).orderBy("url").coalesce(1)
+            .select("label", array_to_vector(dense).alias("features")))
     fitted = LogisticRegression(regParam=regularisation, maxIter=100, standardization=False).fit(rows)
     return Model(tuple(float(x) for x in fitted.coefficients.toArray()), float(fitted.intercept))
 

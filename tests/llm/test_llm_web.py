@@ -1,6 +1,7 @@
 """WARC archives, URL verdicts and main text of web pages."""
 import hashlib
 import io
+import math
 import struct
 
 import pytest
@@ -132,14 +133,38 @@ def test_rules_equal_brute_force(spark):
     assert "Python" not in url_filter.judge(frame, model)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_url_model_on_held_out_urls(spark):
-    rows = url_filter.labelled(spark).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(4)))
-    right = 0
+def right():
+    return F.avg(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int"))
+
+
+def test_url_model_on_held_out_hosts(spark):
+    rows = url_filter.labelled(spark).withColumn("part", F.pmod(F.xxhash64(url_filter.host_and_path(F.col("url"))["host"]), F.lit(4)))
     for part in range(4):
         model = url_filter.fit(rows.where(F.col("part") != part).drop("part"))
         held = url_filter.judge(rows.where(F.col("part") == part), model, rules=())
-        right += held.where((F.col("verdict") == "block") == (F.col("label") == 1)).count()
-    assert right >= 0.9 * rows.count()
+        assert held.agg(right()).first()[0] >= 0.9
+
+
+@pytest.mark.parametrize("end", ["net", "org", "co.uk"])
+def test_url_model_on_held_out_endings(spark, end):
+    rows, with_end = url_filter.labelled(spark), F.col("url").rlike(rf"://[^/]*\.{end}(/|$)")
+    held = url_filter.judge(rows.where(with_end), url_filter.fit(rows.where(~with_end)), rules=())
+    shares = {r.label: r[1] for r in held.groupBy("label").agg(right()).collect()}
+    assert set(shares) == {0.0, 1.0} and min(shares.values()) >= 0.9
+
+
+def test_url_model_judges_by_words(spark):
+    urls = {"https://casino.org/play": "block", "http://buy-cheap.org/pills": "block", "https://www.example.net/": "allow",
+            "https://water.example.net/docs/guide": "allow", "https://www.nature.com/articles/physics": "allow",
+            "http://free-bets.org/": "block", "https://" + "river." * 20_000 + "org/" + "museum/" * 20_000: "allow"}
+    model = url_filter.fit(url_filter.labelled(spark))
+    rows = url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), model, rules=()).collect()
+    assert {r.url: r.verdict for r in rows} == urls
+    weights = list(model.weights)
+    for r in rows[:6]:  # the probability, by hand, over the n-grams' places
+        at = spark.createDataFrame([(r.host, r.path)], "host string, path string").select(url_filter.places()).first()[0]
+        z = model.intercept + sum(weights[i] for i in at) / max(len(at), 1)
+        assert abs(r.p_block - 1 / (1 + math.exp(-z))) < 1e-9
 
 
 def page(body, head="<title>Title</title>"):
