@@ -8,7 +8,9 @@ Defined results: a NULL or empty text has no words and fails the base rules;
 rows are judged one by one, so ties, repeated rows and NULLs in other columns
 play no part; extra columns pass through, and a column of the input that bears
 the name of a measure is replaced by the measure; an empty table gives an empty
-result.
+result. Rules that hold for some languages only (``Rule.languages``) pass texts
+that name another language in ``lang``, and texts whose letters are mostly of
+another script than the Latin one; a NULL ``lang``, or none, leaves it to the script.
 """
 from __future__ import annotations
 
@@ -25,6 +27,9 @@ STOP_WORDS = (
     "el los las y que se del un una por con su para es al lo como no"
 )
 
+#: Languages of the stop words, as ``lang`` names them, and languages whose words stand apart in Latin letters.
+LANGUAGES = ("en", "de", "fr", "es")
+
 #: The characters counted as symbols, and the white space between words.
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,6 +41,7 @@ class Rule:
     """Keep a text if ``low * per <= scale * measure <= high * per`` (a missing limit is no limit).
 
     Texts of fewer than ``from_words`` words are too short for the ratio to say anything.
+    A rule with ``languages`` passes texts of other languages or scripts.
     """
 
     name: str
@@ -45,6 +51,7 @@ class Rule:
     high: int | None = None
     scale: int = 100
     from_words: int = 0
+    languages: tuple[str, ...] = ()
 
 
 #: The contract's base rules: texts of at least ten words, at most a fifth of them in repeated windows.
@@ -55,9 +62,9 @@ BASE = (
 
 #: The method's own rules; limits in hundredths of the second measure.
 RULES = (
-    Rule("mean word length", "word_chars", per="n_words", low=200, high=1500),
+    Rule("mean word length", "word_chars", per="n_words", low=200, high=1500, languages=LANGUAGES),
     Rule("symbols per word", "n_symbols", per="n_words", high=30),
-    Rule("stop words", "n_stop_words", per="n_words", low=2, from_words=40),
+    Rule("stop words", "n_stop_words", per="n_words", low=2, from_words=40, languages=LANGUAGES),
     Rule("repeated lines", "n_dup_lines", per="n_lines", high=50),
     Rule("words in capitals", "n_upper_words", per="n_words", high=50),
 )
@@ -127,10 +134,11 @@ def measures(text: Column, stop_words: str = STOP_WORDS) -> dict[str, Column]:
         "words": let(words_of(text), of_words), "lines": let(lines, of_lines),
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("bigint"),
         "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("bigint"),
+        "n_other_letters": F.length(F.regexp_replace(t, r"[\P{L}\p{IsLatin}]+", "")).cast("bigint"),
     }
 
 
-def holds(rule: Rule, measure: dict[str, Column]) -> Column:
+def holds(rule: Rule, measure: dict[str, Column], lang: Column | None = None) -> Column:
     value = measure[rule.measure] * rule.scale
     per = measure[rule.per] if rule.per else F.lit(1)
     ok = F.lit(True)
@@ -138,22 +146,28 @@ def holds(rule: Rule, measure: dict[str, Column]) -> Column:
         ok = ok & (value >= per * rule.low)
     if rule.high is not None:
         ok = ok & (value <= per * rule.high)
+    if rule.languages:
+        ok = ok | (2 * measure["n_other_letters"] > measure["word_chars"])
+        if lang is not None:
+            ok = ok | F.coalesce(~lang.isin(*rule.languages), F.lit(False))
     return ok | (measure["n_words"] < rule.from_words) if rule.from_words else ok
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
-            "n_upper_words")
+            "n_upper_words", "n_other_letters")
 
 
-def _judged(text: str, base: tuple[Rule, ...], rules: tuple[Rule, ...], stop_words: str) -> Column:
+def _judged(docs: DataFrame, text: str, base: tuple[Rule, ...], rules: tuple[Rule, ...], stop_words: str, lang: str) -> Column:
     """The measures and the verdict of a text, in one struct."""
+    named = F.col(lang).cast("string") if lang in docs.columns else None
+
     def verdicts(m: Column) -> Column:
         of = {"words": ("n_words", "n_repeat_words", "n_stop_words", "n_upper_words"), "lines": ("n_lines", "n_dup_lines")}
-        known = {c: m[part][c] for part, cs in of.items() for c in cs} | {c: m[c] for c in ("word_chars", "n_symbols")}
-        broken = F.filter(F.array(*[F.when(~holds(r, known), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
+        known = {c: m[part][c] for part, cs in of.items() for c in cs} | {c: m[c] for c in ("word_chars", "n_symbols", "n_other_letters")}
+        broken = F.filter(F.array(*[F.when(~holds(r, known, named), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
         failed = F.lit(False)
         for r in base:
-            failed = failed | ~holds(r, known)
+            failed = failed | ~holds(r, known, named)
         return F.struct(*[known[c].alias(c) for c in MEASURES], failed.alias("base_failed"), broken.alias("failed"),
                         (F.size(broken) == 0).alias("kept"))
 
@@ -162,13 +176,13 @@ def _judged(text: str, base: tuple[Rule, ...], rules: tuple[Rule, ...], stop_wor
 
 
 def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES,
-          stop_words: str = STOP_WORDS) -> DataFrame:
+          stop_words: str = STOP_WORDS, lang: str = "lang") -> DataFrame:
     """Input columns with the measures, ``base_failed``, ``kept`` and ``failed`` (names of the rules broken)."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c == text or c not in (*MEASURES, "base_failed", "kept", "failed")]
-    return docs.select(*rest, _judged(text, base, rules, stop_words).alias("__judged")).select(*rest, "__judged.*")
+    return docs.select(*rest, _judged(docs, text, base, rules, stop_words, lang).alias("__judged")).select(*rest, "__judged.*")
 
 
 def passing(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES,
-            stop_words: str = STOP_WORDS) -> DataFrame:
+            stop_words: str = STOP_WORDS, lang: str = "lang") -> DataFrame:
     """The rows that break no rule, with all columns as they came, whatever their names."""
-    return docs.where(_judged(text, base, rules, stop_words)["kept"])
+    return docs.where(_judged(docs, text, base, rules, stop_words, lang)["kept"])

@@ -90,7 +90,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -148,23 +148,26 @@ def _moved(book: str, near: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "op5_line_dedup": f"""
+    "op5_line_dedup": rf"""
 WITH a AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM a),
 t AS (SELECT doc_id, source, pos, {_TRIM} AS line FROM l WHERE {_TRIM} <> ''),
-b AS (SELECT line FROM t GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+b AS (SELECT line FROM t GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+      AND (len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) >= {line_dedup.SHORT}
+           OR count(*) * {line_dedup.SHARE} >= (SELECT count(*) FROM documents))),
 h AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS place FROM t JOIN b USING (line)),
-g AS (SELECT doc_id, list(pos) AS gone FROM h WHERE place > 1 GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_lines FROM t GROUP BY doc_id)
+n AS (SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS chars FROM t GROUP BY doc_id),
+g AS (SELECT doc_id, list(pos) AS gone FROM h JOIN t USING (doc_id, pos) JOIN n USING (doc_id) WHERE place > 1
+      GROUP BY doc_id HAVING 5 * sum(length(line)) < 4 * any_value(chars))
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
-  (CASE WHEN len(gone) < n_lines THEN len(gone) ELSE 0 END)::BIGINT AS n_removed,
-  CASE WHEN len(gone) < n_lines
+  coalesce(len(gone), 0)::BIGINT AS n_removed,
+  CASE WHEN gone IS NOT NULL
     THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10))
     ELSE text END AS text
 FROM documents LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op10_quality_rules": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang NOT IN ('en', 'de', 'fr', 'es'), false) AS other FROM documents),
+w AS (SELECT doc_id, t, other,
         list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS ls
       FROM d),
@@ -174,6 +177,8 @@ c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
 p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM c WHERE n > 1),
 r AS (SELECT doc_id, sum(least(5, coalesce(nx - i, 5))) AS rep FROM p GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+        other OR 2 * length(regexp_replace(t, '[\P{{L}}\p{{Latin}}]+', '', 'g'))
+          > length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS other,
         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
@@ -183,8 +188,8 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
       FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words
-   AND 100 * n_symbols <= 30 * n_words AND (100 * n_stop >= 2 * n_words OR n_words < 40)
+  (NOT base_failed AND (100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words OR other)
+   AND 100 * n_symbols <= 30 * n_words AND (100 * n_stop >= 2 * n_words OR n_words < 40 OR other)
    AND 100 * n_dup_lines <= 50 * n_lines AND 100 * n_upper <= 50 * n_words) AS kept
 FROM b""",
     "op11_vector_codes": f"""

@@ -61,6 +61,22 @@ def test_quality_verdicts(docs):
     assert "repeated lines" in failed[7] and "mean word length" in failed[14]
 
 
+RUSSIAN = "Вода в реке течёт к морю, и старый мост стоит над ней уже сто лет; дети бегут по берегу утром. " * 3
+CHINESE = "。".join(f"第{i}天早上人们沿着河边走到市场去买面包和水果然后回家" for i in range(12)).replace("面包", " 面包 ")
+POLISH = " ".join(f"rzeka{i} płynie przez stare miasto i wpada do morza koło wsi{i}" for i in range(8))
+
+
+def test_quality_language_rules_leave_other_languages_alone(spark):
+    rows = [(1, RUSSIAN.replace("; дети", f" {'и ещё раз '}; дети"), None), (2, CHINESE, "zh"), (3, POLISH, "pl"), (4, POLISH, "en"),
+            (5, POLISH, None), (6, CHINESE, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    failed = {r.doc_id: set(r.failed) - {"repeated words"} for r in quality.judge(docs).collect()}
+    assert failed == {1: set(), 2: set(), 3: set(), 4: {"stop words"}, 5: {"stop words"}, 6: set()}
+    bare = {r.doc_id: set(r.failed) - {"repeated words"} for r in quality.judge(docs.drop("lang")).collect()}
+    assert bare == {1: set(), 2: set(), 3: {"stop words"}, 4: {"stop words"}, 5: {"stop words"}, 6: set()}
+    assert quality.judge(docs.limit(0)).count() == 0 and quality.passing(docs.limit(0)).count() == 0
+
+
 def test_quality_plan_is_one_projection(docs):
     plan = quality.judge(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Join" not in plan and "Aggregate [" not in plan
@@ -68,18 +84,22 @@ def test_quality_plan_is_one_projection(docs):
 
 def lines_by_hand(rows, least):
     strip = lambda x: x.strip(" \t\n\x0b\f\r")
-    sites, first = {}, {}
+    sites, first, often = {}, {}, Counter()
     for doc, text, site in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for i, x in enumerate((text or "").split("\n")):
             if strip(x):
                 sites.setdefault(strip(x), set()).add(site)
+                often[strip(x)] += 1
                 first.setdefault(strip(x), (doc, i))
     out = []
     for doc, text, _ in rows:
         all_lines = (text or "").split("\n")
         full = [i for i, x in enumerate(all_lines) if strip(x)]
         gone = [i for i in full if len(sites[strip(all_lines[i])] - {None}) >= least and first[strip(all_lines[i])] != (doc, i)]
-        gone = [] if len(gone) == len(full) else gone
+        gone = [i for i in gone if len(strip(all_lines[i]).split()) >= line_dedup.SHORT
+                or often[strip(all_lines[i])] * line_dedup.SHARE >= len(rows)]
+        chars = lambda at: sum(len(strip(all_lines[i])) for i in at)  # noqa: E731,B023
+        gone = [] if 5 * chars(gone) >= 4 * chars(full) else gone
         cut = "\n".join(x for i, x in enumerate(all_lines) if i not in gone) if gone else text
         out.append((-1 if doc is None else doc, cut, len(full), len(gone)))
     return sorted(out, key=repr)
@@ -113,6 +133,19 @@ def test_line_dedup_repeated_rows_and_empty_table(spark, tmp_path):
     assert line_dedup.dedup_lines(frame.limit(0), f"file://{tmp_path}/b").count() == 0
 
 
+def test_line_dedup_keeps_near_copies_whole_and_short_chance_lines(spark, tmp_path):
+    same = "\n".join(f"line {i} of the story that nine sites print alike" for i in range(6))
+    rows = [(i, f"{same}\nown {i}", f"s{i}") for i in range(9)]
+    notice = "This page is shown to you under the terms of use."
+    rows += [(100 + i, f"The.\n{notice}\nstory {i} has a long line of its own about things seen in place {i}" if i < 12 else
+              f"story {i} has two lines of its own\nand no other line than those", f"s{i % 20}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(frame, f"{tmp_path}/near").collect()}
+    assert all(out[i].text == rows[i][1] and out[i].n_removed == 0 for i in range(9))  # near copies are left to near-dedup
+    assert all("The." in out[100 + i].text for i in range(12))  # 12 of 409 documents: no boilerplate
+    assert [notice in out[100 + i].text for i in range(12)] == [True] + [False] * 11
+
+
 def test_line_dedup_counts_near_the_threshold_exactly():
     low, high = line_dedup.near(8)
     assert low <= 7 and high >= 9
