@@ -72,13 +72,13 @@ def leak_events(r: DataFrame, household_id: str | None = None) -> DataFrame:
 def household_timeline(r: DataFrame, household_id: str | DataFrame) -> DataFrame:
     """One household's readings in time order (usage, spike, leak marker).
 
-    ``household_id`` may be a one-row DataFrame (chosen by another query), which
-    is joined rather than collected.
+    ``household_id`` may be a one-row DataFrame (chosen by another query): a scalar
+    subquery, whose value reaches the scan as a filter, as that of a literal does. No
+    row selects nothing.
     """
     cols = ["household_id", "timestamp", "water_usage_liters", "spike_ratio", "leak_flag_detected"]
     if isinstance(household_id, DataFrame):
-        pick = household_id.select("household_id").limit(1)
-        x = r.join(F.broadcast(pick), "household_id", "left_semi")  # one row by construction
+        x = r.where(F.col("household_id") == household_id.select("household_id").limit(1).scalar())
     else:
         x = r.where(F.col("household_id") == household_id)
     return x.select(*cols).orderBy("timestamp")

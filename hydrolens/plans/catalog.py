@@ -19,7 +19,8 @@ from hydrolens.operators import ml as M
 from hydrolens.operators import reports as E
 from hydrolens.schema import EXPLORE_COLS, NOTEBOOK_FEATURES
 from hydrolens.session import scratch_path, stable_path
-from hydrolens.sources.fixtures import raw_from_events, raw_from_lineitem
+from hydrolens.sources import instalments
+from hydrolens.sources.fixtures import hourly_events, raw_from_events, raw_from_lineitem, table
 from hydrolens.sources.readers import CSV_NAME, PARQUET_NAME, load_readings, read_readings
 from hydrolens.sources.store import materialize, readings, version_key
 from hydrolens.sources.writers import export_csv, write_readings
@@ -48,6 +49,17 @@ def on_lineitem(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: fn(_li(spark, d))
 
 
+def _enrich_instalments(spark: SparkSession, d: str) -> DataFrame:
+    """A5/K1: the events come in two instalments, of earlier days and of later days with late events of earlier ones."""
+    base, events = scratch_path(spark, "instalments"), table(spark, d, "events")
+    middle = events.agg(F.expr("timestampadd(SECOND, timestampdiff(SECOND, min(ts), max(ts)) DIV 2, min(ts))")).scalar()
+    second = F.coalesce((F.col("ts") >= middle) | (F.pmod("event_id", F.lit(97)) == 0), F.lit(True))
+    for part in (~second, second):
+        events.where(part).write.mode("append").parquet(f"{base}/source")
+        instalments.add_files(spark, f"{base}/source", f"{base}/store", hourly_events)
+    return instalments.read_store(spark, f"{base}/store")
+
+
 def _scan_csv(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     export_csv(_ev(spark, d), path)
@@ -76,6 +88,7 @@ QUERIES: dict[str, Query] = {
     # enrichment from raw tables (K1, K5-K8)
     "enrich_readings": lambda s, d: K.enrich(raw_from_events(s, d)),
     "enrich_readings_lineitem": lambda s, d: K.enrich(raw_from_lineitem(s, d)),
+    "enrich_instalments": _enrich_instalments,
     # sources and sinks
     "scan_parquet": on_events(lambda r: r),
     "scan_csv": _scan_csv,

@@ -88,6 +88,7 @@ SQL: dict[str, str] = {}
 
 SQL["enrich_readings"] = on("events", f"SELECT {READING_COLS} FROM readings")
 SQL["enrich_readings_lineitem"] = on("lineitem", f"SELECT {READING_COLS} FROM readings")
+SQL["enrich_instalments"] = SQL["enrich_readings"]
 SQL["scan_parquet"] = SQL["enrich_readings"]
 SQL["scan_csv"] = SQL["enrich_readings"]
 SQL["sink_parquet"] = SQL["enrich_readings"]

@@ -77,12 +77,16 @@ def stable_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "hydrolens", *parts])
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """File system and path object of any shared file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - Hadoop FS access has no public Python API
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p  # noqa: SLF001
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop FS, so it works for any shared filesystem."""
-    jvm = spark._jvm  # noqa: SLF001 - Hadoop FS access has no public Python API
-    conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)
 
 
 def tune_for_scale(spark: SparkSession, input_bytes: int, total_cores: int | None = None,

@@ -21,7 +21,7 @@ def normalise(df: DataFrame) -> DataFrame:
     return out.select(*READING_COLUMNS)
 
 
-def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
+def read_readings(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
                   columns: list[str] | None = None, trusted: bool = False,
                   months: tuple[str, str] | None = None) -> DataFrame:
     """Read readings with the explicit schema. For CSV, ``columns`` gives the
@@ -37,7 +37,7 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
               .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
               .option("mode", "FAILFAST").csv(path))
     elif fmt == "parquet":
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(*([path] if isinstance(path, str) else path))
         if months:
             df = df.where(F.date_format(F.col("month").cast("date"), "yyyy-MM").between(*months)
                           if dict(df.dtypes)["month"] == "date" else F.col("month").between(*months))
