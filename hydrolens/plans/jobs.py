@@ -32,7 +32,7 @@ def train_job(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
     Returns the nine-row metrics summary (five metrics + confusion counts).
     """
     test = catalog.split(spark, sf_dir).where(F.col("is_test") == 1)
-    models = {k: catalog.fitted(spark, sf_dir, k) for k in ("rf", "gbt")}
+    models = catalog.models(spark, sf_dir, anew=True)
     for k, m in models.items():
         M.save_model(m, f"{out}/models/{k}")
         M.fit_scaler(catalog.split(spark, sf_dir).where(F.col("is_test") == 0)).write.mode("overwrite").parquet(
@@ -75,7 +75,7 @@ def model_tables(spark: SparkSession, sf_dir: str, r: DataFrame) -> dict[str, Da
     from hydrolens.operators import features as HF
     from hydrolens.operators import filters as C
     live = HF.household_features(r, "live")
-    models = {k: catalog.model(spark, sf_dir, k) for k in ("rf", "gbt")}
+    models = catalog.models(spark, sf_dir)
     scores = {k: M.score(m, live, k, label=None) for k, m in models.items()}
     test = catalog.test_scores(spark, sf_dir)
     metrics = J.metrics_table(test)

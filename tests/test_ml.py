@@ -82,3 +82,43 @@ def test_a_model_that_learned_nothing_fails_the_registered_checks(spark, monkeyp
         out = catalog.QUERIES[name](spark, SF0001)
         flags = [c for c, t in out.dtypes if t == "boolean"]
         assert any(not r[c] for r in out.collect() for c in flags), name
+
+
+def test_boosting_runs_on_few_large_partitions(spark, monkeypatch):
+    """45,000 rows: boosting's many short jobs get one task each, a forest's few long ones three."""
+    from pyspark.sql import functions as F
+    seen = {}
+
+    class Spy:
+        def __init__(self, stages):
+            self.kind = type(stages[-1]).__name__
+
+        def fit(self, df):
+            seen[self.kind] = (df.rdd.getNumPartitions(), df.count())
+    monkeypatch.setattr(M, "Pipeline", Spy)
+    rows = spark.range(45_000).select(F.col("id").cast("string").alias("household_id"), (F.col("id") % 2).cast("int").alias("is_high_risk"),
+                                      F.col("id").cast("double").alias("avg_usage"))
+    for kind in ("rf", "gbt"):
+        M.train(rows, kind, ["avg_usage"])
+    assert seen == {"RandomForestClassifier": (3, 45_000), "GBTClassifier": (1, 45_000)}
+
+
+def test_both_models_are_fitted_at_once(spark, monkeypatch):
+    """Each fit waits until the other has begun; fits in turn would break the barrier."""
+    import threading
+    from conftest import SF0001
+    from hydrolens.plans import catalog
+    from hydrolens.schema import TRAIN_FEATURES
+    dull, begun = M.constant_model(spark, TRAIN_FEATURES, 0.4), threading.Barrier(2)
+
+    def train(*a, **k):
+        begun.wait(60)
+        return dull
+    monkeypatch.setattr(M, "_models", {})
+    monkeypatch.setattr(M, "load_model", lambda path: None)
+    monkeypatch.setattr(M, "publish_model", lambda *a: None)
+    monkeypatch.setattr(M, "train", train)
+    assert catalog.models(spark, SF0001) == {"rf": dull, "gbt": dull}
+    for name in ("model_classification_report", "feature_importance", "whatif_score", "score_households", "ensemble_verdict_ml"):
+        M._models.clear()
+        assert catalog.QUERIES[name](spark, SF0001).columns
